@@ -1 +1,75 @@
-"""Filled in below."""
+"""Text and run logs."""
+
+from __future__ import annotations
+
+from tablewright.catalog.registry import query, table, using, view
+from tablewright.operators import textlog as L
+from tablewright.runtime import scratch_path
+from tablewright.sources import reports as R
+
+
+@query(
+    "code_blocks",
+    using("fx_code")
+    + """, f as (select conv_id, turn, response, regexp_extract_all(response, '(?s)```(?:python)?\\s*\\n(.*?)\\n```', 1) as b
+      from fx_code) select conv_id, turn, case when len(b) > 0 then array_to_string(b, chr(10) || chr(10))
+      else regexp_replace(response, '^\\s+|\\s+$', '', 'g') end as code from f""",
+)
+def code_blocks(spark, sf_dir):
+    return L.extract_code(view(spark, sf_dir, "fx_code"), "response").select("conv_id", "turn", "code")
+
+
+@query(
+    "error_types",
+    using("fx_errors")
+    + """select nullif(regexp_extract(line, '(\\w+Error|\\w+Exception):\\s*(.+)', 1), '') as error_type, count(*) as n
+      from fx_errors group by 1""",
+)
+def errors(spark, sf_dir):
+    return L.error_counts(view(spark, sf_dir, "fx_errors"), "line")
+
+
+@query(
+    "error_messages",
+    using("fx_errors")
+    + """select event_id, nullif(regexp_extract(line, '(\\w+Error|\\w+Exception):\\s*(.+)', 1), '') as error_type,
+      case when regexp_matches(line, '(\\w+Error|\\w+Exception):') then regexp_extract(line,
+      '(\\w+Error|\\w+Exception):\\s*(.+)', 2) else left(line, 500) end as error_message from fx_errors""",
+)
+def messages(spark, sf_dir):
+    return L.with_error(view(spark, sf_dir, "fx_errors"), "line").drop("line")
+
+
+@query("text_tail", "select doc_id, left(text, 2000) as head, right(text, 2000) as tail from documents")
+def tails(spark, sf_dir):
+    return L.excerpt(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+@query(
+    "run_rollup",
+    """select user_id, event_type, count(*) as n_events, min(ts) as started, max(ts) as ended,
+    round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 4) as seconds from events group by user_id, event_type""",
+)
+def rollup(spark, sf_dir):
+    return R.run_rollup(table(spark, sf_dir, "events"), "user_id", "event_type", "ts")
+
+
+@query(
+    "artifact_dedupe",
+    "select props, min(event_id) as first_seen from events group by props",
+)
+def artifacts(spark, sf_dir):
+    return R.first_occurrences(table(spark, sf_dir, "events"), "props", "event_id")
+
+
+@query("event_log", "select ts as timestamp, cast(user_id as varchar) as agent, event_type, props as payload from events")
+def event_log(spark, sf_dir):
+    """Append the events as JSON lines, then read the log back."""
+    path = scratch_path(spark, "events")
+    R.append_events(
+        table(spark, sf_dir, "events").selectExpr(
+            "ts as timestamp", "cast(user_id as string) as agent", "event_type", "props as payload"
+        ),
+        path,
+    )
+    return R.read_events(spark, path)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT_SCHEMA = "timestamp timestamp, agent string, event_type string, payload string"
+# Fixed value: ISO time with microseconds; Spark's default keeps milliseconds only.
+EVENT_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -14,11 +16,12 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+    stamped = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    stamped.write.mode("append").option("timestampFormat", EVENT_TIME).json(path)
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    return spark.read.schema(schema).option("timestampFormat", EVENT_TIME).json(path)
 
 
 def run_rollup(events: DataFrame, run: str, agent: str, time: str) -> DataFrame:
@@ -26,7 +29,7 @@ def run_rollup(events: DataFrame, run: str, agent: str, time: str) -> DataFrame:
     spans = events.groupBy(run, agent).agg(
         F.count("*").alias("n_events"), F.min(time).alias("started"), F.max(time).alias("ended")
     )
-    seconds = F.unix_micros("ended") - F.unix_micros("started")
+    seconds = F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
     return spans.withColumn("seconds", F.round(seconds / 1e6, 4))
 
 
