@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablewright.catalog.registry import query, table, using, view
 from tablewright.operators import textlog as L
 from tablewright.runtime import scratch_path
@@ -72,4 +74,4 @@ def event_log(spark, sf_dir):
         ),
         path,
     )
-    return R.read_events(spark, path)
+    return R.read_events(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))

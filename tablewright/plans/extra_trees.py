@@ -1,0 +1,208 @@
+"""Extremely randomised regression trees, grown level by level.
+
+Per level two passes run over the rows. The first gives the range of every feature in every open node, from which a
+random threshold per feature is drawn; the second gives rows and target sums left of each threshold, from which the
+best cut per node is taken. Each task adds up its own rows first, so a pass shuffles tables of nodes, not of rows.
+The node of a row follows from the trees grown so far, so no per-row state has to be kept between passes.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel, keyword_only
+from pyspark.ml import Model
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param.shared import HasFeaturesCol, HasPredictionCol, Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+class Tree:
+    """A binary tree in arrays; a leaf has feature -1."""
+
+    def __init__(self, feature=(-1,), cut=(0.0,), left=(0,), value=(0.0,)):
+        self.feature, self.cut, self.left, self.value = list(feature), list(cut), list(left), list(value)
+
+    def split(self, node: int, feature: int, cut: float) -> tuple[int, int]:
+        child = len(self.feature)
+        self.feature[node], self.cut[node], self.left[node] = feature, cut, child
+        for field, fill in ((self.feature, -1), (self.cut, 0.0), (self.left, 0), (self.value, 0.0)):
+            field.extend([fill, fill])
+        return child, child + 1
+
+    def leaves_of(self, x: np.ndarray) -> np.ndarray:
+        """Leaf number of each row."""
+        feature, cut, left = np.array(self.feature), np.array(self.cut), np.array(self.left)
+        at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        while True:
+            f = feature[at]
+            inner = f >= 0
+            if not inner.any():
+                return at
+            step = left[at] + (x[rows, np.maximum(f, 0)] > cut[at])
+            at = np.where(inner, step, at)
+
+
+class ExtraTreesModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Mean of the trees' leaf values. The trees are a parameter, so the model saves inside a pipeline."""
+
+    forest = Param(Params._dummy(), "forest", "trees as JSON", typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, forest: str = "[]", featuresCol: str = "features", predictionCol: str = "prediction"):
+        super().__init__()
+        self._setDefault(forest="[]")
+        self._set(forest=forest, featuresCol=featuresCol, predictionCol=predictionCol)
+
+    def trees(self) -> list[Tree]:
+        return [Tree(**t) for t in json.loads(self.getOrDefault("forest"))]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        trees = self.trees()
+        values = [np.array(t.value) for t in trees]
+
+        @F.pandas_udf(T.DoubleType())
+        def predict(rows: pd.Series) -> pd.Series:
+            if not len(rows):
+                return pd.Series([], dtype="float64")
+            x = np.stack(rows.to_numpy())
+            return pd.Series(sum(v[t.leaves_of(x)] for t, v in zip(trees, values)) / len(trees))
+
+        return dataset.withColumn(self.getPredictionCol(), predict(vector_to_array(self.getFeaturesCol())))
+
+
+def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for part in parts:
+        if len(part):
+            yield np.stack(part["x"].to_numpy()), part["y"].to_numpy()
+
+
+def _groups(leaf: np.ndarray, open_nodes: np.ndarray):
+    """Rows in open nodes, sorted by node: (row order, start of each node's run, node of each run)."""
+    rows = np.flatnonzero(np.isin(leaf, open_nodes))
+    if not len(rows):
+        return None
+    order = rows[np.argsort(leaf[rows], kind="stable")]
+    nodes, starts = np.unique(leaf[order], return_index=True)
+    return order, starts, nodes
+
+
+def _ranges(data: DataFrame, trees: list[Tree], opened: dict[int, list[int]]) -> pd.DataFrame:
+    """Lowest and highest value of each feature in each open node."""
+
+    def scan(parts):
+        low, high = {}, {}
+        for x, _ in _batches(parts):
+            for t, nodes in opened.items():
+                found = _groups(trees[t].leaves_of(x), np.array(nodes))
+                if found is None:
+                    continue
+                order, starts, runs = found
+                mins, maxs = np.minimum.reduceat(x[order], starts), np.maximum.reduceat(x[order], starts)
+                for node, a, b in zip(runs.tolist(), mins, maxs):
+                    k = (t, node)
+                    low[k] = np.minimum(low[k], a) if k in low else a
+                    high[k] = np.maximum(high[k], b) if k in high else b
+        for k in low:
+            p = len(low[k])
+            yield pd.DataFrame({"t": k[0], "node": k[1], "f": np.arange(p), "low": low[k], "high": high[k]})
+
+    scanned = data.mapInPandas(scan, "t int, node int, f int, low double, high double")
+    return scanned.groupBy("t", "node", "f").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+
+
+def _left_sums(data: DataFrame, trees: list[Tree], cuts: dict[int, dict[int, np.ndarray]]) -> pd.DataFrame:
+    """Rows and target sum per open node, and left of each drawn cut."""
+
+    def scan(parts):
+        sums = {}
+        for x, y in _batches(parts):
+            for t, per_node in cuts.items():
+                found = _groups(trees[t].leaves_of(x), np.array(list(per_node)))
+                if found is None:
+                    continue
+                order, starts, runs = found
+                limits = np.repeat([per_node[n] for n in runs.tolist()], np.diff([*starts, len(order)]), axis=0)
+                goes = x[order] <= limits
+                n_left = np.add.reduceat(goes, starts, axis=0, dtype=np.float64)
+                s_left = np.add.reduceat(goes * y[order, None], starts, axis=0)
+                n = np.diff([*starts, len(order)]).astype(float)
+                s = np.add.reduceat(y[order], starts)
+                for i, node in enumerate(runs.tolist()):
+                    row = np.vstack([n_left[i], s_left[i], np.full(x.shape[1], n[i]), np.full(x.shape[1], s[i])])
+                    k = (t, node)
+                    sums[k] = sums[k] + row if k in sums else row
+        for k, (nl, sl, n, s) in sums.items():
+            yield pd.DataFrame({"t": k[0], "node": k[1], "f": np.arange(len(nl)), "nl": nl, "sl": sl, "n": n, "s": s})
+
+    scanned = data.mapInPandas(scan, "t int, node int, f int, nl double, sl double, n double, s double")
+    return scanned.groupBy("t", "node", "f").agg(*[F.sum(c).alias(c) for c in ("nl", "sl", "n", "s")]).toPandas()
+
+
+def fit_extra_trees(
+    data: DataFrame,
+    trees: int = 300,
+    min_leaf: int = 2,
+    max_depth: int = 12,
+    seed: int = 42,
+    features: str = "features",
+    label: str = "label",
+) -> ExtraTreesModel:
+    """Every tree sees all rows and all features. Depth bounds the model, which the driver holds."""
+    rows = data.select(vector_to_array(features).alias("x"), F.col(label).cast("double").alias("y"))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        mean = rows.agg(F.avg("y")).first()[0]
+        centred = rows.withColumn("y", F.col("y") - F.lit(mean))  # small sums keep their digits
+        forest = [Tree() for _ in range(trees)]
+        opened = {t: [0] for t in range(trees)}
+        for _ in range(max_depth):
+            if not opened:
+                break
+            drawn = _draw(_ranges(centred, forest, opened), seed)
+            opened = _grow(forest, _left_sums(centred, forest, drawn) if drawn else None, drawn, min_leaf)
+    finally:
+        rows.unpersist()
+    trees_out = [
+        {"feature": t.feature, "cut": t.cut, "left": t.left, "value": [v + mean for v in t.value]} for t in forest
+    ]
+    return ExtraTreesModel(forest=json.dumps(trees_out), featuresCol=features)
+
+
+def _draw(ranges: pd.DataFrame, seed: int) -> dict[int, dict[int, np.ndarray]]:
+    """A threshold per tree, node and feature, the same whatever order the rows arrive in; NaN where nothing varies."""
+    cuts: dict[int, dict[int, np.ndarray]] = {}
+    for (t, node), part in ranges.sort_values("f").groupby(["t", "node"]):
+        low, high = part["low"].to_numpy(), part["high"].to_numpy()
+        share = np.random.default_rng([seed, int(t), int(node)]).random(len(low))
+        cuts.setdefault(int(t), {})[int(node)] = np.where(high > low, low + share * (high - low), np.nan)
+    return cuts
+
+
+def _grow(forest: list[Tree], sums: pd.DataFrame | None, cuts, min_leaf: int) -> dict[int, list[int]]:
+    """Split open nodes at their best cut; returns the nodes opened."""
+    opened: dict[int, list[int]] = {}
+    if sums is None or not len(sums):
+        return opened
+    for (t, node), part in sums.sort_values("f").groupby(["t", "node"]):
+        t, node = int(t), int(node)
+        nl, sl, n, s = (part[c].to_numpy() for c in ("nl", "sl", "n", "s"))
+        forest[t].value[node] = s[0] / n[0]
+        nr, sr = n - nl, s - sl
+        allowed = (nl >= min_leaf) & (nr >= min_leaf) & ~np.isnan(cuts[t][node])
+        if not allowed.any():
+            continue
+        gain = np.where(allowed, sl**2 / np.maximum(nl, 1) + sr**2 / np.maximum(nr, 1) - s**2 / n, -np.inf)
+        best = int(np.argmax(gain))
+        if gain[best] <= 1e-12 * max(1.0, abs(s[0])):
+            continue
+        left, right = forest[t].split(node, best, float(cuts[t][node][best]))
+        forest[t].value[left], forest[t].value[right] = sl[best] / nl[best], sr[best] / nr[best]
+        opened.setdefault(t, []).extend([left, right])
+    return opened
