@@ -65,8 +65,8 @@ def flags(spark, sf_dir):
 @query(
     "ratio_features",
     using("fx_model")
-    + """select row_id, round(revenue / nullif(sum_qty, 0), 6) as revenue_per_unit, round(sum_qty / n_lines, 6) as
-      units_per_line, round(revenue / nullif(avg_tax, 0), 4) as revenue_per_tax from fx_model""",
+    + """select row_id, revenue / nullif(sum_qty, 0) as revenue_per_unit, sum_qty / n_lines as units_per_line,
+      revenue / nullif(avg_tax, 0) as revenue_per_tax from fx_model""",
 )
 def ratios(spark, sf_dir):
     added = C.add_ratios(
@@ -77,8 +77,7 @@ def ratios(spark, sf_dir):
             "revenue_per_tax": ("revenue", "avg_tax"),
         },
     )
-    kept = added.select("row_id", "revenue_per_unit", "units_per_line", "revenue_per_tax")
-    return rounded(kept, revenue_per_tax=4)
+    return added.select("row_id", "revenue_per_unit", "units_per_line", "revenue_per_tax")
 
 
 @query(

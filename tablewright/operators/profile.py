@@ -136,10 +136,10 @@ def target_correlation(df: DataFrame, target: str, names: Sequence[str] | None =
 
 
 def _corr(x, y):
-    """Correlation; NULL where one side does not vary."""
+    """Correlation; NULL where one side does not vary (``corr`` itself would fail the query there)."""
     both = x.isNotNull() & y.isNotNull()
-    spread = F.least(F.var_pop(F.when(both, x)), F.var_pop(F.when(both, y)))
-    return F.when(spread > 0, F.corr(x, y))
+    spread = F.sqrt(F.var_pop(F.when(both, x))) * F.sqrt(F.var_pop(F.when(both, y)))
+    return F.try_divide(F.covar_pop(x, y), spread)
 
 
 def univariate_regression(df: DataFrame, column: str, names: Sequence[str] | None = None) -> DataFrame:
@@ -166,7 +166,7 @@ def univariate_regression(df: DataFrame, column: str, names: Sequence[str] | Non
 
 def with_p_value(lines: DataFrame) -> DataFrame:
     """Add the two-sided p-value of a zero slope to the result of :func:`univariate_regression`."""
-    t = F.when(F.col("stderr") > 0, F.col("slope") / F.col("stderr")).otherwise(F.lit(float("inf")))
+    t = F.coalesce(F.try_divide("slope", "stderr"), F.lit(float("inf")))
     return lines.withColumn("pvalue", t_p_value(t, (F.col("n") - 2).cast("double")))
 
 
