@@ -104,7 +104,7 @@ def tokens(spark, sf_dir):
 )
 def stats(spark, sf_dir):
     index = _index(spark, sf_dir)
-    words = index.words.withColumns(
+    words = index.words.select("token", "df", "idf").withColumns(
         {"n_docs": F.lit(index.n_docs).cast("bigint"), "avg_length": F.lit(index.avg_length)}
     )
     return rounded(words)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.text import raw_tokens, tokenize
 from tablewright.operators.ranking import RunningTopK, hit_schema, per_query_block, top_k
-from tablewright.runtime import scratch_table
+from tablewright.runtime import scratch_table, spread
 
 # Term saturation, length normalisation, and the share of the mean idf given to very common tokens.
 K1 = 1.5
@@ -25,7 +25,8 @@ _CELLS = 4_000_000
 
 def term_index(chunks: DataFrame, key: str = "chunk_id", text: str = "code") -> DataFrame:
     """``(chunk_id, tokens)``: the tokens of each chunk, in order. Row-local; write it once and search it often."""
-    return chunks.select(F.col(key).alias("chunk_id"), tokenize(F.col(text)).alias("tokens"))
+    texts = spread(chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("text")))
+    return texts.select("chunk_id", tokenize(F.col("text")).alias("tokens"))
 
 
 def term_frequencies(index: DataFrame) -> DataFrame:
@@ -40,16 +41,16 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_length"))
 
 
-def vocabulary(index: DataFrame) -> DataFrame:
-    """``(token, df, idf)``; a negative idf becomes a share of the mean over all tokens.
+def document_frequencies(index: DataFrame) -> DataFrame:
+    """``(token, df)``. Each chunk sends a token once, and counts are combined before the shuffle."""
+    return index.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
-    Each chunk sends a token once, and counts are combined before the shuffle, so a token found everywhere is cheap.
-    """
-    n_docs = index.agg(F.count("*")).scalar()
-    df = index.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    floor = raw.agg(F.avg("raw") * EPSILON).scalar()
-    return raw.select("token", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
+
+def with_idf(words: DataFrame, n_docs: int) -> DataFrame:
+    """Add ``idf``; a negative value becomes a share of the mean over all tokens. ``words`` is read twice."""
+    raw = F.log(F.lit(n_docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    floor = words.agg(F.avg(raw)).first()[0]
+    return words.withColumn("idf", F.when(raw < 0, F.lit(EPSILON * (floor or 0.0))).otherwise(raw))
 
 
 @dataclass
@@ -64,8 +65,8 @@ class Bm25Index:
     @classmethod
     def build(cls, chunks: DataFrame, key: str = "chunk_id", text: str = "code") -> Bm25Index:
         terms = scratch_table(term_index(chunks, key, text), "terms")
-        words = scratch_table(vocabulary(terms), "words")
         size = corpus_stats(terms).first()
+        words = with_idf(scratch_table(document_frequencies(terms), "words"), size["n_docs"])
         return cls(terms, words, size["n_docs"], size["avg_length"] or 0.0)
 
     def save(self, path: str) -> None:

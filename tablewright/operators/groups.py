@@ -81,19 +81,21 @@ def mean_by_flag(df: DataFrame, target: str, flags: Sequence[str]) -> DataFrame:
     return means.withColumnRenamed("column_name", "flag").orderBy(F.desc_nulls_last("mean_target"), "flag")
 
 
+def _keys(other: DataFrame, key: str) -> DataFrame:
+    return small_side(other.select(col(key).alias("__k")).distinct())
+
+
 def present_in(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
     """Rows whose key occurs in the other table."""
-    keys = other.select(col(other_key).alias("__k")).distinct()
-    return df.join(keys, col(key) == F.col("__k"), "left_semi")
+    return df.join(_keys(other, other_key), col(key) == F.col("__k"), "left_semi")
 
 
 def absent_from(df: DataFrame, other: DataFrame, key: str, other_key: str) -> DataFrame:
-    keys = other.select(col(other_key).alias("__k")).distinct()
-    return df.join(keys, col(key) == F.col("__k"), "left_anti")
+    return df.join(_keys(other, other_key), col(key) == F.col("__k"), "left_anti")
 
 
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, out: str, default=None) -> DataFrame:
     """Add the table's value for each key, or ``default`` where the key is unknown."""
-    pairs = table.groupBy(col(table_key).alias("__k")).agg(F.max(col(value)).alias("__v"))
+    pairs = small_side(table.groupBy(col(table_key).alias("__k")).agg(F.max(col(value)).alias("__v")))
     found = F.col("__v") if default is None else F.coalesce(F.col("__v"), F.lit(default))
     return df.join(pairs, col(key) == F.col("__k"), "left").withColumn(out, found).drop("__k", "__v")

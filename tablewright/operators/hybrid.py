@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.operators.bm25 import Bm25Index, bm25_search
+from tablewright.operators.groups import small_side
 from tablewright.operators.ranking import RRF_K, rrf_fuse
 from tablewright.operators.vectors import vector_search
+from tablewright.runtime import scratch_table
 
 TOP_K = 5
 
@@ -26,10 +28,11 @@ def _with_chunks(
 ) -> DataFrame:
     """Join chunk fields to hits, filter after the search cut-off, and keep ``k`` per query.
 
-    Only the few hit rows move: they hold at most three times ``k`` rows per query and list, and Spark sizes them at
-    run time before it picks the join. Fewer than ``k`` rows may be left.
+    The hits (at most three times ``k`` per query and list) are written first and counted, so that they go to the
+    chunk texts and the texts stay where they are. Fewer than ``k`` rows may be left.
     """
-    joined = hits.join(chunks.withColumnRenamed("chunk_id", "__id"), F.col("chunk_id") == F.col("__id"))
+    found = small_side(scratch_table(hits, "hits"))
+    joined = chunks.withColumnRenamed("chunk_id", "__id").join(found, F.col("chunk_id") == F.col("__id"))
     kept = joined.where(_wanted(source_filter, type_filter))
     best = Window.partitionBy("query_id").orderBy(*order)
     ranked = kept.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

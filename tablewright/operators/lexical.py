@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.operators.groups import small_side
 from tablewright.operators.ranking import RunningTopK, hit_schema, per_query_block, top_k
+from tablewright.runtime import scratch_table, spread
 
 PREVIEW_CHARS = 300
 _CELLS = 4_000_000
@@ -52,7 +54,7 @@ def lexical_search(
     Each text is scanned once for the words of all queries together; a task keeps its best ``k`` per query.
     """
     pool = chunks.where(F.col("cell_type") == type_filter) if type_filter else chunks
-    texts = pool.select("chunk_id", F.lower(F.coalesce("code", F.lit(""))).alias("body"))
+    texts = spread(pool.select("chunk_id", "code")).select("chunk_id", F.lower(F.coalesce("code", F.lit(""))).alias("body"))
     words = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda w: w != "")
     asked = queries.select(F.col(key).alias("query_id"), words.alias("words")).where(F.size("words") > 0)
     types = dict(asked.dtypes)["query_id"], dict(texts.dtypes)["chunk_id"]
@@ -60,8 +62,8 @@ def lexical_search(
     def search(block: pd.DataFrame) -> DataFrame:
         return texts.mapInPandas(_scorer(block, k), hit_schema(*types))
 
-    hits = top_k(per_query_block(asked, "query_id", search), k)
-    joined = hits.join(pool.withColumnRenamed("chunk_id", "__id"), F.col("chunk_id") == F.col("__id"))
+    hits = small_side(scratch_table(top_k(per_query_block(asked, "query_id", search), k), "hits"))
+    joined = pool.withColumnRenamed("chunk_id", "__id").join(hits, F.col("chunk_id") == F.col("__id"))
     preview = F.left(F.coalesce("code", F.lit("")), F.lit(PREVIEW_CHARS)).alias("preview")
     return joined.select(
         "query_id", (F.col("rank") + 1).alias("rank"), "chunk_id", "source", "cell_index", "cell_type", "heading", "score",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.columns import key_hash
+from tablewright.operators.groups import small_side
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
@@ -112,7 +113,7 @@ def with_hash_rank(
             .agg(F.count("*").alias("__n"))
             .select(*groups, "__b", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
         )
-        keyed = offsets.select(
+        keyed = small_side(offsets).select(
             *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__b").alias("__ob"), "__before"
         )
         same = F.col("__b") == F.col("__ob")

@@ -17,6 +17,7 @@ from tablewright.runtime import scratch_table
 
 LEAF_PLACES = 64
 BROADCAST_CELLS = 100_000
+BROADCAST_PLACES = 500_000
 _STEP = 2  # levels between a cell and its children
 _DEEPEST = 20
 _AXES = ("x", "y", "z")
@@ -79,22 +80,25 @@ def nearest_place(
     return points.join(keyed, same, "left").drop("__lat", "__lon")
 
 
-def _leaf_level(spots: DataFrame, leaf_places: int) -> int:
-    for level in range(0, _DEEPEST, _STEP):
-        fullest = spots.groupBy(_cell(level).alias("c")).count().agg(F.max("count")).first()[0]
-        if (fullest or 0) <= leaf_places:
-            return level
-    return _DEEPEST  # cells of some ten metres
+def _level_sizes(spots: DataFrame) -> dict[int, tuple[int, int]]:
+    """``{level: (places in the fullest cell, occupied cells)}``, all levels in one job."""
+    levels = range(0, _DEEPEST + 1, _STEP)
+    cells = F.array(*[F.struct(F.lit(n).alias("level"), _cell(n).alias("cell")) for n in levels])
+    counts = spots.select(F.inline(cells)).groupBy("level", "cell").agg(F.count("*").alias("n"))
+    found = counts.groupBy("level").agg(F.max("n").alias("most"), F.count("*").alias("cells")).collect()
+    return {r["level"]: (r["most"], r["cells"]) for r in found}
 
 
 def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits: int) -> DataFrame:
-    bottom = _leaf_level(spots, leaf_places)
+    sizes = _level_sizes(spots)
+    # cells of the deepest level are some ten metres wide
+    bottom = next((n for n in sorted(sizes) if sizes[n][0] <= leaf_places), _DEEPEST if sizes else 0)
     box = [F.min(a).alias(f"{a}0") for a in _AXES] + [F.max(a).alias(f"{a}1") for a in _AXES]
     held = wanted.withColumn("cell", F.lit(0).cast("bigint"))
     best = Window.partitionBy("lat", "lon")
     for level in range(_STEP, bottom + 1, _STEP):
         cells = spots.groupBy(_cell(level - _STEP).alias("cell"), _cell(level).alias("child")).agg(*box)
-        if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        if sizes[level][1] <= BROADCAST_CELLS:
             cells = F.broadcast(cells)
         held = (
             held.join(cells, "cell")
@@ -107,7 +111,7 @@ def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits:
     leaves = spots.groupBy(_cell(bottom).alias("cell")).agg(
         F.collect_list(F.struct("lat", "lon", "ord", "what")).alias("spots")
     )
-    if leaves.limit(BROADCAST_CELLS // 10 + 1).count() <= BROADCAST_CELLS // 10:
+    if sizes and sizes[0][0] <= BROADCAST_PLACES:  # the root holds all places
         leaves = F.broadcast(leaves)
     ranked = F.transform(
         "spots",

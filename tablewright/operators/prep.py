@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Transformer
@@ -120,15 +120,39 @@ def _text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def fit_preprocessor(df: DataFrame, features: Sequence[str], standardize: bool = True) -> Preprocessor:
+def check_categories(df: DataFrame, names: Sequence[str], limit: int = MAX_CATEGORIES) -> None:
+    """Refuse columns whose values would not fit an encoder on the driver."""
+    if names:
+        found = df.agg(*[F.approx_count_distinct(col(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
+        for i, c in enumerate(names):
+            if found[f"c{i}"] > limit:
+                raise ValueError(f"{c} has about {found[f'c{i}']} values; drop it or group its values before training")
+
+
+def complete_columns(df: DataFrame, names: Sequence[str]) -> set[str]:
+    """Columns without a missing value, in one pass."""
+    row = df.agg(*[F.coalesce(F.bool_or(is_missing(df, c)), F.lit(False)).alias(f"m{i}") for i, c in enumerate(names)])
+    found = row.first()
+    return {c for i, c in enumerate(names) if not found[f"m{i}"]}
+
+
+def fit_preprocessor(
+    df: DataFrame, features: Sequence[str], standardize: bool = True, complete: Collection[str] = (), checked: bool = False
+) -> Preprocessor:
     """Numeric: median, then scale. Categorical: most frequent value, then one-hot with unknown values all zero.
 
     All steps are stock pipeline stages with the fitted constants written in, so the result can be saved.
+    Columns listed in ``complete`` miss no value in any table the result will see; they need no fill value, which
+    saves their medians and modes. ``checked`` says that :func:`check_categories` has passed already.
     """
     view = df.select(*[col(c) for c in features])
     prep = Preprocessor(numeric_columns(view), categorical_columns(view))
-    prep.medians = {c: 0.0 if m is None else m for c, m in fit_medians(view, prep.numeric).items()}
-    prep.modes = {c: "" if m is None else m for c, m in fit_modes(view, prep.categorical).items()}
+    if not checked:
+        check_categories(view, prep.categorical)
+    medians = fit_medians(view, [c for c in prep.numeric if c not in complete])
+    modes = fit_modes(view, [c for c in prep.categorical if c not in complete])
+    prep.medians = {c: medians.get(c) or 0.0 for c in prep.numeric}
+    prep.modes = {c: modes.get(c) or "" for c in prep.categorical}
     if standardize:
         prep.scale = fit_scale(impute(view, prep.medians), prep.numeric)
     exprs, scaled, texts = [], [], []
@@ -149,10 +173,6 @@ def fit_preprocessor(df: DataFrame, features: Sequence[str], standardize: bool =
             stringOrderType="alphabetAsc",
             handleInvalid="keep",
         )
-        distinct = filled.agg(*[F.approx_count_distinct(t).alias(t) for t in texts]).first()
-        for t, c in zip(texts, prep.categorical):
-            if distinct[t] > MAX_CATEGORIES:
-                raise ValueError(f"{c} has about {distinct[t]} values; drop it or group its values before training")
         indexed = indexer.fit(filled)
         encoder = OneHotEncoder(
             inputCols=[f"{t}i" for t in texts],

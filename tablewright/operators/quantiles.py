@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tablewright.functions.columns import number
 
-ONE_TASK_ROWS = 2_000_000
+ONE_TASK_ROWS = 4_000_000
 _ACCURACY = 10_000
+_SKETCHES_PER_PASS = 200
 
 
 def exact_quantiles(
@@ -19,17 +20,19 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """``{column: [quantile per share]}``, missing values left out.
 
-    Spark's exact ``percentile`` gathers every distinct value in one task, which is fine up to ``one_task_rows``.
-    Beyond that each wanted order statistic is closed in on: a mergeable sketch gives a value range holding it,
-    a count proves the range right, and the range shrinks about a thousandfold per round until it is small.
+    Spark's exact ``percentile`` gathers every distinct value in one task, which is fine up to ``one_task_rows``
+    values over all columns. Beyond that each wanted order statistic is closed in on: a mergeable sketch gives a value
+    range holding it, a count proves the range right, and the range shrinks about a thousandfold per round until it is
+    small.
     """
     if not names:
         return {}
     values = df.select(*[number(df, n).alias(f"v{i}") for i, n in enumerate(names)])
     counts = values.agg(*[F.count(f"v{i}").alias(f"v{i}") for i in range(len(names))]).first()
     result: dict[str, list[float | None]] = {n: [None] * len(shares) for n in names}
-    small = [i for i in range(len(names)) if 0 < counts[f"v{i}"] <= one_task_rows]
-    large = [i for i in range(len(names)) if counts[f"v{i}"] > one_task_rows]
+    filled = [i for i in range(len(names)) if counts[f"v{i}"] > 0]
+    fits = sum(counts[f"v{i}"] for i in filled) <= one_task_rows
+    small, large = (filled, []) if fits else ([], filled)
     if small:
         row = values.agg(*[F.percentile(f"v{i}", F.array(*map(F.lit, shares))).alias(f"v{i}") for i in small]).first()
         for i in small:
@@ -67,22 +70,36 @@ def _order_statistics(
         wide = [t for t in span if t not in found and span[t][3] > one_task_rows]
         if not wide:
             break
-        sketches = []
-        for n, t in enumerate(wide):
-            _, _, below, inside, slack = span[t]
-            at = (t[1] - below + 0.5) / inside
-            ends = F.array(F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack)))
-            sketches.append(F.approx_percentile(F.when(held(t), F.col(f"v{t[0]}")), ends, _ACCURACY).alias(f"s{n}"))
-        ends_row = values.agg(*sketches).first()
+        # targets that still share a range share its sketch
+        shared: dict[tuple, list[tuple[int, int]]] = {}
+        for t in wide:
+            shared.setdefault((t[0], *span[t][:2]), []).append(t)
+        ends: dict[tuple[int, int], tuple[float, float]] = {}
+        pools = list(shared.values())
+        for start in range(0, len(pools), _SKETCHES_PER_PASS):
+            part = pools[start : start + _SKETCHES_PER_PASS]
+            sketches = []
+            for n, pool in enumerate(part):
+                wanted = []
+                for t in pool:
+                    _, _, below, inside, slack = span[t]
+                    at = (t[1] - below + 0.5) / inside
+                    wanted += [max(0.0, at - slack), min(1.0, at + slack)]
+                held_value = F.when(held(pool[0]), F.col(f"v{pool[0][0]}"))
+                sketches.append(F.approx_percentile(held_value, wanted, _ACCURACY).alias(f"s{n}"))
+            row = values.agg(*sketches).first()
+            for n, pool in enumerate(part):
+                for j, t in enumerate(pool):
+                    ends[t] = tuple(row[f"s{n}"][2 * j : 2 * j + 2])
         checks = []
         for n, t in enumerate(wide):
-            v, (low, high) = F.col(f"v{t[0]}"), ends_row[f"s{n}"]
+            v, (low, high) = F.col(f"v{t[0]}"), ends[t]
             checks += [F.count_if(v < low).alias(f"b{n}"), F.count_if(v.between(low, high)).alias(f"i{n}")]
         count_row = values.agg(*checks).first()
         for n, t in enumerate(wide):
             below, inside = count_row[f"b{n}"], count_row[f"i{n}"]
             if below <= t[1] < below + inside and inside < span[t][3]:
-                span[t] = (*ends_row[f"s{n}"], below, inside, 2.0 / _ACCURACY)
+                span[t] = (*ends[t], below, inside, 2.0 / _ACCURACY)
             else:
                 slack = span[t][4] * 4
                 if slack > 1:  # the sketch cannot narrow it further: few distinct values are left

@@ -24,10 +24,10 @@ def per_query_block(
 
     The corpus is read once per block. One block is the usual case; more only for very large query batches.
     """
-    rows = queries.count()
-    blocks = -(-rows // block_rows)
-    if blocks <= 1:
-        return search(queries.toPandas())
+    first = queries.limit(block_rows + 1).toPandas()
+    if len(first) <= block_rows:
+        return search(first)
+    blocks = -(-queries.count() // block_rows)
     blocks *= 2  # hashing fills blocks unevenly
     parts = []
     for b in range(blocks):

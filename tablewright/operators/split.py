@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import key_bucket
+from tablewright.operators.groups import small_side
 from tablewright.operators.ordering import ROWS_PER_BUCKET, with_hash_rank
 
 _PARTS = 10_000
@@ -32,7 +33,7 @@ def stratified_split(
 ) -> DataFrame:
     """Mark exactly ``floor(fraction * rows)`` rows of every stratum for validation."""
     ranked = with_hash_rank(df, [stratum], key, "__rank", rows_per_bucket)
-    sizes = df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n"))
+    sizes = small_side(df.groupBy(F.col(stratum).alias("__s")).agg(F.count("*").alias("__n")))
     return (
         ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("__s")))
         .withColumn(out, F.col("__rank") <= F.floor(F.col("__n") * fraction))

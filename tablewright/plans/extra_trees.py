@@ -93,6 +93,14 @@ def _groups(leaf: np.ndarray, open_nodes: np.ndarray):
     return order, starts, nodes
 
 
+def _per_node(keys, *columns: np.ndarray, names: tuple[str, ...]) -> pd.DataFrame:
+    """A row per (tree, node, feature) from arrays with a row per (tree, node)."""
+    trees, nodes = np.array(list(keys)).T
+    p = columns[0].shape[1]
+    out = {"t": np.repeat(trees, p), "node": np.repeat(nodes, p), "f": np.tile(np.arange(p), len(trees))}
+    return pd.DataFrame({**out, **{n: c.ravel() for n, c in zip(names, columns)}})
+
+
 def _ranges(data: DataFrame, trees: list[Tree], opened: dict[int, list[int]]) -> pd.DataFrame:
     """Lowest and highest value of each feature in each open node."""
 
@@ -109,9 +117,8 @@ def _ranges(data: DataFrame, trees: list[Tree], opened: dict[int, list[int]]) ->
                     k = (t, node)
                     low[k] = np.minimum(low[k], a) if k in low else a
                     high[k] = np.maximum(high[k], b) if k in high else b
-        for k in low:
-            p = len(low[k])
-            yield pd.DataFrame({"t": k[0], "node": k[1], "f": np.arange(p), "low": low[k], "high": high[k]})
+        if low:
+            yield _per_node(low, np.stack(list(low.values())), np.stack(list(high.values())), names=("low", "high"))
 
     scanned = data.mapInPandas(scan, "t int, node int, f int, low double, high double")
     return scanned.groupBy("t", "node", "f").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
@@ -138,8 +145,9 @@ def _left_sums(data: DataFrame, trees: list[Tree], cuts: dict[int, dict[int, np.
                     row = np.vstack([n_left[i], s_left[i], np.full(x.shape[1], n[i]), np.full(x.shape[1], s[i])])
                     k = (t, node)
                     sums[k] = sums[k] + row if k in sums else row
-        for k, (nl, sl, n, s) in sums.items():
-            yield pd.DataFrame({"t": k[0], "node": k[1], "f": np.arange(len(nl)), "nl": nl, "sl": sl, "n": n, "s": s})
+        if sums:
+            cube = np.stack(list(sums.values()))
+            yield _per_node(sums, *(cube[:, i] for i in range(4)), names=("nl", "sl", "n", "s"))
 
     scanned = data.mapInPandas(scan, "t int, node int, f int, nl double, sl double, n double, s double")
     return scanned.groupBy("t", "node", "f").agg(*[F.sum(c).alias(c) for c in ("nl", "sl", "n", "s")]).toPandas()
@@ -175,13 +183,24 @@ def fit_extra_trees(
     return ExtraTreesModel(forest=json.dumps(trees_out), featuresCol=features)
 
 
+def _by_node(found: pd.DataFrame, *names: str) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """(tree, node) keys in order and, per column, an array with a row per key and a column per feature."""
+    found = found.sort_values(["t", "node", "f"])
+    p = int(found["f"].max()) + 1
+    keys = list(zip(found["t"].to_numpy()[::p].tolist(), found["node"].to_numpy()[::p].tolist()))
+    return keys, [found[n].to_numpy().reshape(-1, p) for n in names]
+
+
 def _draw(ranges: pd.DataFrame, seed: int) -> dict[int, dict[int, np.ndarray]]:
     """A threshold per tree, node and feature, the same whatever order the rows arrive in; NaN where nothing varies."""
     cuts: dict[int, dict[int, np.ndarray]] = {}
-    for (t, node), part in ranges.sort_values("f").groupby(["t", "node"]):
-        low, high = part["low"].to_numpy(), part["high"].to_numpy()
-        share = np.random.default_rng([seed, int(t), int(node)]).random(len(low))
-        cuts.setdefault(int(t), {})[int(node)] = np.where(high > low, low + share * (high - low), np.nan)
+    if not len(ranges):
+        return cuts
+    keys, (low, high) = _by_node(ranges, "low", "high")
+    share = np.stack([np.random.default_rng([seed, *k]).random(low.shape[1]) for k in keys])
+    drawn = np.where(high > low, low + share * (high - low), np.nan)
+    for (t, node), row in zip(keys, drawn):
+        cuts.setdefault(t, {})[node] = row
     return cuts
 
 
@@ -190,19 +209,17 @@ def _grow(forest: list[Tree], sums: pd.DataFrame | None, cuts, min_leaf: int) ->
     opened: dict[int, list[int]] = {}
     if sums is None or not len(sums):
         return opened
-    for (t, node), part in sums.sort_values("f").groupby(["t", "node"]):
-        t, node = int(t), int(node)
-        nl, sl, n, s = (part[c].to_numpy() for c in ("nl", "sl", "n", "s"))
-        forest[t].value[node] = s[0] / n[0]
-        nr, sr = n - nl, s - sl
-        allowed = (nl >= min_leaf) & (nr >= min_leaf) & ~np.isnan(cuts[t][node])
-        if not allowed.any():
-            continue
-        gain = np.where(allowed, sl**2 / np.maximum(nl, 1) + sr**2 / np.maximum(nr, 1) - s**2 / n, -np.inf)
-        best = int(np.argmax(gain))
-        if gain[best] <= 1e-12 * max(1.0, abs(s[0])):
-            continue
-        left, right = forest[t].split(node, best, float(cuts[t][node][best]))
-        forest[t].value[left], forest[t].value[right] = sl[best] / nl[best], sr[best] / nr[best]
-        opened.setdefault(t, []).extend([left, right])
+    keys, (nl, sl, n, s) = _by_node(sums, "nl", "sl", "n", "s")
+    cut = np.stack([cuts[t][node] for t, node in keys])
+    nr, sr = n - nl, s - sl
+    allowed = (nl >= min_leaf) & (nr >= min_leaf) & ~np.isnan(cut)
+    gain = np.where(allowed, sl**2 / np.maximum(nl, 1) + sr**2 / np.maximum(nr, 1) - s**2 / n, -np.inf)
+    best = gain.argmax(axis=1)
+    for i, (t, node) in enumerate(keys):
+        tree, f = forest[t], int(best[i])
+        tree.value[node] = float(s[i, 0] / n[i, 0])
+        if gain[i, f] > 1e-12 * max(1.0, abs(s[i, 0])):
+            left, right = tree.split(node, f, float(cut[i, f]))
+            tree.value[left], tree.value[right] = float(sl[i, f] / nl[i, f]), float(sr[i, f] / nr[i, f])
+            opened.setdefault(t, []).extend([left, right])
     return opened

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model, PipelineModel
@@ -94,10 +94,17 @@ def with_label(df: DataFrame, target: str) -> DataFrame:
 
 
 def fit_pipeline(
-    train: DataFrame, target: str, features: Sequence[str], name: str, settings: Settings = Settings(), standardize: bool = True
+    train: DataFrame,
+    target: str,
+    features: Sequence[str],
+    name: str,
+    settings: Settings = Settings(),
+    standardize: bool = True,
+    complete: Collection[str] = (),
+    checked: bool = False,
 ) -> PipelineModel:
     """Preprocessor and model, both fitted on ``train``."""
-    prep = fit_preprocessor(train, features, standardize)
+    prep = fit_preprocessor(train, features, standardize, complete, checked)
     ready = prep.transform(with_label(train, target)).select("features", "label")
     return PipelineModel([*prep.stages, CANDIDATES[name](ready, settings)])
 

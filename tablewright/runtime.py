@@ -59,3 +59,16 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy row-by-row work on a small input one task per core.
+
+    A file of one row group is one task however many cores there are. Only inputs too small to fill the cores by
+    themselves are moved, so the shuffle is bounded by one read split per core; larger inputs are left alone.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split_bytes = 128 * 1024 * 1024
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split_bytes else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.operators.ordering import fill_forward
+from tablewright.runtime import spread
 
 _CELL_ARRAYS = "cells array<struct<cell_type:string,source:array<string>>>"
 _CELL_TEXTS = "cells array<struct<cell_type:string,source:string>>"
@@ -48,7 +49,7 @@ def number_cells(cells: DataFrame) -> DataFrame:
 
 def notebook_chunks(files: DataFrame) -> DataFrame:
     """Chunks of notebook JSON files given as ``(path, content)``; a cell's source may be a list or one string."""
-    parsed = files.select(
+    parsed = spread(files).select(
         "path",
         F.from_json("content", _CELL_ARRAYS)["cells"].alias("lists"),
         F.from_json("content", _CELL_TEXTS)["cells"].alias("texts"),
@@ -63,7 +64,7 @@ def percent_chunks(files: DataFrame) -> DataFrame:
     """Chunks of scripts whose cells start with ``# %% [markdown]`` or ``# %% [code]`` lines."""
     marker = r"(?md)^# %% \[(markdown|code)\][^\n]*(?:\n|\z)"
     parts = F.split("content", r"(?md)^(?=# %% \[(?:markdown|code)\])")
-    cells = files.select("path", F.posexplode(F.filter(parts, lambda p: p.rlike(r"\A# %% \["))).alias("cell_index", "part"))
+    cells = spread(files).select("path", F.posexplode(F.filter(parts, lambda p: p.rlike(r"\A# %% \["))).alias("cell_index", "part"))
     body = F.regexp_replace(F.regexp_replace("part", r"\A" + marker, ""), r"\n+\z", "")
     kind = F.regexp_extract("part", r"\A" + marker, 1)
     return number_cells(cells.select("path", "cell_index", kind.alias("cell_type"), body.alias("code")))
