@@ -8,6 +8,7 @@ from tablewright.catalog.registry import query, table, using, view
 from tablewright.operators import textlog as L
 from tablewright.runtime import scratch_path
 from tablewright.sources import reports as R
+from tablewright.streaming.event_log import follow_events, rollup_to_table
 
 
 @query(
@@ -75,3 +76,22 @@ def event_log(spark, sf_dir):
         path,
     )
     return R.read_events(spark, path).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query(
+    "run_rollup_stream",
+    """select cast(user_id as varchar) as agent, event_type, count(*) as n_events, min(ts) as started, max(ts) as ended,
+    round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 4) as seconds from events group by user_id, event_type""",
+)
+def rollup_stream(spark, sf_dir):
+    """The rollup once more, over the events as an appended JSON log."""
+    path, out = scratch_path(spark, "events"), scratch_path(spark, "rollup")
+    R.append_events(
+        table(spark, sf_dir, "events").selectExpr(
+            "ts as timestamp", "cast(user_id as string) as agent", "event_type", "props as payload"
+        ),
+        path,
+    )
+    rollup_to_table(follow_events(spark, path), out).awaitTermination()
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}
+    return spark.read.parquet(out).withColumns(times)

@@ -136,18 +136,8 @@ def _class_scores(model, rows):
 
 @query("classifier_fit")
 def classifier(spark, sf_dir):
-    """Accuracy on training and validation rows, as the older training entry reports it."""
-    rows = scratch_table(_class_table(spark, sf_dir), "classes")
-    model = M.fit_classifier(rows.where("not is_valid"), M.SMALL)
-    right = (F.col("label") == F.col("prediction")).cast("double")
-    scored = model.transform(rows)
-    return rounded(
-        scored.agg(
-            F.avg(F.when(~F.col("is_valid"), right)).alias("train_accuracy"),
-            F.avg(F.when(F.col("is_valid"), right)).alias("valid_accuracy"),
-            F.count("*").alias("n"),
-        )
-    )
+    rows = scratch_table(view(spark, sf_dir, "fx_classes").drop("pred", "toxic"), "classes")
+    return rounded(M.train_classifier(rows, "row_id", fraction=1.0, settings=M.SMALL)[1])
 
 
 @query(

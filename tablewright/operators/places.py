@@ -94,7 +94,7 @@ def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits:
     # cells of the deepest level are some ten metres wide
     bottom = next((n for n in sorted(sizes) if sizes[n][0] <= leaf_places), _DEEPEST if sizes else 0)
     box = [F.min(a).alias(f"{a}0") for a in _AXES] + [F.max(a).alias(f"{a}1") for a in _AXES]
-    held = wanted.withColumn("cell", F.lit(0).cast("bigint"))
+    held = wanted.withColumn("cell", _cell(0))
     best = Window.partitionBy("lat", "lon")
     for level in range(_STEP, bottom + 1, _STEP):
         cells = spots.groupBy(_cell(level - _STEP).alias("cell"), _cell(level).alias("child")).agg(*box)

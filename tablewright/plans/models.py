@@ -7,15 +7,17 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.functions.columns import col, is_missing, strict_number
+from tablewright.functions.columns import col, is_missing, number, numeric_columns, strict_number
 from tablewright.operators.metrics import regression_metrics
 from tablewright.operators.prep import fit_preprocessor
-from tablewright.operators.split import holdout_split
+from tablewright.operators.split import holdout_split, sample_fraction
 from tablewright.plans.extra_trees import fit_extra_trees
+from tablewright.runtime import ensure_checkpoint_dir
 
 _NORMAL_EQUATION_FEATURES = 4096
 LABEL_NAMES = ("target", "label", "y")
@@ -71,6 +73,7 @@ def fit_forest(data: DataFrame, s: Settings = Settings()) -> Model:
 
 
 def fit_boosting(data: DataFrame, s: Settings = Settings()) -> Model:
+    ensure_checkpoint_dir(data.sparkSession)
     return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_rate, seed=s.seed).fit(data)
 
 
@@ -123,6 +126,7 @@ def fit_boosting_with_stop(
     train: DataFrame, valid_flag: str, rounds: int = 1648, depth: int = 8, rate: float = 0.05, share: float = 0.8, seed: int = 42
 ) -> Model:
     """Long boosting run that ends when the flagged rows stop improving."""
+    ensure_checkpoint_dir(train.sparkSession)
     return GBTRegressor(
         maxIter=rounds,
         maxDepth=depth,
@@ -174,6 +178,7 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight", max_classe
 
 def fit_classifier(data: DataFrame, settings: Settings = Settings()) -> Model:
     """Boosted trees for two classes, a forest for more; labels are 0, 1, ..."""
+    ensure_checkpoint_dir(data.sparkSession)
     classes = data.agg(F.max("label")).first()[0]
     if classes is not None and classes <= 1:
         return GBTClassifier(
@@ -184,6 +189,48 @@ def fit_classifier(data: DataFrame, settings: Settings = Settings()) -> Model:
     ).fit(data)
 
 
+def train_classifier(
+    df: DataFrame, key: str, fraction: float = 0.2, settings: Settings = Settings(), target: str | None = None
+) -> tuple[PipelineModel, DataFrame]:
+    """Numeric features only, four fifths of a row sample for training; returns the model and one row of accuracies.
+
+    The target is given, or inferred by :func:`label_column`. A missing feature value counts as below all others. The
+    model runs on the raw table and adds the predicted class as ``predicted``.
+    """
+    target = label_column(df.drop(key)) if target is None else target
+    rows = sample_fraction(df, key, fraction) if fraction < 1 else df
+    features = numeric_columns(df, exclude=[key, target])
+    known = rows.where(~is_missing(rows, target)).withColumn("__target", col(target).cast("string"))
+    split = holdout_split(known, key, 0.2, "__valid")
+    lows = split.agg(
+        *[F.min(number(split, c)).alias(f"a{i}") for i, c in enumerate(features)],
+        *[F.max(number(split, c)).alias(f"b{i}") for i, c in enumerate(features)],
+    ).first()
+    values = []
+    for i, c in enumerate(features):
+        low, high = lows[f"a{i}"] or 0.0, lows[f"b{i}"] or 0.0
+        below = low - max(1.0, high - low)
+        values.append(f"coalesce(nanvl(cast(`{c}` as double), cast(null as double)), {below!r}D) AS __f{i}")
+    prepare = [
+        SQLTransformer(statement=f"SELECT *, {', '.join(values)} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="features"),
+    ]
+    indexer = StringIndexer(inputCol="__target", outputCol="label", stringOrderType="alphabetAsc").fit(split)
+    ready = PipelineModel([*prepare, indexer]).transform(split)
+    model = fit_classifier(ready.where("not __valid").select("features", "label"), settings)
+    names = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
+    whole = PipelineModel([*prepare, model, names])
+    right = (F.col("__target") == F.col("predicted")).cast("double")
+    accuracy = whole.transform(split).agg(
+        F.lit(target).alias("target"),
+        F.count_if(~F.col("__valid")).alias("n_train"),
+        F.count_if(F.col("__valid")).alias("n_valid"),
+        F.avg(F.when(~F.col("__valid"), right)).alias("train_accuracy"),
+        F.avg(F.when(F.col("__valid"), right)).alias("valid_accuracy"),
+    )
+    return whole, accuracy
+
+
 def fit_balanced_logistic(data: DataFrame, weight: str = "weight") -> Model:
     """L2-regularised with unit strength on the sum of losses, as ``C = 1``."""
     total = data.agg(F.sum(weight)).first()[0]

@@ -47,6 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_SHARED[app]
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Long boosting runs cut their lineage at checkpoints, for which Spark wants a folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{shared_dir(spark)}/checkpoints")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

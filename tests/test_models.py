@@ -162,6 +162,25 @@ def test_cross_validation_and_leaderboard(data):
     assert best_of(tie) == "one"
 
 
+@pytest.mark.parametrize("features", [["a", "b", "kind"], ["b"], ["a"], ["kind"], ["b", "flat"]])
+def test_ridge_sums_match_a_fit_per_fold(data, monkeypatch, features):
+    rows = data.withColumn("flat", F.lit(3.5))
+    quick = run_regression_cv(rows, "id", "goal", features, "ridge", R.Settings(alpha=3.0), 4)
+    monkeypatch.setattr("tablewright.plans.ridge_cv.MAX_WIDTH", 0)
+    slow = run_regression_cv(rows, "id", "goal", features, "ridge", R.Settings(alpha=3.0), 4)
+    for m in ("rmse", "mae", "r2"):
+        assert quick[m] == pytest.approx(slow[m], rel=1e-9)
+
+
+def test_train_classifier(data):
+    rows = data.withColumn("label", F.when(F.col("goal") > 5, "high").otherwise("low")).drop("goal")
+    model, accuracy = R.train_classifier(rows, "id", 1.0, R.SMALL)
+    row = accuracy.first()
+    assert row["target"] == "label" and row["n_train"] + row["n_valid"] == 400
+    assert row["train_accuracy"] > 0.8 and row["valid_accuracy"] > 0.6
+    assert {r["predicted"] for r in model.transform(data.drop("goal")).collect()} == {"high", "low"}
+
+
 def test_loop_with_test_table(data):
     test = data.drop("kind").withColumn("extra", F.lit(1))
     rounds, model = train_until_ready(data, "id", "goal", test, settings=R.SMALL, leak_tokens=["target"])
