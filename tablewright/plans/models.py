@@ -215,9 +215,10 @@ def train_classifier(
         SQLTransformer(statement=f"SELECT *, {', '.join(values)} FROM __THIS__"),
         VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="features"),
     ]
-    indexer = StringIndexer(inputCol="__target", outputCol="label", stringOrderType="alphabetAsc").fit(split)
+    indexer = StringIndexer(inputCol="__target", outputCol="__label", stringOrderType="alphabetAsc").fit(split)
     ready = PipelineModel([*prepare, indexer]).transform(split)
-    model = fit_classifier(ready.where("not __valid").select("features", "label"), settings)
+    train = ready.where("not __valid").select("features", F.col("__label").alias("label"))
+    model = fit_classifier(train, settings)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=indexer.labels)
     whole = PipelineModel([*prepare, model, names])
     right = (F.col("__target") == F.col("predicted")).cast("double")
