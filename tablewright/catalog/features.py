@@ -241,14 +241,14 @@ def distance(spark, sf_dir):
     return rounded(pairs.select("point_id", "place_id", haversine_km(*map(F.col, ("lat1", "lon1", "lat2", "lon2"))).alias("km")))
 
 
-def _vincenty_sql(rounds: int = 12) -> str:
-    """Vincenty's iteration unrolled into nested selects."""
+def _vincenty_sql(source: str, rounds: int = 12) -> str:
+    """Vincenty's iteration unrolled into nested selects, over pairs ``p`` and ``c``."""
     f, a = ELLIPSOID_FLATTENING, ELLIPSOID_MAJOR_KM
     b = (1 - f) * a
     level = f"""(select *, dl as lam from (select *, sin(u1) as s1, cos(u1) as c1, sin(u2) as s2, cos(u2) as c2 from (
         select point_id, place_id, atan({1 - f!r} * tan(radians(p.lat))) as u1, atan({1 - f!r} * tan(radians(c.lat))) as u2,
         radians(c.lon - p.lon) - 2 * pi() * floor((radians(c.lon - p.lon) + pi()) / (2 * pi())) as dl
-        from {_PAIR_FROM})))"""
+        from {source})))"""
     state = """(select *, c16 * cos2a * (4 + {f!r} * (4 - 3 * cos2a)) as cc from (
         select *, case when cos2a < 1e-15 then 0 else cs - 2 * s1 * s2 / cos2a end as c2m from (
         select *, 1 - sa * sa as cos2a, atan2(ss, cs) as sg from (
@@ -266,12 +266,25 @@ def _vincenty_sql(rounds: int = 12) -> str:
         select *, cos2a * ({a!r} * {a!r} - {b!r} * {b!r}) / ({b!r} * {b!r}) as us from {state.format(f=f, level=level)}))"""
 
 
-@query("geo_distance_ellipsoid", _PAIR_SQL + " " + _vincenty_sql())
+@query("geo_distance_ellipsoid", _PAIR_SQL + " " + _vincenty_sql(_PAIR_FROM))
 def geodesic(spark, sf_dir):
     pairs = _customer_supplier_pairs(spark, sf_dir)
     return rounded(pairs.select("point_id", "place_id", ellipsoid_km("lat1", "lon1", "lat2", "lon2").alias("km")))
 
 
+@query(
+    "nearest_place_ellipsoid",
+    using("fx_points", "fx_places")
+    + f""", km as ({_vincenty_sql("fx_points p, fx_places c")})
+      select point_id, place, km from (select point_id, place, km.km, row_number() over
+        (partition by point_id order by km.km, place_id) as rn from km join fx_places using (place_id)) where rn = 1""",
+)
+def nearest_on_ellipsoid(spark, sf_dir):
+    points, places = view(spark, sf_dir, "fx_points"), view(spark, sf_dir, "fx_places")
+    near = nearest_place(points, places, metric="ellipsoid", km_digits=6)
+    return near.select("point_id", "place", "km")
+
+
 @query(
     "feature_subset",
     using("fx_orders_nulls")

@@ -11,7 +11,7 @@ from tablewright.operators.prep import fit_preprocessor
 from tablewright.operators.split import holdout_split, kfold_assign, sample_fraction
 from tablewright.plans import models as M
 from tablewright.plans.bundle import load_bundle, save_bundle
-from tablewright.plans.crossval import leaderboard, run_regression_cv
+from tablewright.plans.crossval import leaderboard, run_classification_cv, run_regression_cv
 from tablewright.plans.training_loop import train_until_ready
 from tablewright.runtime import scratch_path, scratch_table
 from tablewright.sources.csvfiles import read_csv
@@ -162,6 +162,16 @@ def balanced_forest(spark, sf_dir):
     return _class_scores(M.fit_balanced_forest(rows.where("not is_valid"), M.SMALL), rows)
 
 
+@query("classification_cv")
+def class_cv(spark, sf_dir):
+    rows = scratch_table(view(spark, sf_dir, "fx_classes").select("row_id", "y", *_CLASS_FEATURES, "lang"), "classes")
+    found = [
+        run_classification_cv(rows, "row_id", "y", [*_CLASS_FEATURES, "lang"], name, M.SMALL, 3) for name in ("logreg", "rf")
+    ]
+    rows_out = [(r["model"], r["roc_auc"], r["f1"]) for r in found]
+    return rounded(spark.createDataFrame(rows_out, "model string, roc_auc double, f1 double"), 4)
+
+
 def _regression_vectors(spark, sf_dir):
     rows = M.with_label(view(spark, sf_dir, "fx_model"), "revenue")
     vectors = VectorAssembler(inputCols=_FEATURES[:-1], outputCol="features").transform(rows)

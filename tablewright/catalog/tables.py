@@ -9,7 +9,7 @@ from tablewright.operators.ordering import fill_forward, with_row_index
 from tablewright.operators.split import sample_fraction
 from tablewright.operators.validate import duplicate_rows, validate_table
 from tablewright.runtime import scratch_path
-from tablewright.sources.chunks import notebook_chunks, own_heading, percent_chunks, upsert
+from tablewright.sources.chunks import fetch_chunks, notebook_chunks, own_heading, percent_chunks, upsert
 from tablewright.sources.csvfiles import read_csv, write_csv
 from tablewright.sources.submissions import align_submission, check_submission
 
@@ -111,6 +111,15 @@ def chunk_upsert(spark, sf_dir):
     return upsert(first.unionByName(edited), "id", "seq")
 
 
+@query(
+    "chunk_fetch",
+    using("fx_chunks") + "select * from fx_chunks where chunk_id in (select doc_id from labels where quality = 1)",
+)
+def chunk_fetch(spark, sf_dir):
+    ids = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return fetch_chunks(view(spark, sf_dir, "fx_chunks"), ids)
+
+
 @query(
     "with_row_index",
     'select o_orderkey, o_totalprice as prediction, row_number() over (order by o_orderkey) - 1 as "index" from orders',

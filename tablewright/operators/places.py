@@ -1,4 +1,4 @@
-"""Nearest place by great-circle distance, exactly and without comparing every pair.
+"""Nearest place on the sphere or the ellipsoid, exactly and without comparing every pair.
 
 Places are packed into cells of a grid over the unit sphere in three dimensions, fine enough that a cell holds few
 places. Cells nest, so a coarse cell is the list of its occupied children, each with the box its places span. Every
@@ -12,15 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import number
-from tablewright.functions.geo import haversine_km
+from tablewright.functions.geo import ellipsoid_km, haversine_km
 from tablewright.runtime import scratch_table
 
-LEAF_PLACES = 64
+LEAF_PLACES = 32
 BROADCAST_CELLS = 100_000
 BROADCAST_PLACES = 500_000
 _STEP = 2  # levels between a cell and its children
 _DEEPEST = 20
 _AXES = ("x", "y", "z")
+# The ellipsoid's radii of curvature lie between 0.9944 and 1.0045 mean radii, so its distances differ from those on the
+# sphere by no more than these factors.
+_SHORTER, _LONGER = 0.994, 1.005
 
 
 def _on_sphere(df: DataFrame) -> DataFrame:
@@ -54,12 +57,15 @@ def nearest_place(
     order: str = "place_id",
     leaf_places: int = LEAF_PLACES,
     km_digits: int = 9,
+    metric: str = "haversine",
 ) -> DataFrame:
-    """Add ``<name>`` and ``km`` of the nearest place to each point.
+    """Add ``<name>`` and ``km`` of the nearest place to each point, by ``haversine`` or ``ellipsoid`` distance.
 
     Both tables have ``lat`` and ``lon`` in degrees. Distances are equal when they agree to ``km_digits`` decimals;
     the place first in ``order`` then wins. Points without coordinates get nulls.
     """
+    if metric not in ("haversine", "ellipsoid"):
+        raise ValueError(f"unknown metric {metric}")
     spots = (
         places.select(number(places, "lat").alias("lat"), number(places, "lon").alias("lon"), order, name)
         .where("lat is not null and lon is not null")
@@ -72,7 +78,7 @@ def nearest_place(
         .where("lat is not null and lon is not null")
         .distinct()
     )
-    found = _walk_down(_on_sphere(wanted), spots, leaf_places, km_digits)
+    found = _walk_down(_on_sphere(wanted), spots, leaf_places, km_digits, metric == "ellipsoid")
     keyed = found.select(
         F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("best.what").alias(name), F.col("best.km").alias("km")
     )
@@ -89,13 +95,20 @@ def _level_sizes(spots: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["level"]: (r["most"], r["cells"]) for r in found}
 
 
-def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits: int) -> DataFrame:
+def _angle(chord: Column) -> Column:
+    return 2 * F.asin(F.least(F.lit(1.0), chord / 2))
+
+
+def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits: int, ellipsoid: bool) -> DataFrame:
     sizes = _level_sizes(spots)
     # cells of the deepest level are some ten metres wide
     bottom = next((n for n in sorted(sizes) if sizes[n][0] <= leaf_places), _DEEPEST if sizes else 0)
     box = [F.min(a).alias(f"{a}0") for a in _AXES] + [F.max(a).alias(f"{a}1") for a in _AXES]
     held = wanted.withColumn("cell", _cell(0))
     best = Window.partitionBy("lat", "lon")
+    may_win = F.col("near") <= F.col("reach") + F.lit(1e-9)
+    if ellipsoid:
+        may_win = _angle(F.col("near")) * _SHORTER <= _angle(F.col("reach")) * _LONGER + F.lit(1e-9)
     for level in range(_STEP, bottom + 1, _STEP):
         cells = spots.groupBy(_cell(level - _STEP).alias("cell"), _cell(level).alias("child")).agg(*box)
         if sizes[level][1] <= BROADCAST_CELLS:
@@ -104,7 +117,7 @@ def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits:
             held.join(cells, "cell")
             .withColumns({"near": _box_gap(far=False), "far": _box_gap(far=True)})
             .withColumn("reach", F.min("far").over(best))
-            .where(F.col("near") <= F.col("reach") + F.lit(1e-9))
+            .where(may_win)
             .select("lat", "lon", *_AXES, F.col("child").alias("cell"))
         )
     # a leaf holds at most leaf_places spots (more only where spots lie within metres of each other)
@@ -119,7 +132,20 @@ def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits:
             F.round(haversine_km(F.col("lat"), F.col("lon"), s["lat"], s["lon"]), km_digits).alias("km"),
             s["ord"].alias("ord"),
             s["what"].alias("what"),
+            s["lat"].alias("plat"),
+            s["lon"].alias("plon"),
         ),
     )
-    nearest = held.join(leaves, "cell").select("lat", "lon", F.array_min(ranked).alias("best"))
-    return nearest.groupBy("lat", "lon").agg(F.min("best").alias("best"))
+    joined = held.join(leaves, "cell")
+    if not ellipsoid:
+        nearest = joined.select("lat", "lon", F.array_min(ranked).alias("best"))
+        return nearest.groupBy("lat", "lon").agg(F.min("best").alias("best"))
+    # the sphere leaves a place or two per point, for which the longer formula is worked out
+    measured = joined.select("lat", "lon", ranked.alias("on_sphere")).withColumn(
+        "reach", F.min(F.array_min("on_sphere")["km"]).over(best)
+    )
+    close = F.filter("on_sphere", lambda s: s["km"] * _SHORTER <= F.col("reach") * _LONGER + F.lit(1e-6))
+    pairs = measured.select("lat", "lon", F.inline(close))
+    exact = F.round(ellipsoid_km("lat", "lon", "plat", "plon"), km_digits)
+    scored = pairs.select("lat", "lon", F.struct(exact.alias("km"), "ord", "what").alias("best"))
+    return scored.groupBy("lat", "lon").agg(F.min("best").alias("best"))

@@ -16,7 +16,10 @@ from tablewright.operators.ordering import ROWS_PER_BUCKET, with_hash_rank
 _PARTS = 10_000
 
 
-def sample_fraction(df: DataFrame, key: str, fraction: float = 0.2, salt: str = "sample") -> DataFrame:
+def sample_fraction(df: DataFrame, key: str | None, fraction: float = 0.2, salt: str = "sample") -> DataFrame:
+    """Row sample by key hash; without a key, Spark's own seeded sample, which depends on how the rows are stored."""
+    if key is None:
+        return df.sample(fraction, seed=42)
     return df.where(key_bucket(F.col(key), _PARTS, salt) < round(fraction * _PARTS))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.operators.groups import present_in
 from tablewright.operators.ordering import fill_forward
 from tablewright.runtime import spread
 
@@ -75,3 +76,8 @@ def upsert(rows: DataFrame, key: str, sequence: str) -> DataFrame:
     others = [c for c in rows.columns if c != key]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*others), sequence).alias("__last"))
     return last.select(key, "__last.*").select(*rows.columns)
+
+
+def fetch_chunks(chunks: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Chunks whose id is asked for."""
+    return present_in(chunks, ids, key, key)

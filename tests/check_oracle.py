@@ -38,7 +38,9 @@ def plain(value):
     number = float(value)
     if math.isnan(number):
         return "nan"
-    return repr(number + 0.0) if number != int(number) else str(int(number))
+    if number == 0 and math.copysign(1, number) < 0:
+        return "-0"
+    return repr(number) if math.isinf(number) or number != int(number) else str(int(number))
 
 
 def rows_of(columns, rows):

@@ -34,6 +34,23 @@ def test_nearest_matches_brute_force(spark, leaf_places):
     assert got["place"].tolist() == names.tolist()
 
 
+@pytest.mark.parametrize("leaf_places", [2, 1000])
+def test_nearest_on_the_ellipsoid(spark, leaf_places):
+    rng = np.random.default_rng(6)
+    places = pd.DataFrame({"lat": rng.uniform(-89, 89, 200), "lon": rng.uniform(-180, 180, 200)})
+    places["place_id"], places["place"] = range(200), [f"p{i}" for i in range(200)]
+    points = pd.DataFrame({"id": range(150), "lat": rng.uniform(-90, 90, 150), "lon": rng.uniform(-180, 180, 150)})
+    got = nearest_place(
+        spark.createDataFrame(points), spark.createDataFrame(places), leaf_places=leaf_places, metric="ellipsoid"
+    )
+    got = got.orderBy("id").toPandas()
+    at = np.repeat(np.arange(150), 200), np.tile(np.arange(200), 150)
+    pairs = (points["lat"][at[0]], points["lon"][at[0]], places["lat"][at[1]], places["lon"][at[1]])
+    km = vincenty_km(*(x.to_numpy() for x in pairs)).reshape(150, 200)
+    assert got["place"].tolist() == places["place"].to_numpy()[km.argmin(axis=1)].tolist()
+    assert got["km"].to_numpy() == pytest.approx(km.min(axis=1), abs=1e-6)
+
+
 def test_points_without_coordinates_are_kept(spark):
     places = spark.createDataFrame([(1, "a", 0.0, 0.0)], "place_id int, place string, lat double, lon double")
     points = spark.createDataFrame([(1, None, 2.0), (2, 1.0, 1.0)], "id int, lat double, lon double")
