@@ -117,7 +117,7 @@ def correlation(spark, sf_dir):
 
 _LINE_SQL = (
     "select '{c}' as column_name, regr_count({c}, revenue) as n, round(regr_slope({c}, revenue), 9) as slope, "
-    "round(regr_intercept({c}, revenue), 6) as intercept, round(corr({c}, revenue), 6) as rvalue, "
+    "round(regr_intercept({c}, revenue), 6) + 0.0 as intercept, round(corr({c}, revenue), 6) as rvalue, "
     "round(sqrt(greatest(0, 1 - corr({c}, revenue) ^ 2) * regr_syy({c}, revenue) / regr_sxx({c}, revenue) "
     "/ (count(*) - 2)), 9) as stderr from fx_model"
 )

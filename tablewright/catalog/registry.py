@@ -91,10 +91,10 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6, **per_name: int) -> DataFrame:
-    """Round double columns, so that the order of float additions does not show."""
+    """Round double columns, so that the order of float additions does not show (nor the sign of a zero)."""
     return df.select(
         *[
-            F.round(F.col(f"`{f.name}`"), per_name.get(f.name, digits)).alias(f.name)
+            (F.round(F.col(f"`{f.name}`"), per_name.get(f.name, digits)) + 0.0).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields

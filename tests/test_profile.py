@@ -50,6 +50,8 @@ def test_constant_columns_count_null_as_a_value(spark):
 def test_duplicates_treat_nulls_as_equal(spark):
     df = spark.createDataFrame([(None, 1), (None, 1), (2, 1)], "a int, b int")
     assert duplicate_rows(df).first()[0] == 1
+    swapped = spark.createDataFrame([(None, 1.0), (1.0, None), (0.0, 2.0), (-0.0, 2.0), (float("nan"), 3.0)] * 2, "a double, b double")
+    assert duplicate_rows(swapped).first()[0] == 10 - swapped.distinct().count() == 6
 
 
 def test_leakage(spark):
