@@ -13,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import raw_tokens, tokenize
-from tablewright.operators.ranking import RunningTopK, hit_schema, per_query_block, top_k
+from tablewright.operators.ranking import QueryTerms, RunningTopK, hit_schema, per_query_block, top_k
 from tablewright.runtime import scratch_table, spread
 
 # Term saturation, length normalisation, and the share of the mean idf given to very common tokens.
 K1 = 1.5
 B = 0.75
 EPSILON = 0.25
-_CELLS = 4_000_000
 
 
 def term_index(chunks: DataFrame, key: str = "chunk_id", text: str = "code") -> DataFrame:
@@ -106,36 +105,29 @@ def bm25_search(index: Bm25Index, queries: DataFrame, k: int, key: str = "query_
     def search(block: pd.DataFrame) -> DataFrame:
         return index.terms.mapInArrow(_scorer(block, k, index.avg_length), hit_schema(*types))
 
-    return top_k(per_query_block(weighted, "query_id", search), k)
+    return top_k(per_query_block(weighted, "query_id", search, F.size("weights")), k)
 
 
 def _scorer(block: pd.DataFrame, k: int, avg_length: float):
     query_ids = block["query_id"].to_numpy()
-    tokens = sorted({t["token"] for row in block["weights"] for t in row})
-    place = {t: i for i, t in enumerate(tokens)}
-    weights = np.zeros((len(tokens), len(query_ids)))
-    for q, row in enumerate(block["weights"]):
-        for t in row:
-            weights[place[t["token"]], q] = t["w"]
+    asked = QueryTerms([{t["token"]: t["w"] for t in row} for row in block["weights"]])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, known = RunningTopK(k, positive_only=True), pa.array(tokens, pa.string())
+        best, known = RunningTopK(k, positive_only=True), pa.array(asked.terms, pa.string())
         for batch in batches:
             lists, ids = batch.column("tokens"), batch.column("chunk_id").to_numpy(zero_copy_only=False)
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            damp = K1 * (1 - B + B * lengths / (avg_length or 1.0))
             owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
             word = pc.fill_null(pc.index_in(pc.list_flatten(lists), known), -1).to_numpy(zero_copy_only=False)
-            owner, word = owner[word >= 0], word[word >= 0]
-            step = max(1, _CELLS // max(len(tokens), len(query_ids), 1))
-            for low in range(0, len(ids), step):
-                inside = (owner >= low) & (owner < low + step)
-                if inside.any():
-                    some, size = ids[low : low + step], lengths[low : low + step]
-                    used, at = np.unique(word[inside], return_inverse=True)
-                    cell = (owner[inside] - low) * len(used) + at
-                    tf = np.bincount(cell, minlength=len(some) * len(used)).reshape(len(some), len(used))
-                    damp = K1 * (1 - B + B * size / avg_length)
-                    best.add((tf * (K1 + 1) / (tf + damp[:, None])) @ weights[used], some)
+            pair = owner[word >= 0].astype(np.int64) * len(known) + word[word >= 0]
+            pair, tf = np.unique(pair, return_counts=True)
+            owner, word = np.divmod(pair, max(len(known), 1))
+            value = tf * (K1 + 1) / (tf + damp[owner])
+            for low in range(0, len(ids), asked.rows_per_step()):
+                some = ids[low : low + asked.rows_per_step()]
+                a, b = np.searchsorted(owner, [low, low + len(some)])
+                best.add(asked.scores(len(some), owner[a:b] - low, word[a:b], value[a:b]), some)
         for rows in best.rows(query_ids):
             yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 

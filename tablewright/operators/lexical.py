@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.groups import small_side
-from tablewright.operators.ranking import RunningTopK, hit_schema, per_query_block, top_k
+from tablewright.operators.ranking import QueryTerms, RunningTopK, hit_schema, per_query_block, top_k
 from tablewright.runtime import scratch_table, spread
 
 PREVIEW_CHARS = 300
-_CELLS = 4_000_000
 
 
 def _finder(tokens: list[str]):
@@ -62,7 +62,7 @@ def lexical_search(
     def search(block: pd.DataFrame) -> DataFrame:
         return texts.mapInPandas(_scorer(block, k), hit_schema(*types))
 
-    hits = small_side(scratch_table(top_k(per_query_block(asked, "query_id", search), k), "hits"))
+    hits = small_side(scratch_table(top_k(per_query_block(asked, "query_id", search, F.size("words")), k), "hits"))
     joined = pool.withColumnRenamed("chunk_id", "__id").join(hits, F.col("chunk_id") == F.col("__id"))
     preview = F.left(F.coalesce("code", F.lit("")), F.lit(PREVIEW_CHARS)).alias("preview")
     return joined.select(
@@ -73,24 +73,16 @@ def lexical_search(
 
 def _scorer(block: pd.DataFrame, k: int):
     query_ids = block["query_id"].to_numpy()
-    tokens = sorted({w for words in block["words"] for w in words})
-    place = {t: i for i, t in enumerate(tokens)}
-    weights = np.zeros((len(tokens), len(query_ids)))
-    for q, words in enumerate(block["words"]):
-        for w in words:
-            weights[place[w], q] += 1
+    asked = QueryTerms([Counter(words) for words in block["words"]])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best, find = RunningTopK(k, positive_only=True), _finder(tokens)
-        step = max(1, _CELLS // max(len(tokens), len(query_ids), 1))
+        best, find = RunningTopK(k, positive_only=True), _finder(asked.terms)
         for batch in batches:
-            for low in range(0, len(batch), step):
-                some = batch.iloc[low : low + step]
-                counts = np.zeros((len(some), len(tokens)))
-                for row, body in enumerate(some["body"]):
-                    for token, n in find(body):
-                        counts[row, token] = n
-                best.add(counts @ weights, some["chunk_id"].to_numpy())
+            for low in range(0, len(batch), asked.rows_per_step()):
+                some = batch.iloc[low : low + asked.rows_per_step()]
+                hits = [(row, *hit) for row, body in enumerate(some["body"]) for hit in find(body)]
+                owner, term, n = np.array(hits, dtype=np.int64).reshape(-1, 3).T
+                best.add(asked.scores(len(some), owner, term, n), some["chunk_id"].to_numpy())
         yield from best.rows(query_ids)
 
     return score

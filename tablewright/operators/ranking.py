@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import key_bucket
 
-QUERIES_PER_BLOCK = 2_000
+QUERIES_PER_BLOCK = 500
+TERMS_PER_BLOCK = 1_000_000
 SCORE_DIGITS = 6
+# Fixed value: the constant of reciprocal rank fusion.
 RRF_K = 60
+_CELLS = 4_000_000
+_ENTRIES = 2_000
 
 
 def per_query_block(
-    queries: DataFrame, key: str, search: Callable[[pd.DataFrame], DataFrame], block_rows: int = QUERIES_PER_BLOCK
+    queries: DataFrame,
+    key: str,
+    search: Callable[[pd.DataFrame], DataFrame],
+    terms: Column | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Run ``search`` on blocks of queries small enough to be sent to every task, and union the results.
 
-    The corpus is read once per block. One block is the usual case; more only for very large query batches.
+    A block is bounded by rows and, with ``terms`` (a query's number of terms), by terms. The corpus is read once per
+    block. One block is the usual case; more only for very large query batches.
     """
-    first = queries.limit(block_rows + 1).toPandas()
-    if len(first) <= block_rows:
-        return search(first)
-    blocks = -(-queries.count() // block_rows)
+    block_rows = block_rows or QUERIES_PER_BLOCK
+    size = queries.agg(F.count("*").alias("rows"), F.sum(F.lit(0) if terms is None else terms).alias("terms")).first()
+    blocks = max(-(-size["rows"] // block_rows), -(-(size["terms"] or 0) // TERMS_PER_BLOCK))
+    if blocks <= 1:
+        return search(queries.toPandas())
     blocks *= 2  # hashing fills blocks unevenly
     parts = []
     for b in range(blocks):
@@ -39,6 +49,50 @@ def per_query_block(
     return reduce(DataFrame.unionAll, parts)
 
 
+class QueryTerms:
+    """Weights of the terms of a block of queries, kept sparse."""
+
+    def __init__(self, weights: Sequence[Mapping[str, float]]):
+        self.terms = sorted({t for per_query in weights for t in per_query})
+        place = {t: i for i, t in enumerate(self.terms)}
+        entries = sorted((place[t], q, w) for q, per_query in enumerate(weights) for t, w in per_query.items())
+        self.query = np.array([e[1] for e in entries], dtype=np.int64)
+        self.weight = np.array([e[2] for e in entries], dtype=np.float64)
+        self.start = np.searchsorted([e[0] for e in entries], np.arange(len(self.terms) + 1))
+        self.queries = len(weights)
+
+    def _rows(self, used: np.ndarray) -> np.ndarray:
+        """A row per used term and a column per query."""
+        out = np.zeros((len(used), self.queries))
+        many = self.start[used + 1] - self.start[used]
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.start[used], many)
+        out[np.repeat(np.arange(len(used)), many), self.query[at]] = self.weight[at]
+        return out
+
+    def scores(self, rows: int, owner: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """``rows`` by queries: for each chunk, the sum over its terms of value times query weight.
+
+        ``owner`` (ascending) and ``term`` name each value's chunk and term. Products are taken in small dense blocks.
+        """
+        out = np.zeros((rows, self.queries))
+        low = 0
+        while low < len(owner):
+            high = low + _ENTRIES
+            if high < len(owner):  # end with a whole chunk
+                high = np.searchsorted(owner, owner[high])
+                high = high if high > low else np.searchsorted(owner, owner[low], "right")
+            chunks, row = np.unique(owner[low:high], return_inverse=True)
+            used, column = np.unique(term[low:high], return_inverse=True)
+            block = np.zeros((len(chunks), len(used)))
+            block[row, column] = value[low:high]
+            out[chunks] = block @ self._rows(used)
+            low = high
+        return out
+
+    def rows_per_step(self) -> int:
+        return max(1, _CELLS // max(self.queries, 1))
+
+
 class RunningTopK:
     """Best ``k`` chunks per query seen by one task; memory stays at queries times ``k``."""
 
@@ -49,7 +103,6 @@ class RunningTopK:
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` has a row per chunk and a column per query."""
         scores = np.round(scores, SCORE_DIGITS)
-        kept_rows, kept_cols = [], []
         n = scores.shape[0]
         if n > self.k:  # all that reach the k-th best value, ties included
             floor = np.partition(scores, n - self.k, axis=0)[n - self.k]
@@ -59,8 +112,7 @@ class RunningTopK:
         if self.positive_only:
             hits &= scores > 0
         rows, cols = np.nonzero(hits)
-        kept_rows, kept_cols = rows, cols
-        found = pd.DataFrame({"q": kept_cols, "chunk_id": ids[kept_rows], "score": scores[kept_rows, kept_cols]})
+        found = pd.DataFrame({"q": cols, "chunk_id": ids[rows], "score": scores[rows, cols]})
         self.best = self._cut(found if self.best is None else pd.concat([self.best, found], ignore_index=True))
 
     def _cut(self, found: pd.DataFrame) -> pd.DataFrame:

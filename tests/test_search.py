@@ -61,9 +61,7 @@ def corpus():
 
 @pytest.mark.parametrize("block_rows", [2, 1000])
 def test_bm25_matches_formula(spark, corpus, monkeypatch, block_rows):
-    monkeypatch.setattr(bm25, "_CELLS", 200)
-    real = ranking.per_query_block
-    monkeypatch.setattr(bm25, "per_query_block", lambda q, key, f: real(q, key, f, block_rows))
+    monkeypatch.setattr(ranking, "QUERIES_PER_BLOCK", block_rows)
     docs, queries = corpus
     chunks = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "chunk_id long, code string").repartition(4)
     asked = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(queries)], "query_id string, q string")
@@ -76,6 +74,20 @@ def test_bm25_matches_formula(spark, corpus, monkeypatch, block_rows):
     assert [r["score"] for r in got] == pytest.approx([w[3] for w in want], abs=2e-6)
 
 
+def test_sparse_products():
+    rng = np.random.default_rng(10)
+    weights = [{f"t{t}": float(rng.random()) for t in rng.choice(900, 300, replace=False)} for _ in range(6)]
+    asked = ranking.QueryTerms(weights)
+    dense = np.array([[w.get(t, 0.0) for w in weights] for t in asked.terms])
+    values = np.where(rng.random((50, len(asked.terms))) < 0.3, rng.random((50, len(asked.terms))), 0)
+    values[7] = 1.0  # one chunk with nearly every term
+    values[20] = 0.0
+    owner, term = np.nonzero(values)
+    got = asked.scores(50, owner, term, values[owner, term])
+    assert got == pytest.approx(values @ dense)
+    assert asked.scores(3, owner[:0], term[:0], values[0, :0]).tolist() == [[0.0] * 6] * 3
+
+
 def test_bm25_index_saves(spark, corpus, tmp_path):
     docs, queries = corpus
     chunks = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "chunk_id long, code string")
