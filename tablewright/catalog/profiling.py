@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tablewright.catalog.registry import query, rounded, table, using, view
 from tablewright.operators import profile as P
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablewright.catalog.registry import bucket_sql, query, rounded, table, using, view
+from tablewright.catalog.registry import bucket_sql, query, table, using, view
 from tablewright.operators.ordering import fill_forward, with_row_index
 from tablewright.operators.split import sample_fraction
 from tablewright.operators.validate import duplicate_rows, validate_table

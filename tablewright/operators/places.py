@@ -31,13 +31,17 @@ def _on_sphere(df: DataFrame) -> DataFrame:
     return df.withColumns({"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)})
 
 
+def _with_cells(df: DataFrame) -> DataFrame:
+    """Add the position in the finest grid per axis; coarser cells follow by shifting bits."""
+    top = (1 << _DEEPEST) - 1
+    places = {f"i{a}": F.floor((F.col(a) + 1) * F.lit(2.0 ** (_DEEPEST - 1))).cast("bigint") for a in _AXES}
+    return df.withColumns({i: F.least(F.lit(top), p) for i, p in places.items()})
+
+
 def _cell(level: int) -> Column:
     """Number of the grid cell at ``level`` (``2^level`` cells per axis)."""
-    top = (1 << level) - 1
-    parts = [
-        F.least(F.lit(top), F.floor((F.col(a) + 1) * F.lit(2.0 ** (level - 1)))).cast("bigint") for a in _AXES
-    ]
-    return F.shiftleft(parts[0], 2 * _DEEPEST) + F.shiftleft(parts[1], _DEEPEST) + parts[2]
+    x, y, z = (F.shiftright(f"i{a}", _DEEPEST - level) for a in _AXES)
+    return F.shiftleft(x, 2 * _DEEPEST) + F.shiftleft(y, _DEEPEST) + z
 
 
 def _box_gap(far: bool) -> Column:
@@ -72,7 +76,7 @@ def nearest_place(
         .groupBy("lat", "lon")
         .agg(F.min(order).alias("ord"), F.min_by(name, order).alias("what"))
     )
-    spots = scratch_table(_on_sphere(spots), "spots")
+    spots = scratch_table(_with_cells(_on_sphere(spots)), "spots")
     wanted = (
         points.select(number(points, "lat").alias("lat"), number(points, "lon").alias("lon"))
         .where("lat is not null and lon is not null")
@@ -104,7 +108,7 @@ def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits:
     # cells of the deepest level are some ten metres wide
     bottom = next((n for n in sorted(sizes) if sizes[n][0] <= leaf_places), _DEEPEST if sizes else 0)
     box = [F.min(a).alias(f"{a}0") for a in _AXES] + [F.max(a).alias(f"{a}1") for a in _AXES]
-    held = wanted.withColumn("cell", _cell(0))
+    held = _with_cells(wanted).withColumn("cell", _cell(0)).select("lat", "lon", *_AXES, "cell")
     best = Window.partitionBy("lat", "lon")
     may_win = F.col("near") <= F.col("reach") + F.lit(1e-9)
     if ellipsoid:

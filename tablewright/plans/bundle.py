@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablewright.sources.reports import write_report
 
-ABOUT = "target string, model string, features array<string>, feature_types array<string>, dropped array<string>, seed int, iteration int"
+ABOUT = (
+    "target string, model string, features array<string>, feature_types array<string>, dropped array<string>, "
+    "seed int, iteration int"
+)
 
 
 def save_bundle(
