@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import number
-from tablewright.functions.geo import ellipsoid_km, haversine_km
+from tablewright.functions.geo import EARTH_RADIUS_KM, ellipsoid_km, haversine_km
 from tablewright.runtime import scratch_table
 
 LEAF_PLACES = 32
 BROADCAST_CELLS = 100_000
 BROADCAST_PLACES = 500_000
 _STEP = 2  # levels between a cell and its children
-_DEEPEST = 20
+_USUAL_DEPTH = 20  # cells of some ten metres
+_DEEPEST = 40  # cells of some ten micrometres
 _AXES = ("x", "y", "z")
 # The ellipsoid's radii of curvature lie between 0.9944 and 1.0045 mean radii, so its distances differ from those on the
 # sphere by no more than these factors.
@@ -39,9 +40,11 @@ def _with_cells(df: DataFrame) -> DataFrame:
 
 
 def _cell(level: int) -> Column:
-    """Number of the grid cell at ``level`` (``2^level`` cells per axis)."""
-    x, y, z = (F.shiftright(f"i{a}", _DEEPEST - level) for a in _AXES)
-    return F.shiftleft(x, 2 * _DEEPEST) + F.shiftleft(y, _DEEPEST) + z
+    """Number of the grid cell at ``level`` (``2^level`` cells per axis).
+
+    A hash: two cells that share a number are searched as one, with a box around both, which stays exact.
+    """
+    return F.xxhash64(*[F.shiftright(f"i{a}", _DEEPEST - level) for a in _AXES])
 
 
 def _box_gap(far: bool) -> Column:
@@ -90,13 +93,18 @@ def nearest_place(
     return points.join(keyed, same, "left").drop("__lat", "__lon")
 
 
-def _level_sizes(spots: DataFrame) -> dict[int, tuple[int, int]]:
-    """``{level: (places in the fullest cell, occupied cells)}``, all levels in one job."""
-    levels = range(0, _DEEPEST + 1, _STEP)
-    cells = F.array(*[F.struct(F.lit(n).alias("level"), _cell(n).alias("cell")) for n in levels])
-    counts = spots.select(F.inline(cells)).groupBy("level", "cell").agg(F.count("*").alias("n"))
-    found = counts.groupBy("level").agg(F.max("n").alias("most"), F.count("*").alias("cells")).collect()
-    return {r["level"]: (r["most"], r["cells"]) for r in found}
+def _level_sizes(spots: DataFrame, leaf_places: int) -> dict[int, tuple[int, int]]:
+    """``{level: (places in the fullest cell, occupied cells)}``; one job, and another only for very dense spots."""
+    sizes: dict[int, tuple[int, int]] = {}
+    for levels in (range(0, _USUAL_DEPTH + 1, _STEP), range(_USUAL_DEPTH + _STEP, _DEEPEST + 1, _STEP)):
+        cells = F.array(*[F.struct(F.lit(n).alias("level"), _cell(n).alias("cell")) for n in levels])
+        counts = spots.select(F.inline(cells)).groupBy("level", "cell").agg(F.count("*").alias("n"))
+        found = counts.groupBy("level").agg(F.max("n").alias("most"), F.count("*").alias("cells")).collect()
+        sizes |= {r["level"]: (r["most"], r["cells"]) for r in found}
+        if all(most > leaf_places for most, _ in sizes.values()) and sizes:
+            continue
+        break
+    return sizes
 
 
 def _angle(chord: Column) -> Column:
@@ -104,15 +112,15 @@ def _angle(chord: Column) -> Column:
 
 
 def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits: int, ellipsoid: bool) -> DataFrame:
-    sizes = _level_sizes(spots)
-    # cells of the deepest level are some ten metres wide
+    sizes = _level_sizes(spots, leaf_places)
+    slack = 2 * 10.0**-km_digits / EARTH_RADIUS_KM + 1e-14  # places that agree to km_digits are all kept
     bottom = next((n for n in sorted(sizes) if sizes[n][0] <= leaf_places), _DEEPEST if sizes else 0)
     box = [F.min(a).alias(f"{a}0") for a in _AXES] + [F.max(a).alias(f"{a}1") for a in _AXES]
     held = _with_cells(wanted).withColumn("cell", _cell(0)).select("lat", "lon", *_AXES, "cell")
     best = Window.partitionBy("lat", "lon")
-    may_win = F.col("near") <= F.col("reach") + F.lit(1e-9)
+    may_win = F.col("near") <= F.col("reach") + F.lit(slack)
     if ellipsoid:
-        may_win = _angle(F.col("near")) * _SHORTER <= _angle(F.col("reach")) * _LONGER + F.lit(1e-9)
+        may_win = _angle(F.col("near")) * _SHORTER <= _angle(F.col("reach")) * _LONGER + F.lit(slack)
     for level in range(_STEP, bottom + 1, _STEP):
         cells = spots.groupBy(_cell(level - _STEP).alias("cell"), _cell(level).alias("child")).agg(*box)
         if sizes[level][1] <= BROADCAST_CELLS:
@@ -124,7 +132,7 @@ def _walk_down(wanted: DataFrame, spots: DataFrame, leaf_places: int, km_digits:
             .where(may_win)
             .select("lat", "lon", *_AXES, F.col("child").alias("cell"))
         )
-    # a leaf holds at most leaf_places spots (more only where spots lie within metres of each other)
+    # a leaf holds at most leaf_places spots (more only where spots lie within micrometres of each other)
     leaves = spots.groupBy(_cell(bottom).alias("cell")).agg(
         F.collect_list(F.struct("lat", "lon", "ord", "what")).alias("spots")
     )

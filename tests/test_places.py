@@ -51,6 +51,18 @@ def test_nearest_on_the_ellipsoid(spark, leaf_places):
     assert got["km"].to_numpy() == pytest.approx(km.min(axis=1), abs=1e-6)
 
 
+def test_places_a_step_apart(spark):
+    rng = np.random.default_rng(11)
+    places = pd.DataFrame({"lat": 50 + rng.normal(0, 1e-7, 400), "lon": 8 + rng.normal(0, 1e-7, 400)})
+    places["place_id"], places["place"] = range(400), [f"p{i}" for i in range(400)]
+    points = pd.DataFrame({"id": range(40), "lat": 50 + rng.normal(0, 1e-7, 40), "lon": 8 + rng.normal(0, 1e-7, 40)})
+    got = nearest_place(spark.createDataFrame(points), spark.createDataFrame(places), leaf_places=8)
+    got = got.orderBy("id").toPandas()
+    km, names = brute(points, places)
+    assert got["km"].to_numpy() == pytest.approx(km, abs=2e-9)
+    assert (got["place"] == names).mean() > 0.9  # equal to a micrometre, engines may round apart
+
+
 def test_points_without_coordinates_are_kept(spark):
     places = spark.createDataFrame([(1, "a", 0.0, 0.0)], "place_id int, place string, lat double, lon double")
     points = spark.createDataFrame([(1, None, 2.0), (2, 1.0, 1.0)], "id int, lat double, lon double")

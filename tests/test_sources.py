@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -102,6 +103,15 @@ def test_text_helpers(spark):
     assert len(cut["head"]) == 10 and len(cut["tail"]) == 20
 
 
+def test_scratch_is_cleared(spark):
+    from tablewright.runtime import clear_scratch, scratch_table
+
+    kept = scratch_table(spark.range(3), "tidy")
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert kept.count() == 3 and Path(folder).exists()
+    assert clear_scratch(spark) >= 1 and not Path(folder).exists()
+
+
 def test_shared_folder():
     def session(master, folder):
         return SimpleNamespace(
