@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import held_out, table
+from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import fit_quality, score_quality
+from tablewright.llm.secrets import BASE, RULES, find_secrets, span_text
 from tablewright.llm.simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +38,45 @@ def quality_classifier(spark, sf_dir):
 def simhash_near_dedup(spark, sf_dir):
     parts = simhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return parts.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_best_fit_packing")
+def best_fit_packing(spark, sf_dir):
+    packed = pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def _found_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+    """One row for each span of a rule: a match and the text before it are one match of a longer pattern."""
+    longer = f"'(.*?)({pattern}|$)'"
+    return f"""
+        select doc_id, {order} as ord, '{kind}' as kind, unnest(found) as found, unnest(judged) as judged,
+               unnest(list_transform(range(1, len(found) + 1), lambda i: coalesce(list_sum(list_transform(before[1:i], lambda x: length(x))), 0)
+                   + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))) as start
+        from (select doc_id, regexp_extract_all(coalesce(text, ''), {longer}, 1, 's') as before,
+                     regexp_extract_all(coalesce(text, ''), {longer}, 2, 's') as found,
+                     regexp_extract_all(coalesce(text, ''), {longer}, {2 + group}, 's') as judged
+              from documents) where length(judged) >= {least}"""
+
+
+def _kept_sql(rules) -> str:
+    parts = [_found_sql(r.kind, i, r.pattern.replace("'", "''"), r.group, r.least) for i, r in enumerate(rules)]
+    return " union all ".join(f"select doc_id, ord, kind, start, start + length(found) as stop from ({p}) where length(judged) >= {r.least}" for p, r in zip(parts, rules, strict=True))
+
+
+@query(
+    "op2_secret_scans",
+    f"""
+    with found as ({_kept_sql(RULES)}),
+    spelled as (select doc_id, ord, kind, start, concat(kind, ':', start::bigint, ':', stop::bigint) as span from found)
+    select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+           count(*) filter (kind = 'hex') as n_hex,
+           sha256(coalesce(string_agg(span, ',' order by start, ord) filter (ord < 3), '')) as base_sha256,
+           coalesce(string_agg(span, ',' order by start, ord), '') as spans
+    from documents d left join spelled s on d.doc_id = s.doc_id group by d.doc_id""",
+)
+def secret_scans(spark, sf_dir):
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["ord"] < len(BASE))
+    counts = [F.size(F.filter("secrets", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+    return found.select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
