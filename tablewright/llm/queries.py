@@ -46,7 +46,7 @@ def best_fit_packing(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-def _found_sql(kind: str, order: int, pattern: str, group: int, least: int) -> str:
+def _found_sql(kind: str, order: int, pattern: str, group: int, least: int, hint: str) -> str:
     """One row for each span of a rule: a match and the text before it are one match of a longer pattern."""
     longer = f"'(.*?)({pattern}|$)'"
     return f"""
@@ -56,11 +56,14 @@ def _found_sql(kind: str, order: int, pattern: str, group: int, least: int) -> s
         from (select doc_id, regexp_extract_all(coalesce(text, ''), {longer}, 1, 's') as before,
                      regexp_extract_all(coalesce(text, ''), {longer}, 2, 's') as found,
                      regexp_extract_all(coalesce(text, ''), {longer}, {2 + group}, 's') as judged
-              from documents) where length(judged) >= {least}"""
+              from documents where regexp_matches(coalesce(text, ''), '{hint}'))"""
 
 
 def _kept_sql(rules) -> str:
-    parts = [_found_sql(r.kind, i, r.pattern.replace("'", "''"), r.group, r.least) for i, r in enumerate(rules)]
+    parts = [
+        _found_sql(r.kind, i, r.pattern.replace("'", "''"), r.group, r.least, (r.hint or r.pattern).replace("'", "''"))
+        for i, r in enumerate(rules)
+    ]
     return " union all ".join(f"select doc_id, ord, kind, start, start + length(found) as stop from ({p}) where length(judged) >= {r.least}" for p, r in zip(parts, rules, strict=True))
 
 
@@ -78,5 +81,9 @@ def _kept_sql(rules) -> str:
 def secret_scans(spark, sf_dir):
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["ord"] < len(BASE))
-    counts = [F.size(F.filter("secrets", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
+
+    def count(order: int):
+        return F.size(F.filter("secrets", lambda s: s["ord"] == order)).cast("long")
+
+    counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
