@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import held_out, table
+from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.secrets import BASE, RULES, find_secrets, span_text
@@ -87,3 +88,9 @@ def secret_scans(spark, sf_dir):
 
     counts = [count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
+
+
+@query("op5_benchmark_decontamination")
+def benchmark_decontamination(spark, sf_dir):
+    found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
