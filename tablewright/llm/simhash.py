@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import map_batches, text_bytes, written
+from tablewright.llm.common import map_batches, small_or_plain, text_bytes, written
 from tablewright.llm.components import smallest_reachable
 
 #: Fingerprints of one bucket that a task compares with each other.
@@ -125,8 +125,9 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
         links.append(buckets.where("n = 2").where(close).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
         sizes = buckets.groupBy().agg(F.count_if(F.col("n") > 2).alias("some"), F.count_if(~small).alias("many")).first()
         if sizes["some"]:
+            compared = buckets.where("n > 2").where(small).select("table", "kept", "common")
             middle = (
-                keyed.join(buckets.where("n > 2").where(small).select("table", "kept", "common"), ["table", "kept", "common"])
+                keyed.join(small_or_plain(compared, sizes["some"]), ["table", "kept", "common"])
                 .groupBy("table", "kept", "common")
                 .agg(F.collect_list("fp").alias("fps"))
                 .select("fps")
