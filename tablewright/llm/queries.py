@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import held_out, table
 from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.pivots import PivotIndex, top_products, whole_vectors
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.secrets import BASE, RULES, find_secrets, span_text
 from tablewright.llm.simhash import simhash_components
@@ -94,3 +95,21 @@ def secret_scans(spark, sf_dir):
 def benchmark_decontamination(spark, sf_dir):
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query(
+    "op10_exact_topk_search",
+    """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as q from embeddings
+        where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
+    scored as (
+        select a.vec_id as query_id, b.vec_id as vec_id, list_inner_product(a.q, b.q)::bigint as score
+        from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+    ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+    select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 10""",
+)
+def exact_topk_search(spark, sf_dir):
+    index = PivotIndex(whole_vectors(table(spark, sf_dir, "embeddings")))
+    queries = index.vectors.where("vec_id % 100 = 0") if index.blocks is not None else table(spark, sf_dir, "embeddings")
+    return top_products(index, queries, 10)
