@@ -14,6 +14,7 @@ from tablewright.llm.pivots import PivotIndex, top_products, whole_vectors
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.secrets import BASE, RULES, find_secrets, span_text
 from tablewright.llm.simhash import simhash_components
+from tablewright.llm.suffixes import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,6 +92,12 @@ def secret_scans(spark, sf_dir):
     return found.select("doc_id", *counts, F.sha2(span_text(base).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
 
 
+@query("op1_suffix_array_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_benchmark_decontamination")
 def benchmark_decontamination(spark, sf_dir):
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
