@@ -15,6 +15,7 @@ from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.secrets import BASE, RULES, find_secrets, span_text
 from tablewright.llm.simhash import simhash_components
 from tablewright.llm.suffixes import remove_repeats
+from tablewright.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -120,3 +121,10 @@ def exact_topk_search(spark, sf_dir):
     index = PivotIndex(whole_vectors(table(spark, sf_dir, "embeddings")))
     queries = index.vectors.where("vec_id % 100 = 0") if index.blocks is not None else table(spark, sf_dir, "embeddings")
     return top_products(index, queries, 10)
+
+
+@query("op4_toxicity_weak_supervision")
+def toxicity_weak_supervision(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
