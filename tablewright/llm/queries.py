@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import held_out, table
 from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.packing import pack_documents
+from tablewright.llm.personal import KINDS, find_personal, fit_field
 from tablewright.llm.pivots import PivotIndex, top_products, whole_vectors
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.secrets import BASE, RULES, find_secrets, span_text
@@ -128,3 +129,20 @@ def toxicity_weak_supervision(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
     return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+@query("op3_pii_semi_markov")
+def pii_semi_markov(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal(docs, fit_field(docs))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def spelled(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["stop"])), ",")
+
+    def count(kind: int):
+        return F.size(F.filter("personal", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+    base = F.sha2(spelled(F.filter("personal", lambda s: s["base"])).cast("binary"), 256)
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, base.alias("base_sha256"), spelled(F.col("personal")).alias("spans"))
