@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.llm.chat import fit_roles, format_chats
 from tablewright.llm.common import held_out, table
 from tablewright.llm.decontaminate import find_leaks
 from tablewright.llm.packing import pack_documents
@@ -146,3 +147,9 @@ def pii_semi_markov(spark, sf_dir):
     base = F.sha2(spelled(F.filter("personal", lambda s: s["base"])).cast("binary"), 256)
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, base.alias("base_sha256"), spelled(F.col("personal")).alias("spans"))
+
+
+@query("op7_chat_formatting")
+def chat_formatting(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    return format_chats(conversations, fit_roles(conversations))
