@@ -5,38 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import written
+from tablewright.llm.common import table, written
+from tablewright.llm.decontaminate import find_leaks
+from tablewright.llm.near_copies import near_copies
+from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import fit_quality, score_quality
-from tablewright.llm.simhash import simhash_components
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+from tablewright.llm.secrets import find_secrets, redact
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = fit_quality(labelled, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = fit_quality(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    parts = simhash_components(docs.select("doc_id", "text"), words=5)
-    kept = parts.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies; those without an id cannot be compared and stay."""
+    gone = near_copies(docs).where("doc_id <> kept_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    masked = redact(find_secrets(docs))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast("long"))
+    return masked.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of the documents and their places in the sequences."""
+    return pack_documents(docs)
 
 
 STAGES = [
     ("quality classifier", quality_stage),
     ("simhash near-dedup", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secrets_stage),
+    ("best-fit packing", packing_stage),
 ]
 
-#: Trained and hashed stages have no SQL form; tests/llm holds them against plain ones.
+#: A trained classifier, hashes and tokens have no SQL form; tests/llm hold the stages against plain ones.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

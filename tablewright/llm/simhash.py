@@ -65,8 +65,14 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return map_batches(rows, of, "doc_id long, fp long")
 
 
-def covering_masks(positions: list[int], radius: int) -> list[int]:
-    """One mask over ``positions`` for each table, as signed 64-bit numbers."""
+def covering_masks(positions: list[int], radius: int, blocks: int = 1) -> list[int]:
+    """One mask over ``positions`` for each table, as signed 64-bit numbers.
+
+    With several blocks the positions are dealt out to them, and each block has tables for its share of the radius: of the bits
+    that differ, some block has no more than that.
+    """
+    if blocks > 1:
+        return [m for b in range(blocks) for m in covering_masks(positions[b::blocks], radius // blocks)]
     vectors = (1 << (radius + 1)) - 1
     vector = {p: 1 + i % vectors for i, p in enumerate(positions)}
     masks = []
@@ -96,7 +102,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, blocks: int = 1) -> DataFrame:
     """``(a, b)``: links between different fingerprints that connect all pairs within the radius.
 
     ``fps`` has one row for each distinct fingerprint, in the column ``fp``.
@@ -109,8 +115,9 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
     while True:
         rows = []
         for done, positions in free.items():
-            for t, mask in enumerate(covering_masks(positions, radius)):
-                rows.append((done, f"{done}{t:x}.", mask))
+            for t, mask in enumerate(covering_masks(positions, radius, blocks)):
+                if mask:  # a table that keeps nothing more would repeat its bucket
+                    rows.append((done, f"{done}{t:x}.", mask))
         masks = F.broadcast(fps.sparkSession.createDataFrame(rows, "done string, table string, mask long"))
         keyed = (
             level.join(masks, "done")
