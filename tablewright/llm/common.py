@@ -47,11 +47,6 @@ def small_or_plain(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the planner expects ``df`` to hold; for a scan, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """``mapInArrow`` with a function of one batch."""
 

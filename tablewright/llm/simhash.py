@@ -73,10 +73,11 @@ def covering_masks(positions: list[int], radius: int, blocks: int = 1) -> list[i
     """
     if blocks > 1:
         return [m for b in range(blocks) for m in covering_masks(positions[b::blocks], radius // blocks)]
-    vectors = (1 << (radius + 1)) - 1
-    vector = {p: 1 + i % vectors for i, p in enumerate(positions)}
+    # A basis comes first, so that every table keeps something even of a few positions.
+    vectors = sorted(range(1, 1 << (radius + 1)), key=lambda v: (v.bit_count() > 1, v))
+    vector = {p: vectors[i % len(vectors)] for i, p in enumerate(positions)}
     masks = []
-    for v in range(1, vectors + 1):
+    for v in vectors:
         kept = sum(1 << p for p in positions if (vector[p] & v).bit_count() % 2)
         masks.append(kept - (1 << 64) if kept >> 63 else kept)
     return masks
@@ -116,8 +117,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
         rows = []
         for done, positions in free.items():
             for t, mask in enumerate(covering_masks(positions, radius, blocks)):
-                if mask:  # a table that keeps nothing more would repeat its bucket
-                    rows.append((done, f"{done}{t:x}.", mask))
+                rows.append((done, f"{done}{t:x}.", mask))
         masks = F.broadcast(fps.sparkSession.createDataFrame(rows, "done string, table string, mask long"))
         keyed = (
             level.join(masks, "done")

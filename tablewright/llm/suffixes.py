@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import extended, input_bytes, map_batches, small_or_plain, text_bytes, written
+from tablewright.llm.common import extended, map_batches, small_or_plain, text_bytes, written
 
 WINDOW = 50
 KEY = 20
-#: Bytes of input for one bucket.
-BUCKET_BYTES = 4_000_000
+#: Bytes of text for one bucket.
+BUCKET_BYTES = 6_000_000
 #: Documents that splitters are sampled from.
 SPLITTER_DOCS = 2000
 #: Bytes that are hashed at a time.
@@ -337,13 +337,16 @@ def _keep(text: bytes, covers: list[dict], window: int) -> tuple[bytes, int]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``: the bytes that remain (they need not be valid UTF-8)."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    buckets = max(8, -(-input_bytes(docs) // bucket_bytes))
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     doc = F.col("doc_id").cast("long")
     hashed = docs.select(doc.alias("doc"), text.alias("text")).withColumn("sha", F.unhex(F.sha2("text", 256)))
     copies = written(
-        hashed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= window)).groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")), "copies"
+        hashed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= window)).groupBy("sha").agg(
+            F.min("doc").alias("first"), F.count("*").alias("n"), F.first(F.octet_length("text")).alias("bytes")
+        ),
+        "copies",
     )
+    buckets = max(8, -(-(copies.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
     repeated = copies.where("n > 1").select("sha", "first")
     repeated = small_or_plain(repeated, repeated.count())
     tid = F.xxhash64("text").alias("tid")

@@ -85,7 +85,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
         rest = votes - (post[:, None] * rate1 + (1 - post)[:, None] * rate0)
         sd = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         linked = np.clip((rest.T @ rest) / len(votes) / np.outer(sd, sd), 0.0, 1.0)
-        linked[linked < 0.2] = 0.0
+        linked[linked < 0.5] = 0.0
         np.fill_diagonal(linked, 1.0)
         weight = 1.0 / linked.sum(axis=0)
         new = sigmoid(np.log(prior / (1 - prior)) + votes @ (weight * np.log(rate1 / rate0)))
