@@ -136,7 +136,7 @@ def row_index(spark, sf_dir):
 def submission_align(spark, sf_dir):
     sample = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0.0).alias("target"))
     scored = view(spark, sf_dir, "fx_model").select("row_id", F.col("revenue").alias("prediction"))
-    return align_submission(scored, sample, "row_id")
+    return align_submission(scored, "row_id", sample=sample, sample_key="id", sample_target="target")
 
 
 @query(

@@ -28,20 +28,35 @@ def write_predictions(scored: DataFrame, path: str) -> None:
     write_csv(scored, path, mode="overwrite")
 
 
+def _sample_columns(sample: DataFrame, key: str, sample_key: str | None, sample_target: str | None) -> tuple[str, str]:
+    """Key and target column of a sample table; what is not named must be the only choice."""
+    sample_key = sample_key or key
+    if sample_key not in sample.columns:
+        raise ValueError(f"the sample has no column {sample_key}; name its key")
+    others = [c for c in sample.columns if c != sample_key]
+    if sample_target is None and len(others) != 1:
+        raise ValueError(f"the sample has {len(others)} columns besides {sample_key}; name its target")
+    return sample_key, sample_target or others[0]
+
+
 def align_submission(
-    predictions: DataFrame, sample: DataFrame | None = None, key: str = "id", prediction: str = "prediction"
+    predictions: DataFrame,
+    key: str,
+    prediction: str = "prediction",
+    sample: DataFrame | None = None,
+    sample_key: str | None = None,
+    sample_target: str | None = None,
 ) -> DataFrame:
-    """Predictions in the shape of a sample table: its rows by key, its columns, its second column replaced.
+    """Predictions in the shape of a sample table: its rows by key, its columns, its target replaced.
 
-    Without a sample the key and the prediction are kept.
+    Without a sample the key and the prediction are kept. Rows of the sample without a prediction get null.
     """
     if sample is None:
-        key = key if key in predictions.columns else predictions.columns[0]
         return predictions.select(col(key), col(prediction).alias("prediction"))
-    goal = sample.columns[1] if len(sample.columns) > 1 else sample.columns[0]
+    sample_key, sample_target = _sample_columns(sample, key, sample_key, sample_target)
     scored = predictions.select(col(key).alias("__k"), col(prediction).alias("__p"))
-    joined = sample.join(scored, col(sample.columns[0]) == F.col("__k"), "left")
-    return joined.select(*[F.col("__p").alias(c) if c == goal else col(c) for c in sample.columns])
+    filled = sample.join(scored, col(sample_key) == F.col("__k"), "left").withColumn(sample_target, F.col("__p"))
+    return filled.select(*[col(c) for c in sample.columns])
 
 
 def check_submission(submission: DataFrame, sample: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tablewright.plans import models as R
 from tablewright.plans.bundle import load_bundle, save_bundle
 from tablewright.plans.crossval import best_of, leaderboard, run_regression_cv
 from tablewright.plans.extra_trees import fit_extra_trees
-from tablewright.plans.training_loop import candidate_policy, train_until_ready
+from tablewright.plans.training_loop import plan_round, train_until_ready
 from tablewright.sources.submissions import align_submission, check_submission, score_batch
 
 
@@ -136,7 +136,6 @@ def test_metrics_edges(spark):
 def test_drift_of_a_table_with_itself(data):
     assert M.mean_shift(data, data).first()[0] == 0.0
     assert M.mean_shift(data, None).first()[0] == 0.0
-    assert M.schema_difference(["a"], None)["status"] == "test_absent"
 
 
 def test_gates(spark):
@@ -146,12 +145,26 @@ def test_gates(spark):
     assert got == {1: ("ready", None), 2: ("needs_iteration", "quality"), 3: ("needs_iteration", "stability")}
 
 
-def test_candidate_policy():
-    assert candidate_policy(None, False) == (["ridge", "rf", "gb"], 0.98)
-    assert candidate_policy(None, True)[0][0] == "extratrees"
-    assert candidate_policy({"focus": "stability", "model": "ridge"}, True) == (["rf"], 0.95)
-    assert candidate_policy({"focus": "quality", "model": "extratrees"}, True) == (["rf", "gb", "ridge", "extratrees"], 0.99)
-    assert candidate_policy({"focus": "quality", "model": "gb"}, False)[0] == ["extratrees", "rf", "ridge"]
+def test_schema_table(spark):
+    train = spark.createDataFrame([(1, "x", 2.0)], "b int, a string, c double")
+    test = spark.createDataFrame([(1, 2.0, 3)], "b long, c double, d int")
+    rows = {r["column"]: (r["in_train"], r["in_test"], r["train_type"], r["test_type"]) for r in M.schema_table(train, test).collect()}
+    assert rows == {
+        "b": (True, True, "int", "bigint"),
+        "a": (True, False, "string", None),
+        "c": (True, True, "double", "double"),
+        "d": (False, True, None, "int"),
+    }
+    assert tuple(M.schema_summary(train, test).first()) == ("a", "d", "b", 1, "ok")
+    assert tuple(M.schema_summary(train, None).first()) == ("", "", "", 0, "test_absent")
+
+
+def test_rounds():
+    assert plan_round(None, None, False) == (["ridge", "rf", "gb"], 0.98)
+    assert plan_round(None, None, True)[0][0] == "extratrees"
+    assert plan_round("stability", "ridge", True) == (["rf"], 0.95)
+    assert plan_round("quality", "extratrees", True) == (["rf", "gb", "ridge", "extratrees"], 0.99)
+    assert plan_round("quality", "gb", False)[0] == ["extratrees", "rf", "ridge"]
 
 
 def test_cross_validation_and_leaderboard(data):
@@ -200,8 +213,12 @@ def test_class_weights(spark):
 def test_submissions(spark):
     sample = spark.createDataFrame([(2, 0.0), (1, 0.0)], "id int, goal double")
     scored = spark.createDataFrame([(1, 0.1), (2, 0.2), (3, 0.3)], "id int, prediction double")
-    got = align_submission(scored, sample)
+    got = align_submission(scored, "id", sample=sample)
     assert got.columns == ["id", "goal"] and {tuple(r) for r in got.collect()} == {(1, 0.1), (2, 0.2)}
     assert all(r["passed"] for r in check_submission(got, sample).collect())
     assert not any(r["passed"] for r in check_submission(scored, sample).collect())
-    assert align_submission(scored.withColumnRenamed("id", "row")).columns == ["row", "prediction"]
+    assert align_submission(scored.withColumnRenamed("id", "row"), "row").columns == ["row", "prediction"]
+    wide = sample.withColumn("note", F.lit("n"))
+    assert align_submission(scored, "id", sample=wide, sample_target="goal").columns == ["id", "goal", "note"]
+    with pytest.raises(ValueError, match="name its target"):
+        align_submission(scored, "id", sample=wide)
