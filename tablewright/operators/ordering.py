@@ -7,8 +7,10 @@ Bucket limits are fixed values on the driver, so a recomputed task always puts a
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from tablewright.operators.groups import small_side
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 20_000
-MAX_TEXT_BUCKETS = 256
+SAMPLED_TEXTS_PER_BUCKET = 20
 
 
 def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
@@ -28,38 +30,57 @@ def bucket_count(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
 
 def _numeric_limits(df: DataFrame, key: Column, buckets: int) -> list[float]:
     shares = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.approx_percentile(key, shares, max(10_000, 10 * buckets)).alias("q")).first()["q"]
+    known = F.when(~F.isnan(key), key)
+    found = df.agg(F.approx_percentile(known, shares, max(10_000, 10 * buckets)).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
 def _text_limits(df: DataFrame, key: str, buckets: int, rows: int) -> list[str]:
-    wanted = 100 * buckets
+    wanted = SAMPLED_TEXTS_PER_BUCKET * buckets
     sampled = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, wanted / max(rows, 1)), seed=42)
     keys = sorted(r[0] for r in sampled.limit(2 * wanted).collect())
     step = max(1, len(keys) // buckets)
     return sorted(set(keys[step::step]))
 
 
+def _as_number(key: str, dtype: T.DataType) -> Column:
+    """A double that never decreases as the key grows; null and NaN stay what they are."""
+    c = F.col(key)
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.unix_date(c.cast("date")) * 86400.0 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    if isinstance(dtype, (T.NumericType, T.BooleanType)):
+        return c.cast("double")
+    raise TypeError(f"cannot order by {key} of type {dtype.simpleString()}")
+
+
 def with_order_bucket(df: DataFrame, key: str, rows: int, rows_per_bucket: int, out: str) -> tuple[DataFrame, int]:
-    """Add ``out``: a bucket number that never decreases as ``key`` grows."""
+    """Add ``out``: a bucket number that never decreases as ``key`` grows; null keys come first, in bucket 0."""
+    dtype = df.schema[key].dataType
+    text = isinstance(dtype, T.StringType)
+    as_double = None if text else _as_number(key, dtype)
     buckets = bucket_count(rows, rows_per_bucket)
     if buckets == 1:
         return df.withColumn(out, F.lit(0)), 1
-    dtype = df.schema[key].dataType
-    if isinstance(dtype, T.StringType):
-        limits = _text_limits(df, key, min(buckets, MAX_TEXT_BUCKETS), rows)
-        reached = F.filter(F.array(*[F.lit(x) for x in limits]), lambda limit: limit <= F.col(key))
-        return df.withColumn(out, F.size(reached)), len(limits) + 1
-    as_double = F.col(key).cast("double")
-    limits = _numeric_limits(df, as_double, buckets)
+    limits = _text_limits(df, key, buckets, rows) if text else _numeric_limits(df, as_double, buckets)
     if not limits:
         return df.withColumn(out, F.lit(0)), 1
+    if text:
+
+        @F.pandas_udf("int")
+        def reached(keys: pd.Series) -> pd.Series:
+            return keys.map(lambda k: 0 if k is None else 1 + bisect_right(limits, k)).astype("int32")
+
+        return df.withColumn(out, reached(F.col(key))), len(limits) + 2
     tmp = f"{out}_key"
-    splits = [float("-inf"), *limits, float("inf")]
+    splits = [float("-inf"), *limits, float("inf")]  # NaN, the largest of all, has a bucket of its own after them
     placed = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep").transform(
         df.withColumn(tmp, as_double)
     )
-    return placed.drop(tmp).withColumn(out, F.col(out).cast("int")), len(limits) + 1
+    return placed.drop(tmp).withColumn(out, F.coalesce(F.col(out).cast("int") + 1, F.lit(0))), len(limits) + 3
 
 
 def with_running_totals(
@@ -101,7 +122,7 @@ def with_hash_rank(
 
     Groups may be huge: a group is cut by the leading part of the hash, which spreads unique keys evenly.
     """
-    hashed = df.withColumn("__h", key_hash(F.col(key)))
+    hashed = df.withColumn("__h", F.coalesce(key_hash(F.col(key)), F.lit(0)))  # null keys come first
     buckets = bucket_count(df.count(), rows_per_bucket)
     placed = hashed.withColumn("__b", F.floor(F.col("__h") * buckets / F.lit(2**32)).cast("int"))
     inside = Window.partitionBy(*groups, "__b").orderBy("__h", key)
@@ -146,7 +167,7 @@ def fill_forward(
         .drop("__end")
     )
     own = chunked.withColumn(out, F.last(value, ignorenulls=True).over(inside))
-    same = (F.col(group) == F.col("__g")) & (F.col("__c") == F.col("__gc"))
+    same = F.col(group).eqNullSafe(F.col("__g")) & F.col("__c").eqNullSafe(F.col("__gc"))
     return (
         own.join(ends, same, "left")
         .withColumn(out, F.coalesce(F.col(out), F.col("__carry")))

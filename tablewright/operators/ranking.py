@@ -34,7 +34,11 @@ def per_query_block(
     block. One block is the usual case; more only for very large query batches.
     """
     block_rows = block_rows or QUERIES_PER_BLOCK
-    size = queries.agg(F.count("*").alias("rows"), F.sum(F.lit(0) if terms is None else terms).alias("terms")).first()
+    size = queries.agg(
+        F.count("*").alias("rows"), F.count_distinct(key).alias("ids"), F.sum(F.lit(0) if terms is None else terms).alias("terms")
+    ).first()
+    if size["ids"] < size["rows"]:
+        raise ValueError(f"{size['rows'] - size['ids']} rows of the queries have a null or repeated {key}")
     blocks = max(-(-size["rows"] // block_rows), -(-(size["terms"] or 0) // TERMS_PER_BLOCK))
     if blocks <= 1:
         return search(queries.toPandas())

@@ -17,7 +17,10 @@ _PARTS = 10_000
 
 
 def sample_fraction(df: DataFrame, key: str | None, fraction: float = 0.2, salt: str = "sample") -> DataFrame:
-    """Row sample by key hash; without a key, Spark's own seeded sample, which depends on how the rows are stored."""
+    """Row sample by key hash, which leaves rows with a null key out.
+
+    Without a key it is Spark's own seeded sample, which depends on how the rows are stored.
+    """
     if key is None:
         return df.sample(fraction, seed=42)
     return df.where(key_bucket(F.col(key), _PARTS, salt) < round(fraction * _PARTS))
@@ -26,8 +29,9 @@ def sample_fraction(df: DataFrame, key: str | None, fraction: float = 0.2, salt:
 def holdout_split(
     df: DataFrame, key: str, fraction: float = 0.2, out: str = "is_valid", salt: str = "holdout"
 ) -> DataFrame:
-    """Mark about ``fraction`` of the rows for validation."""
-    return df.withColumn(out, key_bucket(F.col(key), _PARTS, salt) < round(fraction * _PARTS))
+    """Mark about ``fraction`` of the rows for validation; rows with a null key train."""
+    marked = key_bucket(F.col(key), _PARTS, salt) < round(fraction * _PARTS)
+    return df.withColumn(out, F.coalesce(marked, F.lit(False)))
 
 
 def stratified_split(
@@ -50,8 +54,9 @@ def fold_count(rows: int) -> int:
 
 
 def kfold_assign(df: DataFrame, key: str, folds: int | None = None, out: str = "fold") -> DataFrame:
+    """Add a fold number from the key hash; rows with a null key are in fold 0."""
     folds = fold_count(df.count()) if folds is None else folds
-    return df.withColumn(out, key_bucket(F.col(key), folds).cast("int"))
+    return df.withColumn(out, F.coalesce(key_bucket(F.col(key), folds).cast("int"), F.lit(0)))
 
 
 def stratified_kfold(

@@ -45,6 +45,34 @@ def test_row_index_over_buckets(spark, text):
     assert got["index"].tolist() == list(range(2000))
 
 
+@pytest.mark.parametrize("rows_per_bucket", [1, 100, 1_000_000])
+@pytest.mark.parametrize("kind", ["bigint", "double", "decimal(20,3)", "date", "timestamp", "timestamp_ntz", "string"])
+def test_null_key_and_any_type_at_every_size(spark, kind, rows_per_bucket):
+    made = {
+        "date": "date_add(date'2020-01-01', cast(id * 3 as int))",
+        "timestamp": "timestamp_micros(id * 977000001)",
+        "timestamp_ntz": "cast(timestamp_micros(id * 977000001) as timestamp_ntz)",
+        "string": "concat('key é', lpad(cast(id * 7 as string), 6, '0'))",
+        "double": "case when id = 399 then double('nan') else id * 0.5 end",
+    }.get(kind, f"cast(id * 5 as {kind})")
+    df = spark.range(400).selectExpr("id", f"case when id = 0 then null else {made} end as k").repartition(3)
+    got = with_row_index(df, "k", rows_per_bucket=rows_per_bucket).orderBy("id").collect()
+    assert [r["index"] for r in got] == list(range(400))
+    ranked = with_hash_rank(df.selectExpr("*", "id % 2 as g"), ["g"], "k", "r", rows_per_bucket)
+    base = with_hash_rank(df.selectExpr("*", "id % 2 as g"), ["g"], "k", "r")
+    assert sorted(map(tuple, ranked.select("id", "r").collect())) == sorted(map(tuple, base.select("id", "r").collect()))
+    split = stratified_split(df.selectExpr("*", "id % 2 as g"), "k", "g", 0.25, rows_per_bucket=rows_per_bucket)
+    assert split.count() == 400 and split.where("is_valid").count() == 100
+
+
+def test_null_keys_have_a_place(spark):
+    df = spark.createDataFrame([(None,), (1,), (2,)], "k int")
+    assert holdout_split(df, "k").where("is_valid is null").count() == 0
+    assert kfold_assign(df, "k", 3).where("k is null").first()["fold"] == 0
+    filled = spark.createDataFrame([(None, i, "a" if i == 0 else None) for i in range(50)], "g string, i int, v string")
+    assert fill_forward(filled, "g", "i", "v", "out", rows_per_chunk=10).where("out = 'a'").count() == 50
+
+
 def test_hash_rank_does_not_depend_on_buckets(spark):
     df = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(3000)], "id long, g string")
     one = with_hash_rank(df, ["g"], "id", "r").orderBy("id").collect()

@@ -70,6 +70,14 @@ def test_bm25_matches_formula(spark, corpus, monkeypatch, block_rows):
     assert [r["score"] for r in got] == pytest.approx([w[3] for w in want], abs=2e-6)
 
 
+@pytest.mark.parametrize("ids", [[1, 1], [1, None]])
+def test_queries_need_ids(spark, ids):
+    queries = spark.createDataFrame([(i,) for i in ids], "query_id int")
+    for block_rows in (1, 100):
+        with pytest.raises(ValueError, match="null or repeated"):
+            ranking.per_query_block(queries, "query_id", lambda block: None, block_rows=block_rows)
+
+
 def test_sparse_products():
     rng = np.random.default_rng(10)
     weights = [{f"t{t}": float(rng.random()) for t in rng.choice(900, 300, replace=False)} for _ in range(6)]
