@@ -19,8 +19,6 @@ from tablewright.operators import split as S
 from tablewright.operators.places import nearest_place
 
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-# The words of part names, fixed in the generated tables.
-_WORDS = "anvil blue bolt cold gear gizmo hot large new old plate red ring rod small widget".split()
 
 
 @query(
@@ -132,32 +130,31 @@ def tokens(spark, sf_dir):
     return G.token_counts(view(spark, sf_dir, "fx_items"), "items")
 
 
-_HELD = "list_contains(string_split(items, ','), '{w}')"
+_HELD = """, held as (select distinct row_id, target, item from (select row_id, target,
+    unnest(string_split(trim(items), ',')) as item from fx_items) where item <> '')"""
 
 
 @query(
     "multi_hot",
     using("fx_items")
-    + "select row_id, target, "
-    + ", ".join(f"cast({_HELD.format(w=w)} as int) as {w}" for w in _WORDS)
-    + " from fx_items",
+    + _HELD
+    + """, words as (select distinct item from held)
+    select i.row_id, i.target, w.item as flag, cast(h.item is not null as int) as held
+    from fx_items i cross join words w left join held h on h.row_id = i.row_id and h.item = w.item""",
 )
 def dummies(spark, sf_dir):
     wide = G.multi_hot(view(spark, sf_dir, "fx_items"), "items")
-    return wide.select("row_id", "target", *[w if w in wide.columns else F.lit(0).alias(w) for w in _WORDS])
+    flags = [c for c in wide.columns if c not in ("row_id", "target")]
+    return wide.unpivot(["row_id", "target"], flags, "flag", "held")
 
 
 @query(
     "mean_by_flag",
-    using("fx_items")
-    + " union all ".join(
-        f"select '{w}' as flag, round(avg(target), 6) as mean_target from fx_items where {_HELD.format(w=w)}"
-        for w in _WORDS
-    ),
+    using("fx_items") + _HELD + " select item as flag, round(avg(target), 6) as mean_target from held group by item",
 )
 def flag_means(spark, sf_dir):
-    wide = G.multi_hot(view(spark, sf_dir, "fx_items"), "items", items=_WORDS)
-    return rounded(G.mean_by_flag(wide, "target", _WORDS))
+    wide = G.multi_hot(view(spark, sf_dir, "fx_items"), "items")
+    return rounded(G.mean_by_flag(wide, "target", [c for c in wide.columns if c not in ("row_id", "target")]))
 
 
 @query(

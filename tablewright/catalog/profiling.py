@@ -163,13 +163,13 @@ def boxplot(spark, sf_dir):
 @query(
     "kde_grid",
     """with s as (select count(value) as n, min(value) as lo, max(value) as hi, stddev_samp(value) as sd from events),
-    g as (select cast(p as int) as point, lo - 0.5 * (hi - lo) + p * (2.0 * (hi - lo) / 199) as x,
-          sd * n ** (-0.2) as w, n from s, range(200) r(p))
+    g as (select cast(p as int) as point, lo - 0.5 * (hi - lo) + p * (2.0 * (hi - lo) / 999) as x,
+          sd * n ** (-0.2) as w, n from s, range(1000) r(p))
     select point, round(x, 6) as x, round(sum(exp(-0.5 * ((x - value) / w) ** 2)) / (n * w * sqrt(2 * pi())), 9) as density
     from g, events group by point, x, n, w""",
 )
 def density(spark, sf_dir):
-    return rounded(P.kde_grid(table(spark, sf_dir, "events"), "value", 200), density=9)
+    return rounded(P.kde_grid(table(spark, sf_dir, "events"), "value"), density=9)
 
 
 @query("value_counts", "select event_type as value, count(*) as n from events group by event_type")

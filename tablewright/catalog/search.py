@@ -54,7 +54,8 @@ def _vector_sql(k: int) -> str:
     zero = f"list_value({', '.join(['0.0'] * DIM)})"
     return f""", vec as (select doc_id as chunk_id, coalesce(cast(embedding as double[]), {zero}) as v from documents
         left join embeddings on vec_id = doc_id),
-        qvec as (select item_id as query_id, cast(embedding as double[]) as v from benchmark join embeddings on vec_id = item_id),
+        qvec as (select item_id as query_id, coalesce(cast(embedding as double[]), {zero}) as v from benchmark
+        left join embeddings on vec_id = item_id),
         ip as (select query_id, chunk_id, round(list_dot_product(vec.v, qvec.v) / case when list_dot_product(vec.v, vec.v) > 0
           then sqrt(list_dot_product(vec.v, vec.v)) else 1 end, 6) as score from vec, qvec),
         sem as (select * from (select query_id, chunk_id, score, row_number() over (partition by query_id
@@ -87,7 +88,8 @@ def _vectors(spark, sf_dir):
 def _queries(spark, sf_dir):
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = view(spark, sf_dir, "fx_queries")
-    return queries.join(embeddings, F.col("query_id") == F.col("vec_id")).drop("vec_id")
+    found = queries.join(embeddings, F.col("query_id") == F.col("vec_id"), "left").drop("vec_id")
+    return fill_vectors(found, "embedding", DIM)  # a query without a vector has the zero vector
 
 
 @query(

@@ -10,7 +10,7 @@ from tablewright.sources.chunks import stripped
 
 # The patterns of a fenced code block and of an error line.
 FENCE = r"(?s)```(?:python)?\s*\n(.*?)\n```"
-ERROR = r"(?U)(\w+Error|\w+Exception):\s*(.+)"
+ERROR = r"(?Ud)(\w+Error|\w+Exception):\s*(.+)"
 UNMATCHED_CHARS = 500
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
@@ -33,10 +33,16 @@ def vector_search(
     """Top ``k`` rows per query by inner product with the L2-normalised rows: ``(query_id, chunk_id, rank, score)``.
 
     Every score is computed, as the exact search asks; but as a matrix product inside each task, which hands on its
-    best ``k`` per query and never a pair per query and row. Query vectors are used as they are.
+    best ``k`` per query and never a pair per query and row. Query vectors are used as they are. A null vector fails the job:
+    fill it first, or leave its row out.
     """
-    corpus = vectors.select(col(key).alias("chunk_id"), col(embedding).cast("array<float>").alias("v"))
-    asked = queries.select(col(query_key).alias("query_id"), col(query_embedding).cast("array<float>").alias("v"))
+
+    def known(name: str) -> Column:
+        missing = F.raise_error(F.lit(f"{name} holds a null vector")).cast("array<float>")
+        return F.when(col(name).isNull(), missing).otherwise(col(name).cast("array<float>")).alias("v")
+
+    corpus = vectors.select(col(key).alias("chunk_id"), known(embedding))
+    asked = queries.select(col(query_key).alias("query_id"), known(query_embedding))
     types = dict(asked.dtypes)["query_id"], dict(corpus.dtypes)["chunk_id"]
 
     def search(block: pd.DataFrame) -> DataFrame:

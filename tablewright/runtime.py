@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SPREAD_BYTES = 4 * 1024**3
 _LOCAL_SHARED: dict[str, str] = {}
 _WRITTEN: dict[str, list[str]] = {}
 
@@ -83,11 +84,11 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy row-by-row work on a small input one task per core.
 
-    A file of one row group is one task however many cores there are. Only inputs too small to fill the cores by
-    themselves are moved, so the shuffle is bounded by one read split per core; larger inputs are left alone.
+    A file of one row group is one task however many cores there are. Only small inputs in a few splits are moved; an input that
+    already lies in half as many splits as there are cores, or is larger than ``SPREAD_BYTES``, is left alone.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = 128 * 1024 * 1024
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split_bytes else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    if int(str(execution.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() <= cores // 2 else df

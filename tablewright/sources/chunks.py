@@ -49,11 +49,16 @@ def number_cells(cells: DataFrame) -> DataFrame:
 
 
 def notebook_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of notebook JSON files given as ``(path, content)``; a cell's source may be a list or one string."""
+    """Chunks of notebook JSON files given as ``(path, content)``; a cell's source may be a list or one string.
+
+    A file that is no JSON object with a list of cells fails the job.
+    """
+    cells = F.from_json("content", _CELL_TEXTS)["cells"]
+    broken = F.raise_error(F.concat(F.lit("no notebook: "), F.col("path")))
     parsed = spread(files).select(
         "path",
         F.from_json("content", _CELL_ARRAYS)["cells"].alias("lists"),
-        F.from_json("content", _CELL_TEXTS)["cells"].alias("texts"),
+        F.when(cells.isNull(), broken.cast(_CELL_TEXTS.split(" ", 1)[1])).otherwise(cells).alias("texts"),
     )
     cells = parsed.select("path", F.posexplode(F.arrays_zip("lists", "texts")).alias("cell_index", "c"))
     code = F.coalesce(F.array_join("c.lists.source", ""), F.col("c.texts.source"), F.lit(""))
@@ -62,19 +67,26 @@ def notebook_chunks(files: DataFrame) -> DataFrame:
 
 
 def percent_chunks(files: DataFrame) -> DataFrame:
-    """Chunks of scripts whose cells start with ``# %% [markdown]`` or ``# %% [code]`` lines."""
-    marker = r"(?md)^# %% \[(markdown|code)\][^\n]*(?:\n|\z)"
-    parts = F.split("content", r"(?md)^(?=# %% \[(?:markdown|code)\])")
-    cells = spread(files).select("path", F.posexplode(F.filter(parts, lambda p: p.rlike(r"\A# %% \["))).alias("cell_index", "part"))
-    body = F.regexp_replace(F.regexp_replace("part", r"\A" + marker, ""), r"\n+\z", "")
-    kind = F.regexp_extract("part", r"\A" + marker, 1)
+    """Chunks of scripts whose cells start with ``# %%`` lines, which may name ``[markdown]`` or ``[code]``.
+
+    A cell without a kind is code, and so is text before the first marker, or a whole file without markers.
+    """
+    head = r"# %%(?![^\s])"
+    marker = r"(?d)\A" + head + r"[ \t]*(?:\[(markdown|code)\])?[^\n]*(?:\n|\z)"
+    parts = F.filter(F.split("content", r"(?md)^(?=" + head + ")"), lambda p: p != "")
+    cells = spread(files).select("path", F.posexplode(parts).alias("cell_index", "part"))
+    body = F.regexp_replace(F.regexp_replace("part", marker, ""), r"\n+\z", "")
+    kind = F.when(F.regexp_extract("part", marker, 1) == "markdown", "markdown").otherwise("code")
     return number_cells(cells.select("path", "cell_index", kind.alias("cell_type"), body.alias("code")))
 
 
 def upsert(rows: DataFrame, key: str, sequence: str) -> DataFrame:
-    """Last written row per key. A maximum per key, so a key written very often costs no sort."""
-    others = [c for c in rows.columns if c != key]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*others), sequence).alias("__last"))
+    """Last written row per key. A maximum per key, so a key written very often costs no sort.
+
+    A null sequence counts as earliest; of rows with equal sequences the largest in the order of the other columns stays.
+    """
+    others = [c for c in rows.columns if c not in (key, sequence)]
+    last = rows.groupBy(key).agg(F.max(F.struct(sequence, *others)).alias("__last"))
     return last.select(key, "__last.*").select(*rows.columns)
 
 

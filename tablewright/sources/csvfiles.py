@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,33 @@ def _translate_texts(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumns({c: F.translate(col(c), old, new) for c in texts}) if texts else df
 
 
+# The words that stand for a missing value in a CSV field, as the usual data frame library reads them.
+MISSING_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN",
+    "None", "n/a", "nan", "null",
+]
+_GUESSES = ("int", "bigint", "double", "boolean", "date", "timestamp")
+
+
+def _guessed_types(texts: DataFrame) -> dict[str, str]:
+    """For each text column the first type that takes all its values, in one aggregate; a column without any stays text."""
+
+    def fits(c: str, t: str) -> Column:
+        value = F.btrim(col(c))
+        return F.lower(value).isin("true", "false") if t == "boolean" else value.try_cast(t).isNotNull()
+
+    checks = [
+        F.count_if(col(c).isNotNull() & ~fits(c, t)).alias(f"{i}_{t}")
+        for i, c in enumerate(texts.columns)
+        for t in _GUESSES
+    ]
+    known = [F.count(col(c)).alias(f"{i}_n") for i, c in enumerate(texts.columns)]
+    row = texts.agg(*checks, *known).first()
+    return {
+        c: next((t for t in _GUESSES if row[f"{i}_n"] and not row[f"{i}_{t}"]), "string") for i, c in enumerate(texts.columns)
+    }
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -37,18 +64,36 @@ def read_csv(
     sep: str = ",",
     encoding: str = "UTF-8",
     columns: Sequence[str] | None = None,
+    multiline: bool = True,
+    missing: Sequence[str] = MISSING_WORDS,
 ) -> DataFrame:
-    """CSV with a header row. Give ``schema`` for large files: inferring types reads the whole input once more.
+    """CSV with a header row. Give ``schema`` for large files: guessing types reads the whole input once more.
+
+    Quoted fields may hold line breaks. A file read so is one task; say ``multiline=False`` for large files that are known to have none, which
+    are then split. The ``missing`` words become null. Fields that do not fit their type become null.
 
     Spark reads no Windows-1252 by itself; it is read as Latin-1, and the bytes that differ are mapped in place.
     """
     windows = _is_cp1252(encoding)
-    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"')
+    reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
     reader = reader.option("encoding", "ISO-8859-1" if windows else encoding)
-    df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    if schema is None:
+        texts = reader.csv(path)
+    else:
+        wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        texts = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])).csv(path)
     if columns is not None:
-        df = df.select(*[col(c) for c in columns])
-    return _translate_texts(df, *_cp1252_pairs()) if windows else df
+        texts = texts.select(*[col(c) for c in columns])
+    if windows:
+        texts = _translate_texts(texts, *_cp1252_pairs())
+    texts = texts.select(*[F.when(~col(c).isin(*missing), col(c)).alias(c) for c in texts.columns])
+    types = _guessed_types(texts) if schema is None else {f.name: f.dataType for f in wanted.fields}
+    return texts.select(
+        *[
+            (col(c) if types[c] in ("string", T.StringType()) else F.btrim(col(c)).try_cast(types[c])).alias(c)
+            for c in texts.columns
+        ]
+    )
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", encoding: str = "UTF-8", mode: str = "errorifexists") -> None:

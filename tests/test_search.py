@@ -125,6 +125,14 @@ def test_vector_search(spark, k):
         assert [r["chunk_id"] for r in got if r["query_id"] == q] == order
 
 
+def test_null_vectors_are_refused(spark):
+    table = spark.createDataFrame([(1, [1.0]), (2, None)], "chunk_id int, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<float>")
+    with pytest.raises(Exception, match="null vector"):
+        vector_search(table, queries, 1).collect()
+    assert vector_search(fill_vectors(table, "embedding", 1), queries, 2).count() == 2
+
+
 def test_fill_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0, 2.0])], "id int, v array<float>")
     assert [r["v"] for r in fill_vectors(df, "v", 2).orderBy("id").collect()] == [[0.0, 0.0], [1.0, 2.0]]

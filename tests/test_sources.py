@@ -30,6 +30,43 @@ def test_csv_types_are_inferred_without_a_schema(spark, tmp_path):
     assert got.dtypes == [("a", "int"), ("b", "string")]
 
 
+def test_csv_keeps_line_breaks_and_reads_missing_words(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, 'say "x";\r\ny'), (3, "plain")]
+    write_csv(spark.createDataFrame(rows, "i int, t string"), str(tmp_path / "out"))
+    got = read_csv(spark, str(tmp_path / "out"), "i int, t string")
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb"), (2, 'say "x";\r\ny'), (3, "plain")]
+    (tmp_path / "in.csv").write_text("a,b,c,d\n1,NA,2020-01-02,yes\nnull,2.5,n/a,NaN\n3, 4 ,2021-01-01,no\n")
+    got = read_csv(spark, str(tmp_path / "in.csv"))
+    assert dict(got.dtypes) == {"a": "int", "b": "double", "c": "date", "d": "string"}
+    assert [r["b"] for r in got.orderBy("a").collect()] == [2.5, None, 4.0]
+    assert read_csv(spark, str(tmp_path / "in.csv"), "a int, b double, c date, d string").where("b is null or d is null").count() == 2
+
+
+def test_broken_notebook_fails(spark):
+    files = spark.createDataFrame([("x.ipynb", "{broken"), ("y.ipynb", '{"cells": []}')], "path string, content string")
+    assert notebook_chunks(files.where("path = 'y.ipynb'")).count() == 0
+    with pytest.raises(Exception, match="no notebook"):
+        notebook_chunks(files).collect()
+
+
+def test_percent_cells_without_markers(spark):
+    files = spark.createDataFrame(
+        [("a.py", "import x\n# %%\nbare = 1\n# %% [markdown]\n# Head\n# %%not a marker\n"), ("b.py", "whole = 2\n")], "path string, content string"
+    )
+    got = [tuple(r) for r in percent_chunks(files).select("source", "cell_type", "code").orderBy("source", "cell_index").collect()]
+    assert got == [
+        ("a.py", "code", "import x"),
+        ("a.py", "code", "bare = 1"),
+        ("a.py", "markdown", "# Head\n# %%not a marker"),
+        ("b.py", "code", "whole = 2"),
+    ]
+
+
+def test_upsert_with_null_and_equal_sequence(spark):
+    rows = spark.createDataFrame([("a", "x", None), ("b", "p", None), ("b", "q", 1), ("c", "m", 2), ("c", "n", 2)], "id string, v string, seq int")
+    assert {r["id"]: r["v"] for r in upsert(rows, "id", "seq").collect()} == {"a": "x", "b": "q", "c": "n"}
+
+
 def test_notebook_cells(spark, tmp_path):
     cells = [
         {"cell_type": "code", "source": ["a = 1\n", "b"]},
