@@ -94,8 +94,9 @@ def test_percent_cells(spark, tmp_path):
     (tmp_path / "s.py").write_text(text)
     got = percent_chunks(read_files(spark, str(tmp_path / "s.py"))).orderBy("cell_index").collect()
     assert [(r["chunk_id"], r["cell_type"], r["code"], r["heading"]) for r in got] == [
-        ("s_0", "markdown", "# Title\nbody", "Title"),
-        ("s_1", "code", "x = 1\n# %% other", "Title"),
+        ("s_0", "code", "intro", None),
+        ("s_1", "markdown", "# Title\nbody", "Title"),
+        ("s_2", "code", "x = 1", "Title"),
     ]
 
 
