@@ -62,6 +62,15 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
     return df.mapInArrow(run, schema)
 
 
+def portions(batches, limit: int = 8_000_000, column: str = "text"):
+    """Record batches cut so that the texts of each hold about ``limit`` bytes at most, or are one text."""
+    for batch in batches:
+        size = batch.column(column).nbytes
+        rows = batch.num_rows if size <= limit else max(1, batch.num_rows * limit // size)
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import extended, map_batches, small_or_plain, text_bytes, written
+from tablewright.llm.common import extended, map_batches, portions, small_or_plain, text_bytes, written
 
 WINDOW = 50
 KEY = 20
@@ -139,7 +139,7 @@ def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int) -> Da
 
     def gather(batches):
         anchors = Anchors(window, key)
-        for batch in batches:
+        for batch in portions(batches):
             parts = []
             for doc, tid, text in zip(batch.column("doc").to_pylist(), batch.column("tid").to_pylist(), text_bytes(batch.column("text")), strict=True):
                 h, pos, left, count = anchors.of(text)
@@ -273,7 +273,7 @@ def _covered(texts: DataFrame, spots: DataFrame, buckets: int, window: int, key:
             yield _compare_bucket(held, window, key)
 
     joined = texts.join(spots, ["doc", "tid"])
-    pieces = map_batches(joined, cut, "bucket int, piece binary, left long, doc long, tid long, start long")
+    pieces = joined.mapInArrow(lambda bs: map(cut, portions(bs)), "bucket int, piece binary, left long, doc long, tid long, start long")
     sorted_rows = pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     covers = written(sorted_rows.mapInArrow(compare, "doc long, tid long, start long, bits long"), "covers")
     return covers.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "bits")).alias("covers"))
@@ -379,5 +379,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, bucket
         return pa.RecordBatch.from_arrays(columns, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     schema = extended(docs, "n_bytes long, n_removed long, n_spans long, kept binary")
-    return tagged.select(*docs.columns, "__doc", "__text", "__first", "__covers").mapInArrow(lambda bs: map(finish, bs), schema)
+    return tagged.select(*docs.columns, "__doc", "__text", "__first", "__covers").mapInArrow(lambda bs: map(finish, portions(bs, column="__text")), schema)
 
