@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,19 +123,51 @@ def fit_and_score(
     return model, regression_metrics(scored, target, "prediction").select(F.lit(name).alias("model"), "*")
 
 
+def rounds_with_patience(errors: Sequence[float], patience: int) -> int:
+    """Rounds up to the best error, where the search ends once ``patience`` rounds in a row have not beaten it."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def first_trees(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model after so many rounds."""
+    java = model._java_obj
+    trees = java.trees()
+    kept = SparkContext._gateway.new_array(SparkContext._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    weights = SparkContext._gateway.new_array(SparkContext._jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], weights[i] = trees[i], float(java.treeWeights()[i])
+    made = SparkContext._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), kept, weights, java.numFeatures())
+    short = GBTRegressionModel(made)
+    short._resetUid(model.uid)
+    return model._copyValues(short)
+
+
 def fit_boosting_with_stop(
-    train: DataFrame, valid_flag: str, rounds: int = 1648, depth: int = 8, rate: float = 0.05, share: float = 0.8, seed: int = 42
-) -> Model:
-    """Long boosting run that ends when the flagged rows stop improving."""
-    ensure_checkpoint_dir(train.sparkSession)
-    return GBTRegressor(
-        maxIter=rounds,
-        maxDepth=depth,
-        stepSize=rate,
-        subsamplingRate=share,
-        validationIndicatorCol=valid_flag,
-        seed=seed,
-    ).fit(train)
+    rows: DataFrame,
+    valid_flag: str,
+    rounds: int = 1648,
+    depth: int = 8,
+    rate: float = 0.05,
+    share: float = 0.8,
+    seed: int = 42,
+    patience: int = 50,
+) -> GBTRegressionModel:
+    """Long boosting run, kept up to the round after which the squared error on the flagged rows did not fall for ``patience`` rounds.
+
+    Spark's own stop has no patience: it ends with the first round that gains too little.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    model = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed).fit(
+        rows.where(~F.col(valid_flag))
+    )
+    errors = model.evaluateEachIteration(rows.where(valid_flag), "squared")
+    return first_trees(model, rounds_with_patience(errors, patience))
 
 
 def capacity_sweep(

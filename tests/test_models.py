@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tablewright.operators import metrics as M
@@ -159,6 +160,29 @@ def test_schema_table(spark):
     assert tuple(M.schema_summary(train, None).first()) == ("", "", "", 0, "test_absent")
 
 
+def test_patience():
+    assert R.rounds_with_patience([5, 4, 4.5, 3, 3.5, 3.2, 3.1, 2], 3) == 4
+    assert R.rounds_with_patience([5, 4, 4.5, 3, 3.5, 3.2, 3.1, 2], 5) == 8
+    assert R.rounds_with_patience([1.0], 2) == 1
+
+
+def test_boosting_keeps_the_best_prefix(spark):
+    rng = np.random.default_rng(3)
+    x = rng.random(300)
+    pdf = pd.DataFrame({"x": x, "label": np.sin(6 * x) + rng.normal(size=300) * 0.4, "v": np.arange(300) % 3 == 0})
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(pdf)).cache()
+    slow = R.fit_boosting_with_stop(rows, "v", rounds=15, depth=2, rate=0.01)
+    assert slow.getNumTrees == 15
+    model = R.fit_boosting_with_stop(rows, "v", rounds=25, depth=4, rate=0.5, patience=6)
+    whole = GBTRegressor(maxIter=25, maxDepth=4, stepSize=0.5, subsamplingRate=0.8, seed=42).fit(rows.where("not v"))
+    errors = whole.evaluateEachIteration(rows.where("v"), "squared")
+    kept = model.getNumTrees
+    assert kept < 25 and errors[kept - 1] == min(errors[: kept + 6])
+    got = [r[0] for r in model.transform(rows.where("v")).select("prediction").collect()]
+    y = pdf[pdf.v]["label"].to_numpy()
+    assert np.mean((np.array(got) - y) ** 2) == pytest.approx(errors[kept - 1])
+
+
 def test_rounds():
     assert plan_round(None, None, False) == (["ridge", "rf", "gb"], 0.98)
     assert plan_round(None, None, True)[0][0] == "extratrees"
