@@ -220,16 +220,15 @@ def nearest(spark, sf_dir):
 
 
 def _customer_supplier_pairs(spark, sf_dir):
-    """Each customer with the first supplier of the same nation."""
-    suppliers = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("place_id"))
+    """Each customer with one supplier, so that the customers go round all suppliers."""
     points = view(spark, sf_dir, "fx_points").withColumnsRenamed({"lat": "lat1", "lon": "lon1"})
     places = view(spark, sf_dir, "fx_places").select("place_id", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return points.join(suppliers, F.col("c_nationkey") == F.col("s_nationkey")).join(places, "place_id")
+    last = places.agg(F.max("place_id")).scalar()
+    return points.withColumn("__to", F.col("point_id") % (last + 1)).join(places, F.col("__to") == F.col("place_id"))
 
 
-_PAIR_SQL = using("fx_points", "fx_places") + """, firsts as (select s_nationkey, min(s_suppkey) as sk from supplier
-    group by s_nationkey)"""
-_PAIR_FROM = "fx_points p join firsts on s_nationkey = c_nationkey join fx_places c on c.place_id = sk"
+_PAIR_SQL = using("fx_points", "fx_places")
+_PAIR_FROM = "fx_points p join fx_places c on c.place_id = p.point_id % (select max(place_id) + 1 from fx_places)"
 
 
 @query("geo_distance", _PAIR_SQL + f" select point_id, place_id, round({_km_sql('p', 'c')}, 6) as km from {_PAIR_FROM}")

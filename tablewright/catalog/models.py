@@ -222,6 +222,23 @@ def score_absent(spark, sf_dir):
     return rounded(score_batch(model, test, types, ["row_id"]), 2)
 
 
+@query(
+    "score_batch_absent_feature",
+    using("fx_model")
+    + f""", placed as (select *, {bucket_sql('row_id', 'holdout')} % 10000 < 2000 as v from fx_model),
+    train as (select * from placed where not v), two as ({_TWO.format(g='1', w='train')}), fit as ({_SOLVE}),
+    fill as (select median(sum_qty) as q from train)
+    select row_id, round({_PREDICT.replace('sum_qty', 'q')}, 4) as prediction from placed, fit, fill where v""",
+)
+def score_one_absent(spark, sf_dir):
+    """The test table lacks one of the two features; its fitted median stands in."""
+    split = holdout_split(_model_table(spark, sf_dir), "row_id")
+    train, features = split.where("not is_valid"), ["n_lines", "sum_qty"]
+    model = M.fit_pipeline(train, "revenue", features, "ridge")
+    types = {c: t for c, t in train.dtypes if c in features}
+    return rounded(score_batch(model, split.where("is_valid").drop("revenue", "sum_qty"), types, ["row_id"]), 4)
+
+
 @query("robustness_shift_trees")
 def tree_shift(spark, sf_dir):
     from tablewright.plans.training_loop import prediction_shift
