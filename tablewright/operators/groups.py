@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.functions.columns import col, number, per_column
 
 MAX_FLAG_COLUMNS = 5000
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 * 1024 * 1024
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` is counted to hold at most ``rows`` rows; otherwise leave the choice to Spark."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: eight for a plain value, its own length for a text, its JSON for anything nested."""
+    parts = [F.lit(8 * len(df.columns))]
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(col(f.name)), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.octet_length(F.to_json(F.struct(col(f.name)))))
+    return reduce(Column.__add__, parts).cast("bigint")
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when ``df`` holds at most ``rows`` rows and about ``size`` bytes; otherwise leave the choice to Spark."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found["rows"] <= rows and found["size"] <= size else df
 
 
 def group_mean(df: DataFrame, key: str, value: str, out: str = "mean_value") -> DataFrame:

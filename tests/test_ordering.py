@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tablewright.operators.groups import small_side
 from tablewright.operators.metrics import roc_auc
 from tablewright.operators.ordering import fill_forward, with_hash_rank, with_row_index, with_running_totals
 from tablewright.operators.quantiles import exact_quantiles
@@ -122,3 +123,13 @@ def test_stratified_split_keeps_shares(spark):
     for row in got.groupBy("s").agg({"*": "count", "is_valid": "max"}).collect():
         n_valid = got.where(got.s.eqNullSafe(row["s"]) & got.is_valid).count()
         assert n_valid == int(row["count(1)"] * 0.2)
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    df = spark.sql("select id, repeat('x', 100) as t, array(id) as a, map('k', id) as m from range(1000)")
+
+    def hinted(side):
+        return "ResolvedHint" in side._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(small_side(df)) and hinted(small_side(df.limit(0)))
+    assert not hinted(small_side(df, rows=999)) and not hinted(small_side(df, size=100_000))
