@@ -33,7 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing will read again."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        place = context._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import written
+from tablewright.llm.common import forget, written
 
 
 def smallest_reachable(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -33,6 +33,7 @@ def smallest_reachable(links: DataFrame, a: str, b: str) -> DataFrame:
         small = written(small.distinct(), "edges")
         before = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
         after = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
+        forget(edges, large)
         edges = small
         if before == after:
             break

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import map_batches, small_or_plain, text_bytes, written
+from tablewright.llm.common import forget, map_batches, small_or_plain, text_bytes, written
 from tablewright.llm.components import smallest_reachable
 from tablewright.llm.simhash import fingerprint, fingerprint_links, shingles
 
@@ -123,10 +123,11 @@ def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, simila
         return pa.RecordBatch.from_arrays([*columns, pa.array(keepers, pa.int64())], ["comp", "doc_id", "grams", "kept_id"])
 
     grouped = F.sort_array(F.collect_list(F.struct("doc_id", "grams")))
-    done = []
+    done, steps = [], [open_rows]
     while True:
         sizes = open_rows.groupBy("comp").agg(F.count("*").alias("n"))
         large = written(sizes.where(F.col("n") > group_rows).select("comp"), "large")
+        steps.append(large)
         small = open_rows.join(large, "comp", "left_anti").groupBy("comp").agg(grouped.alias("rows"))
         done.append(map_batches(small, settle, "comp long, doc_id long, kept_id long, grams binary").select("doc_id", "kept_id"))
         if large.isEmpty():
@@ -146,9 +147,12 @@ def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, simila
         leaders = batch.where("doc_id = kept_id").groupBy("comp").agg(grouped.alias("leaders"))
         others = rest.join(batch.select("comp", "doc_id"), ["comp", "doc_id"], "left_anti").join(leaders, "comp")
         followed = written(map_batches(others, follow, kind + ", kept_id long"), "followed")
+        steps += [batch, followed]
         done.append(followed.where("kept_id is not null").select("doc_id", "kept_id"))
         open_rows = followed.where("kept_id is null").select("comp", "doc_id", "grams")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return written(out, "decided")
+    out = written(out, "decided")
+    forget(*steps)
+    return out

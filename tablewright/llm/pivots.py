@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablewright.llm.common import map_batches, written
+from tablewright.llm.common import forget, map_batches, written
 
 PIVOTS = 32
 RINGS = 16
@@ -198,5 +198,7 @@ def top_products(index: PivotIndex, queries: DataFrame, k: int = 10) -> DataFram
         found = map_batches(pairs.join(index.blocks, "ring"), score, kind)
         if best is not None:
             found = found.unionByName(best.select("query_id", "vec_id", "score"))
-        best = written(found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "best")
+        before, best = best, written(found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k), "best")
+        if before is not None:
+            forget(before)
     return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -17,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import small_or_plain, written
+from tablewright.llm.common import forget, small_or_plain, written
 
 
 @dataclass(frozen=True)
@@ -154,12 +154,15 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     wanted = sorted({t for q in queries for alternatives in q for needed in alternatives for t in needed})
     if not wanted:
         return docs.select("key", F.lit(0).alias("rules")).limit(0)
-    held = written(postings(docs, wanted).distinct(), "postings").groupBy("key").agg(F.collect_set("trigram").alias("held"))
+    index = written(postings(docs, wanted).distinct(), "postings")
+    held = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))
     bits = F.lit(0)
     for i, q in enumerate(queries):
         if q:
             bits = bits + F.when(_holds(F.col("held"), q), 1 << i).otherwise(0)
-    return held.select("key", bits.alias("rules")).where("rules <> 0")
+    found = written(held.select("key", bits.alias("rules")).where("rules <> 0"), "candidates")
+    forget(index)
+    return found
 
 
 def matches(text: Column, rule: Rule, order: int) -> Column:
@@ -192,7 +195,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     indexed = docs.select(key.alias("key"), text.alias("text"))
-    able = written(candidates(indexed, rules), "candidates")
+    able = candidates(indexed, rules)
     count = able.count()
     able = able.select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
     joined = docs.join(small_or_plain(able, count), key == F.col("__key"), "left").withColumn("__text", text)

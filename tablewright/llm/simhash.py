@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import map_batches, small_or_plain, text_bytes, written
+from tablewright.llm.common import forget, map_batches, small_or_plain, text_bytes, written
 from tablewright.llm.components import smallest_reachable
 
 #: Fingerprints of one bucket that a task compares with each other.
@@ -108,7 +108,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
 
     ``fps`` has one row for each distinct fingerprint, in the column ``fp``.
     """
-    links = []
+    links, steps = [], []
     # "done" names the tables that a bucket came through; "kept" has the bits that its members share.
     level = fps.select("fp", F.lit("").alias("done"), F.lit(0).cast("long").alias("kept"), F.lit(0).cast("long").alias("common"))
     free = {"": list(range(64))}
@@ -128,6 +128,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
             F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")
         ).where("n > 1")
         buckets = written(buckets, "buckets")
+        steps.append(buckets)
         close = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius
         links.append(buckets.where("n = 2").where(close).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
         sizes = buckets.groupBy().agg(F.count_if(F.col("n") > 2).alias("some"), F.count_if(~small).alias("many")).first()
@@ -151,12 +152,15 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
         level = written(
             keyed.join(large, ["table", "kept", "common"]).select("fp", F.col("table").alias("done"), "kept", "common"), "level"
         )
+        steps += [large, level]
         kept = {r["table"]: r["kept"] for r in large.select("table", "kept").distinct().collect()}  # at most the tables so far
         free = {t: [p for p in range(64) if not (k >> p) & 1] for t, k in kept.items()}
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
-    return written(out.distinct(), "links")
+    out = written(out.distinct(), "links")
+    forget(*steps)
+    return out
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import extended, map_batches, portions, small_or_plain, text_bytes, written
+from tablewright.llm.common import extended, forget, map_batches, portions, small_or_plain, text_bytes, written
 
 WINDOW = 50
 KEY = 20
@@ -135,7 +135,7 @@ def _unpack_anchors(data: bytes) -> np.ndarray:
 
 
 def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int) -> DataFrame:
-    """``(doc, tid, spots)``: places of anchors that more than one document has, packed as in ``_spot``."""
+    """``(doc, tid, spot)``: places of anchors that more than one document has, packed as in ``_spot``."""
 
     def gather(batches):
         anchors = Anchors(window, key)
@@ -194,8 +194,7 @@ def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int) -> Da
 
     packed = texts.mapInArrow(gather, "bucket int, asking binary, known binary")
     lists = packed.groupBy("bucket").agg(F.collect_list("asking").alias("asking"), F.collect_list("known").alias("known"))
-    spots = written(map_batches(lists, answer, "doc long, tid long, spot long"), "anchors")
-    return spots.groupBy("doc", "tid").agg(F.collect_set("spot").alias("spots"))
+    return written(map_batches(lists, answer, "doc long, tid long, spot long"), "anchors")
 
 
 def _spot(pos: np.ndarray, left: np.ndarray, windows: np.ndarray) -> np.ndarray:
@@ -272,10 +271,11 @@ def _covered(texts: DataFrame, spots: DataFrame, buckets: int, window: int, key:
         if held:
             yield _compare_bucket(held, window, key)
 
-    joined = texts.join(spots, ["doc", "tid"])
+    joined = texts.join(spots.groupBy("doc", "tid").agg(F.collect_set("spot").alias("spots")), ["doc", "tid"])
     pieces = joined.mapInArrow(lambda bs: map(cut, portions(bs)), "bucket int, piece binary, left long, doc long, tid long, start long")
     sorted_rows = pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     covers = written(sorted_rows.mapInArrow(compare, "doc long, tid long, start long, bits long"), "covers")
+    forget(spots)
     return covers.groupBy("doc", "tid").agg(F.collect_list(F.struct("start", "bits")).alias("covers"))
 
 
