@@ -13,8 +13,8 @@ from pyspark.sql.types import StructType
 
 from tablewright.runtime import scratch_path
 
-#: A side of a join is sent to every task only up to this many rows of at most 32 bytes (64 MB).
-BROADCAST_ROWS = 2_000_000
+#: A side of a join is sent to every task only up to this many bytes.
+BROADCAST_BYTES = 64_000_000
 #: Long texts go through numpy in pieces of this many bytes.
 BLOCK_BYTES = 1 << 20
 
@@ -52,9 +52,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def small_or_plain(df: DataFrame, rows: int) -> DataFrame:
-    """Mark ``df``, whose row count the caller knows, for a broadcast if it is small enough; else leave it to a shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small_or_plain(df: DataFrame, rows: int, width: int = 32) -> DataFrame:
+    """Mark ``df`` for a broadcast if its rows, which the caller has counted, are few enough for their width; else leave it to a shuffle."""
+    return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str) -> DataFrame:

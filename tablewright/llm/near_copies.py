@@ -101,7 +101,7 @@ def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, simila
         return pa.RecordBatch.from_arrays([*columns, pa.array([grams[i] for i in keep], pa.binary())], ["comp", "doc_id", "grams"])
 
     kind = "comp long, doc_id long, grams binary"
-    texts = rows.join(small_or_plain(members, count), "doc_id").select("comp", "doc_id", "same", "text")
+    texts = rows.join(small_or_plain(members, count, 64), "doc_id").select("comp", "doc_id", "same", "text")
     open_rows = written(map_batches(texts, sets, kind).dropDuplicates(["comp", "doc_id"]), "open")
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -135,7 +135,7 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
         if sizes["some"]:
             compared = buckets.where("n > 2").where(small).select("table", "kept", "common")
             middle = (
-                keyed.join(small_or_plain(compared, sizes["some"]), ["table", "kept", "common"])
+                keyed.join(small_or_plain(compared, sizes["some"], 256), ["table", "kept", "common"])
                 .groupBy("table", "kept", "common")
                 .agg(F.collect_list("fp").alias("fps"))
                 .select("fps")

@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, bucket
     )
     buckets = max(8, -(-(copies.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
     repeated = copies.where("n > 1").select("sha", "first")
-    repeated = small_or_plain(repeated, repeated.count())
+    repeated = small_or_plain(repeated, repeated.count(), 64)
     tid = F.xxhash64("text").alias("tid")
     alone = (
         hashed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= window))
