@@ -34,10 +34,6 @@ BLOCKS = 2
 GROUP_ROWS = 128
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(b, np.uint64) for b in column.to_pylist()]
-
-
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether the Jaccard similarity of two sorted sets reaches ``least``."""
     small, large = sorted((len(a), len(b)))
@@ -115,24 +111,29 @@ def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, simila
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["comp", "doc_id", "kept_id", "grams"])
 
     def follow(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Members against the documents of their component that were kept in this round; null where none is similar."""
-        keepers = []
-        for own, leaders in zip(_sets(batch.column("grams")), batch.column("leaders").to_pylist(), strict=True):
-            keepers.append(next((r["doc_id"] for r in leaders if similar(own, np.frombuffer(r["grams"], np.uint64), similarity)), None))
-        columns = [batch.column(c) for c in ("comp", "doc_id", "grams")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(keepers, pa.int64())], ["comp", "doc_id", "grams", "kept_id"])
+        """Blocks of members against the documents of their component that were kept in this round; null where none is similar."""
+        out = ([], [], [], [])
+        for comp, group, leaders in zip(*(batch.column(c).to_pylist() for c in ("comp", "rows", "leaders")), strict=True):
+            kept = [(r["doc_id"], np.frombuffer(r["grams"], np.uint64)) for r in leaders]
+            for r in group:
+                own = np.frombuffer(r["grams"], np.uint64)
+                keeper = next((doc for doc, other in kept if similar(own, other, similarity)), None)
+                for column, value in zip(out, (comp, r["doc_id"], r["grams"], keeper), strict=True):
+                    column.append(value)
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["comp", "doc_id", "grams", "kept_id"])
 
     grouped = F.sort_array(F.collect_list(F.struct("doc_id", "grams")))
     done, steps = [], [open_rows]
     while True:
         sizes = open_rows.groupBy("comp").agg(F.count("*").alias("n"))
-        large = written(sizes.where(F.col("n") > group_rows).select("comp"), "large")
+        large = written(sizes.where(F.col("n") > group_rows), "large")
         steps.append(large)
-        small = open_rows.join(large, "comp", "left_anti").groupBy("comp").agg(grouped.alias("rows"))
+        small = open_rows.join(large.select("comp"), "comp", "left_anti").groupBy("comp").agg(grouped.alias("rows"))
         done.append(map_batches(small, settle, "comp long, doc_id long, kept_id long, grams binary").select("doc_id", "kept_id"))
         if large.isEmpty():
             break
-        rest = open_rows.join(large, "comp", "left_semi")
+        rest = open_rows.join(large, "comp")
         # The smallest ids of each large component: as many as a partial aggregate keeps, then of those again.
         smallest = rest.groupBy("comp", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")).agg(F.min("doc_id").alias("doc_id"))
         batch = written(
@@ -145,8 +146,11 @@ def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, simila
         )
         done.append(batch.select("doc_id", "kept_id"))
         leaders = batch.where("doc_id = kept_id").groupBy("comp").agg(grouped.alias("leaders"))
-        others = rest.join(batch.select("comp", "doc_id"), ["comp", "doc_id"], "left_anti").join(leaders, "comp")
-        followed = written(map_batches(others, follow, kind + ", kept_id long"), "followed")
+        others = rest.join(batch.select("comp", "doc_id"), ["comp", "doc_id"], "left_anti")
+        # In blocks, so that the kept ones travel with a block and not with every member.
+        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / group_rows))
+        blocks = others.groupBy("comp", block.alias("block")).agg(grouped.alias("rows")).join(leaders, "comp")
+        followed = written(map_batches(blocks.select("comp", "rows", "leaders"), follow, kind + ", kept_id long"), "followed")
         steps += [batch, followed]
         done.append(followed.where("kept_id is not null").select("doc_id", "kept_id"))
         open_rows = followed.where("kept_id is null").select("comp", "doc_id", "grams")
