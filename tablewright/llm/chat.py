@@ -181,7 +181,6 @@ def format_chats(conversations: DataFrame, model: RoleModel) -> DataFrame:
 
     ``role`` in the input is never looked at. Different rows with the same turn go on numbering their parts.
     """
-    shared = conversations.sparkSession.sparkContext.broadcast(model)
     n = len(ROLES)
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -190,7 +189,7 @@ def format_chats(conversations: DataFrame, model: RoleModel) -> DataFrame:
             part = 0
             for text in texts:
                 for role, block in blocks(text):
-                    for column, value in zip(out, (turn, part, shared.value.evidence(role, block).tolist(), block), strict=True):
+                    for column, value in zip(out, (turn, part, model.evidence(role, block).tolist(), block), strict=True):
                         column.append(value)
                     part += 1
         return out
@@ -215,12 +214,12 @@ def format_chats(conversations: DataFrame, model: RoleModel) -> DataFrame:
         return np.array([[*r["evidence"], -np.inf] for r in rows])
 
     def matrices(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, steps = _opening(shared.value)
+        _, steps = _opening(model)
         flat = [transfer(wide(rows), steps).ravel().tolist() for rows in batch.column("rows").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("chunk"), pa.array(flat, pa.list_(pa.float64()))], ["conv_id", "chunk", "matrix"])
 
     def borders(batch: pa.RecordBatch) -> pa.RecordBatch:
-        before, _ = _opening(shared.value)
+        before, _ = _opening(model)
         out = ([], [], [], [])
         for conv, chain in zip(batch.column("conv_id").to_pylist(), batch.column("chain").to_pylist(), strict=True):
             best, back = before, []
@@ -240,7 +239,7 @@ def format_chats(conversations: DataFrame, model: RoleModel) -> DataFrame:
     ends = map_batches(chains, borders, "conv_id long, chunk long, enters long, leaves long")
 
     def decide(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, steps = _opening(shared.value)
+        _, steps = _opening(model)
         out = ([], [], [], [])
         columns = (batch.column(c).to_pylist() for c in ("conv_id", "rows", "enters", "leaves"))
         for conv, rows, enters, leaves in zip(*columns, strict=True):

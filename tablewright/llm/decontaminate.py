@@ -219,7 +219,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WOR
 
 
 def _with_leaks(docs: DataFrame, part: Items, kind: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(part)
     hasher = WordHasher()
 
     def leaks_of(hashes: np.ndarray, items: Items) -> list[dict]:
@@ -242,7 +241,7 @@ def _with_leaks(docs: DataFrame, part: Items, kind: str) -> DataFrame:
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
         before = batch.column("leaks").to_pylist()
-        found = [b + leaks_of(hasher.words(t).hashes, shared.value) for b, t in zip(before, _lower(batch.column("text").cast(pa.string())), strict=True)]
+        found = [b + leaks_of(hasher.words(t).hashes, part) for b, t in zip(before, _lower(batch.column("text").cast(pa.string())), strict=True)]
         keep = [i for i, n in enumerate(batch.schema.names) if n != "leaks"]
         columns = [batch.column(i) for i in keep] + [pa.array(found, batch.schema.field("leaks").type)]
         return pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in keep), "leaks"])

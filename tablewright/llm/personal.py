@@ -380,7 +380,6 @@ def field_spans(text: str, model: SemiMarkov, known: dict[str, list], confidence
 def find_personal(docs: DataFrame, model: SemiMarkov | None) -> DataFrame:
     """``docs`` with ``personal``: ``array<struct<kind, start, stop, base>>`` by kind, then start, in code points, the end exclusive."""
     docs = docs.drop("personal")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind_type = "array<struct<kind:int,start:bigint,stop:bigint,base:boolean>>"
     schema = extended(docs, f"personal {kind_type}")
 
@@ -392,8 +391,8 @@ def find_personal(docs: DataFrame, model: SemiMarkov | None) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 base = pattern_spans(text or "")
                 rows = [(k, a, b, True) for k, a, b in base]
-                if shared.value is not None and text and _TRIGGER.search(text):
-                    more = field_spans(text, shared.value, known)
+                if model is not None and text and _TRIGGER.search(text):
+                    more = field_spans(text, model, known)
                     rows += [(k, a, b, False) for k, a, b in _apart(more, base)]
                 rows.sort(key=lambda r: r[:2])
                 out.append([dict(zip(("kind", "start", "stop", "base"), r, strict=True)) for r in rows])

@@ -177,10 +177,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score reaches the threshold)."""
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = [shared.value.score(t) for t in text_bytes(batch.column("text"))]
+        scores = [model.score(t) for t in text_bytes(batch.column("text"))]
         columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
         return pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
 

@@ -200,10 +200,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score reaches the threshold)."""
     docs = docs.drop("score", "predicted")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        scorer = Scorer(shared.value)
+        scorer = Scorer(model)
         for batch in batches:
             scores = [scorer.score(t or "") for t in batch.column("text").to_pylist()]
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
