@@ -1,7 +1,7 @@
 """Toxicity scores by weak supervision.
 
 Many voters look for one word, word beginning or pattern each and abstain where they find nothing; one more fires where no lexicon voter
-does, and the annotators of the labelled rows are a voter too. A generative label model (a hidden label, and for every voter how
+does, and the annotators of the labelled rows are a voter too, whose accuracy is given. A generative label model (a hidden label, and for every voter how
 often it fires under either label) is fitted to their votes by expectation maximization; correlations between voters, beyond what the
 label explains, share the weight of voters that say the same. Its posterior labels train a linear classifier on words and word
 beginnings, whose margins Platt scaling turns into scores.
@@ -33,6 +33,8 @@ VOTERS = 400
 VOCABULARY = 20_000
 #: A key must be in so many sampled texts to be a voter or a feature.
 LEAST_TEXTS = 4
+#: The annotators are taken to be right in this share of the rows.
+ANNOTATORS = 0.98
 _BEGINNINGS = (4, 5, 6, 7, 8)
 #: Patterns that vote, by the share of characters or words they take: all of a voter's name, what it counts, and the least share.
 _PATTERNS = tuple((f"{kind}{least:g}", kind, least) for kind in ("shouts", "capitals") for least in (0.01, 0.05, 0.2))
@@ -67,10 +69,13 @@ def pattern_votes(text: str) -> np.ndarray:
     return np.array([share[kind] >= least for _, kind, least in _PATTERNS])
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(
+    votes: np.ndarray, start: np.ndarray, given: np.ndarray | float = 0.0, rounds: int = 40
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row of ``votes`` (fires or abstains), and each voter's rate under labels 1 and 0.
 
-    ``start`` is the first guess of the posterior; its mean is the share of label 1. A voter that abstains says nothing.
+    ``start`` is the first guess of the posterior; its mean is the share of label 1. A voter that abstains says nothing. ``given``
+    is the evidence (a log ratio for each row) of voters whose accuracy is known.
     """
     votes = votes.astype(np.float64)
     prior = float(np.clip(start.mean(), 0.01, 0.99))
@@ -85,10 +90,10 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 40) -> tuple
         rest = votes - (post[:, None] * rate1 + (1 - post)[:, None] * rate0)
         sd = np.sqrt((rest**2).mean(axis=0)) + 1e-9
         linked = np.clip((rest.T @ rest) / len(votes) / np.outer(sd, sd), 0.0, 1.0)
-        linked[linked < 0.5] = 0.0
+        linked[linked < 0.2] = 0.0
         np.fill_diagonal(linked, 1.0)
         weight = 1.0 / linked.sum(axis=0)
-        new = sigmoid(np.log(prior / (1 - prior)) + votes @ (weight * np.log(rate1 / rate0)))
+        new = sigmoid(np.log(prior / (1 - prior)) + votes @ (weight * np.log(rate1 / rate0)) + given)
         if np.abs(new - post).max() < 1e-4:
             post = new
             break
@@ -184,13 +189,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows:
     y = np.array([r["y"] for r in got])
     column = np.full(len(vocabulary), -1)
     column[lexicon] = np.arange(len(lexicon))
-    votes = np.zeros((len(got), len(lexicon) + len(_PATTERNS) + 3), bool)
+    votes = np.zeros((len(got), len(lexicon) + len(_PATTERNS) + 1), bool)
     for i, (r, held) in enumerate(zip(got, rows_held, strict=True)):
         fires = column[held]
         votes[i, fires[fires >= 0]] = True
-        votes[i, len(lexicon) : -3] = np.unpackbits(np.frombuffer(bytes(r["votes"]), np.uint8))[: len(_PATTERNS)].astype(bool)
-        votes[i, -3:] = not (fires >= 0).any(), y[i] == 1, y[i] == 0
-    post, _, _ = label_model(votes, y)
+        votes[i, len(lexicon) : -1] = np.unpackbits(np.frombuffer(bytes(r["votes"]), np.uint8))[: len(_PATTERNS)].astype(bool)
+        votes[i, -1] = not (fires >= 0).any()
+    post, _, _ = label_model(votes, y, np.where(y == 1, 1.0, -1.0) * np.log(ANNOTATORS / (1 - ANNOTATORS)))
     w, bias = fit_linear(rows_held, post, len(vocabulary))
     margins = np.array([w[h].sum() + bias for h in rows_held])
     slope, offset = platt(margins, y)
