@@ -31,7 +31,7 @@ SIMILARITY = 0.8
 RADIUS = 9
 BLOCKS = 2
 #: Documents of a component that one task decides.
-GROUP_ROWS = 128
+GROUP_ROWS = 512
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -134,8 +134,8 @@ def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, simila
         if large.isEmpty():
             break
         rest = open_rows.join(large, "comp")
-        # The smallest ids of each large component: as many as a partial aggregate keeps, then of those again.
-        smallest = rest.groupBy("comp", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt")).agg(F.min("doc_id").alias("doc_id"))
+        # Some small ids of each large component, as many as one task decides.
+        smallest = rest.groupBy("comp", F.pmod(F.xxhash64("doc_id"), F.lit(group_rows)).alias("salt")).agg(F.min("doc_id").alias("doc_id"))
         batch = written(
             map_batches(
                 rest.join(smallest.select("comp", "doc_id"), ["comp", "doc_id"]).groupBy("comp").agg(grouped.alias("rows")),
