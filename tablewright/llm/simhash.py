@@ -6,8 +6,8 @@ counted. Texts are linked when their fingerprints differ in at most ``radius`` b
 Search: every bit position gets a vector of ``radius + 1`` bits (none is zero); for each non-zero vector v one table keeps the
 bits whose vector has an odd product with v. Any ``radius`` positions leave some v orthogonal to all of them, so a pair within
 the radius agrees on all bits which that table keeps: no pair is lost. Equal fingerprints are one row from the start. A bucket
-of two is compared as it is; one of up to ``BUCKET_ROWS`` fingerprints in one task, which hands on a spanning forest, never all
-pairs; a larger one is cut further by the same masks over the bits that its table has left out, as often as it takes.
+of up to ``BUCKET_ROWS`` fingerprints is compared in one task, which hands on a spanning forest, never all pairs; buckets are counted
+first, and a larger one is cut further by the same masks over the bits that its table has left out, as often as it takes.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others; rows with a null id take no part;
 repeated ids are told apart by their fingerprints and share their smallest component; an empty table gives no rows.
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import forget, map_batches, small_or_plain, text_bytes, written
+from tablewright.llm.common import forget, map_batches, text_bytes, written
 from tablewright.llm.components import smallest_reachable
 
 #: Fingerprints of one bucket that a task compares with each other.
@@ -86,6 +86,7 @@ def covering_masks(positions: list[int], radius: int, blocks: int = 1) -> list[i
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges that connect what links within the radius connect: a breadth-first search, one row of distances at a time."""
     fps = np.unique(fps)
+    bits = fps.view(np.uint64)  # of a signed number numpy counts the bits of its absolute value
     left = np.ones(len(fps), bool)
     edges = []
     for root in range(len(fps)):
@@ -96,7 +97,7 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         while front:
             at = front.pop()
             rest = np.flatnonzero(left)
-            near = rest[np.bitwise_count(fps[rest] ^ fps[at]) <= radius]
+            near = rest[np.bitwise_count(bits[rest] ^ bits[at]) <= radius]
             left[near] = False
             front.extend(near.tolist())
             edges.extend((int(fps[at]), int(fps[j])) for j in near)
@@ -124,35 +125,24 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
             .select("fp", "table", (F.col("kept").bitwiseOR(F.col("mask"))).alias("kept"))
             .withColumn("common", F.col("fp").bitwiseAND(F.col("kept")))
         )
-        buckets = keyed.groupBy("table", "kept", "common").agg(
-            F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")
-        ).where("n > 1")
-        buckets = written(buckets, "buckets")
-        steps.append(buckets)
-        close = F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius
-        links.append(buckets.where("n = 2").where(close).select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-        sizes = buckets.groupBy().agg(F.count_if(F.col("n") > 2).alias("some"), F.count_if(~small).alias("many")).first()
-        if sizes["some"]:
-            compared = buckets.where("n > 2").where(small).select("table", "kept", "common")
-            middle = (
-                keyed.join(small_or_plain(compared, sizes["some"], 256), ["table", "kept", "common"])
-                .groupBy("table", "kept", "common")
-                .agg(F.collect_list("fp").alias("fps"))
-                .select("fps")
-            )
-
-            def forest(batch: pa.RecordBatch) -> pa.RecordBatch:
-                pairs = [e for row in batch.column("fps") for e in _forest(row.values.to_numpy(), radius)]
-                return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-            links.append(map_batches(middle, forest, "a long, b long"))
-        if not sizes["many"]:
+        sizes = keyed.groupBy("table", "kept", "common").agg(F.count("*").alias("n"))
+        large = written(sizes.where(~small).select("table", "kept", "common"), "large_buckets")
+        steps.append(large)
+        many = not large.isEmpty()
+        rest = keyed.join(large, ["table", "kept", "common"], "left_anti") if many else keyed
+        lists = rest.groupBy("table", "kept", "common").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1").select("fps")
+
+        def forest(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pairs = [e for row in batch.column("fps") for e in _forest(row.values.to_numpy(), radius)]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        links.append(map_batches(lists, forest, "a long, b long"))
+        if not many:
             break
-        large = written(buckets.where(~small).select("table", "kept", "common"), "large_buckets")
         level = written(
             keyed.join(large, ["table", "kept", "common"]).select("fp", F.col("table").alias("done"), "kept", "common"), "level"
         )
-        steps += [large, level]
+        steps.append(level)
         kept = {r["table"]: r["kept"] for r in large.select("table", "kept").distinct().collect()}  # at most the tables so far
         free = {t: [p for p in range(64) if not (k >> p) & 1] for t, k in kept.items()}
     out = links[0]

@@ -131,3 +131,5 @@ def test_forest_of_hot_bucket():
     fps = np.array([base ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)] * 2, dtype=np.int64)
     edges = _forest(fps, 4)
     assert len(edges) == len(set(fps.tolist())) - 1
+    signed = np.array([base, base ^ 1, (base | 1 << 63) - (1 << 64)], dtype=np.int64)
+    assert len(_forest(signed, 1)) == 2
