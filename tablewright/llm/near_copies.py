@@ -1,21 +1,23 @@
 """Near copies by SimHash candidates and exact similarity: which document of a group stays.
 
 Two texts are near copies if the Jaccard similarity of their word shingles is at least ``SIMILARITY``. Texts with the same words are one from the start.
-The others get a SimHash fingerprint of their shingles; links within ``RADIUS`` bits are searched with covering masks (see ``simhash``) and form
-components. Inside a component, documents are taken by id: one that is similar to a document kept before it goes, any other is kept. So
+The others get a SimHash fingerprint of their shingles; links within ``RADIUS`` bits are searched with covering masks (see ``simhash``). At a
+similarity of 0.8 fingerprints differ in about 10 of 64 bits, so every pair that the radius misses is linked by parts as well (``PartKeys``):
+texts with the same shingles in one part of all shingles are compared. No pair is lost. Links form components. Inside a component, documents are taken by id: one that is similar to a document kept before it goes, any other is kept. So
 every document that goes has a kept near copy with a smaller id, and no two kept documents of a component are near copies.
 
 Small components are decided in one task each. In a large one, some documents at a time are decided among themselves, then all others are compared
 with those that were kept, in as many tasks as they fill.
 
-The radius trades recall for tables: at a similarity of 0.8 fingerprints differ in about 10 of 64 bits, at 0.9 in about 7.
-
 Defined results: null and empty texts have no words and are copies of each other; texts shorter than a shingle are one shingle; rows with a null id are left out; repeated
 ids are decided once for their smallest text; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import forget, map_batches, small_or_plain, text_bytes, written
 from tablewright.llm.components import smallest_reachable
-from tablewright.llm.simhash import fingerprint, fingerprint_links, shingles
+from tablewright.llm.simhash import fingerprint_links, hash_bits, shingle_hashes, shingles
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -32,6 +34,71 @@ RADIUS = 9
 BLOCKS = 2
 #: Documents of a component that one task decides.
 GROUP_ROWS = 512
+#: Sizes of sets that share their parts lie within this factor.
+_CLASS_FACTOR = 1.25
+#: One part more for so many that may differ.
+_SPARE = 8
+#: Ways to deal out shingles; in the last one empty parts have keys, too.
+_WAYS = 12
+#: Texts with one key that are compared in pairs.
+KEY_ROWS = 16
+#: Of larger sets only the hashes below a quarter of their range go to the comparison of pairs.
+_WHOLE_SET, _QUARTER = 64, np.uint64(1 << 62)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class PartKeys:
+    """Keys of a set such that two sets with a Jaccard similarity of ``least`` or more have some in common.
+
+    If the smaller of two such sets has ``a`` members, at most ``d = a * (1 - least) / least`` members are in only one of the two. Members are
+    dealt out to ``d + spare + 1`` parts by their hashes, so more than ``spare`` parts are the same in both. A part's key is the hash of
+    its members; empty parts have none. A set with more than ``spare`` empty parts also gets the keys of another way to deal: if no part that is the
+    same has members, both sets have that many empty ones and meet there.
+    The number of parts follows the class of the smaller set's size; a set has the keys of each class its smaller partner may be in.
+    """
+
+    def __init__(self, least: float):
+        self.least, self.starts = least, [1]
+
+    def _class(self, size: int) -> int:
+        while self.starts[-1] <= size:
+            self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * _CLASS_FACTOR)))
+        return int(np.searchsorted(self.starts, size, "right")) - 1
+
+    def __call__(self, members: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """Of a set of 64-bit hashes, for each deal: its number, the further parts that may be left out, and signed 64-bit keys."""
+        if not len(members):
+            return []
+        out = []
+        smallest = max(1, int(np.ceil(self.least * len(members) - 1e-6)))
+        for c in range(self._class(smallest), self._class(len(members)) + 1):
+            differ = int((self.starts[c + 1] - 1) * (1 - self.least) / self.least + 1e-6)
+            spare = 1 + differ // _SPARE if differ else 0
+            parts = differ + spare + 1
+            for way in range(_WAYS):
+                deal = c * _WAYS + way
+                salt = np.uint64((deal + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+                hashes = _mixed(members ^ salt)
+                part = hashes % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                part, hashes = part[order], hashes[order]
+                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                keys = _mixed(np.add.reduceat(_mixed(hashes + salt), at) ^ (part[at] + salt))
+                empty = parts - len(at)
+                last = empty <= spare
+                if not last and way == _WAYS - 1:
+                    keys = np.r_[keys, _mixed(np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at]) + salt)]
+                    empty = 0
+                out.append((deal, spare - empty, keys.view(np.int64)))
+                if last:
+                    break
+        return out
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -56,21 +123,113 @@ def _decide(docs: list[int], sets: list[np.ndarray], least: float) -> list[int]:
     return out
 
 
+def sampled(own: np.ndarray) -> np.ndarray:
+    """The hashes of a sorted set that are sent to the comparison of pairs."""
+    return own if len(own) <= _WHOLE_SET else own[: np.searchsorted(own, _QUARTER)]
+
+
+def may_be_similar(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, least: float) -> bool:
+    """False only if sets of these sizes with these samples have a Jaccard similarity below ``least``: too many members are in one of them."""
+    if min(size_a, size_b) < least * max(size_a, size_b) - 1e-6:
+        return False
+    if max(size_a, size_b) > _WHOLE_SET:
+        a, b = (x[: np.searchsorted(x, _QUARTER)] for x in (a, b))
+    differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+    return differ <= (1 - least) / (1 + least) * (size_a + size_b) + 1e-6
+
+
+def _sets(rows: DataFrame, members: DataFrame, count: int, words: int, part: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``(comp, doc_id, size, grams)``: the sorted shingle hashes of the members, or a part of them."""
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = ([], [], [], [])
+        columns = (batch.column(c).to_pylist() for c in ("comp", "doc_id", "same"))
+        for t, comp, doc, wanted in zip(text_bytes(batch.column("text")), *columns, strict=True):
+            if xxhash.xxh3_128_digest(b" ".join(t.lower().split())) == wanted:
+                own = np.unique(np.array([xxhash.xxh64_intdigest(g) for g in shingles(t, words)], np.uint64))
+                for column, value in zip(out, (comp, doc, len(own), part(own).tobytes()), strict=True):
+                    column.append(value)
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["comp", "doc_id", "size", "grams"])
+
+    texts = rows.join(small_or_plain(members, count, 64), "doc_id").select("comp", "doc_id", "same", "text")
+    return map_batches(texts, sets, "comp long, doc_id long, size int, grams binary").dropDuplicates(["comp", "doc_id"])
+
+
+def part_links(rows: DataFrame, keyed: DataFrame, first: DataFrame, words: int, similarity: float, key_rows: int = KEY_ROWS) -> DataFrame:
+    """``(a, b)``: links between fingerprints that connect all pairs of similar texts.
+
+    Texts that share a key of at most ``key_rows`` texts are compared. A text of whose parts more than the spare ones have keys of more texts
+    is linked to the others of that kind with the same key: a similar text has a smaller key in common with it, or is of that kind too.
+    """
+    deals = keyed.select("fp", F.explode("deals").alias("d"))
+    parts = deals.select("fp", "d.deal", "d.slack", F.explode("d.keys").alias("key"))
+    # Extremes are found before the shuffle, so a key that very many share is a row for each task.
+    ends = written(parts.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("key"), "shared_keys")
+    shared = written(parts.join(small_or_plain(ends, ends.count(), 16), "key").distinct(), "shared_parts")
+    hot = written(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > key_rows).select("key"), "hot_keys")
+    hot_side = small_or_plain(hot, hot.count(), 16)
+    lists = shared.join(hot_side, "key", "left_anti").groupBy("key").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1").select("fps")
+
+    def pairs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = set()
+        for row in batch.column("fps").to_pylist():
+            found.update(combinations(sorted(row), 2))
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    pairs = written(map_batches(lists, pairs_of, "a long, b long").distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    members = written(first.join(nodes, "fp").select(F.col("first").alias("doc_id"), "same", F.col("fp").alias("comp")), "pair_members")
+    sketches = written(_sets(rows, members, members.count(), words, sampled), "samples")
+    one, other = (sketches.select(F.col("comp").alias(x), F.col("size").alias(f"size_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        columns = (batch.column(c).to_pylist() for c in ("grams_a", "size_a", "grams_b", "size_b"))
+        for k, (a, size_a, b, size_b) in enumerate(zip(*columns, strict=True)):
+            if may_be_similar(np.frombuffer(a, np.uint64), size_a, np.frombuffer(b, np.uint64), size_b, similarity):
+                keep.append(k)
+        return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    compared = map_batches(pairs.join(one, "a").join(other, "b"), compare, "a long, b long")
+    hot_parts = shared.join(hot_side, "key")
+    full = hot_parts.groupBy("fp", "deal", "slack").agg(F.count("*").alias("n")).where("n > slack").select("fp", "deal").distinct()
+    full = written(hot_parts.join(full, ["fp", "deal"]).select("key", "fp"), "hot_parts")
+    heads = written(full.groupBy("key").agg(F.min("fp").alias("a")), "hot_heads")
+    stars = full.join(small_or_plain(heads, heads.count(), 16), "key").where("a < fp").select("a", F.col("fp").alias("b"))
+    links = written(compared.unionByName(stars).distinct(), "part_links")
+    forget(ends, shared, hot, pairs, members, sketches, full, heads)
+    return links
+
+
 def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``(doc_id, kept_id)``: the document that stays for each document, itself if it is the one."""
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = text_bytes(batch.column("text"))
-        fps = [fingerprint(t, words) for t in texts]
-        same = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary())], ["doc_id", "fp", "same"])
+        keys_of, fps, same, deals, ends = PartKeys(similarity), [], [], [], [0]
+        for t in text_bytes(batch.column("text")):
+            hashes = shingle_hashes(t, words)
+            fps.append(hash_bits(hashes))
+            same.append(xxhash.xxh3_128_digest(b" ".join(t.lower().split())))
+            deals.extend(keys_of(np.unique(hashes)))
+            ends.append(len(deals))
+        starts = np.cumsum([0, *(len(keys) for _, _, keys in deals)], dtype=np.int32)
+        keys = pa.ListArray.from_arrays(starts, np.concatenate([np.zeros(0, np.int64), *(keys for _, _, keys in deals)]))
+        numbers = [pa.array([d[k] for d in deals], pa.int32()) for k in (0, 1)]
+        deals = pa.ListArray.from_arrays(np.array(ends, np.int32), pa.StructArray.from_arrays([*numbers, keys], ["deal", "slack", "keys"]))
+        columns = [batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), deals]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "same", "deals"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    printed = written(map_batches(rows, prints, "doc_id long, fp long, same binary"), "prints")
+    kind = "doc_id long, fp long, same binary, deals array<struct<deal int, slack int, keys array<bigint>>>"
+    keyed = written(map_batches(rows, prints, kind), "keyed")
     # Copies go by the smallest id; of a repeated id one text counts.
-    printed = printed.groupBy("doc_id").agg(F.min(F.struct("same", "fp")).alias("p")).select("doc_id", "p.*")
+    printed = keyed.groupBy("doc_id").agg(F.min(F.struct("same", "fp")).alias("p")).select("doc_id", "p.*")
+    printed = written(printed, "prints")
     first = written(printed.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "firsts")
     links = fingerprint_links(first.select("fp").distinct(), radius, blocks=blocks)
+    links = links.unionByName(part_links(rows, keyed, first, words, similarity))
+    forget(keyed)
     roots = smallest_reachable(links, "a", "b").withColumnRenamed("node", "fp")
     # Different texts with one fingerprint are a component too.
     shared = first.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.col("fp").alias("own"))
@@ -87,18 +246,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, similarity: float, group_rows: int) -> DataFrame:
     """``(doc_id, kept_id)`` of the members of components."""
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, grams = [], []
-        for t in text_bytes(batch.column("text")):
-            same.append(xxhash.xxh3_128_digest(b" ".join(t.lower().split())))
-            grams.append(np.unique(np.array([xxhash.xxh64_intdigest(g) for g in shingles(t, words)], np.uint64)).tobytes())
-        keep = [i for i, (s, wanted) in enumerate(zip(same, batch.column("same").to_pylist(), strict=True)) if s == wanted]
-        columns = [batch.column("comp").take(pa.array(keep, pa.int64())), batch.column("doc_id").take(pa.array(keep, pa.int64()))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([grams[i] for i in keep], pa.binary())], ["comp", "doc_id", "grams"])
-
     kind = "comp long, doc_id long, grams binary"
-    texts = rows.join(small_or_plain(members, count, 64), "doc_id").select("comp", "doc_id", "same", "text")
-    open_rows = written(map_batches(texts, sets, kind).dropDuplicates(["comp", "doc_id"]), "open")
+    open_rows = written(_sets(rows, members, count, words, lambda own: own).select("comp", "doc_id", "grams"), "open")
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = ([], [], [], [])

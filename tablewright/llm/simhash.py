@@ -39,13 +39,14 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)))
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """The 64 majority bits as a signed number; 0 for a text without words."""
-    grams = shingles(text, words)
-    if not grams:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, seed) for g in grams), np.uint64, len(grams))
+def shingle_hashes(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """A 64-bit hash of each shingle, repeats included."""
+    grams, digest = shingles(text, words), xxhash.xxh64_intdigest
+    return np.fromiter((digest(g, seed) for g in grams), np.uint64, len(grams))
+
+
+def hash_bits(hashes: np.ndarray) -> int:
+    """The 64 majority bits of hashes as a signed number; 0 without hashes."""
     counts = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 1 << 15):
         part = hashes[start : start + (1 << 15)]
@@ -54,6 +55,11 @@ def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    """The 64 majority bits as a signed number; 0 for a text without words."""
+    return hash_bits(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """``(doc_id, fp)`` of every row with an id."""
 

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tablewright.llm.components import smallest_reachable
-from tablewright.llm.near_copies import near_copies
+from tablewright.llm.near_copies import PartKeys, may_be_similar, near_copies, sampled, similar
 from tablewright.llm.simhash import covering_masks, fingerprint, fingerprint_links, simhash_components
 
 
@@ -124,6 +124,56 @@ def test_near_copies_keep_one(spark, make_docs, prose, odd):
     assert near_copies(make_docs([])).count() == 0
 
 
+def test_near_copies_beyond_the_radius(spark, make_docs, prose):
+    r = random.Random(5)
+
+    def edited(text, least):
+        """As many words changed as the similarity allows."""
+        words, best = text.split(), text
+        while True:
+            words[r.randrange(len(words))] = f"new{r.random()}"
+            changed = " ".join(words)
+            a, b = shingle_set(text), shingle_set(changed)
+            if len(a & b) < least * len(a | b):
+                return best
+            best = changed
+
+    passage = prose(60, 9)  # in a third of the documents and more, which are no copies for that
+    rows = []
+    for i in range(60):
+        base = prose((12, 60, 300)[i % 3], 5000 + i)
+        base = f"{base} {passage}" if i % 2 else base
+        rows += [(2 * i, base), (2 * i + 1, edited(base, 0.8 + 0.1 * (i % 5) / 4))]
+    base = prose(200, 8)
+    rows += [(1000 + i, edited(base, 0.8)) for i in range(30)]  # more texts than one key compares
+    far = sum((fingerprint(a.encode(), 5) ^ fingerprint(b.encode(), 5)).bit_count() > 9 for (_, a), (_, b) in zip(rows[:120:2], rows[1:120:2]))
+    assert far >= 5
+    want, kept = {}, []
+    for i, t in rows:
+        own = shingle_set(t)
+        want[i] = next((k for k, o in kept if len(own & o) >= 0.8 * len(own | o)), i)
+        if want[i] == i:
+            kept.append((i, own))
+    assert {r["doc_id"]: r["kept_id"] for r in near_copies(make_docs(rows)).collect()} == want
+
+
+def test_part_keys_meet():
+    r = np.random.default_rng(3)
+    keys_of = PartKeys(0.8)
+    for size in (1, 2, 4, 5, 8, 9, 13, 30, 64, 65, 200, 1000):
+        for _ in range(60):
+            a = r.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)
+            more = int(r.integers(0, int(size / 0.8 + 1e-9) - size + 1))
+            b = np.concatenate([a[max(0, int(size - 0.8 * (size + more) + 1e-9)) :], r.integers(0, 1 << 63, more).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            assert similar(a, b, 0.8) and may_be_similar(sampled(a), len(a), sampled(b), len(b), 0.8)
+            one, other = ({deal: (slack, set(keys.tolist())) for deal, slack, keys in keys_of(x)} for x in (a, b))
+            # In some deal more keys are the same than either set may leave out.
+            assert any(len(keys & other[d][1]) > max(0, slack, other[d][0]) for d, (slack, keys) in one.items() if d in other)
+    a, b = (np.unique(r.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)) for _ in range(2))
+    assert not may_be_similar(sampled(a), len(a), sampled(b), len(b), 0.8)
+
+
 def test_forest_of_hot_bucket():
     from tablewright.llm.simhash import _forest
 
