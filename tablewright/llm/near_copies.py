@@ -44,6 +44,8 @@ _WAYS = 12
 KEY_ROWS = 16
 #: Of larger sets only the hashes below a quarter of their range go to the comparison of pairs.
 _WHOLE_SET, _QUARTER = 64, np.uint64(1 << 62)
+#: Bytes of text that a task turns into keys or sets at a time.
+PORTION = 2_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -153,7 +155,7 @@ def _sets(rows: DataFrame, members: DataFrame, count: int, words: int, part: Cal
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["comp", "doc_id", "size", "grams"])
 
     texts = rows.join(small_or_plain(members, count, 64), "doc_id").select("comp", "doc_id", "same", "text")
-    return map_batches(texts, sets, "comp long, doc_id long, size int, grams binary").dropDuplicates(["comp", "doc_id"])
+    return map_batches(texts, sets, "comp long, doc_id long, size int, grams binary", PORTION).dropDuplicates(["comp", "doc_id"])
 
 
 def part_links(rows: DataFrame, keyed: DataFrame, first: DataFrame, words: int, similarity: float, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -222,7 +224,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     kind = "doc_id long, fp long, same binary, deals array<struct<deal int, slack int, keys array<bigint>>>"
-    keyed = written(map_batches(rows, prints, kind), "keyed")
+    keyed = written(map_batches(rows, prints, kind, PORTION), "keyed")
     # Copies go by the smallest id; of a repeated id one text counts.
     printed = keyed.groupBy("doc_id").agg(F.min(F.struct("same", "fp")).alias("p")).select("doc_id", "p.*")
     printed = written(printed, "prints")
