@@ -69,7 +69,7 @@ def ridge_cv(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir, name, features=_FEATURES):
-    _, metrics = M.fit_and_score(_model_table(spark, sf_dir), "row_id", "revenue", features, name, M.SMALL)
+    _, metrics = M.fit_and_score(_model_table(spark, sf_dir), "row_id", "revenue", features, name)
     return rounded(metrics, 2)
 
 
@@ -109,7 +109,7 @@ def extra(spark, sf_dir):
 @query("leaderboard")
 def board(spark, sf_dir):
     rows = _model_table(spark, sf_dir)
-    results = [run_regression_cv(rows, "row_id", "revenue", _FEATURES, n, M.SMALL, 3) for n in ("ridge", "rf", "gb")]
+    results = [run_regression_cv(rows, "row_id", "revenue", _FEATURES, n) for n in ("ridge", "rf", "gb")]
     return rounded(leaderboard(rows, results).drop("fit_time", "score_time"), 2)
 
 
@@ -137,7 +137,7 @@ def _class_scores(model, rows):
 @query("classifier_fit")
 def classifier(spark, sf_dir):
     rows = scratch_table(view(spark, sf_dir, "fx_classes").drop("pred", "toxic"), "classes")
-    return rounded(M.train_classifier(rows, "row_id", fraction=1.0, settings=M.SMALL)[1])
+    return rounded(M.train_classifier(rows, "row_id", fraction=1.0)[1])
 
 
 @query(
@@ -159,14 +159,14 @@ def logistic(spark, sf_dir):
 @query("balanced_forest_fit")
 def balanced_forest(spark, sf_dir):
     rows = scratch_table(M.with_class_weight(_class_table(spark, sf_dir), "label"), "classes")
-    return _class_scores(M.fit_balanced_forest(rows.where("not is_valid"), M.SMALL), rows)
+    return _class_scores(M.fit_balanced_forest(rows.where("not is_valid")), rows)
 
 
 @query("classification_cv")
 def class_cv(spark, sf_dir):
     rows = scratch_table(view(spark, sf_dir, "fx_classes").select("row_id", "y", *_CLASS_FEATURES, "lang"), "classes")
     found = [
-        run_classification_cv(rows, "row_id", "y", [*_CLASS_FEATURES, "lang"], name, M.SMALL, 3) for name in ("logreg", "rf")
+        run_classification_cv(rows, "row_id", "y", [*_CLASS_FEATURES, "lang"], name) for name in ("logreg", "rf")
     ]
     rows_out = [(r["model"], r["roc_auc"], r["f1"]) for r in found]
     return rounded(spark.createDataFrame(rows_out, "model string, roc_auc double, f1 double"), 4)
@@ -181,7 +181,7 @@ def _regression_vectors(spark, sf_dir):
 @query("gbt_early_stop")
 def early_stop(spark, sf_dir):
     rows = _regression_vectors(spark, sf_dir)
-    model = M.fit_boosting_with_stop(rows, "is_valid", rounds=15, depth=4, rate=0.2)
+    model = M.fit_boosting_with_stop(rows, "is_valid")
     scored = regression_metrics(model.transform(rows.where("is_valid")), "label", "prediction")
     return rounded(scored.select("rmse", "mae", "r2").withColumn("trees", F.lit(model.getNumTrees)), 2)
 
@@ -189,7 +189,7 @@ def early_stop(spark, sf_dir):
 @query("capacity_sweep")
 def sweep(spark, sf_dir):
     rows = _regression_vectors(spark, sf_dir)
-    found = M.capacity_sweep(rows.where("not is_valid"), rows.where("is_valid"), [2, 4, 6], trees=5)
+    found = M.capacity_sweep(rows.where("not is_valid"), rows.where("is_valid"), [2, 4, 6, 8, 10, 12])
     return rounded(spark.createDataFrame(found, "max_depth int, mae double, is_best boolean"), 2)
 
 
@@ -244,7 +244,7 @@ def tree_shift(spark, sf_dir):
     from tablewright.plans.training_loop import prediction_shift
 
     split = holdout_split(_model_table(spark, sf_dir), "row_id")
-    model = M.fit_pipeline(split.where("not is_valid"), "revenue", _FEATURES, "rf", M.SMALL)
+    model = M.fit_pipeline(split.where("not is_valid"), "revenue", _FEATURES, "rf")
     shift = prediction_shift(model, split.where("is_valid"), _FEATURES)
     return rounded(spark.createDataFrame([(shift,)], "mean_prediction_shift double"), 4)
 
@@ -252,7 +252,7 @@ def tree_shift(spark, sf_dir):
 @query("train_until_ready")
 def loop(spark, sf_dir):
     rounds, _ = train_until_ready(
-        view(spark, sf_dir, "fx_model"), "row_id", "revenue", settings=M.SMALL, leak_tokens=_LEAKS, max_feedback=2
+        view(spark, sf_dir, "fx_model"), "row_id", "revenue", leak_tokens=_LEAKS
     )
     return rounded(rounds, 2)
 
@@ -264,6 +264,6 @@ def loop_unready(spark, sf_dir):
         F.avg("l_quantity").alias("mean_qty"), F.avg("l_discount").alias("mean_disc"), F.max("l_extendedprice").alias("goal")
     )
     rounds, _ = train_until_ready(
-        lines.withColumn("goal", F.col("goal") % 997), "l_orderkey", "goal", settings=M.SMALL, leak_tokens=_LEAKS, max_feedback=1
+        lines.withColumn("goal", F.col("goal") % 997), "l_orderkey", "goal", leak_tokens=_LEAKS
     )
     return rounded(rounds, 2)
