@@ -57,11 +57,13 @@ def small_or_plain(df: DataFrame, rows: int, width: int = 32) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int | None = None) -> DataFrame:
-    """``mapInArrow`` with a function of one batch; with ``limit``, batches are cut so that their texts hold about so many bytes."""
+def map_batches(
+    df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int | None = None, column: str = "text"
+) -> DataFrame:
+    """``mapInArrow`` with a function of one batch; with ``limit``, batches are cut so that their texts (or another column) hold about so many bytes."""
 
     def run(batches):
-        for batch in portions(batches, limit) if limit else batches:
+        for batch in portions(batches, limit, column) if limit else batches:
             if batch.num_rows:
                 out = f(batch)
                 if isinstance(out, pa.Table):

@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm.chat import fit_roles, format_chats
-from tablewright.llm.common import held_out, table
+from tablewright.llm.common import held_out, table, written
 from tablewright.llm.decontaminate import find_leaks
+from tablewright.llm.middles import fill_in_middle, frame_store
+from tablewright.llm.minhash import minhash_components
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.personal import KINDS, find_personal, fit_field
 from tablewright.llm.pivots import PivotIndex, top_products, whole_vectors
 from tablewright.llm.quality import fit_quality, score_quality
+from tablewright.llm.ranked import ranked_search
 from tablewright.llm.secrets import BASE, RULES, find_secrets, span_text
 from tablewright.llm.simhash import simhash_components
 from tablewright.llm.suffixes import remove_repeats
@@ -153,3 +156,74 @@ def pii_semi_markov(spark, sf_dir):
 def chat_formatting(spark, sf_dir):
     conversations = table(spark, sf_dir, "conversations")
     return format_chats(conversations, fit_roles(conversations))
+
+
+@query(
+    "op11_fill_in_middle",
+    """
+    with u as (
+        select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as units,
+               sha256('1:' || coalesce(doc_id::varchar, '')) as h from documents),
+    c as (
+        select *, len(units)::bigint as n, ('0x' || substr(h, 1, 8))::bigint % (len(units) + 1) as x, ('0x' || substr(h, 9, 8))::bigint % (len(units) + 1) as y,
+               case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>')
+                      or ('0x' || substr(h, 17, 8))::bigint % 100 >= 90 then 'plain'
+                    when ('0x' || substr(h, 25, 8))::bigint % 100 < 20 then 'spm' else 'psm' end as form from u),
+    p as (
+        select doc_id, text, n, form, array_to_string(units[1:least(x, y)], '') as pre,
+               array_to_string(units[least(x, y) + 1:greatest(x, y)], '') as mid, array_to_string(units[greatest(x, y) + 1:], '') as suf from c)
+    select doc_id, n, form, case when form <> 'plain' then length(pre)::bigint end as prefix_chars,
+           case when form <> 'plain' then length(mid)::bigint end as middle_chars,
+           sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid
+                  else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+           sha256(text) as restored_sha256 from p""",
+)
+def fill_in_the_middle(spark, sf_dir):
+    store = written(frame_store(table(spark, sf_dir, "documents").select("doc_id", "text")), "frames")
+    return fill_in_middle(store, texts=False)
+
+
+_PLAIN = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op12_minhash_near_dedup",
+    f"""
+    with recursive w as (select doc_id, regexp_extract_all({_PLAIN}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+    s as (
+        select distinct doc_id, unnest(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s
+        from w),
+    size as (select doc_id, count(*) as n from s group by doc_id),
+    pairs as (select x.doc_id as a, y.doc_id as b, count(*) as i from s x join s y on x.s = y.s and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+    links as (select a, b from pairs join size x on x.doc_id = a join size y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+    ways as (select a, b from links union all select b, a from links),
+    reach(doc_id, root) as (
+        select doc_id, doc_id from documents union select ways.b, reach.root from reach join ways on ways.a = reach.doc_id),
+    c as (select doc_id, min(root) as component_id from reach group by doc_id)
+    select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+    from documents d join c using (doc_id) left join size using (doc_id)""",
+)
+def minhash_near_dedup(spark, sf_dir):
+    return minhash_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_TERMS = f"regexp_extract_all({_PLAIN}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op13_ranked_lexical_search",
+    f"""
+    with d as (select doc_id, {_TERMS} as terms from documents),
+    total as (select count(*) filter (len(terms) > 0) as docs, sum(len(terms)) as words from d),
+    tf as (select doc_id, len(terms) as n, unnest(terms) as term from d),
+    counts as (select doc_id, n, term, count(*) as tf from tf group by doc_id, n, term),
+    w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from counts, total group by term, docs),
+    q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),
+    scored as (
+        select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::bigint as score
+        from q join w using (term) join counts using (term), total group by item_id, doc_id),
+    ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0)
+    select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 50""",
+)
+def ranked_lexical_search(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
