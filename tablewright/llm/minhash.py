@@ -2,16 +2,18 @@
 
 A document's set holds its distinct word shingles, as 64-bit hashes. Documents with equal sets are one class from the start. A class has
 ``BANDS * ROWS`` minima of multiply-add-shift hashes, which are universal on 32-bit keys; classes that agree in all rows of a band are candidates.
-A pair within the similarity of 0.8 fails to meet in any band with a chance of ``(1 - 0.8**4)**48``, about 1 in 10**11, and equally
-seldom to agree in ``AGREE`` of its minima. Candidates that do are confirmed on the full sets, which are cut from the texts again for
-them alone. Components follow by alternating large stars and small stars.
+A pair with a similarity of 0.8 fails to meet in any band with a chance of ``(1 - 0.8**4)**48``, about 1 in 10**11, and equally
+seldom to agree in ``AGREE`` of its minima, of which a signature keeps the last 8 bits.
 
-A bucket of up to ``BUCKET`` classes gives its pairs. In a larger one a few leaders are paired with all others; then
-components are found, and buckets whose other members lie in different components get further leaders, four times as many each
-round, from outside their largest component. A bucket is done once all members that never led lie in one component: of any two members in
-different components one has led and was compared with the other. So no link is lost, whatever a bucket's size, and a group of copies, however
-large, takes a round or two. Leaders are the same in all buckets, pairs are made different before they are compared, and a leader with very many
-pairs is salted.
+A bucket of up to ``BUCKET`` classes gives its pairs, and those whose signatures agree count; in a larger one all members are tied to the smallest. What is
+tied together, by alternating large stars and small stars, is a group. Links are confirmed on full sets inside groups, so a set is moved once and
+not for every pair. First the members that share most are compared with all others. Whoever is not in the largest component then is compared with
+all members of other components. So of any two members in different components one was compared with the other, and no link is lost; only
+links that tie components together are handed on, never all pairs of a group. A group that is larger than a task takes is dealt to chunks, and the members outside its largest
+component to blocks; every block meets every chunk. Components of these links are the result.
+
+Groups cost the product of their size and of the members outside the largest component: little for copies of one text, however many, and more
+where very many texts share half of their words without being copies.
 
 Defined results: texts without words, empty and null texts have an empty set and are linked with nothing; fewer words than a shingle are
 one shingle; rows with a null id are left out; a repeated id joins all classes it occurs in, each row keeping its own ``n_shingles``; an empty
@@ -37,12 +39,13 @@ WORDS = 2
 PERCENT = 80
 BANDS, ROWS = 48, 4
 #: Minima of 192 that a pair has to have in common; at a similarity of 0.8 about 154 +- 6 are.
-AGREE = 115
-#: Classes of one bucket that are paired with each other; larger buckets have leaders.
+AGREE = 110
+#: Classes of one bucket that are paired with each other.
 BUCKET = 16
-LEADERS, MOST_LEADERS = 4, 256
-#: Pairs of one class that one task joins with its set; members of one bucket that one task joins with its leaders.
-_PAIRS, _MEMBERS = 2_000, 50_000
+#: Members of a group that are compared with all others first.
+CENTERS = 4
+#: Bytes of sets and signatures in a chunk of a group, and in a block of members outside its largest component.
+CHUNK_BYTES, BLOCK_BYTES = 8_000_000, 1_000_000
 #: Bytes of text that are hashed at a time.
 PORTION = 1_000_000
 
@@ -90,59 +93,33 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _prints(rows: DataFrame, words: int) -> DataFrame:
-    """``(doc_id, n, same, sig)``: size, digest and signature of each row's set."""
+    """``(doc_id, n, same, keys, sig)``: size, digest, band keys and signature of each row's set."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingle_hashes(t, words)) for t in text_bytes(batch.column("text"))]
-        sigs = iter(signatures([s for s in sets if len(s)]))
+        minima = signatures([s for s in sets if len(s)])
+        keys, sigs = iter(band_keys(minima)), iter(minima.astype(np.uint8))
         columns = [
             batch.column("doc_id"),
             pa.array([len(s) for s in sets], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+            pa.array([next(keys).tobytes() if len(s) else b"" for s in sets], pa.binary()),
             pa.array([next(sigs).tobytes() if len(s) else b"" for s in sets], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "same", "sig"])
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "same", "keys", "sig"])
 
-    return map_batches(rows, of, "doc_id long, n long, same binary, sig binary", PORTION)
+    return map_batches(rows, of, "doc_id long, n long, same binary, keys binary, sig binary", PORTION)
 
 
 def _banded(classes: DataFrame) -> DataFrame:
     """``(key, c)``: a row for each band of each class."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-        keys = band_keys(sigs)
+        keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int64).reshape(batch.num_rows, -1)
         numbers = np.repeat(batch.column("c").to_numpy(), keys.shape[1])
         return pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(numbers, pa.int64())], ["key", "c"])
 
-    return map_batches(classes.select("c", "sig"), of, "key long, c long")
-
-
-def _beside(pairs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
-    """Pairs ``(a, b)`` with a column of the facts ``(c, name)`` about both; a class with very many pairs is dealt to many tasks."""
-    one = pairs.join(facts.select(F.col("c").alias("b"), F.col(name).alias("of_b")), "b")
-    crowded = pairs.groupBy("a").agg(F.ceil(F.count("*") / _PAIRS).alias("deals")).where("deals > 1")
-    crowded = written(crowded, "crowded")
-    side = small_or_plain(crowded, crowded.count(), 16)
-    one = one.join(side, "a", "left").withColumn("deal", F.pmod(F.xxhash64("b"), F.coalesce("deals", F.lit(1))))
-    other = facts.select(F.col("c").alias("a"), F.col(name).alias("of_a")).join(side, "a", "left")
-    other = other.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("deals", F.lit(1)) - 1)))
-    out = one.drop("deals").join(other.drop("deals"), ["a", "deal"]).select("a", "b", "of_a", "of_b")
-    out._crowded = crowded
-    return out
-
-
-def _kept_pairs(pairs: DataFrame, facts: DataFrame, name: str, test, label: str) -> DataFrame:
-    """The pairs whose facts, as arrays of numbers, pass the test."""
-
-    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [test(a.as_buffer(), b.as_buffer()) for a, b in zip(batch.column("of_a"), batch.column("of_b"), strict=True)]
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = _beside(pairs, facts, name)
-    out = written(map_batches(joined, of, "a long, b long", 16_000_000, "of_b"), label)
-    forget(joined._crowded)
-    return out
+    return map_batches(classes.select("c", "keys"), of, "key long, c long")
 
 
 def _full_sets(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
@@ -164,92 +141,181 @@ def _full_sets(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 
 def _bucket_pairs(small: DataFrame) -> DataFrame:
+    """``(a, b)``: the pairs of small buckets."""
     lists = small.groupBy("key").agg(F.collect_set("c").alias("cs")).select("cs")
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = {p for cs in batch.column("cs").to_pylist() for p in combinations(sorted(cs), 2)}
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return map_batches(lists, of, "a long, b long")
+    return map_batches(lists, of, "a long, b long").distinct()
 
 
-def _leader_pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Leaders ``(key, n, a)`` with all members ``(key, n, c)`` of their buckets; large buckets are dealt to many tasks."""
-    deals = F.ceil(F.col("n") / _MEMBERS)
-    dealt = members.select("key", F.col("c").alias("b"), F.pmod(F.xxhash64("c"), deals).alias("deal"))
-    heads = leaders.select("key", "a", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1)).alias("deal"))
-    return dealt.join(heads, ["key", "deal"]).where("a <> b").select("a", "b")
+def _agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree in ``AGREE`` minima or more."""
+
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one, other = (np.frombuffer(b"".join(batch.column(s).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for s in ("of_a", "of_b"))
+        return batch.select(["a", "b"]).filter(pa.array(np.count_nonzero(one == other, axis=1) >= AGREE))
+
+    sides = (classes.select(F.col("c").alias(x), F.col("sig").alias(f"of_{x}")) for x in "ab")
+    joined = pairs.join(next(sides), "a").join(next(sides), "b")
+    return map_batches(joined.select("a", "b", "of_a", "of_b"), of, "a long, b long")
+
+
+class Members:
+    """Classes of a group in a task: numbers, signatures, sets, and the components they are in so far."""
+
+    def __init__(self, rows: list[dict]):
+        self.c = np.array([r["c"] for r in rows], np.int64)
+        self.sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+        self.comp = self.c.copy()
+
+    def ask(self, c: int, comp: int, sig: np.ndarray, grams: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """Links of a class with members of other components, one for each component; members take over the component."""
+        links = []
+        apart = np.flatnonzero(self.comp != comp)
+        agree = np.count_nonzero(self.sig[apart] == sig, axis=1)
+        for k in np.argsort(-agree, kind="stable"):
+            if agree[k] < AGREE:
+                break
+            i = apart[k]
+            if self.comp[i] != comp and linked(grams, self.grams[i], percent):
+                links.append((c, int(self.c[i])))
+                self.comp[self.comp == self.comp[i]] = comp
+        return links
 
 
-def _first_of(rows: DataFrame, count: int) -> DataFrame:
-    """The ``count`` members of each bucket that come first in one order of all classes."""
-    order = Window.partitionBy("key").orderBy(F.xxhash64("c"), "c")
-    return rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= count).select("key", "n", F.col("c").alias("a"))
+def _within(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links that connect a whole group."""
+    members, links = Members(sorted(rows, key=lambda r: (-r["weight"], r["c"]))), []
+
+    def ask(i: int) -> None:
+        links.extend(members.ask(int(members.c[i]), int(members.comp[i]), members.sig[i], members.grams[i], percent))
+
+    for i in range(min(CENTERS, len(rows))):
+        ask(i)
+    labels, sizes = np.unique(members.comp, return_counts=True)
+    for i in np.flatnonzero(members.comp != labels[sizes.argmax()]):
+        ask(int(i))
+    return links
+
+
+def _across(rows: list[dict], strays: list[dict], block: list[dict], main: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a block of members outside the largest component with a chunk of the group."""
+    members, links = Members(rows), []
+    place = {s["c"]: s["comp"] for s in strays}
+    members.comp = np.array([place.get(c, main) for c in members.c.tolist()], np.int64)
+    others = Members(block)
+    others.comp = np.array([s["comp"] for s in block], np.int64)
+    for i, c in enumerate(others.c.tolist()):
+        comp = int(others.comp[i])
+        found = members.ask(c, comp, others.sig[i], others.grams[i], percent)
+        links.extend(found)
+    return links
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _group_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, chunk_bytes: int, block_bytes: int) -> DataFrame:
+    """``(a, b)``: links that connect what the links of each group ``(c, g, weight)`` connect."""
+    nodes = written(classes.select("c", "first", "same", "sig").join(groups, "c"), "nodes")
+    facts = nodes.select("c", "g", "weight", "sig").join(_full_sets(rows, nodes, words), "c")
+    facts = written(facts.withColumn("size", F.octet_length("grams") + 200), "facts")
+    sizes = facts.groupBy("g").agg(F.ceil(F.sum("size") / chunk_bytes).alias("chunks"))
+    large = written(sizes.where("chunks > 1"), "large_groups")
+    n_large = large.count()
+    row = F.struct("c", "weight", "sig", "grams")
+    small = facts.join(small_or_plain(large.select("g"), n_large, 8), "g", "left_anti")
+
+    def within(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _pairs_batch([p for group in batch.column("rows") for p in _within(group.as_py(), percent)])
+
+    links = map_batches(small.groupBy("g").agg(F.collect_list(row).alias("rows")).select("rows"), within, "a long, b long", chunk_bytes, "rows")
+    links = written(links, "links")
+    forget(nodes)
+    if not n_large:
+        forget(facts, large)
+        return links
+    # Large groups: chunks of members against the centers first.
+    dealt = facts.join(small_or_plain(large, n_large, 16), "g").withColumn("chunk", F.pmod(F.xxhash64("c"), F.col("chunks")))
+    chunks = written(dealt.groupBy("g", "chunk").agg(F.collect_list(row).alias("rows")), "chunks")
+    order = Window.partitionBy("g").orderBy(F.desc("weight"), "c")
+    centers = dealt.withColumn("r", F.row_number().over(order)).where(F.col("r") <= CENTERS).groupBy("g").agg(F.collect_list(row).alias("block"))
+
+    def center_links(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for group, heads in zip(batch.column("rows"), batch.column("block"), strict=True):
+            members = Members(group.as_py())
+            for h in heads.as_py():
+                members.comp = members.c.copy()  # each center is compared with all
+                found += members.ask(h["c"], h["c"], np.frombuffer(h["sig"], np.uint8), np.frombuffer(h["grams"], np.uint64), percent)
+        return _pairs_batch(found)
+
+    met = chunks.join(centers, "g").select("rows", "block")
+    first = written(map_batches(met, center_links, "a long, b long", chunk_bytes, "rows"), "center_links")
+    roots = smallest_reachable(first, "a", "b")
+    placed = dealt.select("g", "c", "chunk", "size", "sig", "grams").join(roots, F.col("c") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "c"))
+    counts = placed.groupBy("g", "comp").agg(F.count("*").alias("n"))
+    main = written(counts.groupBy("g").agg(F.max(F.struct("n", "comp")).alias("top")).select("g", F.col("top.comp").alias("main")), "main")
+    outside = placed.join(small_or_plain(main, n_large, 16), "g").where("comp <> main")
+    outside = written(outside.select("g", "main", "c", "comp", "chunk", "size", "sig", "grams"), "outside")
+    # Blocks of members outside the largest component meet all chunks of their group.
+    blocks = outside.groupBy("g").agg(F.ceil(F.sum("size") / block_bytes).alias("blocks"))
+    strays = outside.groupBy("g", "chunk").agg(F.collect_list(F.struct("c", "comp")).alias("strays"))
+    block = outside.join(blocks, "g").withColumn("part", F.pmod(F.xxhash64("c", F.lit(1)), F.col("blocks")))
+    block = block.groupBy("g", "main", "part").agg(F.collect_list(F.struct("c", "comp", "sig", "grams")).alias("block"))
+    block = block.join(large, "g").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+
+    def across(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = (batch.column(x) for x in ("rows", "strays", "block", "main"))
+        return _pairs_batch([p for r, s, b, m in zip(*columns, strict=True) for p in _across(r.as_py(), s.as_py() or [], b.as_py(), m.as_py(), percent)])
+
+    grid = chunks.join(strays, ["g", "chunk"], "left").join(block.select("g", "chunk", "main", "block"), ["g", "chunk"])
+    second = map_batches(grid.select("rows", "strays", "block", "main"), across, "a long, b long", chunk_bytes, "rows")
+    out = written(links.unionByName(first).unionByName(second), "group_links")
+    forget(facts, large, chunks, main, outside, first, links)
+    return out
 
 
-def minhash_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bucket: int = BUCKET) -> DataFrame:
+def minhash_components(
+    docs: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    bucket: int = BUCKET,
+    chunk_bytes: int = CHUNK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``: the smallest id that links lead to, and whether it is the document's own."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     prints = written(_prints(rows, words), "prints")
-    classes = prints.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("first"), F.any_value("sig").alias("sig"))
+    one = [F.any_value(x).alias(x) for x in ("keys", "sig")]
+    classes = prints.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("first"), *one)
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     # How many share a key is counted before the shuffle, so a key that very many share is a row for each task.
-    counted = _banded(classes).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counted = _banded(classes).groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1")
     counted = written(counted, "shared_keys")
-    shared = written(_banded(classes).join(small_or_plain(counted, counted.count(), 24), "key"), "shared")
-    steps = [counted, shared]
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        agreeing = _kept_pairs(pairs, classes, "sig", lambda a, b: _agree(a, b) >= AGREE, "agreeing")
-        nodes = agreeing.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        sets = written(_full_sets(rows, written(classes.drop("sig").join(nodes, "c"), "nodes"), words), "sets")
-        links = _kept_pairs(agreeing, sets, "grams", lambda a, b: linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent), "links")
-        forget(sets, agreeing)
-        return links
-
-    open_rows = shared.where(F.col("n") > bucket)
-    leaders = written(_first_of(open_rows, LEADERS), "leaders")
-    pairs = _bucket_pairs(shared.where(F.col("n") <= bucket)).unionByName(_leader_pairs(open_rows, leaders))
-    pairs = written(pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct(), "pairs")
-    links = confirmed(pairs).unionByName(_repeated(prints, classes))
-    roots, count = written(smallest_reachable(links, "a", "b"), "roots"), LEADERS
-    while True:
-        # What never led, in buckets where it lies in several components.
-        rest = open_rows.join(leaders.select("key", F.col("a").alias("c")), ["key", "c"], "left_anti")
-        rest = rest.join(roots, F.col("c") == F.col("node"), "left").select("key", "n", "c", F.coalesce("root", "c").alias("comp"))
-        mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        open_rows = written(rest.join(mixed, "key", "left_semi"), "open_rows")
-        steps.append(open_rows)
-        if open_rows.isEmpty():
-            break
-        count = min(4 * count, MOST_LEADERS)
-        sizes = open_rows.groupBy("key", "comp").agg(F.count("*").alias("size"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top")).select("key", F.col("top.comp").alias("comp"))
-        outside = open_rows.join(largest, ["key", "comp"], "left_anti")
-        leaders = written(_first_of(outside, count), "leaders")
-        pairs = _leader_pairs(open_rows, leaders).select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
-        # Pairs within a component need no comparison.
-        placed = roots.select(F.col("node"), F.col("root"))
-        apart = pairs.join(placed.toDF("a", "ra"), "a", "left").join(placed.toDF("b", "rb"), "b", "left")
-        apart = apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        found = confirmed(written(apart, "pairs"))
-        ends = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = written(smallest_reachable(ends.unionByName(found), "a", "b"), "roots")
-        open_rows = open_rows.select("key", "n", "c")
+    shared = written(_banded(classes).join(small_or_plain(counted, counted.count(), 32), "key"), "shared")
+    large = shared.where(F.col("n") > bucket)
+    ties = large.select(F.col("c").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    ties = written(ties.unionByName(_agreeing(_bucket_pairs(shared.where(F.col("n") <= bucket)), classes)), "ties")
+    groups = smallest_reachable(ties, "a", "b").select(F.col("node").alias("c"), F.col("root").alias("g"))
+    weights = shared.groupBy("c").agg(F.sum("n").alias("weight"))
+    groups = written(groups.join(weights, "c"), "groups")
+    links = _group_links(rows, classes, groups, words, percent, chunk_bytes, block_bytes).unionByName(_repeated(prints, classes))
+    roots = smallest_reachable(links, "a", "b")
     placed = classes.select("same", "first", "c").join(roots, F.col("c") == F.col("node"), "left")
     placed = placed.select("same", "first", F.coalesce("root", "c").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     placed = written(placed.join(least, "comp").select("same", "component_id"), "placed")
     out = prints.join(placed, "same", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    forget(*steps)
+    forget(counted, shared, ties, groups)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _agree(a: pa.Buffer, b: pa.Buffer) -> int:
-    """How many minima two signatures have in common."""
-    return int(np.count_nonzero(np.frombuffer(a, np.uint32) == np.frombuffer(b, np.uint32)))
-
-
 def _repeated(prints: DataFrame, classes: DataFrame) -> DataFrame:
     """Links ``(a, b)`` between the classes that one id occurs in."""
     several = prints.where("n > 0").groupBy("doc_id").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo < hi").select("doc_id")

@@ -49,7 +49,7 @@ def test_like_brute_force(spark, make_docs, odd, prose):
 
 
 def test_large_buckets_lose_no_link(spark, make_docs, prose):
-    """A shared passage, and members that are only like some others: leaders, further rounds and strays."""
+    """A shared passage, and members that are only like some others."""
     rows, shared = [], prose(60, 7)
     for group in range(8):
         own = f"{shared} {prose(12, 50 + group)}"
@@ -57,13 +57,16 @@ def test_large_buckets_lose_no_link(spark, make_docs, prose):
     want = plain(rows)
     assert len({r[2] for r in want}) > 4
     assert found(make_docs(rows), bucket=2) == want
+    # Groups in several chunks, members outside the largest component in several blocks.
+    assert found(make_docs(rows), bucket=2, chunk_bytes=6_000, block_bytes=4_000) == want
 
 
 def test_chains(spark, make_docs, prose):
     """Each text is like the next one; the ends are not alike."""
     words = prose(400, 3).split()
     rows = [(10 + i, " ".join(words[5 * i : 5 * i + 100])) for i in range(20)]
-    assert found(make_docs(rows), bucket=2) == plain(rows)
+    for chunk_bytes in (1_000_000, 5_000):
+        assert found(make_docs(rows), bucket=2, chunk_bytes=chunk_bytes, block_bytes=3_000) == plain(rows)
     assert len({r[2] for r in plain(rows)}) == 1
 
 
