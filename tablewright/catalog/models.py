@@ -10,6 +10,7 @@ from tablewright.operators.metrics import binary_f1, classification_metrics, reg
 from tablewright.operators.prep import fit_preprocessor
 from tablewright.operators.split import holdout_split
 from tablewright.plans import models as M
+from tablewright.plans.binning import with_row_id
 from tablewright.plans.bundle import load_bundle, save_bundle
 from tablewright.plans.crossval import leaderboard, run_classification_cv, run_regression_cv
 from tablewright.plans.training_loop import train_until_ready
@@ -158,8 +159,8 @@ def logistic(spark, sf_dir):
 
 @query("balanced_forest_fit")
 def balanced_forest(spark, sf_dir):
-    rows = scratch_table(M.with_class_weight(_class_table(spark, sf_dir), "label"), "classes")
-    return _class_scores(M.fit_balanced_forest(rows.where("not is_valid")), rows)
+    rows = scratch_table(_class_table(spark, sf_dir), "classes")
+    return _class_scores(M.fit_balanced_forest(with_row_id(rows.where("not is_valid"))), rows)
 
 
 @query("classification_cv")
@@ -175,7 +176,7 @@ def class_cv(spark, sf_dir):
 def _regression_vectors(spark, sf_dir):
     rows = M.with_label(view(spark, sf_dir, "fx_model"), "revenue")
     vectors = VectorAssembler(inputCols=_FEATURES[:-1], outputCol="features").transform(rows)
-    return scratch_table(holdout_split(vectors.select("row_id", "features", "label"), "row_id"), "vectors")
+    return scratch_table(with_row_id(holdout_split(vectors.select("row_id", "features", "label"), "row_id")), "vectors")
 
 
 @query("gbt_early_stop")
@@ -189,8 +190,8 @@ def early_stop(spark, sf_dir):
 @query("capacity_sweep")
 def sweep(spark, sf_dir):
     rows = _regression_vectors(spark, sf_dir)
-    found = M.capacity_sweep(rows.where("not is_valid"), rows.where("is_valid"), [2, 4, 6, 8, 10, 12])
-    return rounded(spark.createDataFrame(found, "max_depth int, mae double, is_best boolean"), 2)
+    found = M.capacity_sweep(rows, "is_valid")
+    return rounded(spark.createDataFrame(found, "max_leaves int, mae double, is_best boolean"), 2)
 
 
 @query(

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark import SparkContext
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +16,9 @@ from tablewright.functions.columns import col, is_missing, number, numeric_colum
 from tablewright.operators.metrics import regression_metrics
 from tablewright.operators.prep import fit_preprocessor
 from tablewright.operators.split import holdout_split, sample_fraction
-from tablewright.plans.extra_trees import fit_extra_trees
-from tablewright.runtime import ensure_checkpoint_dir
+from tablewright.plans.binning import ROW_ID, with_row_id
+from tablewright.plans.boosting import Boosting, fit_boosted
+from tablewright.plans.forest import Forest, ForestModel, budget_errors, fit_forest_model
 
 _NORMAL_EQUATION_FEATURES = 4096
 LABEL_NAMES = ("target", "label", "y")
@@ -26,17 +26,17 @@ LABEL_NAMES = ("target", "label", "y")
 
 @dataclass(frozen=True)
 class Settings:
-    """Model sizes. The defaults are the full-size ones; queries and tests pass smaller ones."""
+    """Model sizes. The defaults are the full-size ones, which all queries use; tests pass smaller ones. A depth of None has no limit."""
 
     alpha: float = 1.0
     forest_trees: int = 300
-    forest_depth: int = 15
+    forest_depth: int | None = None
     min_leaf: int = 2
     boost_rounds: int = 100
     boost_depth: int = 3
     boost_rate: float = 0.1
     extra_trees: int = 300
-    extra_depth: int = 12
+    extra_depth: int | None = None
     seed: int = 42
     extras: dict = field(default_factory=dict)
 
@@ -63,23 +63,29 @@ def fit_ridge(data: DataFrame, s: Settings = Settings()) -> Model:
     ).fit(data)
 
 
-def fit_forest(data: DataFrame, s: Settings = Settings()) -> Model:
-    return RandomForestRegressor(
-        numTrees=s.forest_trees,
-        maxDepth=s.forest_depth,
-        minInstancesPerNode=s.min_leaf,
-        featureSubsetStrategy="all",
-        seed=s.seed,
-    ).fit(data)
+def forest_of(s: Settings) -> Forest:
+    return Forest(s.forest_trees, s.min_leaf, s.forest_depth, seed=s.seed)
+
+
+def extra_of(s: Settings) -> Forest:
+    """Every tree sees all rows; thresholds are drawn at random."""
+    return Forest(s.extra_trees, s.min_leaf, s.extra_depth, bootstrap=False, random_cuts=True, seed=s.seed)
+
+
+def boosting_of(s: Settings) -> Boosting:
+    return Boosting(s.boost_rounds, s.boost_depth, s.boost_rate, seed=s.seed)
+
 
+def fit_forest(data: DataFrame, s: Settings = Settings()) -> ForestModel:
+    return fit_forest_model(data, forest_of(s))
 
-def fit_boosting(data: DataFrame, s: Settings = Settings()) -> Model:
-    ensure_checkpoint_dir(data.sparkSession)
-    return GBTRegressor(maxIter=s.boost_rounds, maxDepth=s.boost_depth, stepSize=s.boost_rate, seed=s.seed).fit(data)
 
+def fit_boosting(data: DataFrame, s: Settings = Settings()) -> ForestModel:
+    return fit_boosted(data, boosting_of(s))
 
-def fit_extra(data: DataFrame, s: Settings = Settings()) -> Model:
-    return fit_extra_trees(data, s.extra_trees, s.min_leaf, s.extra_depth, s.seed)
+
+def fit_extra(data: DataFrame, s: Settings = Settings()) -> ForestModel:
+    return fit_forest_model(data, extra_of(s))
 
 
 CANDIDATES: dict[str, Callable[[DataFrame, Settings], Model]] = {
@@ -109,7 +115,7 @@ def fit_pipeline(
 ) -> PipelineModel:
     """Preprocessor and model, both fitted on ``train``."""
     prep = fit_preprocessor(train, features, standardize, complete, checked)
-    ready = prep.transform(with_label(train, target)).select("features", "label")
+    ready = prep.transform(with_label(with_row_id(train), target)).select("features", "label", ROW_ID)
     return PipelineModel([*prep.stages, CANDIDATES[name](ready, settings)])
 
 
@@ -123,31 +129,6 @@ def fit_and_score(
     return model, regression_metrics(scored, target, "prediction").select(F.lit(name).alias("model"), "*")
 
 
-def rounds_with_patience(errors: Sequence[float], patience: int) -> int:
-    """Rounds up to the best error, where the search ends once ``patience`` rounds in a row have not beaten it."""
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def first_trees(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The model after so many rounds."""
-    java = model._java_obj
-    trees = java.trees()
-    kept = SparkContext._gateway.new_array(SparkContext._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
-    weights = SparkContext._gateway.new_array(SparkContext._jvm.double, rounds)
-    for i in range(rounds):
-        kept[i], weights[i] = trees[i], float(java.treeWeights()[i])
-    made = SparkContext._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), kept, weights, java.numFeatures())
-    short = GBTRegressionModel(made)
-    short._resetUid(model.uid)
-    return model._copyValues(short)
-
-
 def fit_boosting_with_stop(
     rows: DataFrame,
     valid_flag: str,
@@ -157,35 +138,27 @@ def fit_boosting_with_stop(
     share: float = 0.8,
     seed: int = 42,
     patience: int = 50,
-) -> GBTRegressionModel:
-    """Long boosting run, kept up to the round after which the squared error on the flagged rows did not fall for ``patience`` rounds.
+    penalty: float = 1.0,
+) -> ForestModel:
+    """Long boosting run that ends once the squared error on the flagged rows has not fallen for ``patience`` rounds; rounds up to the best are kept."""
+    wanted = Boosting(rounds, depth, rate, share, penalty=penalty, patience=patience, seed=seed)
+    return fit_boosted(rows.withColumn("valid", F.col(valid_flag)), wanted)
 
-    Spark's own stop has no patience: it ends with the first round that gains too little.
-    """
-    ensure_checkpoint_dir(rows.sparkSession)
-    model = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=share, seed=seed).fit(
-        rows.where(~F.col(valid_flag))
-    )
-    errors = model.evaluateEachIteration(rows.where(valid_flag), "squared")
-    return first_trees(model, rounds_with_patience(errors, patience))
+
+#: The leaf budgets that are compared.
+LEAF_BUDGETS = (100, 125, 150, 175, 200, 225, 300, 350, 400, 3500, 3750, 4000, 4250, 4500, 12500, 13000, 13500, 14000)
 
 
 def capacity_sweep(
-    train: DataFrame, valid: DataFrame, depths: Sequence[int], trees: int = 100, seed: int = 23
+    rows: DataFrame, valid_flag: str, budgets: Sequence[int] = LEAF_BUDGETS, trees: int = 100, seed: int = 23
 ) -> list[tuple[int, float, bool]]:
-    """Mean absolute error of a forest per size: ``(depth, mae, is_best)``; the first best wins.
+    """Mean absolute error of a forest on the flagged rows by number of leaves: ``(max_leaves, mae, is_best)``; the first best wins.
 
-    Spark's forests are bounded by depth, not by a number of leaves.
+    All sizes come from one forest that is grown best-first.
     """
-    found = []
-    for depth in depths:
-        model = RandomForestRegressor(
-            numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed
-        ).fit(train)
-        error = model.transform(valid).agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
-        found.append((depth, error))
+    found = budget_errors(rows, valid_flag, budgets, Forest(trees, seed=seed))
     best = min(found, key=lambda d: d[1])[0]
-    return [(d, e, d == best) for d, e in found]
+    return [(b, e, b == best) for b, e in found]
 
 
 def label_column(df: DataFrame) -> str:
@@ -209,17 +182,25 @@ def with_class_weight(df: DataFrame, label: str, out: str = "weight", max_classe
     return df.withColumn(out, F.create_map(*pairs)[col(label)])
 
 
+class ClassOfOdds:
+    """A boosted model of log-odds, followed by probability and class."""
+
+    @staticmethod
+    def after(model: ForestModel) -> PipelineModel:
+        model._set(predictionCol="__odds")
+        chance = "1 / (1 + exp(-__odds))"
+        classes = SQLTransformer(
+            statement=f"SELECT * EXCEPT (__odds), {chance} AS chance, CASE WHEN __odds > 0 THEN 1.0D ELSE 0.0D END AS prediction FROM __THIS__"
+        )
+        return PipelineModel([model, classes])
+
+
 def fit_classifier(data: DataFrame, settings: Settings = Settings()) -> Model:
     """Boosted trees for two classes, a forest for more; labels are 0, 1, ..."""
-    ensure_checkpoint_dir(data.sparkSession)
-    classes = data.agg(F.max("label")).first()[0]
-    if classes is not None and classes <= 1:
-        return GBTClassifier(
-            maxIter=settings.boost_rounds, maxDepth=settings.boost_depth, stepSize=settings.boost_rate, seed=settings.seed
-        ).fit(data)
-    return RandomForestClassifier(
-        numTrees=settings.forest_trees, maxDepth=settings.forest_depth, seed=settings.seed
-    ).fit(data)
+    top = data.agg(F.max("label")).first()[0]
+    if top is not None and top <= 1:
+        return ClassOfOdds.after(fit_boosted(data, replace(boosting_of(settings), loss="logistic")))
+    return fit_forest_model(data, replace(forest_of(settings), min_leaf=1, tries="sqrt", classes=int(top or 0) + 1))
 
 
 def train_classifier(
@@ -273,7 +254,11 @@ def fit_balanced_logistic(data: DataFrame, weight: str = "weight") -> Model:
     ).fit(data)
 
 
-def fit_balanced_forest(data: DataFrame, settings: Settings = Settings(), weight: str = "weight") -> Model:
-    return RandomForestClassifier(
-        numTrees=settings.forest_trees, maxDepth=settings.forest_depth, weightCol=weight, seed=settings.seed
-    ).fit(data)
+def balanced_forest_of(s: Settings, classes: int) -> Forest:
+    """Classes weigh the same in each tree's own sample, and a split tries the square root of the number of features."""
+    return Forest(s.forest_trees, max_depth=s.forest_depth, tries="sqrt", classes=classes, balanced=True, seed=s.seed)
+
+
+def fit_balanced_forest(data: DataFrame, settings: Settings = Settings()) -> ForestModel:
+    classes = int(data.agg(F.max("label")).first()[0]) + 1
+    return fit_forest_model(data, balanced_forest_of(settings, classes))

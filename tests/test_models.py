@@ -2,7 +2,6 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from tablewright.operators import metrics as M
@@ -10,7 +9,6 @@ from tablewright.operators import prep as P
 from tablewright.plans import models as R
 from tablewright.plans.bundle import load_bundle, save_bundle
 from tablewright.plans.crossval import best_of, leaderboard, run_regression_cv
-from tablewright.plans.extra_trees import fit_extra_trees
 from tablewright.plans.training_loop import plan_round, train_until_ready
 from tablewright.sources.submissions import align_submission, check_submission, score_batch
 
@@ -42,35 +40,6 @@ def test_ridge_matches_normal_equations(data):
     assert model.intercept == pytest.approx(y.mean() - x.mean(axis=0) @ want)
 
 
-def test_extra_trees(data):
-    rows = vectors(data)
-
-    def error(depth, seed=1):
-        model = fit_extra_trees(rows, trees=8, max_depth=depth, seed=seed)
-        scored = model.transform(rows)
-        return model, scored.agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
-
-    errors = [error(d)[1] for d in (1, 3, 6, 10)]
-    assert errors == sorted(errors, reverse=True) and errors[-1] < 0.5 * errors[0]
-    model, _ = error(6)
-    again = fit_extra_trees(rows.repartition(7), trees=8, max_depth=6, seed=1)
-    for one, two in zip(model.trees(), again.trees()):
-        assert one.feature == two.feature and one.cut == pytest.approx(two.cut) and one.value == pytest.approx(two.value)
-    low, high, label_low, label_high = (
-        model.transform(rows).agg(F.min("prediction"), F.max("prediction"), F.min("label"), F.max("label")).first()
-    )
-    assert label_low <= low and high <= label_high
-    leaves = [t.leaves_of(np.stack([r["features"].toArray() for r in rows.collect()])) for t in model.trees()]
-    assert min(np.unique(x, return_counts=True)[1].min() for x in leaves) >= 2
-
-
-def test_extra_trees_with_constant_target(spark):
-    df = spark.createDataFrame([(float(i), 4.0) for i in range(20)], "a double, label double")
-    rows = VectorAssembler(inputCols=["a"], outputCol="features").transform(df)
-    model = fit_extra_trees(rows, trees=2, max_depth=4)
-    assert {r["prediction"] for r in model.transform(rows).collect()} == {4.0}
-
-
 @pytest.mark.parametrize("name", ["ridge", "extratrees"])
 def test_bundle_scores_tables_that_lack_features(spark, data, tmp_path, name):
     features = ["a", "b", "kind"]
@@ -160,29 +129,6 @@ def test_schema_table(spark):
     assert tuple(M.schema_summary(train, None).first()) == ("", "", "", 0, "test_absent")
 
 
-def test_patience():
-    assert R.rounds_with_patience([5, 4, 4.5, 3, 3.5, 3.2, 3.1, 2], 3) == 4
-    assert R.rounds_with_patience([5, 4, 4.5, 3, 3.5, 3.2, 3.1, 2], 5) == 8
-    assert R.rounds_with_patience([1.0], 2) == 1
-
-
-def test_boosting_keeps_the_best_prefix(spark):
-    rng = np.random.default_rng(3)
-    x = rng.random(300)
-    pdf = pd.DataFrame({"x": x, "label": np.sin(6 * x) + rng.normal(size=300) * 0.4, "v": np.arange(300) % 3 == 0})
-    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(pdf)).cache()
-    slow = R.fit_boosting_with_stop(rows, "v", rounds=15, depth=2, rate=0.01)
-    assert slow.getNumTrees == 15
-    model = R.fit_boosting_with_stop(rows, "v", rounds=25, depth=4, rate=0.5, patience=6)
-    whole = GBTRegressor(maxIter=25, maxDepth=4, stepSize=0.5, subsamplingRate=0.8, seed=42).fit(rows.where("not v"))
-    errors = whole.evaluateEachIteration(rows.where("v"), "squared")
-    kept = model.getNumTrees
-    assert kept < 25 and errors[kept - 1] == min(errors[: kept + 6])
-    got = [r[0] for r in model.transform(rows.where("v")).select("prediction").collect()]
-    y = pdf[pdf.v]["label"].to_numpy()
-    assert np.mean((np.array(got) - y) ** 2) == pytest.approx(errors[kept - 1])
-
-
 def test_rounds():
     assert plan_round(None, None, False) == (["ridge", "rf", "gb"], 0.98)
     assert plan_round(None, None, True)[0][0] == "extratrees"

@@ -12,7 +12,7 @@ spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "fals
 from tablewright.functions.geo import ellipsoid_km
 from tablewright.operators.bm25 import Bm25Index, bm25_search
 from tablewright.operators.lexical import lexical_search
-from tablewright.plans.extra_trees import fit_extra_trees
+from tablewright.plans.models import Settings, fit_boosting, fit_extra
 from pyspark.ml.feature import VectorAssembler
 rows = spark.createDataFrame(
     [(1, "alpha beta", "s", 0, "code", None), *[(i, "beta", "s", i, "code", None) for i in range(2, 6)]],
@@ -24,7 +24,9 @@ assert lexical_search(rows, asked).count() == 1
 assert spark.range(2).select(ellipsoid_km(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(0.0)).alias("k")).where("k > 110").count() == 2
 data = spark.range(20).selectExpr("cast(id as double) a", "cast(id as double) label")
 data = VectorAssembler(inputCols=["a"], outputCol="features").transform(data)
-assert fit_extra_trees(data, trees=2, max_depth=2).transform(data).where("prediction is not null").count() == 20
+small = Settings(extra_trees=2, boost_rounds=2)
+for fit in (fit_extra, fit_boosting):
+    assert fit(data, small).transform(data).where("prediction is not null").count() == 20
 print("all shipped")
 """
 
