@@ -15,6 +15,8 @@ import numpy as np
 
 LEAF = 0xFFFF
 BINS = 256
+#: Features of up to so many bins are added up by bin instead of being kept in order.
+_FEW = 8
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(20)])
 _NEVER = np.iinfo(np.int64).max
 
@@ -141,11 +143,13 @@ def leaves(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, codes: np.nda
 def grow(codes: np.ndarray, stats: np.ndarray, root: np.ndarray, rules: Rules, values: list[np.ndarray], depth: int = 0) -> Tree:
     """A tree from all rows: ``codes`` features by rows, ``stats`` statistics by rows with the number of rows (1 each) first.
 
-    Every feature keeps its rows sorted by node and bin, and a split parts each order in place: a level is a few passes over the rows, whatever its
-    number of nodes.
+    Every feature of more than a few bins keeps its rows sorted by node and bin, and a split parts each order in place: a level is a few passes over the
+    rows, whatever its number of nodes.
     """
     p, n = codes.shape
-    order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+    many = [f for f in range(p) if len(values[f]) > _FEW]
+    few = [f for f in range(p) if len(values[f]) <= _FEW]
+    order = np.argsort(codes[many], axis=1, kind="stable").astype(np.int32) if many else np.arange(n, dtype=np.int32)[None]
     totals, ids, sizes = stats.sum(axis=1)[:, None], root, np.array([n])
     levels = []
     while len(sizes):
@@ -160,31 +164,38 @@ def grow(codes: np.ndarray, stats: np.ndarray, root: np.ndarray, rules: Rules, v
             open_node[:] = False
         if open_node.any():
             inside = (seg[1:] == seg[:-1]) & open_node[seg[1:]]
-            for f in range(p):
-                o = order[f]
+            for k, f in enumerate(many):
+                o = order[k]
                 c = codes[f][o]
                 at = np.flatnonzero(inside & (c[1:] != c[:-1]))
                 if rules.random_cuts and len(at):
                     drawn = drawn_cuts(rules, ids, c[starts], c[starts + sizes - 1], f, values[f])[seg[at]]
                     at = at[(c[at] <= drawn) & (c[at + 1] > drawn)]
+                s = seg[at]
+                left_n = at + 1 - starts[s]
+                fits = (left_n >= rules.min_leaf) & (sizes[s] - left_n >= rules.min_leaf)
+                at, s = at[fits], s[fits]
                 if not len(at):
                     continue
-                run = np.cumsum(stats[:, o], axis=1)
+                run = np.cumsum(stats[1:, o], axis=1)
                 before = np.where(starts > 0, run[:, starts - 1], 0.0)
-                s = seg[at]
                 left = run[:, at] - before[:, s]
-                right_n = totals[0][s] - left[0]
-                fits = (left[0] >= rules.min_leaf) & (right_n >= rules.min_leaf)
-                at, s, left = at[fits], s[fits], left[:, fits]
-                if not len(at):
-                    continue
-                gain = rules.score(left[1:]) + rules.score(totals[1:, s] - left[1:]) - parent[s]
+                gain = rules.score(left) + rules.score(totals[1:, s] - left) - parent[s]
                 first = np.flatnonzero(np.diff(s, prepend=-1))
                 top = np.maximum.reduceat(gain, first)
                 place = np.where(gain == np.repeat(top, np.diff([*first, len(s)])), np.arange(len(s)), len(s))
                 place = np.minimum.reduceat(place, first)
                 node = s[first]
-                gains[f, node], cuts[f, node], lefts[f][:, node] = top, c[at[place]], left[:, place]
+                gains[f, node], cuts[f, node] = top, c[at[place]]
+                lefts[f, 0, node], lefts[f, 1:, node] = at[place] + 1 - starts[node], left[:, place].T
+            if few:
+                rows = order[0]
+                weights = stats[:, rows]
+                for f in few:
+                    cell = seg * np.int64(_FEW) + codes[f][rows]
+                    hist = np.stack([np.bincount(cell, weights=w, minlength=m * _FEW).reshape(m, _FEW) for w in weights], axis=1)
+                    gains[f], cuts[f], lefts[f] = cut_gains(rules, ids, hist, totals, parent, f, values[f])
+                gains[few] = np.where(open_node, gains[few], -np.inf)
         best = choose(rules, ids, gains)
         nodes = np.arange(m)
         gain = gains[best, nodes]
@@ -224,6 +235,29 @@ def _parted(codes, order, seg, split, best, cut, n_left, sizes):
     return out, np.stack([n_left, size - n_left], axis=1).ravel()
 
 
+def cut_gains(rules: Rules, ids: np.ndarray, hist: np.ndarray, totals: np.ndarray, parent: np.ndarray, feature: int, values: np.ndarray):
+    """Gain, cut and statistics left of the cut for the best cut of one feature in each node; ``hist`` has nodes, statistics and bins."""
+    m, bins = len(hist), np.arange(hist.shape[2])
+    run = np.cumsum(hist, axis=2).transpose(1, 0, 2)  # statistics, nodes, bins
+    rest = totals[:, :, None] - run
+    held = hist[:, 0] > 0
+    # Of cuts that part alike, the one at the last bin on the left.
+    fits = held & (run[0] >= rules.min_leaf) & (rest[0] >= rules.min_leaf) & (run[0] > 0) & (rest[0] > 0)
+    if rules.random_cuts:
+        low, high = held.argmax(axis=1), len(bins) - 1 - held[:, ::-1].argmax(axis=1)
+        drawn = drawn_cuts(rules, ids, low, high, feature, values)
+        last = np.where(held & (bins <= drawn[:, None]), bins, -1).max(axis=1)
+        fits &= bins == last[:, None]
+    gain = rules.score(run[1:]) + rules.score(rest[1:]) - parent[:, None]
+    if rules.symmetric:
+        gain = np.broadcast_to(np.where(fits.any(axis=0), gain.sum(axis=0), -np.inf), fits.shape)
+    else:
+        gain = np.where(fits, gain, -np.inf)
+    cut = gain.argmax(axis=1)
+    nodes = np.arange(m)
+    return gain[nodes, cut], cut, run[:, nodes, cut]
+
+
 def best_splits(rules: Rules, ids: np.ndarray, hist: np.ndarray, values: list[np.ndarray]):
     """The same choice from histograms of shape (nodes, features, statistics, bins): feature, cut, gain and statistics left of the cut."""
     m, p, k, _ = hist.shape
@@ -232,25 +266,7 @@ def best_splits(rules: Rules, ids: np.ndarray, hist: np.ndarray, values: list[np
     gains, cuts, lefts = np.full((p, m), -np.inf), np.zeros((p, m), np.int64), np.zeros((p, k, m))
     nodes = np.arange(m)
     for f in range(p):
-        run = np.cumsum(hist[:, f], axis=2).transpose(1, 0, 2)  # statistics, nodes, bins
-        rest = totals[:, :, None] - run
-        fits = (run[0] >= rules.min_leaf) & (rest[0] >= rules.min_leaf) & (run[0] > 0) & (rest[0] > 0)
-        held = hist[:, f, 0] > 0
-        fits &= held  # of cuts that part alike, the one at the last bin on the left
-        if rules.random_cuts:
-            low, high = held.argmax(axis=1), BINS - 1 - held[:, ::-1].argmax(axis=1)
-            drawn = drawn_cuts(rules, ids, low, high, f, values[f])
-            upto = np.where(np.arange(BINS) <= drawn[:, None], np.arange(BINS), -1)
-            last = np.where(held, upto, -1).max(axis=1)
-            fits &= np.arange(BINS) == last[:, None]
-        if rules.symmetric:
-            sides = rules.score(run[1:]) + rules.score(rest[1:]) - parent[:, None]
-            gain = np.broadcast_to(np.where(fits.any(axis=0), sides.sum(axis=0), -np.inf), fits.shape)
-        else:
-            gain = np.where(fits, rules.score(run[1:]) + rules.score(rest[1:]) - parent[:, None], -np.inf)
-        cuts[f] = gain.argmax(axis=1)
-        gains[f] = gain[nodes, cuts[f]]
-        lefts[f] = run[:, nodes, cuts[f]]
+        gains[f], cuts[f], lefts[f] = cut_gains(rules, ids, hist[:, f], totals, parent, f, values[f])
     best = choose(rules, ids, gains)
     gain = gains[best, nodes]
     split = (gain > gain_floor(parent)) & ((totals[0] >= 2 * rules.min_leaf) | rules.symmetric)
