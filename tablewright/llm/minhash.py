@@ -122,7 +122,7 @@ def _banded(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("c", "keys"), of, "key long, c long")
 
 
-def _full_sets(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
+def full_sets(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """``(c, grams)``: the sorted set of each member class, cut from the text of its first document."""
 
     def of(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,10 +220,13 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _group_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, chunk_bytes: int, block_bytes: int) -> DataFrame:
-    """``(a, b)``: links that connect what the links of each group ``(c, g, weight)`` connect."""
+def group_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, words: int, percent: int, chunk_bytes: int, block_bytes: int) -> DataFrame:
+    """``(a, b)``: links that connect what the links between members of each group ``(c, g, weight)`` connect.
+
+    The order of the members by weight, the keys they share, decides only how fast a group falls into components.
+    """
     nodes = written(classes.select("c", "first", "same", "sig").join(groups, "c"), "nodes")
-    facts = nodes.select("c", "g", "weight", "sig").join(_full_sets(rows, nodes, words), "c")
+    facts = nodes.select("c", "g", "weight", "sig").join(full_sets(rows, nodes, words), "c")
     facts = written(facts.withColumn("size", F.octet_length("grams") + 200), "facts")
     sizes = facts.groupBy("g").agg(F.ceil(F.sum("size") / chunk_bytes).alias("chunks"))
     large = written(sizes.where("chunks > 1"), "large_groups")
@@ -281,6 +284,26 @@ def _group_links(rows: DataFrame, classes: DataFrame, groups: DataFrame, words:
     return out
 
 
+def band_ties(classes: DataFrame, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)``: candidates that tie together all classes ``(c, keys, sig)`` that meet in a band and whose signatures agree; and ``(c, weight)``."""
+    # How many share a key is counted before the shuffle, so a key that very many share is a row for each task.
+    counted = _banded(classes).groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1")
+    counted = written(counted, "shared_keys")
+    shared = written(_banded(classes).join(small_or_plain(counted, counted.count(), 32), "key"), "shared")
+    large = shared.where(F.col("n") > bucket)
+    ties = large.select(F.col("c").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    ties = written(ties.unionByName(_agreeing(_bucket_pairs(shared.where(F.col("n") <= bucket)), classes)), "band_ties")
+    weights = written(shared.groupBy("c").agg(F.sum("n").alias("weight")), "weights")
+    forget(counted, shared)
+    return ties, weights
+
+
+def grouped(ties: DataFrame, weights: DataFrame) -> DataFrame:
+    """``(c, g, weight)``: the groups that ties make."""
+    groups = smallest_reachable(ties, "a", "b").select(F.col("node").alias("c"), F.col("root").alias("g"))
+    return written(groups.join(weights, "c", "left").fillna(0, "weight"), "groups")
+
+
 def minhash_components(
     docs: DataFrame,
     words: int = WORDS,
@@ -295,24 +318,16 @@ def minhash_components(
     one = [F.any_value(x).alias(x) for x in ("keys", "sig")]
     classes = prints.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("first"), *one)
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
-    # How many share a key is counted before the shuffle, so a key that very many share is a row for each task.
-    counted = _banded(classes).groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1")
-    counted = written(counted, "shared_keys")
-    shared = written(_banded(classes).join(small_or_plain(counted, counted.count(), 32), "key"), "shared")
-    large = shared.where(F.col("n") > bucket)
-    ties = large.select(F.col("c").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-    ties = written(ties.unionByName(_agreeing(_bucket_pairs(shared.where(F.col("n") <= bucket)), classes)), "ties")
-    groups = smallest_reachable(ties, "a", "b").select(F.col("node").alias("c"), F.col("root").alias("g"))
-    weights = shared.groupBy("c").agg(F.sum("n").alias("weight"))
-    groups = written(groups.join(weights, "c"), "groups")
-    links = _group_links(rows, classes, groups, words, percent, chunk_bytes, block_bytes).unionByName(_repeated(prints, classes))
+    ties, weights = band_ties(classes, bucket)
+    groups = grouped(ties, weights)
+    links = group_links(rows, classes, groups, words, percent, chunk_bytes, block_bytes).unionByName(_repeated(prints, classes))
     roots = smallest_reachable(links, "a", "b")
     placed = classes.select("same", "first", "c").join(roots, F.col("c") == F.col("node"), "left")
     placed = placed.select("same", "first", F.coalesce("root", "c").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     placed = written(placed.join(least, "comp").select("same", "component_id"), "placed")
     out = prints.join(placed, "same", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    forget(counted, shared, ties, groups)
+    forget(ties, weights, groups)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

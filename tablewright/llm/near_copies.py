@@ -1,310 +1,193 @@
-"""Near copies by SimHash candidates and exact similarity: which document of a group stays.
+"""Near copies by SimHash, MinHash bands and exact similarity: which document of a group stays.
 
-Two texts are near copies if the Jaccard similarity of their word shingles is at least ``SIMILARITY``. Texts with the same words are one from the start.
-The others get a SimHash fingerprint of their shingles; links within ``RADIUS`` bits are searched with covering masks (see ``simhash``). At a
-similarity of 0.8 fingerprints differ in about 10 of 64 bits, so every pair that the radius misses is linked by parts as well (``PartKeys``):
-texts with the same shingles in one part of all shingles are compared. No pair is lost. Links form components. Inside a component, documents are taken by id: one that is similar to a document kept before it goes, any other is kept. So
-every document that goes has a kept near copy with a smaller id, and no two kept documents of a component are near copies.
+Two texts are near copies if the Jaccard similarity of their word shingles is at least ``PERCENT`` of 100. Texts with the same set of shingles are one class from the start.
+Classes whose SimHash fingerprints differ in at most ``RADIUS`` bits are found with covering masks (see ``simhash``). At a
+similarity of 0.8 fingerprints differ in about 10 of 64 bits, so classes that meet in a MinHash band are candidates as well (see
+``minhash``, with the chance to miss a pair). What candidates tie together is a group, and links are confirmed on full sets inside groups. Confirmed links form components. Inside a component,
+documents are taken by id: one that is similar to a document kept before it goes, any other is kept. So every document that goes has a kept near copy with a smaller id, and no two
+kept documents are near copies.
 
-Small components are decided in one task each. In a large one, some documents at a time are decided among themselves, then all others are compared
-with those that were kept, in as many tasks as they fill.
+Components of up to ``GROUP_ROWS`` classes and ``GROUP_BYTES`` of sets are decided in one task each. In a larger one, some documents at a time are decided among
+themselves, then all others are compared with those that were kept, in as many tasks as they fill.
 
-Defined results: null and empty texts have no words and are copies of each other; texts shorter than a shingle are one shingle; rows with a null id are left out; repeated
-ids are decided once for their smallest text; an empty table gives no rows.
+Defined results: null and empty texts have no words and are copies of each other; texts shorter than a shingle are one shingle; rows with a null id are left
+out (``without_near_copies`` keeps them); every row of a repeated id is decided by its own text, and of equal rows one stays; an empty table gives no rows; other columns are
+never read, whatever they are called.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import forget, map_batches, small_or_plain, text_bytes, written
+from tablewright.llm.common import forget, map_batches, text_bytes, written
 from tablewright.llm.components import smallest_reachable
-from tablewright.llm.simhash import fingerprint_links, hash_bits, shingle_hashes, shingles
+from tablewright.llm.minhash import BUCKET, band_keys, band_ties, full_sets, group_links, grouped, linked, signatures
+from tablewright.llm.minhash import BLOCK_BYTES as STRAY_BYTES
+from tablewright.llm.minhash import CHUNK_BYTES
+from tablewright.llm.simhash import RADIUS, fingerprint_links, hash_bits, shingle_hashes
 
 WORDS = 5
-SIMILARITY = 0.8
-RADIUS = 9
-BLOCKS = 2
-#: Documents of a component that one task decides.
-GROUP_ROWS = 512
-#: Sizes of sets that share their parts lie within this factor.
-_CLASS_FACTOR = 1.25
-#: One part more for so many that may differ.
-_SPARE = 8
-#: Ways to deal out shingles; in the last one empty parts have keys, too.
-_WAYS = 12
-#: Texts with one key that are compared in pairs.
-KEY_ROWS = 16
-#: Of larger sets only the hashes below a quarter of their range go to the comparison of pairs.
-_WHOLE_SET, _QUARTER = 64, np.uint64(1 << 62)
-#: Bytes of text that a task turns into keys or sets at a time.
-PORTION = 2_000_000
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class PartKeys:
-    """Keys of a set such that two sets with a Jaccard similarity of ``least`` or more have some in common.
-
-    If the smaller of two such sets has ``a`` members, at most ``d = a * (1 - least) / least`` members are in only one of the two. Members are
-    dealt out to ``d + spare + 1`` parts by their hashes, so more than ``spare`` parts are the same in both. A part's key is the hash of
-    its members; empty parts have none. A set with more than ``spare`` empty parts also gets the keys of another way to deal: if no part that is the
-    same has members, both sets have that many empty ones and meet there.
-    The number of parts follows the class of the smaller set's size; a set has the keys of each class its smaller partner may be in.
-    """
-
-    def __init__(self, least: float):
-        self.least, self.starts = least, [1]
-
-    def _class(self, size: int) -> int:
-        while self.starts[-1] <= size:
-            self.starts.append(max(self.starts[-1] + 1, int(self.starts[-1] * _CLASS_FACTOR)))
-        return int(np.searchsorted(self.starts, size, "right")) - 1
+PERCENT = 80
+#: Classes of a component that one task decides, and bytes of their sets.
+GROUP_ROWS, GROUP_BYTES = 512, 8_000_000
+#: Bytes of text that are hashed at a time.
+PORTION = 1_000_000
 
-    def __call__(self, members: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
-        """Of a set of 64-bit hashes, for each deal: its number, the further parts that may be left out, and signed 64-bit keys."""
-        if not len(members):
-            return []
-        out = []
-        smallest = max(1, int(np.ceil(self.least * len(members) - 1e-6)))
-        for c in range(self._class(smallest), self._class(len(members)) + 1):
-            differ = int((self.starts[c + 1] - 1) * (1 - self.least) / self.least + 1e-6)
-            spare = 1 + differ // _SPARE if differ else 0
-            parts = differ + spare + 1
-            for way in range(_WAYS):
-                deal = c * _WAYS + way
-                salt = np.uint64((deal + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
-                hashes = _mixed(members ^ salt)
-                part = hashes % np.uint64(parts)
-                order = np.argsort(part, kind="stable")
-                part, hashes = part[order], hashes[order]
-                at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-                keys = _mixed(np.add.reduceat(_mixed(hashes + salt), at) ^ (part[at] + salt))
-                empty = parts - len(at)
-                last = empty <= spare
-                if not last and way == _WAYS - 1:
-                    keys = np.r_[keys, _mixed(np.setdiff1d(np.arange(parts, dtype=np.uint64), part[at]) + salt)]
-                    empty = 0
-                out.append((deal, spare - empty, keys.view(np.int64)))
-                if last:
-                    break
-        return out
 
+def _prints(rows: DataFrame, words: int) -> DataFrame:
+    """``(doc_id, h, same, fp, keys, sig)`` of each row; ``same`` is the digest of its set."""
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches ``least``."""
-    small, large = sorted((len(a), len(b)))
-    if not large:
-        return True
-    if small < least * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
+    def of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps, sets = [], []
+        for text in text_bytes(batch.column("text")):
+            hashes = shingle_hashes(text, words)
+            fps.append(hash_bits(hashes))
+            sets.append(np.unique(hashes))
+        minima = signatures([s for s in sets if len(s)])
+        keys, sigs = iter(band_keys(minima)), iter(minima.astype(np.uint8))
+        columns = [
+            batch.column("doc_id"),
+            batch.column("h"),
+            pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+            pa.array(fps, pa.int64()),
+            pa.array([next(keys).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+            pa.array([next(sigs).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "same", "fp", "keys", "sig"])
+
+    return map_batches(rows, of, "doc_id long, h long, same binary, fp long, keys binary, sig binary", PORTION)
+
+
+def _fingerprint_ties(classes: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: ties between classes with fingerprints within the radius."""
+    heads = written(classes.groupBy("fp").agg(F.min("c").alias("head")), "heads")
+    links = fingerprint_links(heads.select("fp"), radius)
+    one, other = (heads.select(F.col("fp").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
+    across = links.join(one, "a").join(other, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    equal = classes.join(heads, "fp").where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
+    return across.unionByName(equal)
+
+
+def near_copies(
+    docs: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+    radius: int = RADIUS,
+    group_rows: int = GROUP_ROWS,
+    group_bytes: int = GROUP_BYTES,
+    bucket: int = BUCKET,
+    chunk_bytes: int = CHUNK_BYTES,
+) -> DataFrame:
+    """``(doc_id, text_hash, kept_id, stays)`` of every row with an id: the document that stays for it, and whether that is itself."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).where("doc_id is not null")
+    prints = written(_prints(rows, words), "prints")
+    facts = [F.any_value(x).alias(x) for x in ("fp", "keys", "sig")]
+    classes = prints.groupBy("same").agg(F.min(F.struct("doc_id", "h")).alias("head"), *facts)
+    classes = classes.select("same", F.col("head.doc_id").alias("first"), F.col("head.h").alias("first_h"), "fp", "keys", "sig")
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    held = classes.where("octet_length(keys) > 0")
+    ties, weights = band_ties(held, bucket)
+    groups = grouped(ties.unionByName(_fingerprint_ties(held, radius)), weights)
+    links = group_links(rows.select("doc_id", "text"), held, groups, words, percent, chunk_bytes, STRAY_BYTES)
+    comps = smallest_reachable(links, "a", "b").select(F.col("node").alias("c"), F.col("root").alias("comp"))
+    members = written(classes.select("c", "first", "same").join(comps, "c"), "members")
+    decided = _decided(rows.select("doc_id", "text"), members, words, percent, group_rows, group_bytes)
+    placed = classes.select("same", "first", "first_h", "c").join(decided, "c", "left")
+    own = F.coalesce("keeper", "c") == F.col("c")
+    placed = placed.select("same", "first", "first_h", own.alias("kept"), F.coalesce("kept_id", "first").alias("kept_id"))
+    stays = F.col("kept") & (F.col("doc_id") == F.col("first")) & (F.col("h") == F.col("first_h"))
+    out = prints.select("doc_id", "h", "same").join(placed, "same").select("doc_id", F.col("h").alias("text_hash"), "kept_id", stays.alias("stays"))
+    forget(ties, weights, groups)
+    return out
 
 
-def _decide(docs: list[int], sets: list[np.ndarray], least: float) -> list[int]:
-    """For each document, in order of id, the kept one it goes for (itself if it is kept)."""
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows that stay; those without an id cannot be compared and stay."""
+    decided = written(near_copies(docs), "near_copies")
+    hashed = docs.withColumn("__h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    gone = decided.where("not stays").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__gone")).distinct()
+    same_id = F.col("doc_id").cast("long") == F.col("__id")
+    left = hashed.join(gone, same_id & (F.col("__h") == F.col("__gone")), "left_anti")
+    twice = decided.where("stays").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(twice.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__gone")), "equal_rows")
+    if twice.isEmpty():
+        return left.select(*docs.columns)
+    met = same_id & (F.col("__h") == F.col("__gone"))
+    equal = left.join(twice, met).groupBy("__id", "__gone").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.join(twice, met, "left_anti").select(*docs.columns).unionByName(equal.select(*docs.columns))
+
+
+def _decide(rows: list[dict], percent: int) -> list[dict]:
+    """For each class, in order of its first id, the kept one it goes for (itself if it is kept)."""
     kept, out = [], []
-    for doc, own in zip(docs, sets, strict=True):
-        keeper = next((k for k, other in kept if similar(own, other, least)), None)
+    for r in sorted(rows, key=lambda r: (r["first"], r["c"])):
+        own = np.frombuffer(r["grams"], np.uint64)
+        keeper = next((k for k, other in kept if linked(own, other, percent)), None)
         if keeper is None:
-            kept.append((doc, own))
-        out.append(doc if keeper is None else keeper)
+            keeper = r
+            kept.append((r, own))
+        out.append({**r, "keeper": keeper["c"], "kept_id": keeper["first"]})
     return out
 
 
-def sampled(own: np.ndarray) -> np.ndarray:
-    """The hashes of a sorted set that are sent to the comparison of pairs."""
-    return own if len(own) <= _WHOLE_SET else own[: np.searchsorted(own, _QUARTER)]
-
-
-def may_be_similar(a: np.ndarray, size_a: int, b: np.ndarray, size_b: int, least: float) -> bool:
-    """False only if sets of these sizes with these samples have a Jaccard similarity below ``least``: too many members are in one of them."""
-    if min(size_a, size_b) < least * max(size_a, size_b) - 1e-6:
-        return False
-    if max(size_a, size_b) > _WHOLE_SET:
-        a, b = (x[: np.searchsorted(x, _QUARTER)] for x in (a, b))
-    differ = len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
-    return differ <= (1 - least) / (1 + least) * (size_a + size_b) + 1e-6
-
-
-def _sets(rows: DataFrame, members: DataFrame, count: int, words: int, part: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``(comp, doc_id, size, grams)``: the sorted shingle hashes of the members, or a part of them."""
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = ([], [], [], [])
-        columns = (batch.column(c).to_pylist() for c in ("comp", "doc_id", "same"))
-        for t, comp, doc, wanted in zip(text_bytes(batch.column("text")), *columns, strict=True):
-            if xxhash.xxh3_128_digest(b" ".join(t.lower().split())) == wanted:
-                own = np.unique(np.array([xxhash.xxh64_intdigest(g) for g in shingles(t, words)], np.uint64))
-                for column, value in zip(out, (comp, doc, len(own), part(own).tobytes()), strict=True):
-                    column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["comp", "doc_id", "size", "grams"])
+_DECIDED = pa.schema([("comp", pa.int64()), ("c", pa.int64()), ("first", pa.int64()), ("keeper", pa.int64()), ("kept_id", pa.int64()), ("grams", pa.binary())])
 
-    texts = rows.join(small_or_plain(members, count, 64), "doc_id").select("comp", "doc_id", "same", "text")
-    return map_batches(texts, sets, "comp long, doc_id long, size int, grams binary", PORTION).dropDuplicates(["comp", "doc_id"])
 
-
-def part_links(rows: DataFrame, keyed: DataFrame, first: DataFrame, words: int, similarity: float, key_rows: int = KEY_ROWS) -> DataFrame:
-    """``(a, b)``: links between fingerprints that connect all pairs of similar texts.
-
-    Texts that share a key of at most ``key_rows`` texts are compared. A text of whose parts more than the spare ones have keys of more texts
-    is linked to the others of that kind with the same key: a similar text has a smaller key in common with it, or is of that kind too.
-    """
-    deals = keyed.select("fp", F.explode("deals").alias("d"))
-    parts = deals.select("fp", "d.deal", "d.slack", F.explode("d.keys").alias("key"))
-    # Extremes are found before the shuffle, so a key that very many share is a row for each task.
-    ends = written(parts.groupBy("key").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").select("key"), "shared_keys")
-    shared = written(parts.join(small_or_plain(ends, ends.count(), 16), "key").distinct(), "shared_parts")
-    hot = written(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > key_rows).select("key"), "hot_keys")
-    hot_side = small_or_plain(hot, hot.count(), 16)
-    lists = shared.join(hot_side, "key", "left_anti").groupBy("key").agg(F.collect_set("fp").alias("fps")).where("size(fps) > 1").select("fps")
-
-    def pairs_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = set()
-        for row in batch.column("fps").to_pylist():
-            found.update(combinations(sorted(row), 2))
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    pairs = written(map_batches(lists, pairs_of, "a long, b long").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    members = written(first.join(nodes, "fp").select(F.col("first").alias("doc_id"), "same", F.col("fp").alias("comp")), "pair_members")
-    sketches = written(_sets(rows, members, members.count(), words, sampled), "samples")
-    one, other = (sketches.select(F.col("comp").alias(x), F.col("size").alias(f"size_{x}"), F.col("grams").alias(f"grams_{x}")) for x in "ab")
-
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        columns = (batch.column(c).to_pylist() for c in ("grams_a", "size_a", "grams_b", "size_b"))
-        for k, (a, size_a, b, size_b) in enumerate(zip(*columns, strict=True)):
-            if may_be_similar(np.frombuffer(a, np.uint64), size_a, np.frombuffer(b, np.uint64), size_b, similarity):
-                keep.append(k)
-        return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    compared = map_batches(pairs.join(one, "a").join(other, "b"), compare, "a long, b long")
-    hot_parts = shared.join(hot_side, "key")
-    full = hot_parts.groupBy("fp", "deal", "slack").agg(F.count("*").alias("n")).where("n > slack").select("fp", "deal").distinct()
-    full = written(hot_parts.join(full, ["fp", "deal"]).select("key", "fp"), "hot_parts")
-    heads = written(full.groupBy("key").agg(F.min("fp").alias("a")), "hot_heads")
-    stars = full.join(small_or_plain(heads, heads.count(), 16), "key").where("a < fp").select("a", F.col("fp").alias("b"))
-    links = written(compared.unionByName(stars).distinct(), "part_links")
-    forget(ends, shared, hot, pairs, members, sketches, full, heads)
-    return links
-
-
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``(doc_id, kept_id)``: the document that stays for each document, itself if it is the one."""
-
-    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys_of, fps, same, deals, ends = PartKeys(similarity), [], [], [], [0]
-        for t in text_bytes(batch.column("text")):
-            hashes = shingle_hashes(t, words)
-            fps.append(hash_bits(hashes))
-            same.append(xxhash.xxh3_128_digest(b" ".join(t.lower().split())))
-            deals.extend(keys_of(np.unique(hashes)))
-            ends.append(len(deals))
-        starts = np.cumsum([0, *(len(keys) for _, _, keys in deals)], dtype=np.int32)
-        keys = pa.ListArray.from_arrays(starts, np.concatenate([np.zeros(0, np.int64), *(keys for _, _, keys in deals)]))
-        numbers = [pa.array([d[k] for d in deals], pa.int32()) for k in (0, 1)]
-        deals = pa.ListArray.from_arrays(np.array(ends, np.int32), pa.StructArray.from_arrays([*numbers, keys], ["deal", "slack", "keys"]))
-        columns = [batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary()), deals]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "same", "deals"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    kind = "doc_id long, fp long, same binary, deals array<struct<deal int, slack int, keys array<bigint>>>"
-    keyed = written(map_batches(rows, prints, kind, PORTION), "keyed")
-    # Copies go by the smallest id; of a repeated id one text counts.
-    printed = keyed.groupBy("doc_id").agg(F.min(F.struct("same", "fp")).alias("p")).select("doc_id", "p.*")
-    printed = written(printed, "prints")
-    first = written(printed.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "firsts")
-    links = fingerprint_links(first.select("fp").distinct(), radius, blocks=blocks)
-    links = links.unionByName(part_links(rows, keyed, first, words, similarity))
-    forget(keyed)
-    roots = smallest_reachable(links, "a", "b").withColumnRenamed("node", "fp")
-    # Different texts with one fingerprint are a component too.
-    shared = first.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp", F.col("fp").alias("own"))
-    comps = roots.join(shared, "fp", "full").select("fp", F.coalesce("root", "own").alias("comp"))
-    members = written(first.join(comps, "fp").select(F.col("first").alias("doc_id"), "same", "comp"), "members")
-    count = members.count()
-    decided = _decided(rows, members, count, words, similarity, group_rows)
-    # From the copies to the first of them, and on to the one that is kept for it.
-    firsts = first.select("same", "first").join(decided.select(F.col("doc_id").alias("first"), "kept_id"), "first", "left")
-    firsts = firsts.select("same", F.coalesce("kept_id", "first").alias("kept_id"))
-    return printed.join(firsts, "same").select("doc_id", "kept_id")
-
-
-def _decided(rows: DataFrame, members: DataFrame, count: int, words: int, similarity: float, group_rows: int) -> DataFrame:
-    """``(doc_id, kept_id)`` of the members of components."""
-
-    kind = "comp long, doc_id long, grams binary"
-    open_rows = written(_sets(rows, members, count, words, lambda own: own).select("comp", "doc_id", "grams"), "open")
+def _decided(rows: DataFrame, members: DataFrame, words: int, percent: int, group_rows: int, group_bytes: int) -> DataFrame:
+    """``(c, keeper, kept_id)`` of the members ``(c, first, same, comp)`` of components."""
+    kind = "comp long, c long, first long, keeper long, kept_id long, grams binary"
+    sets = full_sets(rows, members, words)
+    open_rows = written(members.select("comp", "c", "first").join(sets, "c").select("comp", "c", "first", "grams"), "open")
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = ([], [], [], [])
-        for comp, group in zip(batch.column("comp").to_pylist(), batch.column("rows").to_pylist(), strict=True):
-            docs, own = [r["doc_id"] for r in group], [np.frombuffer(r["grams"], np.uint64) for r in group]
-            for r, keeper in zip(group, _decide(docs, own, similarity), strict=True):
-                for column, value in zip(out, (comp, r["doc_id"], keeper, r["grams"]), strict=True):
-                    column.append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["comp", "doc_id", "kept_id", "grams"])
+        out = []
+        for comp, group in zip(batch.column("comp").to_pylist(), batch.column("rows"), strict=True):
+            out += [{"comp": comp, **r} for r in _decide(group.as_py(), percent)]
+        return pa.RecordBatch.from_pylist(out, _DECIDED)
 
     def follow(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Blocks of members against the documents of their component that were kept in this round; null where none is similar."""
-        out = ([], [], [], [])
-        for comp, group, leaders in zip(*(batch.column(c).to_pylist() for c in ("comp", "rows", "leaders")), strict=True):
-            kept = [(r["doc_id"], np.frombuffer(r["grams"], np.uint64)) for r in leaders]
-            for r in group:
+        """Blocks of members against the classes of their component that were kept in this round; null where none is similar."""
+        out = []
+        for comp, group, leaders in zip(batch.column("comp").to_pylist(), batch.column("rows"), batch.column("leaders"), strict=True):
+            kept = [(r, np.frombuffer(r["grams"], np.uint64)) for r in sorted(leaders.as_py(), key=lambda r: (r["first"], r["c"]))]
+            for r in group.as_py():
                 own = np.frombuffer(r["grams"], np.uint64)
-                keeper = next((doc for doc, other in kept if similar(own, other, similarity)), None)
-                for column, value in zip(out, (comp, r["doc_id"], r["grams"], keeper), strict=True):
-                    column.append(value)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["comp", "doc_id", "grams", "kept_id"])
+                keeper = next((k for k, other in kept if linked(own, other, percent)), {"c": None, "first": None})
+                out.append({"comp": comp, **r, "keeper": keeper["c"], "kept_id": keeper["first"]})
+        return pa.RecordBatch.from_pylist(out, _DECIDED)
 
-    grouped = F.sort_array(F.collect_list(F.struct("doc_id", "grams")))
+    collected = F.collect_list(F.struct("c", "first", "grams"))
     done, steps = [], [open_rows]
     while True:
-        sizes = open_rows.groupBy("comp").agg(F.count("*").alias("n"))
-        large = written(sizes.where(F.col("n") > group_rows), "large")
+        sizes = open_rows.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("grams")).alias("size"))
+        # As many parts as keep both the rows and the bytes of one within their bounds.
+        parts = F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("size") / group_bytes))
+        large = written(sizes.withColumn("parts", parts).where("parts > 1"), "large")
         steps.append(large)
-        small = open_rows.join(large.select("comp"), "comp", "left_anti").groupBy("comp").agg(grouped.alias("rows"))
-        done.append(map_batches(small, settle, "comp long, doc_id long, kept_id long, grams binary").select("doc_id", "kept_id"))
+        small = open_rows.join(large.select("comp"), "comp", "left_anti").groupBy("comp").agg(collected.alias("rows"))
+        done.append(map_batches(small, settle, kind, group_bytes, "rows").select("c", "keeper", "kept_id"))
         if large.isEmpty():
             break
         rest = open_rows.join(large, "comp")
         # Some small ids of each large component, as many as one task decides.
-        smallest = rest.groupBy("comp", F.pmod(F.xxhash64("doc_id"), F.lit(group_rows)).alias("salt")).agg(F.min("doc_id").alias("doc_id"))
-        batch = written(
-            map_batches(
-                rest.join(smallest.select("comp", "doc_id"), ["comp", "doc_id"]).groupBy("comp").agg(grouped.alias("rows")),
-                settle,
-                "comp long, doc_id long, kept_id long, grams binary",
-            ),
-            "leaders",
-        )
-        done.append(batch.select("doc_id", "kept_id"))
-        leaders = batch.where("doc_id = kept_id").groupBy("comp").agg(grouped.alias("leaders"))
-        others = rest.join(batch.select("comp", "doc_id"), ["comp", "doc_id"], "left_anti")
+        salts = F.greatest(F.lit(1), F.floor(F.col("n") / F.col("parts")))
+        smallest = rest.groupBy("comp", F.pmod(F.xxhash64("c"), salts).alias("salt")).agg(F.min(F.struct("first", "c")).alias("head"))
+        heads = rest.join(smallest.select("comp", F.col("head.c").alias("c")), ["comp", "c"])
+        batch = written(map_batches(heads.groupBy("comp").agg(collected.alias("rows")), settle, kind, group_bytes, "rows"), "leaders")
+        done.append(batch.select("c", "keeper", "kept_id"))
+        leaders = batch.where("c = keeper").groupBy("comp").agg(collected.alias("leaders"))
+        others = rest.join(batch.select("comp", "c"), ["comp", "c"], "left_anti")
         # In blocks, so that the kept ones travel with a block and not with every member.
-        block = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / group_rows))
-        blocks = others.groupBy("comp", block.alias("block")).agg(grouped.alias("rows")).join(leaders, "comp")
-        followed = written(map_batches(blocks.select("comp", "rows", "leaders"), follow, kind + ", kept_id long"), "followed")
+        blocks = others.groupBy("comp", F.pmod(F.xxhash64("c"), F.col("parts")).alias("block")).agg(collected.alias("rows"))
+        met = blocks.join(leaders, "comp").select("comp", "rows", "leaders")
+        followed = written(map_batches(met, follow, kind, group_bytes, "rows"), "followed")
         steps += [batch, followed]
-        done.append(followed.where("kept_id is not null").select("doc_id", "kept_id"))
-        open_rows = followed.where("kept_id is null").select("comp", "doc_id", "grams")
+        done.append(followed.where("keeper is not null").select("c", "keeper", "kept_id"))
+        open_rows = followed.where("keeper is null").select("comp", "c", "first", "grams")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

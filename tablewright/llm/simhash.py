@@ -26,6 +26,8 @@ from tablewright.llm.components import smallest_reachable
 
 #: Fingerprints of one bucket that a task compares with each other.
 BUCKET_ROWS = 20_000
+#: Rows that a task makes of fingerprints by tables.
+TASK_ROWS = 500_000
 #: With so few bits left to differ in, a bucket holds at most 4,096 fingerprints whatever the table.
 _FEW_BITS = 12
 RADIUS = 4
@@ -126,8 +128,11 @@ def fingerprint_links(fps: DataFrame, radius: int = RADIUS, bucket_rows: int = B
             for t, mask in enumerate(covering_masks(positions, radius, blocks)):
                 rows.append((done, f"{done}{t:x}.", mask))
         masks = F.broadcast(fps.sparkSession.createDataFrame(rows, "done string, table string, mask long"))
+        # Few bytes of fingerprints become very many rows, so their number of tasks follows what they become.
+        tasks = max(fps.sparkSession.sparkContext.defaultParallelism, level.count() * len(rows) // len(free) // TASK_ROWS)
         keyed = (
-            level.join(masks, "done")
+            level.repartition(tasks)
+            .join(masks, "done")
             .select("fp", "table", (F.col("kept").bitwiseOR(F.col("mask"))).alias("kept"))
             .withColumn("common", F.col("fp").bitwiseAND(F.col("kept")))
         )

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tablewright.llm.components import smallest_reachable
-from tablewright.llm.near_copies import PartKeys, may_be_similar, near_copies, sampled, similar
+from tablewright.llm.near_copies import near_copies, without_near_copies
 from tablewright.llm.simhash import covering_masks, fingerprint, fingerprint_links, simhash_components
 
 
@@ -157,21 +157,31 @@ def test_near_copies_beyond_the_radius(spark, make_docs, prose):
     assert {r["doc_id"]: r["kept_id"] for r in near_copies(make_docs(rows)).collect()} == want
 
 
-def test_part_keys_meet():
-    r = np.random.default_rng(3)
-    keys_of = PartKeys(0.8)
-    for size in (1, 2, 4, 5, 8, 9, 13, 30, 64, 65, 200, 1000):
-        for _ in range(60):
-            a = r.integers(0, 1 << 63, size).astype(np.uint64) * np.uint64(2)
-            more = int(r.integers(0, int(size / 0.8 + 1e-9) - size + 1))
-            b = np.concatenate([a[max(0, int(size - 0.8 * (size + more) + 1e-9)) :], r.integers(0, 1 << 63, more).astype(np.uint64)])
-            a, b = np.unique(a), np.unique(b)
-            assert similar(a, b, 0.8) and may_be_similar(sampled(a), len(a), sampled(b), len(b), 0.8)
-            one, other = ({deal: (slack, set(keys.tolist())) for deal, slack, keys in keys_of(x)} for x in (a, b))
-            # In some deal more keys are the same than either set may leave out.
-            assert any(len(keys & other[d][1]) > max(0, slack, other[d][0]) for d, (slack, keys) in one.items() if d in other)
-    a, b = (np.unique(r.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)) for _ in range(2))
-    assert not may_be_similar(sampled(a), len(a), sampled(b), len(b), 0.8)
+def test_rows_of_one_id_are_decided_by_their_own_texts(spark, make_docs, prose):
+    copied, clean, other = prose(60, 1), prose(60, 2), prose(60, 3)
+    rows = [(1, copied), (5, copied + " end"), (5, clean), (7, other), (7, other), (8, clean), (None, copied), (None, copied)]
+    left = without_near_copies(make_docs(rows))
+    got = sorted((str(r["doc_id"]), r["text"]) for r in left.collect())
+    assert got == sorted([("1", copied), ("5", clean), ("7", other), ("None", copied), ("None", copied)])
+    assert left.columns == make_docs(rows).columns
+
+
+def test_large_components_by_rows_and_bytes(spark, make_docs, prose):
+    r, base, rows = random.Random(4), prose(150, 6).split(), []
+    for i in range(60):
+        words = list(base)
+        for _ in range(r.randint(0, 6)):
+            words[r.randrange(150)] = f"new{r.random()}"
+        rows.append((i, " ".join(words)))
+    one = {r["doc_id"]: r["stays"] for r in near_copies(make_docs(rows)).collect()}
+    for options in ({"group_rows": 7}, {"group_bytes": 5_000}, {"bucket": 2, "chunk_bytes": 8_000}):
+        got = {r["doc_id"]: (r["kept_id"], r["stays"]) for r in near_copies(make_docs(rows), **options).collect()}
+        kept = [i for i, (_, stays) in got.items() if stays]
+        sets = {i: shingle_set(t) for i, t in rows}
+        assert all((k == i) == stays for i, (k, stays) in got.items())
+        assert all(k in kept and 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k]) for i, (k, _) in got.items())
+        assert not any(100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k]) for i in kept for k in kept if i < k)
+    assert sum(one.values()) < 40
 
 
 def test_forest_of_hot_bucket():
