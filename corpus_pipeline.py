@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.common import table, written
 from tablewright.llm.decontaminate import find_leaks
-from tablewright.llm.near_copies import near_copies
+from tablewright.llm.near_copies import without_near_copies
 from tablewright.llm.packing import pack_documents
 from tablewright.llm.quality import fit_quality, score_quality
 from tablewright.llm.secrets import find_secrets, redact
@@ -21,8 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; those without an id cannot be compared and stay."""
-    gone = near_copies(docs).where("doc_id <> kept_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_near_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
