@@ -8,7 +8,7 @@ from tablewright.catalog.registry import query, table, using, view
 from tablewright.operators import textlog as L
 from tablewright.runtime import scratch_path
 from tablewright.sources import reports as R
-from tablewright.streaming.event_log import follow_events, rollup_to_table
+from tablewright.streaming.event_log import append_to_table, closed_windows, first_occurrences_stream, follow_events, rollup_to_table
 
 
 @query(
@@ -95,3 +95,42 @@ def rollup_stream(spark, sf_dir):
     rollup_to_table(follow_events(spark, path), out).awaitTermination()
     times = {c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}
     return spark.read.parquet(out).withColumns(times)
+
+
+def _logged(spark, sf_dir):
+    path = scratch_path(spark, "events")
+    columns = ("ts as timestamp", "cast(user_id as string) as agent", "event_type", "props as payload")
+    R.append_events(table(spark, sf_dir, "events").selectExpr(*columns), path)
+    return follow_events(spark, path)
+
+
+@query(
+    "closed_windows_stream",
+    """with w as (select time_bucket(interval '1 day', ts) as window_start, event_type, cast(user_id as varchar) as agent, ts from events)
+    select window_start, window_start + interval '1 day' as window_end, event_type, agent, count(*) as n_events, min(ts) as started, max(ts) as ended
+    from w where window_start + interval '1 day' <= (select max(date_trunc('millisecond', ts)) from events) - interval '1 hour'
+    group by window_start, event_type, agent""",
+)
+def closed_windows_stream(spark, sf_dir):
+    """Windows of a day that the watermark has passed, from the events as an appended log."""
+    out = scratch_path(spark, "windows")
+    stream = append_to_table(closed_windows(_logged(spark, sf_dir)), out)
+    stream.awaitTermination()
+    times = ("window_start", "window_end", "started", "ended")
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+@query(
+    "first_occurrences_stream",
+    """with e as (select cast(user_id as varchar) as key, ts, lag(ts) over (partition by user_id order by ts) as prev from events),
+    s as (select *, sum(case when prev is null or ts - prev > interval '1 hour' then 1 else 0 end)
+          over (partition by key order by ts rows unbounded preceding) as n from e),
+    g as (select key, min(ts) as first_time, max(ts) as last_time, count(*) as n_seen from s group by key, n)
+    select * from g where last_time + interval '1 hour' <= (select max(date_trunc('millisecond', ts)) from events) - interval '1 hour'""",
+)
+def first_occurrences(spark, sf_dir):
+    """Spells of each user that have ended by the end of the log."""
+    out = scratch_path(spark, "spells")
+    stream = append_to_table(first_occurrences_stream(_logged(spark, sf_dir), "agent", "1 hour", "1 hour"), out)
+    stream.awaitTermination()
+    return spark.read.parquet(out).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_time", "last_time")})

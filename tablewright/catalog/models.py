@@ -13,6 +13,7 @@ from tablewright.plans import models as M
 from tablewright.plans.binning import with_row_id
 from tablewright.plans.bundle import load_bundle, save_bundle
 from tablewright.plans.crossval import leaderboard, run_classification_cv, run_regression_cv
+from tablewright.plans.target_stats import fit_on_categories, ordered_target_statistics
 from tablewright.plans.training_loop import train_until_ready
 from tablewright.runtime import scratch_path, scratch_table
 from tablewright.sources.csvfiles import read_csv
@@ -141,6 +142,23 @@ def classifier(spark, sf_dir):
     return rounded(M.train_classifier(rows, "row_id", fraction=1.0)[1])
 
 
+@query(
+    "ordered_target_stats",
+    using("fx_classes")
+    + f"""select row_id, lang, round((coalesce(sum(y) over w, 0) + (select avg(y) from fx_classes)) / (count(*) over w + 1), 6) as lang_y
+      from fx_classes window w as (partition by lang order by {bucket_sql('row_id')}, row_id rows between unbounded preceding and 1 preceding)""",
+)
+def ordered_stats(spark, sf_dir):
+    rows = view(spark, sf_dir, "fx_classes").select("row_id", "lang", F.col("y").cast("double").alias("y"))
+    return rounded(ordered_target_statistics(rows, "row_id", "lang", "y", "lang_y").drop("y"))
+
+
+@query("category_boost_fit")
+def category_boost(spark, sf_dir):
+    """A boosted classifier that takes a category as it is."""
+    return rounded(fit_on_categories(view(spark, sf_dir, "fx_classes"), "row_id", "y", [*_CLASS_FEATURES, "lang"])[1])
+
+
 @query(
     "class_weights",
     using("fx_classes")

@@ -8,6 +8,7 @@ from tablewright.catalog.registry import query, rounded, table, using, view
 from tablewright.operators import bm25 as B
 from tablewright.operators import hybrid as H
 from tablewright.operators.lexical import lexical_search
+from tablewright.operators.postings import PostingIndex, postings_search
 from tablewright.operators.prompt import prompt_context, result_listing
 from tablewright.operators.ranking import rrf_fuse
 from tablewright.operators.vectors import fill_vectors, vector_search
@@ -117,6 +118,12 @@ def bm25(spark, sf_dir):
     return B.bm25_search(_index(spark, sf_dir), view(spark, sf_dir, "fx_queries"), 10)
 
 
+@query("postings_search", _POSTINGS + _bm25_sql(10) + " select query_id, chunk_id, cast(rank as int) as rank, score from lex")
+def postings(spark, sf_dir):
+    """The same search over blocks of postings, of which those that cannot reach a query's tenth score are skipped."""
+    return postings_search(PostingIndex.build(_index(spark, sf_dir)), view(spark, sf_dir, "fx_queries"), 10)
+
+
 @query(
     "vector_topk",
     using("fx_queries") + _vector_sql(10) + " select query_id, chunk_id, cast(rank as int) as rank, score from sem",

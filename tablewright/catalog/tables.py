@@ -11,6 +11,7 @@ from tablewright.operators.validate import duplicate_rows, validate_table
 from tablewright.runtime import scratch_path
 from tablewright.sources.chunks import fetch_chunks, notebook_chunks, own_heading, percent_chunks, upsert
 from tablewright.sources.csvfiles import read_csv, write_csv
+from tablewright.sources.stored import read_stored, upsert_stored
 from tablewright.sources.submissions import align_submission, check_submission
 
 
@@ -111,6 +112,27 @@ def chunk_upsert(spark, sf_dir):
     return upsert(first.unionByName(edited), "id", "seq")
 
 
+@query(
+    "stored_upsert",
+    """with writes as (select doc_id as id, text as code, source, 0 as seq from documents
+        union all select doc_id, concat(text, ' (edited)'), source, 1 from documents where lang = 'en'
+        union all select doc_id, concat(text, ' (again)'), source, 2 from documents where doc_id % 97 = 0)
+    select id, code, source, seq from (select *, row_number() over (partition by id order by seq desc) as rn from writes)
+    where rn = 1""",
+)
+def stored_upsert(spark, sf_dir):
+    """Three batches into one stored table; each rewrites the buckets of its keys."""
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "stored")
+    first = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("code"), "source", F.lit(0).alias("seq"))
+
+    def edited(rows, mark, number):
+        return rows.select("id", F.concat("code", F.lit(mark)).alias("code"), "source", F.lit(number).alias("seq"))
+
+    for batch in (first, edited(first.where(docs["lang"] == "en"), " (edited)", 1), edited(first.where("id % 97 = 0"), " (again)", 2)):
+        upsert_stored(batch, path, "id", "seq", 32)
+    return read_stored(spark, path)
+
+
 @query(
     "chunk_fetch",
     using("fx_chunks") + "select * from fx_chunks where chunk_id in (select doc_id from labels where quality = 1)",
