@@ -16,6 +16,7 @@ from tablewright.operators import clean as C
 from tablewright.operators import groups as G
 from tablewright.operators import prep as P
 from tablewright.operators import split as S
+from tablewright.operators.dictionary import fit_sparse_preprocessor
 from tablewright.operators.places import nearest_place
 
 _PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -394,3 +395,23 @@ def kfold(spark, sf_dir):
 def strat_kfold(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return S.stratified_kfold(orders, "o_orderkey", "o_orderpriority")
+
+
+@query(
+    "one_hot_wide",
+    """with s as (select avg(c_acctbal) as m, stddev_pop(c_acctbal) as d, count(distinct c_name) as names, count(distinct c_mktsegment) as segments from customer)
+    select c_custkey, round((c_acctbal - m) / d, 6) as scaled, dense_rank() over (order by c_name) as name_place,
+           names + dense_rank() over (order by c_mktsegment) as segment_place, 1 + names + segments as width from customer, s""",
+)
+def one_hot_wide(spark, sf_dir):
+    """A column with as many categories as rows, one with a few, and a number, as sparse vectors."""
+    rows = table(spark, sf_dir, "customer")
+    prep = fit_sparse_preprocessor(rows, ["c_acctbal", "c_name", "c_mktsegment"])
+    found = prep.transform(rows).select(
+        "c_custkey",
+        F.col("values")[0].alias("scaled"),
+        F.col("indices")[1].cast("bigint").alias("name_place"),
+        F.col("indices")[2].cast("bigint").alias("segment_place"),
+        F.lit(prep.width).cast("bigint").alias("width"),
+    )
+    return rounded(found)

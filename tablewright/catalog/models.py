@@ -276,6 +276,15 @@ def loop(spark, sf_dir):
     return rounded(rounds, 2)
 
 
+@query("train_until_ready_with_test")
+def loop_with_test(spark, sf_dir):
+    """The loop with a test table that lacks a feature and has moved a little."""
+    rows = view(spark, sf_dir, "fx_model")
+    test = rows.drop("revenue", "avg_tax").withColumn("sum_qty", F.col("sum_qty") * 1.01)
+    rounds, _ = train_until_ready(rows, "row_id", "revenue", test, leak_tokens=_LEAKS)
+    return rounded(rounds, 2)
+
+
 @query("train_until_given_up")
 def loop_unready(spark, sf_dir):
     """A target the features say nothing about: every round fails its gates and leaves a model out."""

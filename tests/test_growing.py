@@ -175,3 +175,32 @@ def test_a_classifier_learns_from_a_category(spark):
     row = accuracy.first()
     assert row["valid_accuracy"] > 0.85 and row["n_train"] + row["n_valid"] == 600
     assert odds.count() == 600
+
+
+def test_sparse_vectors_equal_the_list_form(spark):
+    from tablewright.operators.dictionary import as_vector, fit_sparse_preprocessor
+    from tablewright.operators.prep import fit_preprocessor
+
+    rows = [(i, None if i % 7 == 0 else float(i % 13), ["a", "b", "b", None, "é", "A"][i % 6], f"v{i % 11}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, n double, c string, d string")
+    test = spark.createDataFrame([(1, 4.0, "new", "v3"), (2, None, None, "v10"), (3, 1.0, "b", None), (4, 2.0, "\x0012", "v1")], "id long, n double, c string, d string")
+    features = ["n", "c", "d"]
+    plain, sparse = fit_preprocessor(df, features), fit_sparse_preprocessor(df, features, rows_per_bucket=4)
+    for table in (df, test):
+        want = {r["id"]: r["features"].toArray().tolist() for r in plain.transform(table).select("id", "features").collect()}
+        made = sparse.transform(table).withColumn("v", as_vector(sparse.width)("indices", "values"))
+        assert made.columns == [*table.columns, "indices", "values", "v"]
+        got = {r["id"]: r["v"].toArray().tolist() for r in made.collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_a_column_of_a_million_values(spark):
+    from tablewright.operators.dictionary import fit_dictionary, with_place
+
+    ids = spark.range(0, 1_000_000, 1, 8)
+    rows = ids.select(F.col("id"), F.lpad(F.col("id").cast("string"), 7, "0").alias("c")).unionByName(ids.select("id", F.lit("hot").alias("c")))
+    dictionary = fit_dictionary(rows, "c", rows_per_bucket=200_000)
+    assert dictionary.size == 1_000_001
+    assert dictionary.values.where("frequent").select("value", "place").collect() == [("hot", 1_000_000)]
+    found = with_place(rows, dictionary, "c", "p")
+    assert found.where("p <> if(c = 'hot', 1000000, id)").count() == 0 and found.where("p is null").count() == 0
