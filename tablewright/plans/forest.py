@@ -48,8 +48,8 @@ from tablewright.runtime import scratch_path
 
 #: Bytes of binned rows that one task grows trees from.
 LOCAL_BYTES = 48_000_000
-#: Bytes of trees that are sent to the tasks at a time.
-MODEL_BYTES = 96_000_000
+#: Bytes of trees that pass the driver at a time, on their way to the tasks.
+MODEL_BYTES = 16_000_000
 #: Bytes of histograms that a task holds at a time.
 HISTOGRAM_BYTES = 128_000_000
 PARTS = "grp int, t int, leaf int, blob binary"
