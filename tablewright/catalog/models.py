@@ -121,7 +121,7 @@ _CLASS_FEATURES = ["n_chars", "source_len", "score"]
 def _class_table(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_classes").select("row_id", "y", *_CLASS_FEATURES)
     assembled = VectorAssembler(inputCols=_CLASS_FEATURES, outputCol="features").transform(M.with_label(rows, "y"))
-    return holdout_split(assembled.select("row_id", "features", "label"), "row_id")
+    return with_row_id(holdout_split(assembled.select("row_id", "features", "label"), "row_id"))
 
 
 def _class_scores(model, rows):
@@ -178,7 +178,7 @@ def logistic(spark, sf_dir):
 @query("balanced_forest_fit")
 def balanced_forest(spark, sf_dir):
     rows = scratch_table(_class_table(spark, sf_dir), "classes")
-    return _class_scores(M.fit_balanced_forest(with_row_id(rows.where("not is_valid"))), rows)
+    return _class_scores(M.fit_balanced_forest(rows.where("not is_valid")), rows)
 
 
 @query("classification_cv")
