@@ -57,6 +57,17 @@ def _guessed_types(texts: DataFrame) -> dict[str, str]:
     }
 
 
+def has_quoted_breaks(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether a line holds an odd number of quotes, as it does where a quoted field goes on in the next line.
+
+    One pass over the lines, split like any text. Encodings of more than one byte for a quote cannot be looked at so and count as true.
+    """
+    if encoding.lower().replace("-", "").replace("_", "").startswith(("utf16", "utf32")):
+        return True
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -64,17 +75,18 @@ def read_csv(
     sep: str = ",",
     encoding: str = "UTF-8",
     columns: Sequence[str] | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
     missing: Sequence[str] = MISSING_WORDS,
 ) -> DataFrame:
     """CSV with a header row. Give ``schema`` for large files: guessing types reads the whole input once more.
 
-    Quoted fields may hold line breaks. A file read so is one task; say ``multiline=False`` for large files that are known to have none, which
-    are then split. The ``missing`` words become null. Fields that do not fit their type become null.
+    Quoted fields may hold line breaks. A file that has some is one task; the others are split. Unless ``multiline`` says which it is, the lines are
+    looked through for quotes that stay open. The ``missing`` words become null. Fields that do not fit their type become null.
 
     Spark reads no Windows-1252 by itself; it is read as Latin-1, and the bytes that differ are mapped in place.
     """
     windows = _is_cp1252(encoding)
+    multiline = has_quoted_breaks(spark, path, encoding) if multiline is None else multiline
     reader = spark.read.option("header", True).option("sep", sep).option("escape", '"').option("multiLine", multiline)
     reader = reader.option("encoding", "ISO-8859-1" if windows else encoding)
     if schema is None:

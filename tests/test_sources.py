@@ -161,3 +161,24 @@ def test_shared_folder():
     with pytest.raises(RuntimeError, match="checkpoint"):
         shared_dir(session("yarn", None))
     assert shared_dir(session("local[2]", None)) == shared_dir(session("local[2]", None))
+
+
+def test_csv_is_split_unless_a_quoted_field_goes_on(spark, tmp_path):
+    from tablewright.sources.csvfiles import has_quoted_breaks, read_csv
+
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    lines = "".join(f'{i},"a ""quoted"", text {i}"\n' for i in range(2000))
+    plain.write_text("id,note\n" + lines)
+    broken.write_text("id,note\n" + lines + '9999,"two\nlines"\n')
+    assert not has_quoted_breaks(spark, str(plain), "UTF-8") and has_quoted_breaks(spark, str(broken), "UTF-8")
+    assert has_quoted_breaks(spark, str(plain), "UTF-16")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        whole, parts = (read_csv(spark, str(p), "id bigint, note string") for p in (broken, plain))
+        assert parts.rdd.getNumPartitions() > 3
+        assert parts.count() == 2000 and whole.count() == 2001
+        assert whole.where("id = 9999").first()["note"] == "two\nlines"
+        assert parts.where("id = 7").first()["note"] == 'a "quoted", text 7'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
