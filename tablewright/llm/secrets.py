@@ -165,6 +165,10 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found
 
 
+#: Matches of a text whose places are added up in one go.
+CHUNK = 128
+
+
 def matches(text: Column, rule: Rule, order: int) -> Column:
     """``array<struct<start, ord, stop>>`` of a rule's spans in code points, the end exclusive.
 
@@ -184,8 +188,32 @@ def matches(text: Column, rule: Rule, order: int) -> Column:
         kept = F.when(F.length(part["judged"]) >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct(stop.alias("at"), kept.alias("spans"))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans"))
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+    def spans_from(chunk: Column, at: Column) -> Column:
+        return F.aggregate(chunk, F.struct(at.alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+
+    def length_of(chunk: Column) -> Column:
+        return F.aggregate(chunk, F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["before"]) + F.length(p["found"]))
+
+    def by_chunks(chunks: Column) -> Column:
+        starts = F.aggregate(
+            F.transform(chunks, length_of),
+            F.array(F.lit(0).cast("bigint")),
+            lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)),
+            lambda acc: F.slice(acc, 1, F.size(acc) - 1),
+        )
+        return F.flatten(F.zip_with(chunks, starts, spans_from))
+
+    def cut(all_parts: Column) -> Column:
+        count = F.ceil(F.size(all_parts) / CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(all_parts, i * CHUNK + 1, CHUNK))
+
+    # A growing array is copied at each step, so texts of many matches are cut into chunks of parts. ``_once`` binds what is used twice.
+    return _once(parts, lambda p: F.when(F.size(p) > CHUNK, _once(cut(p), by_chunks)).otherwise(spans_from(p, F.lit(0).cast("bigint"))))
+
+
+def _once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -143,3 +143,13 @@ def test_queries_follow_from_the_patterns(spark):
     docs = spark.createDataFrame([(1, "my PassWord"), (2, "nothing"), (3, "AKIA")], "key long, text string")
     assert {x["key"]: x["rules"] for x in candidates(docs, BASE).collect()} == {1: 1, 3: 2}
     assert candidates(docs, (Rule("digits", "[0-9]+"),)).count() == 0
+
+
+def test_very_many_secrets_in_one_text(make_docs):
+    from tablewright.llm.secrets import CHUNK, find_secrets
+
+    for n in (CHUNK - 1, CHUNK, CHUNK + 1, 5000):
+        text = "".join(f"é token = value{i:06d};\n" + ("x" * (i % 7)) for i in range(n))
+        (row,) = find_secrets(make_docs([(1, text)])).select("secrets").collect()
+        spans = [(s["start"], s["stop"]) for s in row["secrets"] if s["ord"] == 0]
+        assert [text[a:b] for a, b in spans] == [f"token = value{i:06d}" for i in range(n)]
