@@ -14,8 +14,10 @@ the same bytes. The steps:
    ones only) and takes the smallest id of each run of equal neighbours.
 4. Covered windows are joined to the texts, which are cut.
 
-Within a batch of documents, of equal anchors or equal windows only the first document's travel on: the others' fate is known. So a
-passage that a third of all documents share brings one row for each batch to its bucket.
+Within a batch of documents, of equal anchors or equal windows only the first document's travel on: the others' fate is known. So the inside of a
+passage that a third of all documents share brings one row for each batch to its bucket. At the borders of such a passage every document has
+a context of its own: anchors with more than ``HOT_PIECES`` different surroundings are counted when anchors meet, and their windows
+are dealt out one by one, by a hash of all their bytes, over all buckets.
 
 Defined results: null texts are empty; texts shorter than a window lose nothing; rows with a null id lose nothing and cover nothing;
 rows with the same id never cover each other; an empty table gives no rows. Other columns pass through, unless they bear the name of a
@@ -24,6 +26,8 @@ result column, which then replaces them.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,8 +39,13 @@ WINDOW = 50
 KEY = 20
 #: Bytes of text for one bucket.
 BUCKET_BYTES = 6_000_000
-#: Documents that splitters are sampled from.
+#: Documents that splitters are sampled from, and the most ranges between splitters; beyond it a range is cut by a hash of the key.
 SPLITTER_DOCS = 2000
+RANGES = 100_000
+#: Different surroundings of one anchor from which its windows are spread over all buckets, and the most anchors that are treated so:
+#: on a corpus of more bytes than their product the first number rises.
+HOT_PIECES = 20_000
+HOT_KEYS = 4_000_000
 #: Bytes that are hashed at a time.
 _BLOCK = 1 << 20
 
@@ -75,10 +84,7 @@ class Anchors:
         n, key = len(data), self.key
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
-        h = (sums[key:] - sums[: n - key + 1]) * self.inverse[: n - key + 1]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
+        h = self._mixed((sums[key:] - sums[: n - key + 1]) * self.inverse[: n - key + 1])
         order = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         reach, least = 1, order
         span = self.window - key + 1
@@ -88,8 +94,23 @@ class Anchors:
         if reach < span:
             least = np.minimum(least[: len(order) - span + 1], least[span - reach :])
         at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # Anchors have small hashes in their upper half; the key that is dealt out by must not.
-        return at, (h[at] ^ (h[at] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return at, self._dealt(h[at])
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        return h
+
+    @staticmethod
+    def _dealt(h: np.ndarray) -> np.ndarray:
+        """Anchors have small hashes in their upper half; the key that is dealt out by must not."""
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def hashes(self, strings: np.ndarray) -> np.ndarray:
+        """The hashes that ``of`` gives for these strings (a row of bytes each), of any length."""
+        return self._dealt(self._mixed((strings.astype(np.uint64) + np.uint64(1)) @ self.powers[: strings.shape[1]]))
 
 
 def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +137,7 @@ def multikey_sort(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-_ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tid", "<i8"), ("pos", "<i8"), ("left", "u1"), ("windows", "u1")])
+_ANCHOR = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tid", "<i8"), ("pos", "<i8"), ("left", "u1"), ("windows", "u1"), ("many", "<u2")])
 
 
 def _pack_anchors(rows: np.ndarray) -> bytes:
@@ -134,14 +155,31 @@ def _unpack_anchors(data: bytes) -> np.ndarray:
     return rows
 
 
-def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int) -> DataFrame:
-    """``(doc, tid, spot)``: places of anchors that more than one document has, packed as in ``_spot``."""
+def _surroundings(texts: list[bytes], rows: np.ndarray, text_of: np.ndarray, window: int) -> np.ndarray:
+    """A hash for each row of the bytes at both ends of its windows, and where the anchor lies in them."""
+    size = np.array([len(t) for t in texts], np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    start = rows["pos"] - rows["left"] + (np.cumsum(size) - size)[text_of]
+    stop = start + rows["windows"] + window - 1
+    out = rows["left"].astype(np.uint64) << np.uint64(8) | rows["windows"].astype(np.uint64)
+    for i in range(8):
+        for place in (start + i, stop - 1 - i):
+            out = (out ^ data[place]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
+
+
+def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int, hot_pieces: int) -> DataFrame:
+    """``(doc, tid, spot)``: places of anchors that more than one document has, packed as in ``_spot``.
+
+    A row with the spot -1 says that the anchor with the hash ``doc`` has more than ``hot_pieces`` different surroundings.
+    """
 
     def gather(batches):
         anchors = Anchors(window, key)
         for batch in portions(batches):
-            parts = []
-            for doc, tid, text in zip(batch.column("doc").to_pylist(), batch.column("tid").to_pylist(), text_bytes(batch.column("text")), strict=True):
+            parts, texts = [], text_bytes(batch.column("text"))
+            for doc, tid, text in zip(batch.column("doc").to_pylist(), batch.column("tid").to_pylist(), texts, strict=True):
                 h, pos, left, count = anchors.of(text)
                 rows = np.zeros(len(h), _ANCHOR)
                 rows["hash"], rows["doc"], rows["tid"], rows["pos"], rows["left"], rows["windows"] = h, doc, tid, pos, left, count
@@ -161,6 +199,17 @@ def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int) -> Da
             asking[rank] = asks
             known = np.zeros(len(rows), bool)
             known[rank] = several
+            # How many different surroundings the batch has of an anchor is told by one of its rows.
+            rows["many"][rank[starts]] = 1
+            among = rank[several]
+            if len(among):
+                text_of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                around = _surroundings(texts, rows[among], text_of[among], window)
+                pair = np.lexsort((around, run[several]))
+                r, a = run[several][pair], around[pair]
+                different = np.append(True, (r[1:] != r[:-1]) | (a[1:] != a[:-1]))
+                n = np.bincount(r[different], minlength=len(starts))
+                rows["many"][rank[starts]] = np.clip(n, 1, 65535)
             bucket = ((rows["hash"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             # Known ones pass through a bucket by document.
             bucket[known & ~asking] = rows["tid"][known & ~asking] % buckets
@@ -176,7 +225,7 @@ def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["bucket", "asking", "known"])
 
     def answer(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [[np.zeros(0, np.int64)] for _ in range(3)]
+        got, told = ([[np.zeros(0, np.int64)] for _ in range(3)] for _ in range(2))
         for asking, known in zip(batch.column("asking").to_pylist(), batch.column("known").to_pylist(), strict=True):
             rows = np.concatenate([_unpack_anchors(b) for b in asking])
             rank = np.argsort(rows["hash"], kind="stable")
@@ -186,11 +235,14 @@ def _shared_anchors(texts: DataFrame, buckets: int, window: int, key: int) -> Da
                 starts = np.flatnonzero(np.append(True, rows["hash"][1:] != rows["hash"][:-1]))
                 low, high = np.minimum.reduceat(rows["doc"], starts), np.maximum.reduceat(rows["doc"], starts)
                 parts.append(rows[np.repeat(low != high, np.diff(np.append(starts, len(rows))))])
+                hot = rows["hash"][starts][np.add.reduceat(rows["many"].astype(np.int64), starts) > hot_pieces].astype(np.int64)
+                for column, values in zip(told, (hot, np.zeros_like(hot), np.full_like(hot, -1)), strict=True):
+                    column.append(values)
             held = np.concatenate(parts) if parts else rows
             got[0].append(held["doc"])
             got[1].append(held["tid"])
             got[2].append(_spot(held["pos"], held["left"], held["windows"]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in got], ["doc", "tid", "spot"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c + t), pa.int64()) for c, t in zip(got, told, strict=True)], ["doc", "tid", "spot"])
 
     packed = texts.mapInArrow(gather, "bucket int, asking binary, known binary")
     lists = packed.groupBy("bucket").agg(F.collect_list("asking").alias("asking"), F.collect_list("known").alias("known"))
@@ -221,10 +273,16 @@ def _splitters(texts: DataFrame, buckets: int, window: int, key: int) -> np.ndar
 
 def _covered(texts: DataFrame, spots: DataFrame, buckets: int, window: int, key: int) -> DataFrame:
     """``(doc, tid, covers)``: runs of windows, as ``_spot`` of first position and bits (see ``_unfold``), that start in an earlier document."""
-    shared = texts.sparkSession.sparkContext.broadcast(_splitters(texts, buckets, window, key))
+    # At most HOT_KEYS hashes of 8 bytes, by the choice of hot_pieces.
+    hot = np.array([r["doc"] for r in spots.where("spot < 0").select("doc").collect()], np.int64).view(np.uint64)
+    ranges = min(buckets, RANGES)
+    finer = -(-buckets // ranges)
+    buckets = ranges * finer
+    shared = texts.sparkSession.sparkContext.broadcast((_splitters(texts, ranges, window, key), np.sort(hot)))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        splitters = shared.value
+        splitters, hot = shared.value
+        hasher = Anchors(window, key)
         first: dict[tuple[bytes, int], tuple[int, list[tuple[int, int]]]] = {}
         done: list[tuple[int, int, int, int]] = []
         rows = zip(*(batch.column(c).to_pylist() for c in ("doc", "tid")), text_bytes(batch.column("text")), batch.column("spots").to_pylist(), strict=True)
@@ -242,8 +300,25 @@ def _covered(texts: DataFrame, spots: DataFrame, buckets: int, window: int, key:
                     known[1].append((tid, start))
         out = [[] for _ in range(6)]
         heads = np.array([p[left : left + key] for p, left in first], dtype=f"S{key}")
-        bucket = np.searchsorted(splitters, heads, side="right") if len(heads) else heads
-        for (piece, left), known, b in zip(first, first.values(), bucket, strict=True):
+        hashes = hasher.hashes(heads.view(np.uint8).reshape(len(heads), key))
+        bucket = np.searchsorted(splitters, heads, side="right") * finer + (hashes % np.uint64(finer)).astype(np.int64) if len(heads) else heads
+        spread = np.isin(hashes, hot)
+        # Windows of hot anchors, with the first document of the batch that has them; pieces come by document.
+        windows: dict[bytes, int] = {}
+        for (piece, left), known, b, is_hot in zip(first, first.values(), bucket, spread, strict=True):
+            if is_hot:
+                doc, bits = known[0], 0
+                for i in range(len(piece) - window + 1):
+                    one = piece[i : i + window]
+                    if windows.setdefault(one, doc) < doc:
+                        bits |= 1 << i
+                        continue
+                    for tid, start in known[1]:
+                        for column, value in zip(out, (crc32(one) % buckets, one, left - i, doc, tid, start + i), strict=True):
+                            column.append(value)
+                if bits:
+                    done.extend((doc, tid, start, bits) for tid, start in known[1])
+                continue
             for tid, start in known[1]:
                 for column, value in zip(out, (int(b), piece, left, known[0], tid, start), strict=True):
                     column.append(value)
@@ -271,7 +346,7 @@ def _covered(texts: DataFrame, spots: DataFrame, buckets: int, window: int, key:
         if held:
             yield _compare_bucket(held, window, key)
 
-    joined = texts.join(spots.groupBy("doc", "tid").agg(F.collect_set("spot").alias("spots")), ["doc", "tid"])
+    joined = texts.join(spots.where("spot >= 0").groupBy("doc", "tid").agg(F.collect_set("spot").alias("spots")), ["doc", "tid"])
     pieces = joined.mapInArrow(lambda bs: map(cut, portions(bs)), "bucket int, piece binary, left long, doc long, tid long, start long")
     sorted_rows = pieces.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     covers = written(sorted_rows.mapInArrow(compare, "doc long, tid long, start long, bits long"), "covers")
@@ -334,7 +409,9 @@ def _keep(text: bytes, covers: list[dict], window: int) -> tuple[bytes, int]:
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone[0]) + int((np.diff(gone.astype(np.int8)) == 1).sum())
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, key: int = KEY, bucket_bytes: int = BUCKET_BYTES, hot_pieces: int = HOT_PIECES
+) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept``: the bytes that remain (they need not be valid UTF-8)."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
@@ -346,7 +423,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, bucket
         ),
         "copies",
     )
-    buckets = max(8, -(-(copies.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes))
+    total = copies.agg(F.sum("bytes")).first()[0] or 0
+    buckets = max(8, -(-total // bucket_bytes))
     repeated = copies.where("n > 1").select("sha", "first")
     repeated = small_or_plain(repeated, repeated.count(), 64)
     tid = F.xxhash64("text").alias("tid")
@@ -356,7 +434,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: int = KEY, bucket
         .where("first is null or first = doc")
         .select("doc", tid, "text")
     )
-    spots = _shared_anchors(alone, buckets, window, key)
+    # There are fewer anchors than bytes.
+    spots = _shared_anchors(alone, buckets, window, key, max(hot_pieces, total // HOT_KEYS))
     covers = _covered(alone, spots, buckets, window, key)
     tagged = docs.withColumns({"__doc": doc, "__text": text}).withColumn("__tid", F.xxhash64("__text")).withColumn("__sha", F.unhex(F.sha2("__text", 256)))
     tagged = tagged.join(repeated.select(F.col("sha").alias("__sha"), F.col("first").alias("__first")), "__sha", "left")

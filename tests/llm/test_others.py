@@ -8,7 +8,7 @@ from tablewright.llm.chat import ROLES, RoleModel, blocks, fit_roles, format_cha
 from tablewright.llm.decontaminate import align, find_leaks
 from tablewright.llm.personal import KINDS, SemiMarkov, field_spans, find_personal, fit_field, lattice, luhn, pattern_spans, stretches
 from tablewright.llm.pivots import PivotIndex, top_products, whole_vectors
-from tablewright.llm.suffixes import Anchors, multikey_sort, remove_repeats
+from tablewright.llm.suffixes import Anchors, _shared_anchors, multikey_sort, remove_repeats
 
 
 # --- suffix array
@@ -54,6 +54,37 @@ def test_repeats_equal_brute_force(make_docs, prose, odd):
     assert remove_repeats(make_docs([])).count() == 0
 
 
+def test_a_passage_in_a_third_of_the_documents_under_random_contexts(make_docs, prose, odd, monkeypatch):
+    passage = prose(30, 999)
+    rows = [(i, f"{prose(12, i)} {passage} {prose(12, 5000 + i)}" if i % 3 == 0 else prose(30, 9000 + i)) for i in range(300)]
+    rows += [(400 + i, prose(3, i % 4) + passage) for i in range(40)] + [(3, passage + "!"), (None, passage)] + odd
+    rows += [(500 + i, "ab" * (200 + i)) for i in range(20)]
+    want = plain_repeats(rows, 50)
+    for hot, ranges in ((0, 100), (5, 3), (40, 100)):
+        monkeypatch.setattr("tablewright.llm.suffixes.RANGES", ranges)
+        got = {}
+        for r in remove_repeats(make_docs(rows), bucket_bytes=2000, hot_pieces=hot).collect():
+            got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])))
+        assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def test_a_hot_anchor_is_spread_over_the_buckets(spark, make_docs, prose):
+    passage = prose(30, 999)
+    docs = make_docs([(i, f"{prose(12, i)} {passage} {prose(12, 5000 + i)}") for i in range(300)])
+    texts = docs.selectExpr("doc_id as doc", "xxhash64(text) as tid", "cast(text as binary) as text")
+    spots = _shared_anchors(texts, 8, 50, 20, 100)
+    hot = spots.where("spot < 0").collect()
+    # Inside the passage all surroundings are equal, so only anchors near its two borders are hot.
+    assert 0 < len(hot) < 12 and spots.where("spot >= 0").count() > 300 * 5
+
+
+def test_hashes_of_strings_are_those_of_anchors(prose):
+    text = prose(400, 3).encode()
+    h, pos, _, _ = Anchors().of(text)
+    strings = np.array([text[p : p + 20] for p in pos.tolist()], "S20").view(np.uint8).reshape(len(pos), 20)
+    assert (Anchors().hashes(strings) == h).all()
+
+
 def test_anchors_of_long_texts(prose):
     text = (prose(60_000, 1) + " ").encode() * 3
     h, pos, left, count = Anchors().of(text)
