@@ -57,6 +57,19 @@ def small_or_plain(df: DataFrame, rows: int, width: int = 32) -> DataFrame:
     return F.broadcast(df) if rows * width <= BROADCAST_BYTES else df
 
 
+def within_bytes(df: DataFrame, size: F.Column, limit: int, key: str = "doc_id") -> list:
+    """Rows of a table of a bounded number of rows, in the order of a hash of ``key``, as long as their sizes add up to ``limit`` at most."""
+    hashed = df.withColumns({"__h": F.xxhash64(key), "__size": size.cast("long")})
+    sizes = sorted((r["__h"], r["__size"] or 0) for r in hashed.select("__h", "__size").collect())
+    total = 0
+    for h, n in sizes:
+        total += n
+        if total > limit:
+            # Rows with the hash at which the limit is passed stay behind together.
+            return hashed.where(F.col("__h") < h).drop("__h", "__size").collect()
+    return df.collect()
+
+
 def map_batches(
     df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema: str, limit: int | None = None, column: str = "text"
 ) -> DataFrame:

@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tablewright.llm.common import held_out, platt
+from tablewright.llm.common import held_out, platt, within_bytes
 from tablewright.llm.quality import FEATURES, fit_quality, fit_rows, score_quality, text_features
-from tablewright.llm.toxicity import Keys, fit_linear, fit_toxicity, label_model, score_toxicity
+from tablewright.llm.toxicity import Keys, evidence, fit_linear, fit_toxicity, label_model, scale, score_toxicity, voter_rates
 from tablewright.llm.words import Lookup, WordHasher, grams
 
 
@@ -111,6 +112,58 @@ def test_label_model_finds_rates_and_discounts_copies():
     assert np.mean((plain > 0.5) == y) > 0.9 and np.mean((again > 0.5) == y) > 0.88
 
 
+def test_rates_and_evidence_equal_plain_sums():
+    r = np.random.default_rng(2)
+    votes, post, counts = (r.random((60, 4)) < 0.3).astype(float), r.random(60), r.random(60)
+    rate1, rate0, weight = rates = voter_rates(votes, post, counts)
+    for v in range(4):
+        fires = [i for i in range(60) if votes[i, v]]
+        half = 0.5 * len(fires) / 60
+        assert rate1[v] == pytest.approx((sum(post[i] * counts[i] for i in fires) + half) / (sum(post * counts) + 0.5))
+        assert rate0[v] == pytest.approx((sum((1 - post[i]) * counts[i] for i in fires) + half) / (sum((1 - post) * counts) + 0.5))
+    got = evidence(votes, rates)
+    for i in range(60):
+        assert got[i] == pytest.approx(sum(weight[v] * np.log(rate1[v] / rate0[v]) for v in range(4) if votes[i, v]))
+    # Equal voters share one weight.
+    assert voter_rates(np.hstack([votes, votes[:, :1]]), post)[2][[0, 4]] == pytest.approx([0.5, 0.5], rel=0.2)
+
+
+def test_voters_overrule_annotators_and_label_the_rest():
+    r = np.random.default_rng(3)
+    y = r.random(6000) < 0.3
+    votes = np.array([np.where(y, r.random(6000) < 0.7, r.random(6000) < 0.03) for _ in range(8)]).T
+    told = np.where(r.random(6000) < 0.1, ~y, y).astype(int)  # one in ten is wrong
+    told[3000:] = -1
+    first = voter_rates(votes[:3000].astype(float), told[:3000].astype(float))
+    start = evidence(votes, first)
+    a, b = scale(start[:3000], told[:3000])
+    post, rate1, rate0 = label_model(votes, 1 / (1 + np.exp(-(a * start + b))), told=told)
+    assert np.mean((post >= 0.5) == y) > 0.97 and np.mean((post[3000:] >= 0.5) == y[3000:]) > 0.97
+    wrong = (told >= 0) & (told != y)
+    assert np.mean((post >= 0.5)[wrong] == y[wrong]) > 0.9
+    assert abs(rate1[-1] - 0.9) < 0.05 and abs(rate0[-1] - 0.1) < 0.05
+
+
+def test_scale_fits_shares_and_never_changes_sides():
+    r = np.random.default_rng(4)
+    y = (r.random(2000) < 0.1).astype(int)
+    x = np.where(y == 1, 300.0, -300.0) + 400 * r.normal(size=2000)
+    a, b = scale(x, y)
+    assert a > 0 and np.mean(1 / (1 + np.exp(-(a * x + b)))) == pytest.approx(y.mean(), abs=0.01)
+    assert scale(-x, y)[0] == 0.0 and np.isfinite(scale(np.zeros(5), np.array([0, 1, 0, 0, 1]))).all()
+
+
+def test_report_and_bounded_rows(spark, make_docs, corpus):
+    rows, marks = corpus
+    model = fit_toxicity(make_docs(rows), labels(spark, marks[:250]), unlabelled=60)
+    report = model.report
+    assert report["unlabelled"] == 60 and 150 < report["labelled"] < 250 and 0 <= report["distance"] < 0.5
+    less = fit_toxicity(make_docs(rows), labels(spark, marks[:250]), unlabelled=60, most_bytes=800)
+    assert less.report["labelled"] < report["labelled"]
+    df = spark.range(100).selectExpr("id as doc_id", "string(repeat('x', 10)) as t")
+    assert len(within_bytes(df, F.length("t"), 1000)) == 100 and len(within_bytes(df, F.length("t"), 255)) == 25 and within_bytes(df, F.length("t"), 5) == []
+
+
 def test_linear_model_learns():
     rows = [np.array([0, 2]), np.array([1, 2])] * 50
     w, bias = fit_linear(rows, np.array([1.0, 0.0] * 50), 3)
