@@ -257,8 +257,10 @@ def fit_toxicity(
     lexicon = sorted((i for i, r in enumerate(table) if r["voter"]), key=lambda i: (-table[i]["ones_chosen"] + table[i]["zeros_chosen"], table[i]["key"]))[:VOTERS]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     labelled_ids = labels.select(F.col("doc_id").cast("long")).where("doc_id is not null")
-    free = texts.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).join(labelled_ids, "doc_id", "left_anti")
-    others = free.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+    # Ids are chosen first, so that only the chosen texts are moved.
+    free = texts.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out("doc_id")).join(labelled_ids, "doc_id", "left_anti")
+    picked = free.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
+    others = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     voted_on = sample.unionByName(others.select("doc_id", F.lit(-1).alias("y"), "text", F.lit(False).alias("judge")))
 
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
