@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import extended, forget, map_batches, portions, small_or_plain, text_bytes, written
+from tablewright.llm.common import extended, forget, map_batches, portions, release, small_or_plain, text_bytes, written
 
 WINDOW = 50
 KEY = 20
@@ -273,6 +273,7 @@ def _splitters(texts: DataFrame, buckets: int, window: int, key: int) -> np.ndar
 
 def _covered(texts: DataFrame, spots: DataFrame, buckets: int, window: int, key: int) -> DataFrame:
     """``(doc, tid, covers)``: runs of windows, as ``_spot`` of first position and bits (see ``_unfold``), that start in an earlier document."""
+    release(texts.sparkSession)  # the shuffle files of the anchors, whose plan has just gone
     # At most HOT_KEYS hashes of 8 bytes, by the choice of hot_pieces.
     hot = np.array([r["doc"] for r in spots.where("spot < 0").select("doc").collect()], np.int64).view(np.uint64)
     ranges = min(buckets, RANGES)
