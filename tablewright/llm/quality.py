@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import BLOCK_BYTES, extended, held_out, map_batches, platt, sigmoid, text_bytes
+from tablewright.llm.common import BLOCK_BYTES, extended, forget, held_out, map_batches, platt, sigmoid, text_bytes, within_bytes, written
 
 #: The model is fitted on at most this many labelled rows, chosen by a hash of the id.
 FIT_ROWS = 6000
+#: Bytes of features of these rows, beyond which no further row is taken; a row has 4 bytes for each n-gram it holds.
+FIT_BYTES = 128_000_000
 #: Every third of them is kept out of the fit and calibrates the score.
 CALIBRATE_EVERY = 3
 THRESHOLD = 0.7
@@ -150,8 +152,8 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, rounds: i
     return QualityModel(plain.weight, plain.square, bias, slope, offset)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> QualityModel:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> QualityModel:
+    """Fit on a sample, bounded in rows and in bytes, of the labelled rows that are not held out."""
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out("doc_id"))
         .groupBy("doc_id")
@@ -164,14 +166,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", rows
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__y"), pa.array(ids, pa.binary())], ["doc_id", "y", "ids"])
 
     sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    # A repeated id has one vote, that of its smallest text.
-    got = map_batches(sample, features, "doc_id long, y int, ids binary").collect()
-    first = {}
-    for row in sorted(got, key=lambda r: (r["doc_id"], bytes(r["ids"]))):
-        first.setdefault(row["doc_id"], row)
-    return fit_rows(
-        [np.frombuffer(bytes(r["ids"]), np.int32) for r in first.values()], np.array([r["y"] for r in first.values()], dtype=np.int64)
-    )
+    # A repeated id has one vote, that of its smallest features.
+    held = map_batches(sample, features, "doc_id long, y int, ids binary")
+    held = written(held.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("ids").alias("ids")), "labelled")
+    got = sorted(within_bytes(held, F.octet_length("ids"), most_bytes), key=lambda r: r["doc_id"])
+    forget(held)
+    return fit_rows([np.frombuffer(bytes(r["ids"]), np.int32) for r in got], np.array([r["y"] for r in got], dtype=np.int64))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:

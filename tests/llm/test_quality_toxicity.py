@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import held_out, platt, within_bytes
-from tablewright.llm.quality import FEATURES, fit_quality, fit_rows, score_quality, text_features
+from tablewright.llm.quality import FEATURES, _dual_descent, fit_quality, fit_rows, score_quality, text_features
 from tablewright.llm.toxicity import Keys, evidence, fit_linear, fit_toxicity, label_model, scale, score_toxicity, voter_rates
 from tablewright.llm.words import Lookup, WordHasher, grams
 
@@ -79,6 +79,38 @@ def test_hinge_model_separates():
     assert ((margins > model.margin(np.zeros(0, np.int32)) - 10) & ((margins > 0) == (np.array(y) == 1))).mean() > 0.98
 
 
+def test_dual_descent_equals_projected_gradient():
+    """The same margins as a plain dense program on the same dual: gradient steps, cut to the box."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(30) < 0.3).astype(np.int32) for _ in range(40)] + [np.zeros(0, np.int32)]
+    y = np.array([int((ids < 15).sum() > (ids >= 15).sum()) for ids in rows])
+    scale = np.zeros(FEATURES)
+    scale[:30] = rng.normal(size=30)
+    w, bias = _dual_descent(rows, y, scale, 1.0, 4000)
+    x = np.zeros((len(rows), 31))
+    for k, ids in enumerate(rows):
+        x[k, ids] = scale[ids] / (np.linalg.norm(scale[ids]) or 1.0)
+    x[:, 30] = 1.0
+    sign = np.where(y == 1, 1.0, -1.0)
+    upper = len(y) / (2 * np.array([(y == k).sum() for k in y]))
+    q = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha = np.zeros(len(rows))
+    step = 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (q @ alpha - 1) * step, 0, upper)
+    plain = x.T @ (alpha * sign)
+    assert np.abs(x @ plain - (x[:, :30] @ w[:30] + bias)).max() < 0.02
+
+
+def test_quality_fit_is_bounded_in_bytes(spark, make_docs, corpus):
+    rows, marks = corpus
+    docs = make_docs(rows + [(5, rows[5][1] * 400)])
+    whole, none = fit_quality(docs, labels(spark, marks)), fit_quality(docs, labels(spark, marks), most_bytes=10)
+    less = fit_quality(docs, labels(spark, marks), most_bytes=60_000)
+    assert abs(none.score(b"any text") - 0.5) < 1e-9
+    assert 0 < np.count_nonzero(less.weight) < np.count_nonzero(whole.weight)
+
+
 def test_platt_is_monotone():
     a, b = platt(np.array([-2.0, -1, 1, 2]), np.array([0, 0, 1, 1]))
     assert a > 0 and abs(b) < 1
