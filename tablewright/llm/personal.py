@@ -2,7 +2,8 @@
 
 The field cuts a stretch of tokens into segments, each either one plain token or an entity of at most ``SPAN_TOKENS`` tokens of one kind. Features
 describe whole segments: their shape, number of digits, check sums, neighbours. Dynamic programming picks boundaries and kinds
-together. It is trained on a bounded sample of stretches in which the patterns have marked the entities, with spoiled copies of entities as
+together; a long stretch is cut in blocks of tokens that hand on the states of the last ``SPAN_TOKENS`` tokens, with the same result in bounded
+memory. It is trained on a bounded sample of stretches in which the patterns have marked the entities, with spoiled copies of entities as
 counterexamples. Only stretches of tokens around digits and at signs are cut; elsewhere no entity can be.
 
 Pattern spans always stay; spans of the field are added where they overlap none of them and its confidence is high enough.
@@ -30,6 +31,11 @@ SPAN_TOKENS = 16
 #: Stretches that the field is trained on, and documents that they are taken from.
 FIT_STRETCHES = 1000
 FIT_DOCS = 3000
+#: Stretches of one document that may be trained on, and their longest length in characters.
+FIT_PARTS = 8
+FIT_CHARS = 600
+#: Stretches of more tokens are decoded block by block.
+BLOCK_TOKENS = 4096
 #: Posterior probability from which the field's spans count.
 CONFIDENCE = 0.9
 _BITS = 14
@@ -171,6 +177,27 @@ def _features(words: list[str], shapes: list[str], i: int, j: int, span: str) ->
     return np.array([crc32(n.encode()) >> (32 - _BITS) for n in names], np.int64)
 
 
+class Blocks:
+    """A stretch of any length: where its tokens start, and its segments for a block of tokens at a time."""
+
+    #: Tokens around a block that features of its segments look at: those of the longest segment and of its neighbours.
+    _AROUND = SPAN_TOKENS + 4
+
+    def __init__(self, text: str, size: int = BLOCK_TOKENS):
+        self.text, self.size = text, size
+        self.starts = np.append(np.fromiter((m.start() for m in _TOKEN.finditer(text)), np.int64), len(text))
+        self.count = len(self.starts) - 1
+
+    def ranges(self) -> list[tuple[int, int]]:
+        return [(low, min(self.count, low + self.size)) for low in range(0, self.count, self.size)]
+
+    def segments(self, low: int, high: int) -> list[list[tuple[int, np.ndarray]]]:
+        """For each end from ``low + 1`` to ``high``, the segments ``(first, features)``."""
+        left, right = max(0, low - self._AROUND), min(self.count, high + 1)
+        part = lattice(self.text[int(self.starts[left]) : int(self.starts[right])])
+        return [[(i + left, f) for i, f in part.segments[j - left]] for j in range(low + 1, high + 1)]
+
+
 def _logsum(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=0)
     return top + np.log(np.exp(x - top).sum(axis=0))
@@ -259,6 +286,70 @@ class SemiMarkov:
             j, y = i, before
         return out[::-1]
 
+    def _through(self, rows, before: tuple[np.ndarray, np.ndarray], low: int):
+        """States ``(best, alpha)`` from ``SPAN_TOKENS`` before ``low`` to the end of the block, and the way back of each best state."""
+        labels = len(self.steps)
+        best, alpha = (np.concatenate([b, np.full((len(rows), labels), -1e30)]) for b in before)
+        back: list[list[tuple[int, int]]] = []
+        for k, row in enumerate(rows):
+            at, j = k + SPAN_TOKENS + 1, low + k + 1
+            ways, parts = [(0, 0)] * labels, []
+            for i, s in row:
+                arrive = best[i - low + SPAN_TOKENS][:, None] + self.steps
+                source = arrive.argmax(axis=0)
+                value = arrive[source, np.arange(labels)] + s
+                total = _logsum(alpha[i - low + SPAN_TOKENS][:, None] + self.steps) + s
+                if j - i > 1:
+                    value[0] = total[0] = -1e30
+                for y in np.flatnonzero(value > best[at]):
+                    best[at, y], ways[y] = value[y], (i, int(source[y]))
+                parts.append(total)
+            alpha[at] = _logsum(np.array(parts))
+            back.append(ways)
+        return best, alpha, back
+
+    def decode_blocks(self, blocks: Blocks) -> list[tuple[int, int, int, float]]:
+        """Entities ``(kind, start, end, probability)`` of the best segmentation of the whole stretch.
+
+        A first pass keeps the states at the borders of blocks alone; a second one, from the last block to the first, makes the states of a block
+        anew, follows the best way back through it and sums up what comes after each place.
+        """
+        labels = len(self.steps)
+        state = np.full((SPAN_TOKENS + 1, labels), -1e30)
+        state[-1, 0] = 0.0
+        borders, ranges = [(state, state.copy())], blocks.ranges()
+        for low, high in ranges:
+            best, alpha, _ = self._through(self._rows(blocks, low, high), borders[-1], low)
+            borders.append((best[-SPAN_TOKENS - 1 :].copy(), alpha[-SPAN_TOKENS - 1 :].copy()))
+        j, y = blocks.count, int(borders[-1][0][-1].argmax())
+        total = float(_logsum(borders[-1][1][-1]))
+        after = np.full((SPAN_TOKENS + 1, labels), -1e30)
+        after[-1] = 0.0
+        out = []
+        for (low, high), before in zip(reversed(ranges), reversed(borders[:-1]), strict=True):
+            rows = self._rows(blocks, low, high)
+            _, alpha, back = self._through(rows, before, low)
+            # Places from SPAN_TOKENS before the block to its end; the last of them were reached from the block behind.
+            beta = np.concatenate([np.full((len(rows), labels), -1e30), after])
+            for k in range(len(rows) - 1, -1, -1):
+                end, at = low + k + 1, k + SPAN_TOKENS + 1
+                for i, s in rows[k]:
+                    leave = s + beta[at]
+                    if end - i > 1:
+                        leave[0] = -1e30
+                    start = i - low + SPAN_TOKENS
+                    if end == j and y and i == back[k][y][0]:
+                        p = float(np.exp(min(_logsum(alpha[start] + self.steps[:, y]) + leave[y] - total, 0.0)))
+                        out.append((y - 1, int(blocks.starts[i]), int(blocks.starts[end]), p))
+                    beta[start] = np.logaddexp(beta[start], _logsum((self.steps + leave).T))
+                if end == j:
+                    j, y = back[k][y]
+            after = beta[: SPAN_TOKENS + 1]
+        return out[::-1]
+
+    def _rows(self, blocks: Blocks, low: int, high: int) -> list[list[tuple[int, np.ndarray]]]:
+        return [[(i, self.weights[f].sum(axis=0)) for i, f in row] for row in blocks.segments(low, high)]
+
     def fit(self, data: list[tuple[str, list[tuple[int, int, int]]]], rounds: int = 4, rate: float = 0.3) -> None:
         """Stochastic gradient steps on the likelihood, with a step size for each weight."""
         seen = np.full(self.weights.shape, 1e-3)
@@ -340,8 +431,8 @@ def fit_field(docs: DataFrame, stretches_wanted: int = FIT_STRETCHES, docs_wante
         order, parts = [], []
         for t in batch.column("text").to_pylist():
             # Of a text full of numbers the first stretches will do for training.
-            for low, high in stretches(t)[:8]:
-                if high - low <= 600:
+            for low, high in stretches(t)[:FIT_PARTS]:
+                if high - low <= FIT_CHARS:
                     order.append(crc32(t[low:high].encode()))
                     parts.append(t[low:high])
         return pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array(parts, pa.string())], ["h", "part"])
@@ -356,11 +447,16 @@ def fit_field(docs: DataFrame, stretches_wanted: int = FIT_STRETCHES, docs_wante
     return model
 
 
-def field_spans(text: str, model: SemiMarkov, known: dict[str, list], confidence: float = CONFIDENCE) -> list[tuple[int, int, int]]:
-    """Spans of the field in the whole text; ``known`` remembers stretches."""
+def field_spans(text: str, model: SemiMarkov, known: dict[str, list], confidence: float = CONFIDENCE, block: int = BLOCK_TOKENS) -> list[tuple[int, int, int]]:
+    """Spans of the field in the whole text; ``known`` remembers short stretches."""
     out = []
     for low, high in stretches(text):
         part = text[low:high]
+        # No more tokens than characters; texts of long stretches are not remembered.
+        if high - low > block and (blocks := Blocks(part, block)).count > block:
+            found = model.decode_blocks(blocks)
+            out.extend((kind, a + low, b + low) for kind, a, b, p in found if p >= confidence)
+            continue
         found = known.get(part)
         if found is None:
             lat = lattice(part)

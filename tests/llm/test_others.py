@@ -6,7 +6,7 @@ import pytest
 
 from tablewright.llm.chat import ROLES, RoleModel, blocks, fit_roles, format_chats, marker, path, transfer
 from tablewright.llm.decontaminate import align, find_leaks
-from tablewright.llm.personal import KINDS, SemiMarkov, field_spans, find_personal, fit_field, lattice, luhn, pattern_spans, stretches
+from tablewright.llm.personal import Blocks, KINDS, SemiMarkov, field_spans, find_personal, fit_field, lattice, luhn, pattern_spans, stretches
 from tablewright.llm.pivots import PivotIndex, top_products, whole_vectors
 from tablewright.llm.suffixes import Anchors, _shared_anchors, multikey_sort, remove_repeats
 
@@ -214,6 +214,27 @@ def test_dynamic_program_finds_the_best_segmentation():
                 assert abs(p[y] - want.get((i, j, y), 0.0)) < 1e-9
 
 
+def test_blocks_decide_like_one_stretch():
+    """Segmentation and probabilities do not depend on where blocks end, also where an entity lies across a border."""
+    r = random.Random(4)
+    rng = np.random.default_rng(1)
+    model = SemiMarkov()
+    # A cost for each segment, so that long ones win.
+    model.weights[:] = rng.normal(size=model.weights.shape) * 0.4 - 0.15
+    model.steps[:] = rng.normal(size=model.steps.shape) * 0.5
+    text = " ".join(r.choice([number(r), "word", "at 12:30", "7,8\n9", "x@y"]) for _ in range(60))
+    lat = lattice(text)
+    starts, stops = {a: k for k, (a, _) in enumerate(lat.tokens)}, {b: k + 1 for k, (_, b) in enumerate(lat.tokens)}
+    p = {(i, j): probs for i, j, _, probs, _ in model.posteriors(lat)}
+    want = [(k, a, b, p[starts[a], stops[b]][k + 1]) for k, a, b in model.decode(lat)]
+    assert len(want) > 20 and max(stops[b] - starts[a] for _, a, b, _ in want) > 4
+    for size in (1, 2, 5, 17, 40, len(lat.tokens), 9999):
+        got = model.decode_blocks(Blocks(text, size))
+        assert [g[:3] for g in got] == [w[:3] for w in want]
+        assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-9)
+    assert field_spans(text, model, {}, 0.5, 8) == field_spans(text, model, {}, 0.5)
+
+
 def test_stretches_hold_every_trigger():
     for text in ["a1" * 500, "x " * 200 + "7" + " y" * 200, "@", "no trigger", "1 " + "word " * 300 + "2"]:
         ranges = stretches(text)
