@@ -5,7 +5,7 @@ that are independent of each other would bring it up at most ``CHANCE`` times in
 passage that leaked into many documents makes its own seeds frequent.) An item without a rare seed keeps all of them. Every place
 where a document holds a seed of an item is a passage to align with the item; the best local alignment counts 1 for a word that
 agrees and takes ``PENALTY`` for one that differs, is missing or is added. Both passes read the documents once, as maps: texts are
-never shuffled. Items go to the tasks in parts of bounded size, with a pass for each part.
+never shuffled. Items go to the tasks in parts of bounded size, with both passes for each part, so that no more than one part is on the driver.
 
 Defined results: null or empty texts and items have no words and no leaks; items of fewer words than a seed are one seed as a whole; rows with a
 null ``item_id`` are left out, of repeated ones each is compared; repeated documents are judged each; a document is listed with
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import extended, map_batches
+from tablewright.llm.common import extended, forget, map_batches, written
 from tablewright.llm.words import Lookup, WordHasher, grams
 
 SEED_WORDS = 4
@@ -140,8 +140,8 @@ def _passages(items: Items, hashes: np.ndarray) -> dict[int, list[tuple[int, int
     return out
 
 
-def _collect_items(benchmark: DataFrame, part_words: int) -> list[Items]:
-    """Items as word hashes, in parts of bounded size; the texts themselves stay with the tasks."""
+def _hashed_items(benchmark: DataFrame, part_words: int) -> tuple[DataFrame, int]:
+    """Items as word hashes in a table ``(item_id, words)``, and the number of parts of about ``part_words`` words, dealt out in a column ``part`` if there are several."""
     hasher = WordHasher()
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,25 +149,28 @@ def _collect_items(benchmark: DataFrame, part_words: int) -> list[Items]:
         return pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(rows, pa.binary())], ["item_id", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
-    parts, ids, words, held = [], [], [], 0
-    for row in map_batches(rows, hashed, "item_id long, words binary").sort("item_id", "words").toLocalIterator():
-        w = np.frombuffer(bytes(row["words"]), np.uint64)
-        if not len(w):
-            continue
-        if held and held + len(w) > part_words:
-            parts.append(Items(ids, words))
-            ids, words, held = [], [], 0
-        ids.append(row["item_id"])
-        words.append(w)
-        held += len(w)
-    if ids:
-        parts.append(Items(ids, words))
-    return parts
-
-
-def _word_shares(docs: DataFrame, parts: list[Items]) -> tuple[np.ndarray, np.ndarray, int]:
-    """Words of the items, how often all documents hold them, and the number of all words."""
-    vocabulary = np.unique(np.concatenate([w for p in parts for w in p.words]))
+    items = written(map_batches(rows, hashed, "item_id long, words binary").where(F.octet_length("words") > 0), "items")
+    size = items.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    count = -(-size // (8 * part_words))
+    # The words that repeated rows share do not decide alone, so that copies of one item spread over the parts.
+    salt = F.xxhash64("item_id", "words", F.monotonically_increasing_id())
+    if count < 2:
+        return items, count
+    dealt = written(items.withColumn("part", F.pmod(salt, F.lit(count)).cast("int")), "item_parts")
+    forget(items)
+    return dealt, count
+
+
+def _load(items: DataFrame, part: int) -> Items | None:
+    """One part of the items; about ``part_words`` words, or one longer item, reach the driver."""
+    rows = (items.where(F.col("part") == part) if "part" in items.columns else items).select("item_id", "words").collect()
+    rows = sorted((r["item_id"], bytes(r["words"])) for r in rows)
+    return Items([i for i, _ in rows], [np.frombuffer(w, np.uint64) for _, w in rows]) if rows else None
+
+
+def _word_shares(docs: DataFrame, part: Items) -> tuple[np.ndarray, np.ndarray, int]:
+    """Words of a part of the items, how often all documents hold them, and the number of all words."""
+    vocabulary = np.unique(np.concatenate(part.words))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def count(batches):
@@ -184,7 +187,7 @@ def _word_shares(docs: DataFrame, parts: list[Items]) -> tuple[np.ndarray, np.nd
 
     rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     counts, total = np.zeros(len(vocabulary), np.int64), 0
-    for row in rows.collect():  # at most the words of the items
+    for row in rows.collect():  # at most the words of a part
         if row["place"] < 0:
             total = row["n"]
         else:
@@ -192,30 +195,40 @@ def _word_shares(docs: DataFrame, parts: list[Items]) -> tuple[np.ndarray, np.nd
     return vocabulary, counts, total
 
 
-def _index_rare(parts: list[Items], vocabulary: np.ndarray, counts: np.ndarray, total: int) -> None:
+def _index_rare(part: Items, vocabulary: np.ndarray, counts: np.ndarray, total: int) -> None:
     share = np.maximum(counts, 1) / max(total, 1)
-    for part in parts:
-        rare = []
-        for k, w in enumerate(part.words):
-            p = np.log(share[np.searchsorted(vocabulary, w)])
-            n = min(SEED_WORDS, len(w))
-            expected = np.log(max(total, 1)) + np.convolve(p, np.ones(n), "valid")
-            rare.append(part.seeds(k)[expected <= np.log(CHANCE)])
-        part.index(np.unique(np.concatenate(rare)))
+    rare = []
+    for k, w in enumerate(part.words):
+        p = np.log(share[np.searchsorted(vocabulary, w)])
+        n = min(SEED_WORDS, len(w))
+        expected = np.log(max(total, 1)) + np.convolve(p, np.ones(n), "valid")
+        rare.append(part.seeds(k)[expected <= np.log(CHANCE)])
+    part.index(np.unique(np.concatenate(rare)))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
-    """``docs`` with ``leaks``: ``array<struct<item_id, score, agree, first, last>>``, words counted from 0, last exclusive."""
+    """``docs`` with ``leaks`` by ``item_id``: ``array<struct<item_id, score, agree, first, last>>``, words counted from 0, last exclusive.
+
+    Beyond ``part_words`` the items come part by part, and what a part found is written before the next one is loaded.
+    """
     docs = docs.drop("leaks")
     kind = "array<struct<item_id:bigint,score:double,agree:int,first:int,last:int>>"
-    parts = _collect_items(benchmark, part_words)
-    if not parts:
-        return docs.withColumn("leaks", F.array().cast(kind))
-    _index_rare(parts, *_word_shares(docs, parts))
     out = docs.withColumn("leaks", F.array().cast(kind))
-    for part in parts:
+    items, count = _hashed_items(benchmark, part_words)
+    before = None
+    for number in range(count):
+        part = _load(items, number)
+        if part is None:
+            continue
+        _index_rare(part, *_word_shares(docs, part))
         out = _with_leaks(out, part, kind)
-    return out
+        if count > 1:
+            done = written(out, "leaks")
+            if before is not None:
+                forget(before)
+            out = before = done
+    forget(items)
+    return out.withColumn("leaks", F.array_sort("leaks")) if count > 1 else out
 
 
 def _with_leaks(docs: DataFrame, part: Items, kind: str) -> DataFrame:

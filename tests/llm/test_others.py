@@ -287,6 +287,35 @@ def test_leaks_whole_edited_and_none(spark, make_docs, prose, odd):
     assert all(r["leaks"] == [] for r in find_leaks(make_docs(rows[:3]), benchmark.limit(0)).collect())
 
 
+def test_leaks_equal_brute_force(spark, make_docs, prose):
+    """Against the plain alignment of every item with every whole document that shares four words in a row with it."""
+    r = random.Random(8)
+    items = [(k, prose(r.randint(12, 30), 700 + k)) for k in range(8)]
+    rows = []
+    for i in range(80):
+        words = items[i % 8][1].split()
+        for _ in range(r.randint(0, 14)):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], ["other"], [words[at], "more"]])
+            words = words or ["none"]
+        rows.append((i, f"{prose(40, 3000 + i)} {' '.join(words)} {prose(40, 4000 + i)}"))
+    want = {}
+    for i, text in rows:
+        doc = text.split()
+        for k, item in items:
+            own = item.split()
+            seeds = {tuple(own[x : x + 4]) for x in range(len(own) - 3)}
+            if seeds & {tuple(doc[x : x + 4]) for x in range(len(doc) - 3)}:
+                score = smith_waterman(own, doc)
+                if score >= 0.5 * len(own):
+                    want[i, k] = score / len(own)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for part_words in (1_000_000, 50):
+        got = {(r["doc_id"], x["item_id"]): x["score"] for r in find_leaks(make_docs(rows), benchmark, part_words).collect() for x in r["leaks"]}
+        assert got.keys() == want.keys() and 20 < len(got) < 80
+        assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 # --- exact search
 
 
