@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -396,6 +397,22 @@ def test_odd_transcripts(spark, prose):
     assert format_chats(df.limit(0), fit_roles(df.limit(0))).count() == 0
 
 
+def test_path_equals_enumeration():
+    """Against every sequence of roles, with and without a fixed last role."""
+    r = np.random.default_rng(2)
+    for size in (1, 2, 5, 7):
+        evidence, steps, before = r.normal(size=(size, 3)), r.normal(size=(3, 3)), r.normal(size=3)
+        scores = {}
+        for roles in itertools.product(range(3), repeat=size):
+            rest = sum(evidence[k, y] + (steps[roles[k - 1], y] if k else 0.0) for k, y in enumerate(roles))
+            scores[roles] = rest + max(before + steps[:, roles[0]])
+        assert tuple(path(evidence, steps, before)) == max(scores, key=scores.get)
+        for last in range(3):
+            ending = {w: v for w, v in scores.items() if w[-1] == last}
+            assert tuple(path(evidence, steps, before, last)) == max(ending, key=ending.get)
+            assert abs((before[:, None] + transfer(evidence, steps)).max(axis=0)[last] - max(ending.values())) < 1e-9
+
+
 def test_chunks_decide_like_one_path(spark):
     r = np.random.default_rng(0)
     evidence, steps, before = r.normal(size=(50, 3)), r.normal(size=(3, 3)), r.normal(size=3)
