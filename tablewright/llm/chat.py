@@ -116,9 +116,14 @@ def fit_roles(conversations: DataFrame) -> RoleModel:
             [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([counts[k] for k in keys], pa.int64())], ["role", "value", "n"]
         )
 
-    order = Window.partitionBy("conv_id", "chunk").orderBy(F.asc_nulls_first("turn"), "text")
+    order = Window.partitionBy("conv_id", "chunk").orderBy(F.asc_nulls_first("turn"), "text", "role")
     steps = known.select("role", F.lag("role").over(order).alias("before"), (F.col("chunk") == 0).alias("opens"))
-    steps = steps.where("before is not null or opens").groupBy(F.concat(F.lit("step:"), F.coalesce("before", F.lit(""))).alias("value"), "role")
+    # The step over the border of two chunks goes from the last role of the one to the first role of the other.
+    place = F.struct(F.coalesce("turn", F.lit(-(1 << 63))), "text", "role")
+    ends = known.groupBy("conv_id", "chunk").agg(F.min_by("role", place).alias("role"), F.max_by("role", place).alias("last"))
+    behind = F.lag("last").over(Window.partitionBy("conv_id").orderBy("chunk"))
+    borders = ends.select("role", behind.alias("before"), F.lit(False).alias("opens"))
+    steps = steps.unionByName(borders).where("before is not null or opens").groupBy(F.concat(F.lit("step:"), F.coalesce("before", F.lit(""))).alias("value"), "role")
     counted = map_batches(known, features, "role string, value string, n long").groupBy("value", "role").agg(F.sum("n").alias("n"))
     rows = counted.unionByName(steps.agg(F.count("*").alias("n"))).collect()  # values are few: lengths in powers of two, capped counts
     table: dict[str, np.ndarray] = {}

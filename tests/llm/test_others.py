@@ -397,6 +397,16 @@ def test_odd_transcripts(spark, prose):
     assert format_chats(df.limit(0), fit_roles(df.limit(0))).count() == 0
 
 
+def test_steps_over_borders_of_chunks_are_counted(spark):
+    """One step from user to assistant in 2,048 turns, at the border of two chunks, and none the other way."""
+    rows = [(1, t, "user" if t < 1024 else "assistant", f"text {t}") for t in range(2048)]
+    model = fit_roles(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    user, assistant = ROLES.index("user"), ROLES.index("assistant")
+    n = 1023 + 1 + 0.1 * len(ROLES)
+    assert abs(model.steps[user, assistant] - math.log(1.1 / n)) < 1e-9
+    assert abs(model.steps[assistant, user] - math.log(0.1 / (n - 1))) < 1e-9
+
+
 def test_path_equals_enumeration():
     """Against every sequence of roles, with and without a fixed last role."""
     r = np.random.default_rng(2)
