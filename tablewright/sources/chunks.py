@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,14 +82,14 @@ def percent_chunks(files: DataFrame) -> DataFrame:
     return number_cells(cells.select("path", "cell_index", kind.alias("cell_type"), body.alias("code")))
 
 
-def upsert(rows: DataFrame, key: str, sequence: str) -> DataFrame:
-    """Last written row per key. A maximum per key, so a key written very often costs no sort.
+def upsert(rows: DataFrame, key: str, sequence: str, within: Sequence[str] = ()) -> DataFrame:
+    """Last written row per key. A maximum per key, so a key written very often costs no sort. Columns ``within`` follow from the key; rows dealt out by them stay.
 
     A null sequence counts as earliest; of rows with equal sequences the largest in the order of the other columns stays.
     """
-    others = [c for c in rows.columns if c not in (key, sequence)]
-    last = rows.groupBy(key).agg(F.max(F.struct(sequence, *others)).alias("__last"))
-    return last.select(key, "__last.*").select(*rows.columns)
+    others = [c for c in rows.columns if c not in (key, sequence, *within)]
+    last = rows.groupBy(*within, key).agg(F.max(F.struct(sequence, *others)).alias("__last"))
+    return last.select(*within, key, "__last.*").select(*rows.columns)
 
 
 def fetch_chunks(chunks: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -65,6 +65,11 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("bucket")
 
 
+def merged_rows(batch: DataFrame, key: str, sequence: str) -> DataFrame:
+    """The last row of each key of rows with their buckets."""
+    return upsert(batch.repartition("bucket"), key, sequence, ["bucket"])
+
+
 def upsert_stored(rows: DataFrame, path: str, key: str, sequence: str, buckets: int = BUCKETS) -> dict:
     """Merge rows into the table at ``path``: the last written row per key stays (see :func:`upsert`).
 
@@ -87,7 +92,8 @@ def upsert_stored(rows: DataFrame, path: str, key: str, sequence: str, buckets:
         held = spark.read.parquet(f"{path}/rows").where(F.col("bucket").isin(touched))
         batch = batch.unionByName(held.select(batch.columns))
     merged = scratch_path(spark, "merged")
-    upsert(batch, key, sequence).repartition("bucket").write.parquet(merged)
+    # One shuffle: keys are merged, and written, where their buckets lie.
+    merged_rows(batch, key, sequence).write.parquet(merged)
     _write(spark, f"{path}/{_PENDING}", {"batch": 1 + (last["batch"] if last else 0), "buckets": touched, "merged": merged})
     recover(spark, path)
     return last_commit(spark, path)
