@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import raw_tokens, tokenize
-from tablewright.operators.ranking import QueryTerms, RunningTopK, hit_schema, per_query_block, top_k
+from tablewright.operators.ranking import STEP_TOKENS, QueryTerms, RunningTopK, hit_schema, per_query_block, steps, top_k
 from tablewright.runtime import scratch_table, spread
 
 # Term saturation, length normalisation, and the share of the mean idf given to very common tokens.
@@ -115,19 +115,18 @@ def _scorer(block: pd.DataFrame, k: int, avg_length: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, known = RunningTopK(k, positive_only=True), pa.array(asked.terms, pa.string())
         for batch in batches:
-            lists, ids = batch.column("tokens"), batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            damp = K1 * (1 - B + B * lengths / (avg_length or 1.0))
-            owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-            word = pc.fill_null(pc.index_in(pc.list_flatten(lists), known), -1).to_numpy(zero_copy_only=False)
-            pair = owner[word >= 0].astype(np.int64) * len(known) + word[word >= 0]
-            pair, tf = np.unique(pair, return_counts=True)
-            owner, word = np.divmod(pair, max(len(known), 1))
-            value = tf * (K1 + 1) / (tf + damp[owner])
-            for low in range(0, len(ids), asked.rows_per_step()):
-                some = ids[low : low + asked.rows_per_step()]
-                a, b = np.searchsorted(owner, [low, low + len(some)])
-                best.add(asked.scores(len(some), owner[a:b] - low, word[a:b], value[a:b]), some)
+            sizes = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False)
+            for low, high in steps(sizes, STEP_TOKENS, asked.rows_per_step()):
+                some, lengths = batch.slice(low, high - low), sizes[low:high]
+                lists, ids = some.column("tokens"), some.column("chunk_id").to_numpy(zero_copy_only=False)
+                damp = K1 * (1 - B + B * lengths / (avg_length or 1.0))
+                owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+                word = pc.fill_null(pc.index_in(pc.list_flatten(lists), known), -1).to_numpy(zero_copy_only=False)
+                pair = owner[word >= 0].astype(np.int64) * len(known) + word[word >= 0]
+                pair, tf = np.unique(pair, return_counts=True)
+                owner, word = np.divmod(pair, max(len(known), 1))
+                value = tf * (K1 + 1) / (tf + damp[owner])
+                best.add(asked.scores(len(ids), owner, word, value), ids)
         for rows in best.rows(query_ids):
             yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.groups import small_side
-from tablewright.operators.ranking import QueryTerms, RunningTopK, hit_schema, per_query_block, top_k
+from tablewright.operators.ranking import STEP_CHARS, QueryTerms, RunningTopK, hit_schema, per_query_block, steps, top_k
 from tablewright.runtime import scratch_table, spread
 
 PREVIEW_CHARS = 300
@@ -60,7 +62,7 @@ def lexical_search(
     types = dict(asked.dtypes)["query_id"], dict(texts.dtypes)["chunk_id"]
 
     def search(block: pd.DataFrame) -> DataFrame:
-        return texts.mapInPandas(_scorer(block, k), hit_schema(*types))
+        return texts.mapInArrow(_scorer(block, k), hit_schema(*types))
 
     hits = small_side(scratch_table(top_k(per_query_block(asked, "query_id", search, F.size("words")), k), "hits"))
     joined = pool.withColumnRenamed("chunk_id", "__id").join(hits, F.col("chunk_id") == F.col("__id"))
@@ -75,14 +77,17 @@ def _scorer(block: pd.DataFrame, k: int):
     query_ids = block["query_id"].to_numpy()
     asked = QueryTerms([Counter(words) for words in block["words"]])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, find = RunningTopK(k, positive_only=True), _finder(asked.terms)
         for batch in batches:
-            for low in range(0, len(batch), asked.rows_per_step()):
-                some = batch.iloc[low : low + asked.rows_per_step()]
-                hits = [(row, *hit) for row, body in enumerate(some["body"]) for hit in find(body)]
+            # Only the texts of one step are Python strings at a time, and only its hits Python numbers.
+            sizes = pc.utf8_length(batch.column("body")).to_numpy(zero_copy_only=False)
+            for low, high in steps(sizes, STEP_CHARS, asked.rows_per_step()):
+                some = batch.slice(low, high - low)
+                hits = [(row, *hit) for row, body in enumerate(some.column("body").to_pylist()) for hit in find(body)]
                 owner, term, n = np.array(hits, dtype=np.int64).reshape(-1, 3).T
-                best.add(asked.scores(len(some), owner, term, n), some["chunk_id"].to_numpy())
-        yield from best.rows(query_ids)
+                best.add(asked.scores(some.num_rows, owner, term, n), some.column("chunk_id").to_numpy(zero_copy_only=False))
+        for rows in best.rows(query_ids):
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 
     return score

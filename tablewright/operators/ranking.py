@@ -19,6 +19,21 @@ SCORE_DIGITS = 6
 RRF_K = 60
 _CELLS = 4_000_000
 _ENTRIES = 2_000
+#: Tokens or characters of chunks that a task looks at in one step, and cells of a dense product.
+STEP_TOKENS = 500_000
+STEP_CHARS = 2_000_000
+STEP_CELLS = 250_000
+
+
+def steps(sizes: np.ndarray, bound: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows of at most ``rows`` rows and about ``bound`` in all, one row at least."""
+    ends, low = np.cumsum(sizes), 0
+    while low < len(sizes):
+        before = ends[low - 1] if low else 0
+        high = min(low + rows, int(np.searchsorted(ends, before + bound, side="right")))
+        high = max(high, low + 1)
+        yield low, high
+        low = high
 
 
 def per_query_block(

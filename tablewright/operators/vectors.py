@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import col
-from tablewright.operators.ranking import RunningTopK, hit_schema, per_query_block, top_k
+from tablewright.operators.ranking import STEP_CELLS, RunningTopK, hit_schema, per_query_block, top_k
 
 
 def fill_vectors(df: DataFrame, name: str, dim: int) -> DataFrame:
@@ -62,11 +62,14 @@ def _scorer(block: pd.DataFrame, k: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-            flat = pc.list_flatten(batch.column("v")).to_numpy(zero_copy_only=False).astype(np.float64)
-            rows = flat.reshape(len(ids), weights.shape[0])
-            norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-            best.add((rows / np.where(norm > 0, norm, 1.0)) @ weights, ids)
+            step = max(1, STEP_CELLS // max(1, weights.shape[1]))
+            for low in range(0, batch.num_rows, step):
+                some = batch.slice(low, step)
+                ids = some.column("chunk_id").to_numpy(zero_copy_only=False)
+                flat = pc.list_flatten(some.column("v")).to_numpy(zero_copy_only=False).astype(np.float64)
+                rows = flat.reshape(len(ids), weights.shape[0])
+                norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+                best.add((rows / np.where(norm > 0, norm, 1.0)) @ weights, ids)
         for rows in best.rows(query_ids):
             yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
 

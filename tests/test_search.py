@@ -191,3 +191,37 @@ def test_local_top_k_keeps_the_same_rows_in_any_order():
     for low in range(0, 500, 13):
         parts.add(scores[low : low + 13], ids[low : low + 13])
     pd.testing.assert_frame_equal(whole.best, parts.best)
+
+
+def test_steps_cover_all_rows_within_their_bounds():
+    sizes = np.array([5, 0, 3, 40, 1, 1, 1, 9])
+    got = list(ranking.steps(sizes, 8, 3))
+    assert got == [(0, 3), (3, 4), (4, 7), (7, 8)]
+    assert list(ranking.steps(np.zeros(0), 8, 3)) == []
+
+
+@pytest.mark.parametrize("search", ["lexical", "bm25", "vectors"])
+def test_large_batches_are_scored_in_small_steps(monkeypatch, search):
+    """No product of a whole batch is held at a time, and the hits are the same."""
+    import pyarrow as pa
+
+    from tablewright.operators import bm25, lexical, vectors
+
+    ids = pa.array(range(40), pa.int64())
+    words = [["red"] * (i % 7) + ["blue"] * (i % 3) + ["x"] for i in range(40)]
+    weights = {"red": 1.0, "blue": 2.5}
+    if search == "lexical":
+        score = lexical._scorer(pd.DataFrame({"query_id": [1], "words": [["red", "blue"]]}), 4)
+        batch, place, bound = pa.RecordBatch.from_arrays([ids, pa.array([" ".join(w) for w in words])], ["chunk_id", "body"]), lexical, "STEP_CHARS"
+    elif search == "bm25":
+        score = bm25._scorer(pd.DataFrame({"query_id": [1], "weights": [[{"token": t, "w": w} for t, w in weights.items()]]}), 4, 4.0)
+        batch, place, bound = pa.RecordBatch.from_arrays([ids, pa.array(words)], ["chunk_id", "tokens"]), bm25, "STEP_TOKENS"
+    else:
+        score = vectors._scorer(pd.DataFrame({"query_id": [1], "v": [[1.0, 0.5]]}), 4)
+        batch, place, bound = pa.RecordBatch.from_arrays([ids, pa.array([[float(i % 7), 1.0] for i in range(40)])], ["chunk_id", "v"]), vectors, "STEP_CELLS"
+    whole = pa.Table.from_batches(score(iter([batch]))).to_pylist()
+    added, add = [], ranking.RunningTopK.add
+    monkeypatch.setattr(place, bound, 10)
+    monkeypatch.setattr(ranking.RunningTopK, "add", lambda self, scores, ids: (added.append(len(ids)), add(self, scores, ids))[1])
+    assert pa.Table.from_batches(score(iter([batch]))).to_pylist() == whole and len(whole) == 4
+    assert len(added) > 3 and max(added) <= 10
