@@ -6,20 +6,26 @@ search adds up the best blocks of each token first: the ``k``-th best of these s
 is skipped if its highest impact, with the highest of all other tokens of the query, stays below it: no chunk in the block can be among the best ``k``. The
 corpus is tokenised once for the index, whatever the number of queries.
 
-Queries stay in Spark throughout: tokens, bounds and sums are joins and aggregates. Chunk ids are unique; null queries have no tokens.
+Tokens and bounds are joins and aggregates. The blocks that are left are added up as matrix products, for a counted part of the queries at a time, so a
+posting moves once for all of them. Chunk ids are unique; null queries have no tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.functions.text import raw_tokens
 from tablewright.operators.bm25 import B, K1, Bm25Index
 from tablewright.operators.groups import small_side
-from tablewright.operators.ranking import top_k
+from tablewright.operators.ranking import SCORE_DIGITS, STEP_TOKENS, QueryTerms, RunningTopK, hit_schema, per_query_block, steps, top_k
 from tablewright.runtime import scratch_table
 
 BLOCK_ROWS = 1024
@@ -91,7 +97,55 @@ def kept_blocks(index: PostingIndex, asked: DataFrame, k: int) -> DataFrame:
     return bounded.where(reached).select("query_id", "w", "token", "level", "part")
 
 
+def _scorer(block: pd.DataFrame, k: int):
+    query_ids = block["query_id"].to_numpy()
+    asked = QueryTerms([{t["token"]: t["w"] for t in row} for row in block["weights"]])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, known = RunningTopK(k, positive_only=True), pa.array(asked.terms, pa.string())
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("tokens")).to_numpy(zero_copy_only=False)
+            for low, high in steps(sizes, STEP_TOKENS, asked.rows_per_step()):
+                some = batch.slice(low, high - low)
+                owner = pc.list_parent_indices(some.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64)
+                word = pc.fill_null(pc.index_in(pc.list_flatten(some.column("tokens")), known), -1).to_numpy(zero_copy_only=False)
+                value = pc.list_flatten(some.column("impacts")).to_numpy(zero_copy_only=False)
+                # Tokens in one order for every chunk, so that chunks alike have equal sums.
+                order = np.lexsort((word, owner))
+                order = order[word[order] >= 0]
+                scores, ids = asked.scores(some.num_rows, owner[order], word[order], value[order]), some.column("chunk_id")
+                nameless = np.flatnonzero(pc.is_null(ids).to_numpy(zero_copy_only=False))
+                if len(nameless):  # the one chunk without an id, kept for all queries
+                    found = np.round(scores[nameless[0]], SCORE_DIGITS)
+                    hit = np.flatnonzero(found > 0)
+                    if len(hit):
+                        columns = [pa.array(query_ids[hit]), pa.nulls(len(hit), ids.type), pa.array(found[hit])]
+                        yield pa.RecordBatch.from_arrays(columns, ["query_id", "chunk_id", "score"])
+                    scores, ids = np.delete(scores, nameless, axis=0), ids.drop_null()
+                if len(ids):
+                    best.add(scores, ids.to_numpy(zero_copy_only=False))
+        for rows in best.rows(query_ids):
+            yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+
+    return score
+
+
 def postings_search(index: PostingIndex, queries: DataFrame, k: int, key: str = "query_id", text: str = "q") -> DataFrame:
-    """Top ``k`` chunks with a positive score per query: ``(query_id, chunk_id, rank, score)``, as ``bm25_search`` gives them."""
+    """Top ``k`` chunks with a positive score per query: ``(query_id, chunk_id, rank, score)``, as ``bm25_search`` gives them.
+
+    A block that any query of a part wants is moved once, to the tasks of its chunks, and multiplied with the weights of all queries of the part. A
+    query that could do without the block only sees sums below its bound in it.
+    """
     asked = scratch_table(asked_tokens(index, queries, key, text), "asked")
-    return top_k(_sums(index, kept_blocks(index, asked, k)), k)
+    wanted = scratch_table(kept_blocks(index, asked, k), "wanted")
+    weighted = asked.groupBy("query_id").agg(F.collect_list(F.struct("token", "w")).alias("weights"))
+    types = dict(weighted.dtypes)["query_id"], dict(index.blocks.select(F.explode("postings.chunk_id").alias("c")).dtypes)["c"]
+
+    def search(block: pd.DataFrame) -> DataFrame:
+        mine = wanted.where(F.col("query_id").isin(block["query_id"].tolist())).select("token", "level", "part").distinct()
+        rows = index.blocks.select("token", "level", "part", "postings").join(small_side(mine), ["token", "level", "part"], "left_semi")
+        parts = rows.select("token", F.explode("postings").alias("p")).select("token", "p.chunk_id", "p.impact")
+        chunks = parts.groupBy("chunk_id").agg(F.collect_list("token").alias("tokens"), F.collect_list("impact").alias("impacts"))
+        return chunks.mapInArrow(_scorer(block, k), hit_schema(*types))
+
+    return top_k(per_query_block(weighted, "query_id", search, F.size("weights")), k)

@@ -204,3 +204,43 @@ def test_a_column_of_a_million_values(spark):
     assert dictionary.values.where("frequent").select("value", "place").collect() == [("hot", 1_000_000)]
     found = with_place(rows, dictionary, "c", "p")
     assert found.where("p <> if(c = 'hot', 1000000, id)").count() == 0 and found.where("p is null").count() == 0
+
+
+def test_postings_move_once_for_all_queries(spark, corpus, monkeypatch):
+    """What is moved for the search does not grow with the number of queries that ask for the same tokens."""
+    from tablewright.operators import postings as P
+
+    index, queries = corpus
+    seen = []
+    scorer = P._scorer
+
+    def counted(block, k):
+        seen.append(len(block))
+        return scorer(block, k)
+
+    monkeypatch.setattr(P, "_scorer", counted)
+    monkeypatch.setattr(P, "kept_blocks", lambda index, asked, k, kept=P.kept_blocks: kept(index, asked, 10**6))
+    same = spark.range(50).selectExpr("cast(id as int) as query_id", "'waa wab wac' as q")
+    postings = PostingIndex.build(index)
+    sums = []
+    monkeypatch.setattr(P, "_sums", lambda index, wanted, add=P._sums: (sums.append(wanted), add(index, wanted))[1])
+    got = postings_search(postings, same, 5).collect()
+    assert seen == [50] and len(sums) == 1  # sums by query and chunk are for the seeds alone
+    assert len({tuple(r)[1:] for r in got}) == 5 and len(got) == 250
+
+
+def test_postings_take_a_chunk_without_an_id(spark):
+    chunks = spark.createDataFrame([(1, "red blue"), (None, "red red"), (3, "green"), (4, "sky"), (5, "sea")], "chunk_id long, code string")
+    queries = spark.createDataFrame([(7, "red"), (None, "green")], "query_id int, q string")
+    got = postings_search(PostingIndex.build(Bm25Index.build(chunks)), queries, 3).collect()
+    assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in got} == {(7, None, 0), (7, 1, 1)}  # a query without an id has no tokens
+
+
+def test_a_batch_is_shuffled_once(spark):
+    from tablewright.sources import stored
+
+    rows = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), (None, 3, 0), (None, 4, 2)], ROWS).withColumn("bucket", stored._bucket("id", 4))
+    merged = stored.merged_rows(rows, "id", "seq")
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    assert {tuple(r)[:3] for r in merged.collect()} == {("a", 2, 1), (None, 4, 2)}
