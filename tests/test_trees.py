@@ -279,3 +279,52 @@ def test_codes():
     got = codes_of(np.array([[0.0, 9.0], [1.5, 9.0], [1.6, 9.0], [3.0, 0.0], [9.0, 9.0]]), cuts)
     assert got.tolist() == [[0, 0, 1, 1, 2], [0] * 5]
     assert unpacked  # shown above through the model
+
+
+def test_nodes_split_by_histograms_and_by_order_give_the_same_tree(monkeypatch):
+    from tablewright.plans import growth
+
+    r = np.random.default_rng(3)
+    codes = np.stack([r.integers(0, 200, 3000), r.integers(0, 30, 3000), r.integers(0, 4, 3000)]).astype(np.uint8)
+    values = [np.arange(200.0), np.arange(30.0), np.arange(4.0)]
+    weight = r.integers(1, 4, 3000).astype(float)
+    stats = np.stack([np.ones(3000), weight, weight * np.round(codes[0] * 3.0 + r.normal(size=3000) * 40)])
+    for rules in (Rules(2), Rules(1, random_cuts=True), Rules(1, tries=1), Rules(5, 4)):
+        trees = []
+        for bound in (2, 64, 10**6):
+            monkeypatch.setattr(growth, "_DENSE", bound)
+            trees.append(grow(codes, stats, tree_id(4, 1), rules, values))
+        for t in trees[1:]:
+            assert t.feature.tolist() == trees[0].feature.tolist() and t.cut.tolist() == trees[0].cut.tolist()
+            assert (t.stats == trees[0].stats).all() and (t.gain == trees[0].gain).all()
+        assert len(trees[0].feature) > 20
+
+
+def test_folds_that_fit_one_by_one_are_not_grown_in_pieces(spark, data, monkeypatch):
+    """The bound on what a task holds is one of a group, not of all groups together."""
+    from tablewright.plans import forest
+
+    rows = data.withColumn("grp", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    rows = rows.withColumn("valid", F.col("id") % 3 == F.col("grp"))
+    binned = bin_table(rows)
+    bound = max(binned.training_bytes(g) for g in binned.groups) * 3 // 2
+    assert bound < binned.size
+    want = {g: values_of(m, data) for g, m in forest_models(binned, Forest(3, 2)).items()}
+    monkeypatch.setattr(forest, "_large_nodes", None)
+    assert {g: values_of(m, data) for g, m in forest_models(binned, Forest(3, 2), bound).items()} == want
+    boosted = {g: values_of(m, data) for g, m in boosted_models(binned, Boosting(4)).items()}
+    monkeypatch.setattr(B, "_boosted_blocks", None)
+    assert {g: values_of(m, data) for g, m in boosted_models(binned, Boosting(4), bound * 2).items()} == boosted
+
+
+@pytest.mark.parametrize("classes", [0, 2])
+def test_trees_of_a_large_forest_stay_where_they_are(spark, monkeypatch, classes):
+    from tablewright.plans import forest
+
+    rows = frame(spark, *table(classes=classes))
+    model = fit_forest_model(rows, Forest(6, 2, classes=classes), 700)
+    want = values_of(model, rows)
+    monkeypatch.setattr(forest, "MODEL_BYTES", 1_000)
+    monkeypatch.setattr(forest.ForestModel, "_sent", None)
+    again = fit_forest_model(rows, Forest(6, 2, classes=classes), 700)
+    assert values_of(again, rows.repartition(5)) == pytest.approx(want)
