@@ -6,7 +6,7 @@ one row for each node, its best cut, comes back. Once the rows of a node fit the
 there. All sums are whole numbers, so both ways grow the same trees, on any partitioning.
 
 A leaf budget grows best-first: the open leaf with the highest gain is split next. A tree of a smaller budget is a prefix of that of a larger one, so one run gives trees
-of all sizes (``budget_errors``). On large tables, nodes that the budget cannot reach are left out level by level.
+of all sizes (``budget_errors``). On large tables, nodes that the budget cannot reach are left out of the levels and of the trees below large nodes.
 
 Several groups of rows, such as the training sides of all folds, are grown in the same jobs. The trees are a table in the shared folder; the driver
 holds the splits of large nodes only. To predict, trees of up to ``MODEL_BYTES`` travel to the rows; of larger forests the trees stay where they are, and bins
@@ -83,15 +83,23 @@ class Forest:
 
     def sample(self, t: int, target: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows a tree sees, and their statistics."""
+        rows, weight = self.drawn(t, ids)
+        return rows, self.statistics(weight, target[rows])
+
+    def drawn(self, t: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows a tree sees, and how often (fewer than 20 times)."""
         weight = bootstrap_counts(ids, tree_id(self.seed, t)) if self.bootstrap else np.ones(len(ids), np.int64)
         rows = np.flatnonzero(weight)
-        weight = weight[rows].astype(float)
+        return rows, weight[rows].astype(np.uint8)
+
+    def statistics(self, weight: np.ndarray, target: np.ndarray) -> np.ndarray:
+        weight = weight.astype(float)
         if not self.classes:
-            return rows, np.stack([np.ones(len(rows)), weight, weight * target[rows]])
-        stats = np.zeros((1 + self.classes, len(rows)))
+            return np.stack([np.ones(len(weight)), weight, weight * target])
+        stats = np.zeros((1 + self.classes, len(weight)))
         stats[0] = 1
-        stats[1 + target[rows].astype(np.int64), np.arange(len(rows))] = weight
-        return rows, stats
+        stats[1 + target.astype(np.int64), np.arange(len(weight))] = weight
+        return stats
 
 
 def packed(feature: np.ndarray, cut: np.ndarray, values: np.ndarray) -> bytes:
@@ -142,23 +150,6 @@ class Top:
             self.stats.append(own)
         return [at, at + 1]
 
-    def tree(self) -> Tree:
-        """The same nodes in level order."""
-        order, inner = [0], 0
-        while inner < len(order):
-            node = order[inner]
-            if self.feature[node] != LEAF:
-                order += [self.left[node], self.left[node] + 1]
-            inner += 1
-        pick = np.array(order)
-        return Tree(
-            np.array(self.feature, np.uint16)[pick],
-            np.array(self.cut, np.uint8)[pick],
-            np.stack(self.stats, axis=1)[:, pick],
-            np.array(self.gain)[pick],
-            np.array(self.ids, np.uint64)[pick],
-        )
-
 
 def _local_blocks(binned: Binned, groups: list[int], spark: SparkSession):
     """Training blocks by group, for all tasks; the caller has checked their size."""
@@ -377,48 +368,62 @@ def grow_forest(binned: Binned, forest: Forest, local_bytes: int = LOCAL_BYTES)
 
         _grow_here(binned, forest, whole, PARTS, path, local_bytes)
         return path
-    width = p + 8 * (2 + (forest.classes or 2))
-    tops, rules = _large_nodes(binned, forest, local_bytes // width)
+    tops, rules = _large_nodes(binned, forest, local_bytes // _row_bytes(binned, forest))
+
+    def part(g: int, t: int, leaf: int, tree: Tree, rules: Rules) -> pa.RecordBatch:
+        return _part_rows([(g, t, leaf, packed(tree.feature, tree.cut, rules.values(tree.stats)))])
+
+    parts = _finished(binned, forest, tops, rules, part)
+    heads = [(g, t, -1, _packed_top(top)) for (g, t), top in tops.items() if len(top.feature) > 1]
+    parts.unionByName(spark.createDataFrame(heads, PARTS)).write.parquet(path)
+    return path
+
+
+def _row_bytes(binned: Binned, forest: Forest) -> int:
+    """Bytes of a row in the task that finishes its node: bins and statistics."""
+    return binned.features + 8 * (2 + (forest.classes or 2))
+
+
+def _finished(binned: Binned, forest: Forest, tops: dict, rules: dict, make) -> DataFrame:
+    """Trees below the large nodes, each grown by the task its rows are shipped to; ``make`` turns (group, tree number, node, tree) into rows of ``PARTS``."""
+    p, values = binned.features, binned.values
     arrays = {key: top.arrays() for key, top in tops.items()}
     ids, depths = {key: top.ids for key, top in tops.items()}, {key: top.depth for key, top in tops.items()}
-    k = 1 + (forest.classes or 2)
 
     def ship(batches):
         for batch in batches:
             for g, *block in zip(*(batch.column(c).to_pylist() for c in ("grp", "codes", "target", "ids")), strict=True):
                 codes, target, row_ids = opened(*block)
                 for t in range(forest.trees):
-                    rows, stats = forest.sample(t, target, row_ids)
-                    own = codes[:, rows]
-                    leaf = leaves(*arrays[g, t], own)
+                    rows, weight = forest.drawn(t, row_ids)
+                    leaf = leaves(*arrays[g, t], codes[:, rows])
                     order = np.argsort(leaf, kind="stable")
                     nodes, starts = np.unique(leaf[order], return_index=True)
-                    for node, at, stop in zip(nodes.tolist(), starts, [*starts[1:], len(order)], strict=True):
-                        mine = order[at:stop]
-                        yield _shipped(g, t, node, own[:, mine], stats[:, mine])
+                    stops = [*starts[1:].tolist(), len(order)]
+                    mine = [order[at:stop] for at, stop in zip(starts.tolist(), stops, strict=True)]
+                    yield _shipped(g, t, nodes.tolist(), [(codes[:, rows[m]], weight[m], target[rows[m]]) for m in mine])
 
-    def finish(batch_iterator):
-        for batch in batch_iterator:
+    def finish(batches):
+        for batch in batches:
             for g, t, leaf, rows in zip(*(batch.column(c) for c in ("grp", "t", "leaf", "rows")), strict=True):
                 g, t, leaf = g.as_py(), t.as_py(), leaf.as_py()
-                pieces = [(np.frombuffer(r["codes"], np.uint8), np.frombuffer(r["stats"])) for r in rows.as_py()]
-                codes = np.concatenate([c.reshape(p, -1) for c, _ in pieces], axis=1)
-                stats = np.concatenate([s.reshape(k, -1) for _, s in pieces], axis=1)
+                pieces = rows.as_py()
+                codes = np.concatenate([np.frombuffer(r["codes"], np.uint8).reshape(p, -1) for r in pieces], axis=1)
+                weight = np.concatenate([np.frombuffer(r["weight"], np.uint8) for r in pieces])
+                stats = forest.statistics(weight, np.concatenate([np.frombuffer(r["target"]) for r in pieces]))
                 tree = grow(codes, stats, np.array([ids[g, t][leaf]], np.uint64), rules[g, t], values[g], depths[g, t][leaf])
-                yield _part_rows([(g, t, leaf, packed(tree.feature, tree.cut, rules[g, t].values(tree.stats)))])
+                yield make(g, t, leaf, tree, rules[g, t])
 
-    moved = binned.blocks.where("not valid").mapInArrow(ship, "grp int, t int, leaf int, codes binary, stats binary")
-    nodes = moved.groupBy("grp", "t", "leaf").agg(F.collect_list(F.struct("codes", "stats")).alias("rows"))
-    parts = nodes.mapInArrow(finish, PARTS)
-    heads = [(g, t, -1, _packed_top(top)) for (g, t), top in tops.items() if len(top.feature) > 1]
-    parts.unionByName(spark.createDataFrame(heads, PARTS)).write.parquet(path)
-    return path
+    moved = binned.blocks.where("not valid").mapInArrow(ship, "grp int, t int, leaf int, codes binary, weight binary, target binary")
+    nodes = moved.groupBy("grp", "t", "leaf").agg(F.collect_list(F.struct("codes", "weight", "target")).alias("rows"))
+    return nodes.mapInArrow(finish, PARTS)
 
 
-def _shipped(g: int, t: int, leaf: int, codes: np.ndarray, stats: np.ndarray) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    row = (g, t, leaf, codes.tobytes(), stats.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([v], x) for v, x in zip(row, types, strict=True)], ["grp", "t", "leaf", "codes", "stats"])
+def _shipped(g: int, t: int, nodes: list[int], rows: list) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = [[g] * len(nodes), [t] * len(nodes), nodes, *([r[i].tobytes() for r in rows] for i in range(3))]
+    names = ["grp", "t", "leaf", "codes", "weight", "target"]
+    return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, types, strict=True)], names)
 
 
 def _packed_top(top: Top) -> bytes:
@@ -684,33 +689,83 @@ def fit_forest_model(data: DataFrame, forest: Forest, local_bytes: int = LOCAL_B
     return forest_models(bin_table(data, classes=forest.classes > 0), forest, local_bytes)[0]
 
 
+def _reached(tree: Tree, kept: np.ndarray) -> np.ndarray:
+    """The nodes of a tree in which only some splits, with all above them, are kept."""
+    reached = np.zeros(len(kept), bool)
+    reached[0] = True
+    left = tree.left
+    reached[left[kept]] = reached[left[kept] + 1] = True
+    return reached
+
+
+def _merged(head, pieces: list[tuple[int, bytes]]) -> tuple[Tree, np.ndarray]:
+    """One tree in level order, and the values of its nodes, from the splits of large nodes and the trees below them."""
+    columns = [[c] for c in head]  # feature, cut, left, gain, value
+    at, roots = len(head[0]), []
+    for leaf, blob in pieces:
+        m = int(np.frombuffer(blob, np.int64, 1)[0])
+        value, gain = np.frombuffer(blob, np.float64, m, 8), np.frombuffer(blob, np.float64, m, 8 + 8 * m)
+        feature, cut = np.frombuffer(blob, np.uint16, m, 8 + 16 * m), np.frombuffer(blob, np.uint8, m, 8 + 18 * m)
+        inner = feature != LEAF
+        left = np.where(inner, 2 * np.cumsum(inner) - 1 + at, 0)
+        for column, c in zip(columns, (feature, cut, left, gain, value), strict=True):
+            column.append(c)
+        roots.append((leaf, at))
+        at += m
+    feature, cut, left, gain, value = (np.concatenate(c) for c in columns)
+    for leaf, root in roots:  # the root of a piece is a node of the head
+        for column in (feature, cut, left, gain, value):
+            column[leaf] = column[root]
+    order, level = [], np.zeros(1, np.int64)
+    while len(level):
+        order.append(level)
+        inner = level[feature[level] != LEAF]
+        level = np.stack([left[inner], left[inner] + 1], axis=1).ravel()
+    pick = np.concatenate(order)
+    return Tree(feature[pick], cut[pick], np.zeros((0, len(pick))), gain[pick]), value[pick]
+
+
 def budget_trees(binned: Binned, forest: Forest, local_bytes: int = LOCAL_BYTES) -> DataFrame:
     """``(t, blob)``: trees of up to ``max_leaves`` leaves with the value of every node and its place in best-first order."""
     spark = binned.blocks.sparkSession
     path = scratch_path(spark, "budget_trees")
     budget = forest.max_leaves
 
-    def prefix(tree: Tree, rules: Rules) -> bytes:
+    def prefix(tree: Tree, values: np.ndarray) -> bytes:
         order = pop_order(tree, budget - 1)
         kept = order < budget - 1
-        reached = np.zeros(len(order), bool)
-        reached[0] = True
-        left = tree.left
-        reached[left[kept]] = reached[left[kept] + 1] = True
+        reached = _reached(tree, kept)
         feature = np.where(kept, tree.feature, LEAF)[reached].astype(np.uint16)
         place = np.where(kept, order, budget)[reached].astype(np.int32)
-        value = rules.values(tree.stats)[reached, 0]
-        return np.int64(len(feature)).tobytes() + value.tobytes() + place.tobytes() + feature.tobytes() + tree.cut[reached].tobytes()
+        return np.int64(len(feature)).tobytes() + values[reached].tobytes() + place.tobytes() + feature.tobytes() + tree.cut[reached].tobytes()
 
     def rows(made: list[tuple[int, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([t for t, _ in made], pa.int32()), pa.array([b for _, b in made], pa.binary())], ["t", "blob"])
 
     if fits_locally(binned, local_bytes):
-        _grow_here(binned, forest, lambda g, t, tree, rules: rows([(t, prefix(tree, rules))]), "t int, blob binary", path, local_bytes)
-    else:
-        tops, rules = _large_nodes(binned, forest, 0)
-        found = [(t, prefix(top.tree(), rules[g, t])) for (g, t), top in tops.items()]
-        spark.createDataFrame(found, "t int, blob binary").write.parquet(path)
+        _grow_here(binned, forest, lambda g, t, tree, rules: rows([(t, prefix(tree, rules.values(tree.stats)[:, 0]))]), "t int, blob binary", path, local_bytes)
+        return spark.read.schema("t int, blob binary").parquet(path)
+    tops, rules = _large_nodes(binned, forest, local_bytes // _row_bytes(binned, forest))
+
+    def part(g: int, t: int, leaf: int, tree: Tree, rules: Rules) -> pa.RecordBatch:
+        """What a budget can reach of the tree below a node."""
+        kept = pop_order(tree, budget - 1) < budget - 1
+        reached = _reached(tree, kept)
+        feature = np.where(kept, tree.feature, LEAF)[reached].astype(np.uint16)
+        value, gain = rules.values(tree.stats)[reached, 0], np.where(kept, tree.gain, 0.0)[reached]
+        blob = np.int64(len(feature)).tobytes() + value.tobytes() + gain.tobytes() + feature.tobytes() + tree.cut[reached].tobytes()
+        return _part_rows([(g, t, leaf, blob)])
+
+    heads = {t: (*top.arrays(), np.array(top.gain), rules[g, t].values(np.stack(top.stats, axis=1))[:, 0]) for (g, t), top in tops.items()}
+
+    def whole(batches):
+        for batch in batches:
+            for t, pieces in zip(batch.column("t").to_pylist(), batch.column("parts"), strict=True):
+                yield rows([(t, prefix(*_merged(heads[t], [(r["leaf"], r["blob"]) for r in pieces.as_py()])))])
+
+    parts = _finished(binned, forest, tops, rules, part)
+    trees = parts.groupBy("t").agg(F.collect_list(F.struct("leaf", "blob")).alias("parts"))
+    trees.mapInArrow(whole, "t int, blob binary").write.parquet(path)
     return spark.read.schema("t int, blob binary").parquet(path)
 
 

@@ -328,3 +328,16 @@ def test_trees_of_a_large_forest_stay_where_they_are(spark, monkeypatch, classes
     monkeypatch.setattr(forest.ForestModel, "_sent", None)
     again = fit_forest_model(rows, Forest(6, 2, classes=classes), 700)
     assert values_of(again, rows.repartition(5)) == pytest.approx(want)
+
+
+def test_budgets_on_large_tables_finish_nodes_in_tasks(spark, data, monkeypatch):
+    """Only nodes that do not fit a task are split level by level, as few jobs, whatever the budget."""
+    from tablewright.plans import forest
+
+    wanted, budgets, levels = Forest(3, seed=23), [2, 9, 40, 10_000], []
+    monkeypatch.setattr(forest, "_level", lambda *args, level=forest._level: (levels.append(1), level(*args))[1])
+    here = budget_errors(data, "v", budgets, wanted)
+    assert not levels
+    there = budget_errors(data.repartition(4), "v", budgets, wanted, local_bytes=28 * 120)
+    assert 0 < len(levels) < 10
+    assert [e for _, e in there] == pytest.approx([e for _, e in here])
