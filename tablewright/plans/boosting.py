@@ -5,8 +5,8 @@ validation rows is known after each round, and the run ends once ``patience`` ro
 fitted. The model keeps the rounds up to the lowest error.
 
 A group of rows of up to ``LOCAL_BYTES`` is boosted by one task. A larger one stays in its blocks: for each level tasks add up histograms, which are
-shuffled by node, and one row for each node comes back; the scores of the rows are written anew every ``ROUNDS_A_WRITE`` rounds, and tasks add the
-trees since then. Gradients are rounded to a grid on which sums are whole numbers, so both ways grow the same trees.
+shuffled by node, and one row for each node comes back; the scores of the rows are written anew every ``ROUNDS_A_WRITE`` rounds (more often for deep trees), in
+place of the older ones, and tasks add the trees since then. Gradients are rounded to a grid on which sums are whole numbers, so both ways grow the same trees.
 """
 
 from __future__ import annotations
@@ -19,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.plans.binning import Binned, bin_table, joined, opened
+from tablewright.plans.binning import Binned, bin_table, joined
 from tablewright.plans.forest import LOCAL_BYTES, PARTS, ForestModel, _hist_rows, _part_rows, packed
-from tablewright.plans.growth import BINS, LEAF, Rules, best_splits, histogram, sampled, tree_id
-from tablewright.runtime import scratch_path, scratch_table
-
-ROUNDS_A_WRITE = 16
+from tablewright.plans.growth import LEAF, Rules, best_splits, bundle_sums, bundled, histogram, places, sampled, tree_id, unbundled
+from tablewright.runtime import drop_scratch, scratch_path
+
+ROUNDS_A_WRITE = 8
+#: Rows that are scored and added up at a time, so that their columns stay in the processor's cache.
+ROWS_A_STEP = 1 << 16
+#: Bytes of blocks that one task scans.
+STATE_BYTES = 128_000_000
 #: Grid steps of a weight of one under the logistic loss.
 _WEIGHT_STEPS = 2.0**20
 
@@ -55,12 +59,16 @@ class Boosting:
 
     def statistics(self, target: np.ndarray, score: np.ndarray, rows: int) -> np.ndarray:
         """Rows, weights and gradients on the grid."""
+        ones = np.ones(len(target))
+        return np.stack([*[ones] * (2 if self.loss == "squared" else 1), *self.gradients(target, score, rows)])
+
+    def gradients(self, target: np.ndarray, score: np.ndarray, rows: int) -> list[np.ndarray]:
+        """Weights and gradients on the grid; without the weights if each is one."""
         if self.loss == "squared":
-            ones = np.ones(len(target))
-            return np.stack([ones, ones, np.round(target - score)])
+            return [np.round(target - score)]
         weight_steps, steps = self.steps(rows)
         p = 1.0 / (1.0 + np.exp(-np.clip(score, -35, 35)))
-        return np.stack([np.ones(len(target)), np.maximum(np.round(p * (1 - p) * weight_steps), 1.0), np.round((target - p) * steps)])
+        return [np.maximum(np.round(p * (1 - p) * weight_steps), 1.0), np.round((target - p) * steps)]
 
     def leaf_values(self, rules: Rules, stats: np.ndarray, rows: int) -> np.ndarray:
         return self.rate * rules.values(stats)[:, 0] / self.steps(rows)[1]
@@ -206,52 +214,67 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
     """The rounds of one group over blocks that stay where they are."""
     n, values, p = binned.rows[group], binned.values[group], binned.features
     mean, scale, start = binned.mean[group], binned.scale[group], _start(b, binned, group)
-    squared, rules = b.loss == "squared", b.rules(n)
-    state = binned.blocks.where(F.col("grp") == group).withColumn("score", F.lit(None).cast("binary"))
+    squared, rules, bundles = b.loss == "squared", b.rules(n), bundled(values)
+    drawn = b.share < 1  # ids are for the draw alone
+    spark = binned.blocks.sparkSession
+    names = ["valid", "codes", "target", *["ids"] * drawn, "score"]
     search, trees, fresh = Rounds(b.patience), [], []
+    rounds_a_write = max(1, ROUNDS_A_WRITE >> max(0, b.depth - 3))  # trees of twice the leaves take about twice as long to score
 
     def scored(codes, score, made):
-        total = np.full(codes.shape[1], start) if score is None else np.frombuffer(score, np.float64).copy()
-        for tree, gained in made:
-            at = np.zeros(codes.shape[1], np.int64)
-            for _ in range(b.depth):
-                at = down(at, tree, codes)
-            total += gained[at]
+        total = np.full(codes.shape[1], start) if score is None else score.copy()
+        for arrays, gained in made:
+            total += gained.take(places(*arrays, codes))
         return total
 
-    def opened_blocks(batches, made):
-        names = ("valid", "codes", "target", "ids", "score")
+    def opened_steps(batches, made):
+        """Blocks of one side joined up to steps of so many rows, with their scores."""
+        held = {side: [] for side in (False, True)}
+
+        def step(side):
+            parts = held[side]
+            held[side] = []
+            codes, target, ids, score = (None if parts[0][k] is None else np.concatenate([x[k] for x in parts], axis=-1) for k in range(4))
+            return side, codes, target, ids, scored(codes, score, made)
+
         for batch in batches:
-            for valid, codes, target, ids, score in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                codes, target, ids = opened(codes, target, ids)
-                if valid and squared:
-                    target = (target - mean) * scale
-                yield valid, codes, target, ids, scored(codes, score, made)
+            columns = [batch.column(c) for c in ("codes", "target", *["ids"] * drawn, "score")]
+            for i, side in enumerate(batch.column("valid").to_pylist()):
+                codes, target, *ids, score = (c[i].as_buffer() for c in columns)
+                target = np.frombuffer(target, np.float64)
+                ids = np.frombuffer(ids[0], np.uint64) if drawn else None
+                held[side].append((np.frombuffer(codes, np.uint8).reshape(p, -1), target, ids, None if score is None else np.frombuffer(score, np.float64)))
+                if sum(len(x[1]) for x in held[side]) >= ROWS_A_STEP:
+                    yield step(side)
+        for side, parts in held.items():
+            if parts:
+                yield step(side)
 
     def level(tree: Growing, made: list, errors: bool):
         """Best cuts of the open nodes and, with ``errors``, the loss of the validation rows under the trees made so far."""
-        root = tree.root
+        root, arrays, m = tree.root, tree.arrays(), len(tree.open)
+        place = np.full(len(tree.feature), -1, np.int16 if m < 2**15 else np.int32)
+        place[tree.open] = np.arange(m)
 
         def scan(batches):
             total, loss = None, 0.0
-            for valid, codes, target, ids, score in opened_blocks(batches, made):
+            for valid, codes, target, ids, score in opened_steps(batches, made):
                 if valid:
-                    loss += b.error(target, score) if errors else 0.0
+                    loss += b.error((target - mean) * scale if squared else target, score) if errors else 0.0
                     continue
-                rows = np.flatnonzero(sampled(ids, root, b.share)) if b.share < 1 else np.arange(len(ids))
-                own, stats = codes[:, rows], b.statistics(target, score, n)[:, rows]
-                at = np.zeros(len(rows), np.int64)
-                for _ in range(b.depth):
-                    at = down(at, tree, own)
-                place = np.full(len(tree.feature), -1)
-                place[tree.open] = np.arange(len(tree.open))
-                node = place[at]
-                keep = np.flatnonzero(node >= 0)
-                found = histogram(own[:, keep], node[keep], len(tree.open), stats[:, keep])
+                weights = b.gradients(target, score, n)
+                keep = sampled(ids, root, b.share) if drawn else None
+                node = place.take(places(*arrays, codes)) if len(tree.feature) > 1 else None
+                if node is not None and (node < 0).any():
+                    keep = node >= 0 if keep is None else keep & (node >= 0)
+                if keep is not None:
+                    rows = np.flatnonzero(keep)
+                    codes, weights, node = codes.take(rows, axis=1), [w.take(rows) for w in weights], None if node is None else node.take(rows)
+                found = bundle_sums(bundles, values, codes, node, m, weights)
                 total = found if total is None else total + found
             if total is not None:
-                for i in range(len(tree.open)):
-                    yield _hist_rows(0, 0, 0 if b.symmetric else i, total if b.symmetric else total[i])
+                for i in range(1 if b.symmetric else m):
+                    yield _hist_rows(0, 0, i, total if b.symmetric else total[i])
             if errors:
                 yield _hist_rows(0, 0, -1, np.array([loss]))
 
@@ -265,11 +288,13 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
                 if node < 0:
                     yield _decision(node, [0], [0], [hist[0]], np.zeros((3, 1)), np.zeros((3, 1)))
                 else:
-                    cube = hist.reshape(-1, p, 3, BINS)
+                    cube = unbundled(bundles, values, hist.reshape(m if b.symmetric else 1, 2 if squared else 3, -1))
+                    if squared:
+                        cube = cube[:, :, [0, 0, 1]]  # a row weighs one
                     found = best_splits(rules, np.repeat(root, len(cube)), cube, values)
                     yield _decision(node, *found)
 
-        dealt = state.mapInArrow(scan, "grp int, t int, node int, hist binary").repartition(max(1, len(tree.open)), "node")
+        dealt = state.mapInArrow(scan, "grp int, t int, node int, hist binary").repartition(max(1, min(m, spark.sparkContext.defaultParallelism)), "node")
         rows = dealt.mapInArrow(decide, "node int, f array<int>, c array<int>, gain array<double>, lefts binary, totals binary").collect()
         loss = next((r["gain"][0] for r in rows if r["node"] < 0), None)
         rows = sorted((r for r in rows if r["node"] >= 0), key=lambda r: r["node"])
@@ -277,18 +302,23 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
         sides = [np.concatenate([np.frombuffer(r[c]).reshape(3, -1) for r in rows], axis=1) for c in ("lefts", "totals")]
         return (*joined_up, *sides), loss
 
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch_path(spark, "scores")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
     def rewritten():
         made = list(fresh)
 
         def run(batches):
-            for batch in batches:
-                names = ("codes", "score")
-                scores = [scored(np.frombuffer(c, np.uint8).reshape(p, -1), s, made).tobytes() for c, s in zip(*(batch.column(x).to_pylist() for x in names), strict=True)]
-                columns = [batch.column(c) for c in batch.schema.names[:-1]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.binary())], batch.schema.names)
+            for valid, codes, target, ids, score in opened_steps(batches, made):
+                blocks = [x.tobytes() for x in (codes, target, ids, score) if x is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([valid]), *(pa.array([x], pa.binary()) for x in blocks)], names)
 
-        return scratch_table(state.mapInArrow(run, state.schema), "scores")
+        return written(state.mapInArrow(run, state.schema))
 
+    own = binned.blocks.where(F.col("grp") == group).withColumn("score", F.lit(None).cast("binary")).select(*names)
+    state, path = written(own.repartition(max(spark.sparkContext.defaultParallelism, binned.size // STATE_BYTES)))
     stops = b.patience is not None
     for r in range(b.rounds + stops):  # the error of a round comes with the first level of the next one
         tree = Growing(tree_id(b.seed, r))
@@ -301,11 +331,14 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
             if not tree.open:
                 break
         gained = b.leaf_values(rules, np.stack(tree.stats, axis=1), n)
-        fresh.append((tree, gained))
-        feature, cut, _ = tree.arrays()
-        trees.append((feature, cut, gained))
-        if len(fresh) == ROUNDS_A_WRITE:
-            state, fresh = rewritten(), []
+        arrays = tree.arrays()
+        fresh.append((arrays, gained))
+        trees.append((*arrays[:2], gained))
+        if len(fresh) == rounds_a_write and r + 1 < b.rounds + stops:
+            older = path
+            state, path = rewritten()
+            fresh = []
+            drop_scratch(spark, older)
     return trees
 
 

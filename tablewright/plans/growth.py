@@ -20,6 +20,8 @@ _FEW = 8
 #: Nodes of at least so many rows are split from histograms, of which so many are looked at in one step.
 _DENSE = 256
 _NODES_A_STEP = 1024
+#: Levels of up to so many inner nodes are passed by comparing whole columns.
+_FEW_NODES = 16
 _POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(20)])
 _NEVER = np.iinfo(np.int64).max
 
@@ -393,6 +395,83 @@ def histogram(codes: np.ndarray, node: np.ndarray, m: int, stats: np.ndarray) ->
     return out
 
 
+def bundled(values: list[np.ndarray]) -> list[list[int]]:
+    """Features in bundles that are added up by one number: those of few bins together, as long as their combinations are at most ``BINS``."""
+    out: list[list[int]] = []
+    size = BINS + 1
+    for f in sorted(range(len(values)), key=lambda f: len(values[f])):
+        width = max(1, len(values[f]))
+        if size * width > BINS:
+            out.append([])
+            size = 1
+        out[-1].append(f)
+        size *= width
+    return out
+
+
+def bundle_sums(bundles: list[list[int]], values: list[np.ndarray], codes: np.ndarray, node: np.ndarray | None, m: int, weights: list[np.ndarray]) -> np.ndarray:
+    """Number of rows and sums of weights by node (None: one for all rows), statistic, and bin of each bundle in turn."""
+    out = []
+    base = None if node is None else node.astype(np.int64)
+    for bundle in bundles:
+        width = int(np.prod([max(1, len(values[f])) for f in bundle]))
+        at = codes[bundle[0]]
+        for f in bundle[1:]:
+            at = at * np.uint8(len(values[f])) + codes[f]  # below BINS
+        at = at.astype(np.int64) if base is None else base * width + at
+        sums = [np.bincount(at, minlength=m * width), *(np.bincount(at, weights=w, minlength=m * width) for w in weights)]
+        out.append(np.stack([x.reshape(m, width) for x in sums], axis=1, dtype=np.float64, casting="unsafe"))
+    return np.concatenate(out, axis=2)
+
+
+def unbundled(bundles: list[list[int]], values: list[np.ndarray], sums: np.ndarray) -> np.ndarray:
+    """The same sums as ``histogram`` has them: by node, feature, statistic and bin."""
+    m, k, _ = sums.shape
+    out = np.zeros((m, len(values), k, BINS))
+    low = 0
+    for bundle in bundles:
+        shape = [max(1, len(values[f])) for f in bundle]
+        width = int(np.prod(shape))
+        cube = sums[:, :, low : low + width].reshape(m, k, *shape)
+        low += width
+        for i, f in enumerate(bundle):
+            out[:, f, :, : shape[i]] = cube.sum(axis=tuple(2 + j for j in range(len(shape)) if j != i))
+    return out
+
+
+def places(feature: np.ndarray, cut: np.ndarray, left: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Node of each row after all splits, as ``leaves``. Levels of few nodes compare whole columns, deeper ones look up the node of each row."""
+    n = codes.shape[1]
+    kind = np.uint8 if len(feature) <= BINS else np.uint16 if len(feature) <= LEAF else np.int64
+    at = np.zeros(n, kind)
+    here: list[tuple[int, np.ndarray | None]] = [(0, None)] if feature[0] != LEAF else []
+    while here and len(here) <= _FEW_NODES:
+        below = []
+        for node, rows in here:
+            right = codes[feature[node]] > cut[node]
+            if rows is not None:
+                right &= rows
+            others = ~right if rows is None else rows ^ right
+            for child, own in ((int(left[node]), others), (int(left[node]) + 1, right)):
+                if feature[child] == LEAF:
+                    at |= np.multiply(own, kind(child), dtype=kind)
+                else:
+                    below.append((child, own))
+        here = below
+    if here:
+        for node, rows in here:
+            at |= np.multiply(rows, kind(node), dtype=kind)
+        inner = feature != LEAF
+        first = np.where(inner, feature, 0).astype(np.int64) * n
+        last, after = np.where(inner, cut, BINS - 1).astype(np.uint8), np.where(inner, left, np.arange(len(feature))).astype(kind)
+        flat, row = np.ascontiguousarray(codes).reshape(-1), np.arange(n)
+        open_nodes = {node for node, _ in here}
+        while open_nodes:
+            at = after.take(at) + (flat.take(first.take(at) + row) > last.take(at)).astype(kind)
+            open_nodes = {c for node in open_nodes for c in (int(left[node]), int(left[node]) + 1) if feature[c] != LEAF}
+    return at
+
+
 def pop_order(tree: Tree, limit: int | None = None) -> np.ndarray:
     """When best-first growth splits each node: always the open leaf with the highest gain, the lower node on ties. Never: a very large number.
 

@@ -61,6 +61,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one intermediate table that a later one has replaced."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    written = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in written:
+        written.remove(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables this application has written, once nothing reads them any more."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])

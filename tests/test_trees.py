@@ -341,3 +341,33 @@ def test_budgets_on_large_tables_finish_nodes_in_tasks(spark, data, monkeypatch)
     there = budget_errors(data.repartition(4), "v", budgets, wanted, local_bytes=28 * 120)
     assert 0 < len(levels) < 10
     assert [e for _, e in there] == pytest.approx([e for _, e in here])
+
+
+def test_bundles_and_whole_columns_give_the_same_sums_and_places(monkeypatch):
+    from tablewright.plans import growth
+
+    r = np.random.default_rng(6)
+    widths = (200, 7, 2, 1, 2, 256, 16, 16)
+    values = [np.arange(float(w)) for w in widths]
+    codes = np.stack([r.integers(0, w, 3000) for w in widths]).astype(np.uint8)
+    weight, g = r.integers(1, 4, 3000).astype(float), r.integers(-1000, 1000, 3000).astype(float)
+    bundles = growth.bundled(values)
+    assert sorted(f for b in bundles for f in b) == list(range(len(widths))) and len(bundles) == 4
+    node = r.integers(0, 5, 3000)
+    want = histogram(codes, node, 5, np.stack([np.ones(3000), weight, g]))
+    assert (growth.unbundled(bundles, values, growth.bundle_sums(bundles, values, codes, node, 5, [weight, g])) == want).all()
+    for depth in (1, 3, 9):
+        tree = grow(codes, np.stack([np.ones(3000), weight, weight * np.round(g + 9 * codes[0])]), tree_id(4, 1), Rules(2, depth), values)
+        at = leaves(tree.feature, tree.cut, tree.left, codes)
+        for few in (16, 2, 1):
+            monkeypatch.setattr(growth, "_FEW_NODES", few)
+            assert (growth.places(tree.feature, tree.cut, tree.left, codes) == at).all()
+
+
+def test_scores_written_anew_replace_the_older_ones(data, monkeypatch):
+    made, dropped = [], []
+    monkeypatch.setattr(B, "ROUNDS_A_WRITE", 2)
+    monkeypatch.setattr(B, "scratch_path", lambda spark, name, make=B.scratch_path: (made.append(make(spark, name)), made[-1])[1])
+    monkeypatch.setattr(B, "drop_scratch", lambda spark, path, drop=B.drop_scratch: (dropped.append(path), drop(spark, path))[1])
+    trees = B._boosted_blocks(bin_table(data), Boosting(5, 2, 0.3), 0)
+    assert len(trees) == 5 and len(made) == 3 and dropped == made[:2]
