@@ -4,8 +4,8 @@ Each round grows one tree on the gradients of the loss: histograms of the gradie
 validation rows is known after each round, and the run ends once ``patience`` rounds have not lowered it; no later round is
 fitted. The model keeps the rounds up to the lowest error.
 
-A group of rows of up to ``LOCAL_BYTES`` is boosted by one task. A larger one stays in its blocks: for each level tasks add up histograms, which are
-shuffled by node, and one row for each node comes back; the scores of the rows are written anew every ``ROUNDS_A_WRITE`` rounds (more often for deep trees), in
+A group of rows of up to ``LOCAL_BYTES`` is boosted by one task. A larger one stays in its blocks: for each level tasks add up histograms, which
+the driver adds up if they are small; else they are shuffled by node, and one row for each node comes back; the scores of the rows are written anew every ``ROUNDS_A_WRITE`` rounds (more often for deep trees), in
 place of the older ones, and tasks add the trees since then. Gradients are rounded to a grid on which sums are whole numbers, so both ways grow the same trees.
 """
 
@@ -29,6 +29,8 @@ ROUNDS_A_WRITE = 8
 ROWS_A_STEP = 1 << 16
 #: Bytes of blocks that one task scans.
 STATE_BYTES = 128_000_000
+#: Histograms of all tasks of up to so many bytes in a level are added up by the driver, larger ones are shuffled.
+SMALL_SUMS = 4_000_000
 #: Grid steps of a weight of one under the logistic loss.
 _WEIGHT_STEPS = 2.0**20
 
@@ -219,6 +221,8 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
     spark = binned.blocks.sparkSession
     names = ["valid", "codes", "target", *["ids"] * drawn, "score"]
     search, trees, fresh = Rounds(b.patience), [], []
+    tasks = max(spark.sparkContext.defaultParallelism, binned.size // STATE_BYTES)
+    node_bytes = (16 if squared else 24) * sum(int(np.prod([max(1, len(values[f])) for f in x])) for x in bundles)
     rounds_a_write = max(1, ROUNDS_A_WRITE >> max(0, b.depth - 3))  # trees of twice the leaves take about twice as long to score
 
     def scored(codes, score, made):
@@ -279,11 +283,13 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
                 yield _hist_rows(0, 0, -1, np.array([loss]))
 
         def decide(batches):
+            return decided(x for batch in batches for x in zip(batch.column("node").to_pylist(), batch.column("hist").to_pylist(), strict=True))
+
+        def decided(parts):
             held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for node, blob in zip(batch.column("node").to_pylist(), batch.column("hist").to_pylist(), strict=True):
-                    hist = np.frombuffer(blob, np.float64)
-                    held[node] = held[node] + hist if node in held else hist
+            for node, blob in parts:
+                hist = np.frombuffer(blob, np.float64)
+                held[node] = held[node] + hist if node in held else hist
             for node, hist in held.items():
                 if node < 0:
                     yield _decision(node, [0], [0], [hist[0]], np.zeros((3, 1)), np.zeros((3, 1)))
@@ -294,8 +300,12 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
                     found = best_splits(rules, np.repeat(root, len(cube)), cube, values)
                     yield _decision(node, *found)
 
-        dealt = state.mapInArrow(scan, "grp int, t int, node int, hist binary").repartition(max(1, min(m, spark.sparkContext.defaultParallelism)), "node")
-        rows = dealt.mapInArrow(decide, "node int, f array<int>, c array<int>, gain array<double>, lefts binary, totals binary").collect()
+        partial = state.mapInArrow(scan, "grp int, t int, node int, hist binary")
+        if m * node_bytes * tasks <= SMALL_SUMS:
+            rows = [r for batch in decided((r["node"], r["hist"]) for r in partial.select("node", "hist").collect()) for r in batch.to_pylist()]
+        else:
+            dealt = partial.repartition(max(1, min(m, spark.sparkContext.defaultParallelism)), "node")
+            rows = dealt.mapInArrow(decide, "node int, f array<int>, c array<int>, gain array<double>, lefts binary, totals binary").collect()
         loss = next((r["gain"][0] for r in rows if r["node"] < 0), None)
         rows = sorted((r for r in rows if r["node"] >= 0), key=lambda r: r["node"])
         joined_up = [np.concatenate([r[c] for r in rows]) for c in ("f", "c", "gain")]
@@ -318,7 +328,7 @@ def _boosted_blocks(binned: Binned, b: Boosting, group: int) -> list[tuple]:
         return written(state.mapInArrow(run, state.schema))
 
     own = binned.blocks.where(F.col("grp") == group).withColumn("score", F.lit(None).cast("binary")).select(*names)
-    state, path = written(own.repartition(max(spark.sparkContext.defaultParallelism, binned.size // STATE_BYTES)))
+    state, path = written(own.repartition(tasks))
     stops = b.patience is not None
     for r in range(b.rounds + stops):  # the error of a round comes with the first level of the next one
         tree = Growing(tree_id(b.seed, r))

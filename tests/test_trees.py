@@ -369,5 +369,15 @@ def test_scores_written_anew_replace_the_older_ones(data, monkeypatch):
     monkeypatch.setattr(B, "ROUNDS_A_WRITE", 2)
     monkeypatch.setattr(B, "scratch_path", lambda spark, name, make=B.scratch_path: (made.append(make(spark, name)), made[-1])[1])
     monkeypatch.setattr(B, "drop_scratch", lambda spark, path, drop=B.drop_scratch: (dropped.append(path), drop(spark, path))[1])
-    trees = B._boosted_blocks(bin_table(data), Boosting(5, 2, 0.3), 0)
+    binned = bin_table(data)
+    trees = B._boosted_blocks(binned, Boosting(5, 2, 0.3), 0)
     assert len(trees) == 5 and len(made) == 3 and dropped == made[:2]
+
+
+@pytest.mark.parametrize("b", [Boosting(2, 3, 0.3), Boosting(2, 2, 0.3, symmetric=True), Boosting(3, 2, 0.5, share=0.7, patience=3)])
+def test_sums_on_the_driver_and_shuffled_give_the_same_trees(data, monkeypatch, b):
+    binned, found = bin_table(data.withColumn("valid", F.col("v") & F.lit(b.patience is not None))), []
+    for bound in (B.SMALL_SUMS, 0):
+        monkeypatch.setattr(B, "SMALL_SUMS", bound)
+        found.append([[x.tolist() for x in tree] for tree in B._boosted_blocks(binned, b, 0)])
+    assert found[0] == found[1]
