@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -381,3 +382,76 @@ def test_sums_on_the_driver_and_shuffled_give_the_same_trees(data, monkeypatch,
         monkeypatch.setattr(B, "SMALL_SUMS", bound)
         found.append([[x.tolist() for x in tree] for tree in B._boosted_blocks(binned, b, 0)])
     assert found[0] == found[1]
+
+
+def blobs(model):
+    return {(r["grp"], r["t"], r["leaf"]): bytes(r["blob"]) for r in model.parts().collect()}
+
+
+def off_the_jvm(monkeypatch):
+    from tablewright.plans import jvm
+
+    monkeypatch.setattr(jvm, "loader", lambda spark: None)
+
+
+@pytest.mark.parametrize("forest", [Forest(5, 2), Forest(3, 1, max_depth=3), Forest(9, 2, random_cuts=True, bootstrap=False), Forest(2, 5, random_cuts=True)])
+def test_forests_of_the_jvm_are_the_same(spark, monkeypatch, forest):
+    """Bit by bit, with large and small nodes, and folds of which each has bins of its own."""
+    rows = frame(spark, *table(1500)).withColumn("grp", F.explode(F.array(F.lit(0), F.lit(3)))).withColumn("valid", F.col("id") % 4 == F.col("grp"))
+    binned, found = bin_table(rows), []
+    for _ in range(2):
+        models = forest_models(binned, forest)
+        found.append([blobs(m) for m in models.values()])
+        assert all(len(b) == forest.trees for b in found[-1])
+        off_the_jvm(monkeypatch)
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("b", [Boosting(6, 3, 0.3), Boosting(5, 8, 0.5, share=0.7, penalty=1.0), Boosting(40, 3, 0.9, patience=3), Boosting(3, 2, 0.3, min_leaf=40)])
+def test_rounds_of_the_jvm_are_the_same(spark, monkeypatch, b):
+    rows = frame(spark, *table(1500)).withColumn("grp", F.explode(F.array(F.lit(0), F.lit(3)))).withColumn("valid", F.col("id") % 4 == F.col("grp"))
+    binned, found = bin_table(rows), []
+    for _ in range(2):
+        found.append([blobs(m) for m in boosted_models(binned, b).values()])
+        off_the_jvm(monkeypatch)
+    assert found[0] == found[1] and all(len(x) <= b.rounds for x in found[0])
+
+
+def test_the_threads_of_a_lone_task_change_nothing(spark, monkeypatch):
+    from tablewright.plans import jvm
+
+    r = np.random.default_rng(2)
+    x = np.stack([r.normal(size=120_000), r.integers(0, 6, 120_000)], axis=1)
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "label": x[:, 0] * x[:, 1] + r.normal(size=120_000)}))
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    b, found = Boosting(3, 5, 0.3, share=0.8), []
+    for cores in (8, 1):
+        monkeypatch.setattr(jvm, "executor_cores", lambda spark, cores=cores: cores)
+        found.append(blobs(fit_boosted(rows, b)))
+    assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_scores_of_the_jvm_are_the_same(spark, data, monkeypatch, few):
+    from tablewright.plans import forest
+
+    model = fit_forest_model(data, Forest(7, 2))
+    want = values_of(model, data)
+    monkeypatch.setattr(forest, "SCORED_BYTES", 10)
+    monkeypatch.setattr(forest, "MODEL_BYTES", 10**6 if few else 1_000)
+    monkeypatch.setattr(forest.ForestModel, "_sent", None)
+    assert values_of(model, data.repartition(5)) == pytest.approx(want, rel=1e-12)
+
+
+def test_a_large_group_is_not_grown_in_pieces(data, monkeypatch):
+    """Beyond what passes the driver, the rows of a group go to the tasks by a shuffle."""
+    from tablewright.plans import forest
+
+    binned = bin_table(data.withColumn("valid", F.col("v")))
+    monkeypatch.setattr(forest, "LOCAL_BYTES", 100)
+    monkeypatch.setattr(B, "LOCAL_BYTES", 100)
+    for name in ("_large_nodes", "_local_blocks"):
+        monkeypatch.setattr(forest, name, None)
+    monkeypatch.setattr(B, "_boosted_blocks", None)
+    assert len(blobs(forest_models(binned, Forest(3, 2))[0])) == 3
+    assert len(blobs(boosted_models(binned, Boosting(3, patience=2))[0])) <= 3
