@@ -424,10 +424,10 @@ def test_the_threads_of_a_lone_task_change_nothing(spark, monkeypatch):
     x = np.stack([r.normal(size=120_000), r.integers(0, 6, 120_000)], axis=1)
     rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "label": x[:, 0] * x[:, 1] + r.normal(size=120_000)}))
     rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
-    b, found = Boosting(3, 5, 0.3, share=0.8), []
+    b, binned, found = Boosting(3, 5, 0.3, share=0.8), bin_table(rows), []
     for cores in (8, 1):
         monkeypatch.setattr(jvm, "executor_cores", lambda spark, cores=cores: cores)
-        found.append(blobs(fit_boosted(rows, b)))
+        found.append(blobs(boosted_models(binned, b)[0]))
     assert found[0] == found[1]
 
 
